@@ -159,12 +159,12 @@ def sql_unit(digest: str, draw: int = 0) -> str:
 
 def sql_feistel(key: bytes, tweak: str, left: str, right: str, m_left: str, m_right: str) -> str:
     """A DuckDB struct {l, r}; integer arithmetic in HUGEINT is avoided by taking the word mod m first."""
-    half = "CASE WHEN i % 2 = 0 THEN acc.r ELSE acc.l END"
-    f = sql_word(sql_hmac(key, f"({tweak}) || '|' || i::VARCHAR || '|' || ({half})::VARCHAR"))
+    half = "CASE WHEN ri_ % 2 = 0 THEN acc_.r ELSE acc_.l END"
+    f = sql_word(sql_hmac(key, f"({tweak}) || '|' || ri_::VARCHAR || '|' || ({half})::VARCHAR"))
     return (
-        f"list_reduce(range(0, {ROUNDS}), lambda acc, i: {{"
-        f"'l': CASE WHEN i % 2 = 0 THEN (acc.l + {f} % ({m_left})) % ({m_left}) ELSE acc.l END, "
-        f"'r': CASE WHEN i % 2 = 0 THEN acc.r ELSE (acc.r + {f} % ({m_right})) % ({m_right}) END}}, "
+        f"list_reduce(range(0, {ROUNDS}), lambda acc_, ri_: {{"
+        f"'l': CASE WHEN ri_ % 2 = 0 THEN (acc_.l + {f} % ({m_left})) % ({m_left}) ELSE acc_.l END, "
+        f"'r': CASE WHEN ri_ % 2 = 0 THEN acc_.r ELSE (acc_.r + {f} % ({m_right})) % ({m_right}) END}}, "
         f"{{'l': ({left})::BIGINT, 'r': ({right})::BIGINT}})"
     )
 
@@ -175,6 +175,6 @@ def sql_permute(key: bytes, index: str, n: str, tweak: str = "perm") -> str:
     b = f"((({n}) + {a} - 1) // {a})"
     def once(x: str) -> str:
         s = sql_feistel(key, f"'{tweak}|' || ({n})::VARCHAR", f"({x}) // {b}", f"({x}) % {b}", a, b)
-        return f"list_transform([{s}], lambda s: s.l * {b} + s.r)[1]"
-    return (f"list_reduce(range(0, 17), lambda x, w: CASE WHEN w > 0 AND x < ({n}) THEN x ELSE "
-            f"{once('x')} END, ({index})::BIGINT)")
+        return f"list_transform([{s}], lambda fs_: fs_.l * {b} + fs_.r)[1]"
+    return (f"list_reduce(range(0, 17), lambda px_, pw_: CASE WHEN pw_ > 0 AND px_ < ({n}) THEN px_ ELSE "
+            f"{once('px_')} END, ({index})::BIGINT)")

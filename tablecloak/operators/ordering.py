@@ -21,20 +21,20 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], out: str = "
     n = shuffle_partitions(df.sparkSession)
     cut = materialize(
         df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-        .withColumn("__m", F.monotonically_increasing_id()),
+        .withColumn("__xm", F.monotonically_increasing_id()),
         "index",
     )
-    part = F.shiftright("__m", SHIFT)
-    sizes = cut.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    part = F.shiftright("__xm", SHIFT)
+    sizes = cut.groupBy(part.alias("__xp")).agg(F.count("*").alias("__xn"))
     # at most one row per shuffle partition, so both the window and the broadcast are bounded by n
-    before = Window.partitionBy(F.lit(1)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    pos = F.col("__m").bitwiseAND(F.lit((1 << SHIFT) - 1))
+    before = Window.partitionBy(F.lit(1)).orderBy("__xp").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__xp", F.coalesce(F.sum("__xn").over(before), F.lit(0)).alias("__xoff"))
+    pos = F.col("__xm").bitwiseAND(F.lit((1 << SHIFT) - 1))
     return (
-        cut.withColumn("__p", part)
-        .join(F.broadcast(offsets), "__p")
-        .withColumn(out, pos + F.col("__off") + F.lit(start))
-        .drop("__m", "__p", "__off")
+        cut.withColumn("__xp", part)
+        .join(F.broadcast(offsets), "__xp")
+        .withColumn(out, pos + F.col("__xoff") + F.lit(start))
+        .drop("__xm", "__xp", "__xoff")
     )
 
 
@@ -52,26 +52,26 @@ def running_total(
     keys = list(group_by)
     w = F.lit(1).cast("bigint") if weight is None else weight
     cut = materialize(
-        df.withColumn("__w", w).repartitionByRange(n, *keys, *order_by).withColumn("__p", F.spark_partition_id()),
+        df.withColumn("__yw", w).repartitionByRange(n, *keys, *order_by).withColumn("__yp", F.spark_partition_id()),
         "run",
     )
-    inside = Window.partitionBy(*keys, "__p").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn("__local", F.sum("__w").over(inside))
-    pieces = cut.groupBy(*keys, "__p").agg(F.sum("__w").alias("__s"))
+    inside = Window.partitionBy(*keys, "__yp").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumn("__ylocal", F.sum("__yw").over(inside))
+    pieces = cut.groupBy(*keys, "__yp").agg(F.sum("__yw").alias("__ys"))
     earlier = (
-        Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__yp").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        pieces.withColumn("__off", F.sum("__s").over(earlier)).where(F.col("__off").isNotNull())
-        .select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], F.col("__p").alias("__q"), "__off")
+        pieces.withColumn("__yoff", F.sum("__ys").over(earlier)).where(F.col("__yoff").isNotNull())
+        .select(*[F.col(k).alias(f"__yg{i}") for i, k in enumerate(keys)], F.col("__yp").alias("__yq"), "__yoff")
     )
-    on = F.col("__p") == F.col("__q")
+    on = F.col("__yp") == F.col("__yq")
     for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"__yg{i}"))
     return (
         local.join(F.broadcast(offsets), on, "left")
-        .withColumn(out, F.col("__local") + F.coalesce(F.col("__off"), F.lit(0)))
-        .drop("__w", "__p", "__local", "__q", "__off", *[f"__g{i}" for i in range(len(keys))])
+        .withColumn(out, F.col("__ylocal") + F.coalesce(F.col("__yoff"), F.lit(0)))
+        .drop("__yw", "__yp", "__ylocal", "__yq", "__yoff", *[f"__yg{i}" for i in range(len(keys))])
     )
 
 

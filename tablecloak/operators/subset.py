@@ -203,11 +203,10 @@ def cut(tables: Mapping[str, DataFrame], closure: Closure) -> dict[str, DataFram
 
 
 def _semi(df: DataFrame, s: DataFrame) -> DataFrame:
-    cond = F.lit(True)
-    right = s.select(*[F.col(c).alias(f"__s_{c}") for c in s.columns])
-    for c in s.columns:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
-    return df.join(right, cond, "left_semi")
+    """Semi join on whole key tuples. Tuples compare as structs, where a null part equals a null part."""
+    cols = s.columns
+    keyed = df.withColumn("__k", F.struct(*cols))
+    return lookup_join(keyed, s.select(F.struct(*cols).alias("__k")), ["__k"], "left_semi").drop("__k")
 
 
 def estimates(tables: Mapping[str, DataFrame], plan: SubsetPlan, closure: Closure) -> DataFrame:

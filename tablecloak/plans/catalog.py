@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import queries_mask, queries_relations, queries_shape  # noqa: F401
+from . import queries_generate, queries_mask, queries_relations, queries_shape  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -1,8 +1,8 @@
 """Referentially complete slices.
 
-The closure works on key columns only: every table is reduced to its distinct key tuples (primary key and
-foreign keys). Rows with equal key tuples share their fate, so a table without a primary key is fine; a seed on
-such a table takes whole key tuples.
+The closure works on key columns only: every table is reduced to its distinct key tuples (primary key, foreign
+keys, and the columns its seeds look at) with their row counts. Rows with equal tuples share their fate, so a table
+without a primary key is fine.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from ..session import materialize
 from .joins import lookup_join
 from .relations import Link, orphan_count
 
+ROWS = "__rows"
 DIRECTIONS = ("both", "downward", "upward", "none")
 OPS = {"eq": X.eq, "ne": X.ne, "lt": X.lt, "le": X.le, "gt": X.gt, "ge": X.ge, "in": X.is_in,
        "is_null": lambda c, _: X.is_null(c), "is_not_null": lambda c, _: X.is_not_null(c)}
@@ -91,6 +92,9 @@ def _key_columns(plan: SubsetPlan, table: str) -> list[str]:
     for k in plan.links:
         cols += [c for c in (k.parent_columns if k.parent == table else ()) if c not in cols]
         cols += [c for c in (k.child_columns if k.child == table else ()) if c not in cols]
+    for s in plan.seeds:
+        if s.table == table:
+            cols += [c for c in (*s.key_columns, *(w[0] for w in s.where)) if c not in cols]
     return cols
 
 
@@ -136,13 +140,13 @@ def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
     frontier: dict[str, DataFrame] = {}
     for t in names:
         cols = _key_columns(plan, t)
-        keys[t] = materialize(tables[t].select(*cols).distinct(), f"keys-{t}")
+        keys[t] = materialize(tables[t].groupBy(*cols).agg(F.count("*").alias(ROWS)), f"keys-{t}")
         picked = [seed_rows(tables[t], s, plan.seed).select(*cols) for s in plan.seeds if s.table == t]
         if picked:
             both = picked[0]
             for p in picked[1:]:
                 both = both.unionByName(p)
-            frontier[t] = materialize(both.distinct(), f"seed-{t}")
+            frontier[t] = materialize(_semi(keys[t], both.distinct()), f"seed-{t}")
     surviving = dict(frontier)
     stats = {(k.parent, k.child, k.child_columns): {"edge": f"{k.parent}->{k.child}", "direction": plan.directions.get((k.parent, k.child), "both"),
                                   "rows_added_downward": 0, "rows_added_upward": 0} for k in plan.links}
@@ -166,7 +170,7 @@ def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
                 if to in pending:
                     new = _minus(new, pending[to])
                 new = materialize(new, f"frontier-{to}")
-                added = new.count()
+                added = new.agg(F.sum(ROWS)).first()[0] or 0
                 stat[name] += added
                 if added:
                     grown.setdefault(to, []).append(new)
@@ -183,9 +187,10 @@ def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
 
 def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a not in b, nulls equal: key tuples are unique on each side."""
+    cols = [c for c in a.columns if c != ROWS]
     cond = F.lit(True)
-    right = b.select(*[F.col(c).alias(f"__b_{c}") for c in a.columns])
-    for c in a.columns:
+    right = b.select(*[F.col(c).alias(f"__b_{c}") for c in cols])
+    for c in cols:
         cond = cond & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
     return a.join(right, cond, "left_anti")
 
@@ -204,7 +209,7 @@ def cut(tables: Mapping[str, DataFrame], closure: Closure) -> dict[str, DataFram
 
 def _semi(df: DataFrame, s: DataFrame) -> DataFrame:
     """Semi join on whole key tuples. Tuples compare as structs, where a null part equals a null part."""
-    cols = s.columns
+    cols = [c for c in s.columns if c != ROWS]
     keyed = df.withColumn("__k", F.struct(*cols))
     return lookup_join(keyed, s.select(F.struct(*cols).alias("__k")), ["__k"], "left_semi").drop("__k")
 
@@ -213,12 +218,11 @@ def estimates(tables: Mapping[str, DataFrame], plan: SubsetPlan, closure: Closur
     """Dry run: rows per table before, seeded and after, and seed rows left out for a null key. Keys only."""
     out = None
     for t, df in tables.items():
-        cols = closure.keys[t].columns
-        keyed = df.select(*cols)
-        alive = _semi(keyed, closure.surviving[t]) if t in closure.surviving else keyed.limit(0)
         seeds = [s for s in plan.seeds if s.table == t]
-        row = keyed.agg(F.count("*").alias("input_rows")).withColumn("table", F.lit(t))
-        row = row.withColumn("surviving_rows", alive.agg(F.count("*")).scalar())
+        rows = lambda f: f.agg(F.coalesce(F.sum(ROWS), F.lit(0)).alias("input_rows"))
+        row = rows(closure.keys[t]).withColumn("table", F.lit(t))
+        alive = closure.surviving.get(t)
+        row = row.withColumn("surviving_rows", rows(alive).scalar() if alive is not None else F.lit(0).cast("bigint"))
         n_seed, n_null = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
         for s in seeds:
             n_seed = n_seed + seed_rows(df, s, plan.seed).agg(F.count("*")).scalar()

@@ -298,8 +298,8 @@ def _(t):
     return SUB.estimates(tabs, plan, SUB.close(tabs, plan))
 
 
-@query("subset_edge_stats", f"""SELECT 'customer->orders' AS edge, 'both' AS direction, (SELECT count(*) FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_custkey IN {_S})) AS rows_added_downward, 0 AS rows_added_upward
- UNION ALL SELECT 'orders->lineitem', 'both', (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM {_LINE})), 0""")
+@query("subset_edge_stats", f"""SELECT 'customer->orders' AS edge, 'both' AS direction, (SELECT count(*) FROM orders WHERE o_custkey IN {_S}) AS rows_added_downward, 0 AS rows_added_upward
+ UNION ALL SELECT 'orders->lineitem', 'both', (SELECT count(*) FROM {_LINE}), 0""")
 def _(t):
     tabs = world(t, "customer", "orders", "lineitem")
     plan = SUB.SubsetPlan(sampled().seeds, LINKS[2:4], {}, seed=SEED)

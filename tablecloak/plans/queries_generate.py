@@ -96,7 +96,8 @@ def _(t):
                         weights=[0.5, 0.3, 0.1, 0.05, 0.05]), sources=src)
 
 
-@query("gen_reference_bounded")
+@query("gen_reference_bounded", f"""WITH c AS {_CS}, g AS (SELECT CASE WHEN i < n THEN i % n ELSE {sql_permute(pkey('c'), 'greatest(i - n, 0)', '(n * 19)')} % n END AS p
+ FROM (SELECT i, {_NC} AS n FROM {ROWS})) SELECT c.c_custkey AS c, count(*) AS children FROM g JOIN c USING (p) GROUP BY 1""")
 def _(t):
     # one to twenty orders for every customer
     df = build(t, gen("c", "reference", reference_table="customer", reference_column="c_custkey", min_per_parent=1, max_per_parent=20),
@@ -313,6 +314,27 @@ for _name in INDUSTRIES:
     query(f"gen_industry_{_name}", industry_sql(_name))(_industry(_name))
 
 
+@query("gen_industry", " UNION ALL ".join(f"SELECT '{n}' AS industry, {tb[0][1]} AS first_rows, {tb[1][1]} AS second_rows, {tb[2][1]} AS third_rows, 0 AS orphans, (SELECT count(*) FROM customer) AS scale"
+                                         for n, tb in INDUSTRIES.items()).replace("AS first_rows", "* {k} AS first_rows").replace("AS second_rows", "* {k} AS second_rows")
+       .replace("AS third_rows", "* {k} AS third_rows").replace("{k}", "(SELECT greatest(1, count(*) // 1000) FROM customer)"))
+def _(t):
+    """Row counts of all sets at a whole multiple of their size, and children without a parent (none)."""
+    n = t.customer.count()
+    out = None
+    for name in INDUSTRIES:
+        tables = industry(name, max(1, n // 1000))
+        built = Generator(t.spark, tables, seed=SEED).run()
+        a, b, c = (tb.name for tb in tables)
+        kb = next(g for g in tables[1].columns if g.type == "reference").name
+        kc = next(g for g in tables[2].columns if g.type == "reference").name
+        lost = built[b].join(built[a], kb, "left_anti").agg(F.count("*")).scalar() + built[c].join(built[b], kc, "left_anti").agg(F.count("*")).scalar()
+        row = built[c].agg(F.count("*").alias("third_rows")).select(
+            F.lit(name).alias("industry"), built[a].agg(F.count("*")).scalar().alias("first_rows"), built[b].agg(F.count("*")).scalar().alias("second_rows"),
+            "third_rows", lost.alias("orphans"), F.lit(n).alias("scale"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("gen_table_order", """SELECT 0 AS pos, 'customers' AS tbl, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 1, 'orders', (SELECT count(*) FROM orders)
  UNION ALL SELECT 2, 'lines', (SELECT count(*) FROM lineitem)""")
 def _(t):

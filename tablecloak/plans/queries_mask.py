@@ -407,7 +407,8 @@ def _(t):
     return mask_table(df, preset_rules("hipaa", df.columns, keep=("c_custkey",)), SECRET, "patients", ["c_custkey"])
 
 
-@query("policy_rules")
+@query("policy_rules", f"""WITH p AS ({PRESET_DF_SQL}) SELECT c_custkey, substr(zip, 1, 3) AS zip, {O.provider('person_first_name', row_hmac(CUST, 'faker', 'patients', 'first_name'))} AS first_name,
+ 'REDACTED' AS dob, 'REDACTED' AS ssn, 'REDACTED' AS url FROM p""")
 def _(t):
     from ..operators.presets import Policy, resolve_policy
     df = patients(t)
@@ -425,7 +426,8 @@ def _(t):
         "o_totalprice", "formula", expression=F.floor(F.col("o_totalprice") / 1000), cast="bigint"), *keep("o_orderkey")], SECRET, "orders")
 
 
-@query("mask_unique_faker")
+@query("mask_unique_faker", f"""SELECT c_custkey, {O.PROVIDER_SQL['person_email']('p')} AS c_name FROM (SELECT c_custkey, {sql_permute(subkey(SECRET, 'unique', 'customer.c_name'), 'i',
+ str(PROVIDERS['person_email'].size))} AS p FROM (SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS i FROM customer))""")
 def _(t):
     return customers(t, rule("c_name", "unique_faker", provider="person_email"))
 

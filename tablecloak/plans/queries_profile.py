@@ -476,7 +476,7 @@ def _(t):
     return distribution_warnings(*halves(t), ["o_totalprice", "o_orderstatus"], 0.1).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("gen_low_fidelity_warning")
+@query("gen_low_fidelity_warning", """SELECT 'column o_orderstatus scores ' || printf('%.3f', count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*)) || ', under 0.8' AS warning FROM orders""")
 def _(t):
     from ..operators.generate import Generator, GenTable, check_fidelity, gen
     src = t.orders.select("o_totalprice", "o_orderstatus")

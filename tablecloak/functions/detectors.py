@@ -21,13 +21,14 @@ class Detector:
     provider: str | None = None
     span: str | None = None   # pattern inside prose
     token: str | None = None
-    check: str | None = None  # "luhn", "npi", "iban" or "ipv4"
+    check: str | None = None  # "luhn", "npi" or "iban"
+    needs: str | None = None  # text every span of this kind contains; a plain search rules most texts out
 
 
 # Detector ids with their default strategy and provider. The patterns are our own.
 DETECTORS = (
     Detector("email", r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$", "faker", "person_email",
-             r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]"),
+             r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]", needs="@"),
     Detector("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "hash", None, r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[SSN]"),
     Detector("us_phone", r"^(\+?1[ .-]?)?(\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$", "faker", "person_phone",
              r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}\b", "[PHONE]"),
@@ -50,10 +51,10 @@ DETECTORS = (
     Detector("iban", r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$", "hash", None, r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
              "[IBAN]", "iban"),
     Detector("uuid", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "faker", "uuid",
-             r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", "[UUID]"),
+             r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", "[UUID]", needs="-"),
     Detector("ipv4", r"^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$", "redact", None,
              r"\b(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:[.](?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}\b", "[IP]"),
-    Detector("url", r"^https?://[^ ]+$", "redact", None, r"https?://[A-Za-z0-9./?=&_%#:~+-]+", "[URL]"),
+    Detector("url", r"^https?://[^ ]+$", "redact", None, r"https?://[A-Za-z0-9./?=&_%#:~+-]+", "[URL]", needs="://"),
 )
 BY_ID = {d.id: d for d in DETECTORS}
 # spans are replaced in this order, so a long pattern is gone before a shorter one can cut into it
@@ -77,7 +78,15 @@ def verified(d: Detector, s: Column) -> Column:
     return F.lit(True)
 
 
+def may_hold(d: Detector, text: Column) -> Column:
+    """False only where the text cannot hold a span: it lacks a literal every span has, or any digit. Cheap next to
+    the pattern itself, and most texts stop here."""
+    return text.contains(d.needs) if d.needs else text.rlike("[0-9]")
+
+
 def spans(d: Detector, text: Column) -> Column:
     """Array of the spans of one detector, checksum applied."""
     found = F.regexp_extract_all(text, F.lit(d.span), F.lit(0))
-    return F.filter(found, lambda s: verified(d, s)) if d.check else found
+    if d.check:
+        found = F.filter(found, lambda s: verified(d, s))
+    return F.when(may_hold(d, text), found).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))

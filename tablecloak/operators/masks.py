@@ -20,6 +20,7 @@ from ..errors import InvalidRule, NamespaceRequired, UndeclaredColumn, Uniquenes
 from ..functions import dates, fpe
 from ..functions.providers import COMPOSITES, get_provider, value_from_digest
 from ..keys import check_secret, hmac_hex, permute, pick, row_message, subkey, unit
+from ..session import spread
 from .joins import lookup_join
 from .ordering import rank_in_group, running_total, with_row_index
 
@@ -516,6 +517,10 @@ STREAMABLE = frozenset({"passthrough", "hash", "fpe", "redact", "truncate", "tex
                         "formula", "derived", "composite"})
 
 
+# strategies too cheap to move a row for
+LIGHT = frozenset({"passthrough", "redact", "truncate", "bucketize", "top_code", "formula", "derived", "from_parent"})
+
+
 def check_declared(df: DataFrame, rules: Sequence[Rule], table: str, unconfigured: str = "error") -> list[str]:
     """Every source column has a rule and every rule a column. Schema only; no job runs. Returns warnings."""
     ruled = [c for r in rules for c in r.columns]
@@ -540,6 +545,8 @@ def mask_table(df: DataFrame, rules: Sequence[Rule], secret: bytes, table: str =
     check_declared(df, rules, table, unconfigured)
     ctx = Context(df.schema, secret, table, row_key)
     by_col = {c: r for r in rules for c in r.columns}
+    if any(r.strategy not in LIGHT for r in rules):
+        df = spread(df)
     ordered = [c for c in df.columns if c in by_col] + [c for c in by_col if c not in df.columns]
     work = df
     if with_errors:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_partitions
+from ..session import is_small, materialize, shuffle_partitions
 
 SHIFT = 33  # monotonically_increasing_id keeps the partition above bit 33
 
@@ -18,6 +18,8 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], out: str = "
 
     One range shuffle. A hot order key only matters if it fills a partition, so pass a tie break.
     """
+    if is_small(df):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order_by)).cast("bigint") + F.lit(start - 1))
     n = shuffle_partitions(df.sparkSession)
     cut = materialize(
         df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
@@ -48,9 +50,12 @@ def running_total(
     own and the totals of earlier pieces are added. Only the first group of a partition can continue an earlier
     piece, so the offsets that are not zero number at most one per partition and are safe to broadcast.
     """
-    n = shuffle_partitions(df.sparkSession)
     keys = list(group_by)
     w = F.lit(1).cast("bigint") if weight is None else weight
+    if is_small(df):
+        rows = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(w).over(rows))
+    n = shuffle_partitions(df.sparkSession)
     cut = materialize(
         df.withColumn("__yw", w).repartitionByRange(n, *keys, *order_by).withColumn("__yp", F.spark_partition_id()),
         "run",
@@ -101,8 +106,9 @@ def cumulative_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).select("s.*").where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
     run = running_total(counts, ["value"], F.col("n"), ["column"], "upto")
-    totals = run.groupBy("column").agg(F.max("upto").alias("total"))
-    return run.join(F.broadcast(totals), "column")  # one row per named column
+    # one row per named column
+    totals = long.groupBy("column").agg(F.count("*").alias("total"))
+    return run.join(F.broadcast(totals), "column")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:

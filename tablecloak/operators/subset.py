@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from ..session import materialize
 from .joins import lookup_join
 from .relations import Link, orphan_count
 
-ROWS = "__rows"
+ROWS, EDGE = "__rows", "__edge"
 DIRECTIONS = ("both", "downward", "upward", "none")
 OPS = {"eq": X.eq, "ne": X.ne, "lt": X.lt, "le": X.le, "gt": X.gt, "ge": X.ge, "in": X.is_in,
        "is_null": lambda c, _: X.is_null(c), "is_not_null": lambda c, _: X.is_not_null(c)}
@@ -126,68 +127,75 @@ def preflight(tables: Mapping[str, DataFrame], plan: SubsetPlan, check_orphans:
 class Closure:
     """Surviving key tuples per table, plus what each edge added."""
 
-    keys: dict[str, DataFrame]
+    keys: dict[str, DataFrame | None]
     surviving: dict[str, DataFrame]
     edges: list[dict]
     rounds: int
 
 
 def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
-    """Follow every edge from the last round's new keys until no table grows. Frontiers are written each round,
-    so the plan stays flat; the number of rounds is at most the longest path, and keys only ever grow."""
-    names = list(tables)
+    """Follow every edge from the last round's new keys until no table grows. A round writes each table's new keys
+    once, marked with the edge that found them, so the plan stays flat; rounds are at most the longest path.
+
+    Children found downward over an edge have their parent over that edge already, so they do not ask for it again.
+    """
     keys: dict[str, DataFrame] = {}
-    frontier: dict[str, DataFrame] = {}
-    for t in names:
-        cols = _key_columns(plan, t)
-        keys[t] = materialize(tables[t].groupBy(*cols).agg(F.count("*").alias(ROWS)), f"keys-{t}")
-        picked = [seed_rows(tables[t], s, plan.seed).select(*cols) for s in plan.seeds if s.table == t]
+
+    def key_frame(t: str) -> DataFrame:
+        # written on first use: tables the closure never reaches are not read
+        if t not in keys:
+            counted = tables[t].groupBy(*_key_columns(plan, t)).agg(F.count("*").alias(ROWS))
+            keys[t] = materialize(counted, f"keys-{t}")
+        return keys[t]
+
+    frontier: dict[str, tuple[DataFrame, set[int]]] = {}
+    for t in tables:
+        picked = [seed_rows(tables[t], s, plan.seed).select(*_key_columns(plan, t)) for s in plan.seeds if s.table == t]
         if picked:
-            both = picked[0]
-            for p in picked[1:]:
-                both = both.unionByName(p)
-            frontier[t] = materialize(_semi(keys[t], both.distinct()), f"seed-{t}")
-    surviving = dict(frontier)
-    stats = {(k.parent, k.child, k.child_columns): {"edge": f"{k.parent}->{k.child}", "direction": plan.directions.get((k.parent, k.child), "both"),
-                                  "rows_added_downward": 0, "rows_added_upward": 0} for k in plan.links}
+            both = reduce(lambda a, b: a.unionByName(b), picked)
+            frontier[t] = materialize(_semi(key_frame(t), both.distinct()).withColumn(EDGE, F.lit(-1)), f"seed-{t}"), {-1}
+    surviving = {t: f.drop(EDGE) for t, (f, _) in frontier.items()}
+    way_of = lambda k: plan.directions.get((k.parent, k.child), "both")
+    stats = [{"edge": f"{k.parent}->{k.child}", "direction": way_of(k), "rows_added_downward": 0, "rows_added_upward": 0} for k in plan.links]
     rounds = 0
     while frontier:
         rounds += 1
-        grown: dict[str, list[DataFrame]] = {}
-        pending = dict(surviving)
-        for k in plan.links:
-            way = plan.directions.get((k.parent, k.child), "both")
-            stat = stats[(k.parent, k.child, k.child_columns)]
-            moves = []
+        found: dict[str, list[DataFrame]] = {}
+        for i, k in enumerate(plan.links):
+            down, up = 2 * i, 2 * i + 1
+            way = way_of(k)
             if k.parent in frontier and way in ("both", "downward"):
-                moves.append(("rows_added_downward", k.child, k.child_columns, k.parent, k.parent_columns))
+                found.setdefault(k.child, []).append(
+                    _reached(key_frame(k.child), k.child_columns, frontier[k.parent][0], k.parent_columns, down))
             if k.child in frontier and way in ("both", "upward") and not (plan.allow_dangling and way != "upward"):
-                moves.append(("rows_added_upward", k.parent, k.parent_columns, k.child, k.child_columns))
-            for name, to, to_cols, frm, frm_cols in moves:
-                reach = frontier[frm].select(*[F.col(a).alias(b) for a, b in zip(frm_cols, to_cols)]).where(
-                    complete_key(to_cols)).distinct()
-                new = lookup_join(keys[to], reach, list(to_cols), "left_semi")
-                if to in pending:
-                    new = _minus(new, pending[to])
-                new = materialize(new, f"frontier-{to}")
-                added = new.agg(F.sum(ROWS)).first()[0] or 0
-                stat[name] += added
-                if added:
-                    grown.setdefault(to, []).append(new)
-                    pending[to] = pending[to].unionByName(new) if to in pending else new
+                rows, origins = frontier[k.child]
+                if origins - {down}:
+                    found.setdefault(k.parent, []).append(
+                        _reached(key_frame(k.parent), k.parent_columns, rows.where(F.col(EDGE) != down), k.child_columns, up))
         frontier = {}
-        for t, parts in grown.items():
-            new = parts[0]
-            for p in parts[1:]:
-                new = new.unionByName(p)
-            frontier[t] = new
-            surviving[t] = materialize(pending[t], f"surviving-{t}")
-    return Closure({t: keys[t] for t in names}, surviving, list(stats.values()), rounds)
+        for t, parts in found.items():
+            new = reduce(lambda a, b: a.unionByName(b), parts)
+            if len(parts) > 1:
+                new = new.groupBy(*[c for c in new.columns if c != EDGE]).agg(F.min(EDGE).alias(EDGE))
+            new = materialize(_minus(new, surviving[t]) if t in surviving else new, f"frontier-{t}")
+            added = {r[EDGE]: r["n"] for r in new.groupBy(EDGE).agg(F.sum(ROWS).alias("n")).collect()}
+            for e, n in added.items():
+                stats[e // 2]["rows_added_upward" if e % 2 else "rows_added_downward"] += n
+            if added:
+                frontier[t] = new, set(added)
+                plain = new.drop(EDGE)
+                surviving[t] = surviving[t].unionByName(plain) if t in surviving else plain
+    return Closure({t: keys.get(t) for t in tables}, surviving, stats, rounds)
+
+
+def _reached(keys: DataFrame, to: Sequence[str], frontier: DataFrame, frm: Sequence[str], edge: int) -> DataFrame:
+    reach = frontier.select(*[F.col(a).alias(b) for a, b in zip(frm, to)]).where(complete_key(to)).distinct()
+    return lookup_join(keys, reach, list(to), "left_semi").withColumn(EDGE, F.lit(edge))
 
 
 def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a not in b, nulls equal: key tuples are unique on each side."""
-    cols = [c for c in a.columns if c != ROWS]
+    cols = [c for c in a.columns if c not in (ROWS, EDGE)]
     cond = F.lit(True)
     right = b.select(*[F.col(c).alias(f"__b_{c}") for c in cols])
     for c in cols:
@@ -220,7 +228,8 @@ def estimates(tables: Mapping[str, DataFrame], plan: SubsetPlan, closure: Closur
     for t, df in tables.items():
         seeds = [s for s in plan.seeds if s.table == t]
         rows = lambda f: f.agg(F.coalesce(F.sum(ROWS), F.lit(0)).alias("input_rows"))
-        row = rows(closure.keys[t]).withColumn("table", F.lit(t))
+        counted = closure.keys[t]
+        row = (rows(counted) if counted is not None else df.agg(F.count("*").alias("input_rows"))).withColumn("table", F.lit(t))
         alive = closure.surviving.get(t)
         row = row.withColumn("surviving_rows", rows(alive).scalar() if alive is not None else F.lit(0).cast("bigint"))
         n_seed, n_null = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRule
-from ..functions.detectors import BY_ID, SPANS, Detector, spans, verified
+from ..functions.detectors import BY_ID, SPANS, Detector, may_hold, spans, verified
 from ..functions.fpe import fpe_text, let
 from ..functions.providers import get_provider
 from ..keys import hmac_hex, pick
@@ -17,18 +18,25 @@ from ..keys import hmac_hex, pick
 def redact_text(c: Column, detectors: Sequence[str] | None = None, token: str | None = None) -> Column:
     """Replace every detected span; the surrounding text stays. Checksum-gated kinds (card, IBAN) replace only the
     spans that pass."""
-    out = c
-    for d in SPANS:
-        if detectors is not None and d.id not in detectors:
-            continue
-        mark = token or d.token
-        if not d.check:
-            out = F.regexp_replace(out, d.span, mark)
-        else:
-            # gaps and spans alternate, so each span is judged at its own place
-            found = F.regexp_extract_all(out, F.lit(d.span), F.lit(0))
-            out = _weave(F.split(out, d.span, -1), F.transform(found, _judge(d, mark)))
-    return out
+    used = [d for d in SPANS if detectors is None or d.id in detectors]
+
+    def apply(text: Column, group: Sequence[Detector]) -> Column:
+        for d in group:
+            mark = token or d.token
+            if d.check:
+                # gaps and spans alternate, so each span is judged at its own place
+                found = F.regexp_extract_all(text, F.lit(d.span), F.lit(0))
+                new = _weave(F.split(text, d.span, -1), F.transform(found, _judge(d, mark)))
+            else:
+                new = F.regexp_replace(text, d.span, mark)
+            text = F.when(may_hold(d, text), new).otherwise(text) if d.needs else new
+        return text
+
+    # kinds that need a digit come last and share one look for a digit
+    literal, digits = [d for d in used if d.needs], [d for d in used if not d.needs]
+    if not literal:
+        return F.when(c.rlike("[0-9]"), apply(c, digits)).otherwise(c)
+    return let(apply(c, literal), lambda t: F.when(t.rlike("[0-9]"), apply(t, digits)).otherwise(t)) if digits else apply(c, literal)
 
 
 def _judge(d: Detector, mark: str):
@@ -76,7 +84,12 @@ def mask_text(c: Column, key: bytes, detectors: Mapping[str, str], unmatched: st
     gaps = F.split(c, pattern, -1)
     if unmatched == "redact":
         gaps = F.transform(gaps, lambda g: F.regexp_replace(g, r"[\p{L}\p{N}]+", token or "[TEXT]"))
-    return _weave(gaps, F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one))
+    woven = _weave(gaps, F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one))
+    if unmatched == "redact":
+        return woven
+    some = reduce(lambda a, b: a | b, [c.contains(n) for n in sorted({d.needs for d in used if d.needs})]
+                  + ([c.rlike("[0-9]")] if any(not d.needs for d in used) else []))
+    return F.when(some, woven).otherwise(c)
 
 
 def _mask_span(t: Column, detector: str, strategy: str, key: bytes) -> Column:
@@ -98,5 +111,8 @@ def find_entities(c: Column, detectors: Sequence[str] | None = None) -> Column:
 
 
 def count_entities(c: Column, detectors: Sequence[str] | None = None) -> dict[str, Column]:
-    return {d.id: F.size(spans(d, c)) if d.check else F.regexp_count(c, F.lit(d.span))
-            for d in SPANS if detectors is None or d.id in detectors}
+    def count(d: Detector) -> Column:
+        n = F.size(spans(d, c)) if d.check else F.regexp_count(c, F.lit(d.span))
+        return F.when(may_hold(d, c), n).otherwise(0)
+
+    return {d.id: count(d) for d in SPANS if detectors is None or d.id in detectors}

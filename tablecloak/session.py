@@ -67,3 +67,26 @@ def plan_bytes(df: DataFrame) -> int | None:
         return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:
         return None
+
+
+SMALL_BYTES = 16 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Catalyst estimates the frame at under spark.tablecloak.smallBytes (16 MB): one task can sort it, and a plain
+    window beats a range shuffle with a written cut. Set 0 to take the distributed way always."""
+    limit = int(df.sparkSession.conf.get("spark.tablecloak.smallBytes", str(SMALL_BYTES)))
+    size = plan_bytes(df) if limit else None
+    return size is not None and size <= limit
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input packed in fewer files than there are cores keeps most cores idle: deal its rows out. Large
+    inputs have enough splits and are left alone."""
+    if df.isStreaming:
+        return df
+    size = plan_bytes(df)
+    if size is None or not 1 << 20 <= size <= 8 * SMALL_BYTES:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

@@ -64,7 +64,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's own size estimate; None when it cannot be read."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except Exception:
         return None
 

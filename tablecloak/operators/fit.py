@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import secrets
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from ..errors import InvalidRule, PrivacyBudget
 from ..functions import dates
 from ..keys import hmac_hex, row_message, seed_key, subkey
-from .ordering import exact_quantiles
+from ..session import together
+from .ordering import exact_quantiles, first_rows
 
 CATEGORICAL_MAX = 30
 TOP_VALUES = 20
@@ -194,7 +195,7 @@ def sample_for_fit(df: DataFrame, row_key: Sequence[str], rows: int = SAMPLE_ROW
     cut = "%016x" % min(int(share * 2**64), 2**64 - 1)
     staged = df.withColumn("__h", h)
     few = staged if share >= 1.0 else staged.where(F.substring("__h", 1, 16) <= cut)
-    return few.orderBy("__h", *row_key).limit(rows).drop("__h")
+    return first_rows(few, ["__h", *row_key], rows).drop("__h")
 
 
 def fit(df: DataFrame, date_columns: Sequence[str] = (), joints: Sequence[tuple[str, str]] = (), joint_cells: int = JOINT_CELLS,
@@ -203,38 +204,45 @@ def fit(df: DataFrame, date_columns: Sequence[str] = (), joints: Sequence[tuple[
     ``include_values``. Everything collected is bounded by the number of columns and the caps above."""
     snap = Snapshot(redacted=tuple(c for c in df.columns if c in flagged and not include_values))
     kinds = column_kinds(df, date_columns)
-    base = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(df.columns)]).first()
-    formats = {r["column"]: r.asDict() for r in cell_formats(df).collect()}
+    of = lambda k: [c for c in df.columns if kinds[c] == k]
+    floor = 0 if include_values else FLOOR_ROWS
+
+    def rows_of(kind: str, make: Callable[[], DataFrame]) -> Callable[[], list]:
+        return lambda: make().collect() if of(kind) else []
+
+    base, formats, numbers, bins, tops, years, lengths = together([
+        lambda: df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(df.columns)]).first(),
+        lambda: {r["column"]: r.asDict() for r in cell_formats(df).collect()},
+        rows_of("numeric", lambda: numeric_stats(df, of("numeric"))),
+        rows_of("numeric", lambda: numeric_histogram(df, of("numeric")).orderBy("column", "bucket")),
+        rows_of("categorical", lambda: top_values(df, of("categorical")).orderBy("column", F.desc("n"), "value")),
+        rows_of("datetime", lambda: datetime_stats(df, of("datetime")).orderBy("column", "year")),
+        rows_of("freetext", lambda: freetext_stats(df, of("freetext")).orderBy("column", "bucket"))])
     for i, c in enumerate(df.columns):
         f = formats[c]
         snap.columns[c] = {"kind": kinds[c], "rows": base["n"], "nulls": base[f"null_{i}"], "stats": {},
                            "format": {"decimals": f["decimals"], "resolution": f["resolution"]}}
-    floor = 0 if include_values else FLOOR_ROWS
-    of = lambda k: [c for c in df.columns if kinds[c] == k]
-    if of("numeric"):
-        for r in numeric_stats(df, of("numeric")).collect():
-            snap.columns[r["column"]]["stats"].update({k: v for k, v in r.asDict().items() if k not in ("column", "rows", "nulls")})
-        for r in numeric_histogram(df, of("numeric")).orderBy("column", "bucket").collect():
-            if r["n"] >= floor:
-                snap.columns[r["column"]]["stats"].setdefault("histogram", []).append((r["lo"], r["hi"], r["n"]))
-    if of("categorical"):
-        for r in top_values(df, of("categorical")).orderBy("column", F.desc("n"), "value").collect():
-            s = snap.columns[r["column"]]["stats"]
-            s.setdefault("top_values", [])
-            s.setdefault("other_count", 0)
-            if r["is_other"] or r["n"] < floor or r["column"] in snap.redacted:
-                s["other_count"] += r["n"]
-            else:
-                s["top_values"].append((r["value"], r["n"]))
-    if of("datetime"):
-        for r in datetime_stats(df, of("datetime")).orderBy("column", "year").collect():
-            s = snap.columns[r["column"]]["stats"]
-            s.update(earliest=r["earliest"], latest=r["latest"])
-            if r["n"] >= floor:
-                s.setdefault("years", []).append((r["year"], r["n"]))
-    if of("freetext"):
-        for r in freetext_stats(df, of("freetext")).orderBy("column", "bucket").collect():
-            snap.columns[r["column"]]["stats"].setdefault("histogram", []).append((r["lo"], r["hi"], r["n"]))
+    stats = {c: col["stats"] for c, col in snap.columns.items()}
+    for r in numbers:
+        stats[r["column"]].update({k: v for k, v in r.asDict().items() if k not in ("column", "rows", "nulls")})
+    for r in bins:
+        if r["n"] >= floor:
+            stats[r["column"]].setdefault("histogram", []).append((r["lo"], r["hi"], r["n"]))
+    for r in tops:
+        s = stats[r["column"]]
+        s.setdefault("top_values", [])
+        s.setdefault("other_count", 0)
+        if r["is_other"] or r["n"] < floor or r["column"] in snap.redacted:
+            s["other_count"] += r["n"]
+        else:
+            s["top_values"].append((r["value"], r["n"]))
+    for r in years:
+        s = stats[r["column"]]
+        s.update(earliest=r["earliest"], latest=r["latest"])
+        if r["n"] >= floor:
+            s.setdefault("years", []).append((r["year"], r["n"]))
+    for r in lengths:
+        stats[r["column"]].setdefault("histogram", []).append((r["lo"], r["hi"], r["n"]))
     if not include_values:
         _coarsen(snap)
     for a, b in joints:

@@ -372,6 +372,8 @@ def shuffle(df: DataFrame, ctx: Context, r: Rule) -> DataFrame:
     c = r.column
     cells = with_row_index(df.where(F.col(c).isNotNull()).select(*dict.fromkeys([*ctx.row_key, c])), ctx.row_key, "__i")
     n = cells.count()
+    if not cells.groupBy(*ctx.row_key).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty():
+        raise InvalidRule(f"the row_key of {ctx.table!r} does not tell its rows apart")
     to = cells.select(*ctx.row_key, permute(ctx.key(r, "shuffle"), F.col("__i"), n).alias("__i"))
     moved = to.join(cells.select("__i", F.col(c).alias(_out(c))), "__i").drop("__i")
     return df.join(moved, list(ctx.row_key), "left")
@@ -389,9 +391,11 @@ def geo_generalize(df: DataFrame, ctx: Context, r: Rule) -> DataFrame:
     if pop is None:
         base = df.where(zip5 != "").groupBy(zip5.alias("zip5")).agg(F.count("*").alias("population"))
     else:
-        base = pop.groupBy("zip5").agg(F.sum("population").alias("population"))
+        base = pop.where(F.col("zip5").rlike("^[0-9]{5}$")).groupBy("zip5").agg(F.sum("population").alias("population"))
     state = o.get("states")  # (zip3, state), at most 1,000 rows
     base = base.withColumn("zip3", F.substring("zip5", 1, 3))
+    if state is not None:
+        state = state.where(F.col("zip3").rlike("^[0-9]{3}$")).groupBy("zip3").agg(F.min("state").alias("state"))
     base = base.join(F.broadcast(state), "zip3", "left") if state is not None else base.withColumn(
         "state", F.lit(None).cast("string"))
     per = {lvl: base.groupBy(lvl).agg(F.sum("population").alias(f"n_{lvl}")) for lvl in ("zip5", "zip3", "state")}

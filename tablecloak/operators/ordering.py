@@ -40,6 +40,16 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], out: str = "
     )
 
 
+TOP_K = 1_000_000  # a sorted head this long is still one task's work
+
+
+def first_rows(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
+    """The first n rows in order. A short head is a top-k; a long one is a range sort and a cut by row number."""
+    if n <= TOP_K:
+        return df.orderBy(*order_by).limit(n)
+    return with_row_index(df, order_by, "__head").where(F.col("__head") < n).drop("__head")
+
+
 def running_total(
     df: DataFrame, order_by: Sequence[str], weight: Column | None = None, group_by: Sequence[str] = (),
     out: str = "_run",

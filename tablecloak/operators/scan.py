@@ -14,6 +14,7 @@ from ..functions.detectors import DETECTORS, cell_hit
 from ..keys import hmac_hex, row_message, seed_key, subkey
 from ..session import materialize, spread
 from .fit import stack
+from .ordering import first_rows
 from .text import count_entities, find_entities
 
 SAMPLE = 10_000
@@ -190,13 +191,13 @@ def quasi_identifiers(df: DataFrame, candidates: Sequence[str] | None = None, ma
 
 
 def sample_head(df: DataFrame, order_by: Sequence[str], rows: int = SAMPLE) -> DataFrame:
-    return df.orderBy(*order_by).limit(rows)
+    return first_rows(df, order_by, rows)
 
 
 def sample_random(df: DataFrame, row_key: Sequence[str], rows: int = SAMPLE, seed: int = 42) -> DataFrame:
     """The rows with the smallest keyed digest: seeded, and the same whatever the layout."""
     h = hmac_hex(subkey(seed_key(seed), "scan-sample"), row_message(*[F.col(c) for c in row_key]))
-    return df.withColumn("__h", h).orderBy("__h", *row_key).limit(rows).drop("__h")
+    return first_rows(df.withColumn("__h", h), ["__h", *row_key], rows).drop("__h")
 
 
 def freetext_entities(df: DataFrame, column: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRule, UndeclaredColumn
-from .ordering import keep_first
+from .ordering import first_rows, keep_first
 
 MAX_STEPS = 32
 Step = Callable[[DataFrame], DataFrame]
@@ -29,7 +29,7 @@ def sort_rows(*by: str, ascending: bool | Sequence[bool] = True) -> Step:
 
     def step(df: DataFrame) -> DataFrame:
         out = df.orderBy(*order)
-        out._sorted_by = tuple(by)
+        out._sorted_by = tuple(order)
         return out
     return step
 
@@ -39,7 +39,7 @@ def limit_rows(n: int) -> Step:
     def step(df: DataFrame) -> DataFrame:
         if not getattr(df, "_sorted_by", None):
             raise InvalidRule("limit needs a sort before it")
-        return df.limit(n)
+        return first_rows(df, df._sorted_by, n)
     return step
 
 

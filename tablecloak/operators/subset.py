@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from ..errors import BudgetExceeded, InvalidRule, OrphansFound
 from ..functions import expressions as X
 from ..keys import hmac_hex, row_message, seed_key, subkey, unit
-from ..session import materialize
+from ..session import materialize, together
 from .joins import lookup_join
+from .ordering import first_rows
 from .relations import Link, orphan_count
 
 ROWS, EDGE = "__rows", "__edge"
@@ -84,7 +85,7 @@ def seed_rows(df: DataFrame, s: Seed, plan_seed: int) -> DataFrame:
     if s.fraction is not None:
         # decimals as written: 33.3% is 0.333, never a binary neighbour
         return keyed.where(u < F.lit(float(Decimal(str(s.fraction)))))
-    chosen = keyed.select(*s.key_columns).distinct().orderBy(u, *s.key_columns).limit(int(s.count))
+    chosen = first_rows(keyed.select(*s.key_columns).distinct().withColumn("__u", u), ["__u", *s.key_columns], int(s.count)).drop("__u")
     return df.join(chosen, list(s.key_columns), "left_semi")
 
 
@@ -149,6 +150,7 @@ def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
         return keys[t]
 
     frontier: dict[str, tuple[DataFrame, set[int]]] = {}
+    together([lambda t=t: key_frame(t) for t in sorted({s.table for s in plan.seeds})])
     for t in tables:
         picked = [seed_rows(tables[t], s, plan.seed).select(*_key_columns(plan, t)) for s in plan.seeds if s.table == t]
         if picked:
@@ -160,25 +162,30 @@ def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
     rounds = 0
     while frontier:
         rounds += 1
-        found: dict[str, list[DataFrame]] = {}
+        moves = []
         for i, k in enumerate(plan.links):
             down, up = 2 * i, 2 * i + 1
             way = way_of(k)
             if k.parent in frontier and way in ("both", "downward"):
-                found.setdefault(k.child, []).append(
-                    _reached(key_frame(k.child), k.child_columns, frontier[k.parent][0], k.parent_columns, down))
+                moves.append((k.child, k.child_columns, frontier[k.parent][0], k.parent_columns, down))
             if k.child in frontier and way in ("both", "upward") and not (plan.allow_dangling and way != "upward"):
                 rows, origins = frontier[k.child]
                 if origins - {down}:
-                    found.setdefault(k.parent, []).append(
-                        _reached(key_frame(k.parent), k.parent_columns, rows.where(F.col(EDGE) != down), k.child_columns, up))
-        frontier = {}
-        for t, parts in found.items():
+                    moves.append((k.parent, k.parent_columns, rows.where(F.col(EDGE) != down), k.child_columns, up))
+        targets = sorted({m[0] for m in moves})
+        together([lambda t=t: key_frame(t) for t in targets])
+
+        def grow(t: str) -> tuple[DataFrame, dict[int, int]]:
+            parts = [_reached(key_frame(t), to, rows, frm, e) for (name, to, rows, frm, e) in moves if name == t]
             new = reduce(lambda a, b: a.unionByName(b), parts)
             if len(parts) > 1:
                 new = new.groupBy(*[c for c in new.columns if c != EDGE]).agg(F.min(EDGE).alias(EDGE))
             new = materialize(_minus(new, surviving[t]) if t in surviving else new, f"frontier-{t}")
-            added = {r[EDGE]: r["n"] for r in new.groupBy(EDGE).agg(F.sum(ROWS).alias("n")).collect()}
+            return new, {r[EDGE]: r["n"] for r in new.groupBy(EDGE).agg(F.sum(ROWS).alias("n")).collect()}
+
+        grown = dict(zip(targets, together([lambda t=t: grow(t) for t in targets])))
+        frontier = {}
+        for t, (new, added) in grown.items():
             for e, n in added.items():
                 stats[e // 2]["rows_added_upward" if e % 2 else "rows_added_downward"] += n
             if added:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,15 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v), na_action="ignore")
 
 
+def normalized(df: DataFrame, columns: Sequence[str], name=lambda c: c) -> DataFrame:
+    """NFC text of the columns. Only rows with a character outside ASCII go through Python; text is ASCII exactly
+    when it has as many bytes as characters."""
+    text = {c: F.col(c).cast("string") for c in columns}
+    plain = reduce(lambda a, b: a & b, [F.coalesce(F.octet_length(x) == F.length(x), F.lit(True)) for x in text.values()])
+    quick = df.where(plain).withColumns({name(c): x for c, x in text.items()})
+    return quick.unionByName(df.where(~plain).withColumns({name(c): nfc(x) for c, x in text.items()}))
+
+
 def empty_vault(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], VAULT_SCHEMA)
 
@@ -42,7 +52,7 @@ def new_entries(values: DataFrame, vault: DataFrame, ns: str, secret: bytes) ->
 
 def tokenize(df: DataFrame, columns: Sequence[str], ns: str, secret: bytes, vault: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Masked frame and grown vault. Each distinct value is looked up once; rows of a hot value meet a broadcast."""
-    norm = df.withColumns({f"__n_{c}": nfc(F.col(c).cast("string")) for c in columns})
+    norm = normalized(df, columns, lambda c: f"__n_{c}")
     values = norm.select(F.explode(F.array(*[F.col(f"__n_{c}") for c in columns])).alias("value"))
     grown = vault.unionByName(new_entries(values, vault, ns, secret))
     pairs = grown.where(F.col("ns") == ns).select("value", "token")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # A 64 byte key pad is 128 hex digits; only derived subkeys ever reach a plan, and this hides those.
@@ -90,3 +93,13 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+def together(jobs: Sequence[Callable[[], object]]) -> list:
+    """Run independent Spark jobs at the same time; results in order, the first failure is raised."""
+    if len(jobs) < 2:
+        return [j() for j in jobs]
+    session = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(min(len(jobs), 8)) as pool:
+        futures = [pool.submit(inheritable_thread_target(session)(j) if session is not None else j) for j in jobs]
+        return [f.result() for f in futures]

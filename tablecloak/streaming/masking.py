@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import NotStreamable
 from ..operators.masks import STREAMABLE, Rule, mask_table
-from ..operators.vault import VAULT_SCHEMA, nfc
+from ..operators.vault import VAULT_SCHEMA, normalized
 
 
 def check_streamable(rules: Sequence[Rule], row_key: Sequence[str] = (), subset: bool = False, quarantine: bool = False,
@@ -63,7 +63,7 @@ def tokenize_stream(stream: DataFrame, column: str, vault: VaultTable, path: str
     """Per batch: add the values the vault lacks, then write tokens. Both writes are keyed by the batch number, so a
     replay changes nothing."""
     def each(batch: DataFrame, number: int) -> None:
-        norm = batch.withColumn(column, nfc(F.col(column).cast("string")))
+        norm = normalized(batch, [column])
         vault.add(norm.select(F.col(column).alias("value")), number)
         from ..operators.joins import lookup_join
         pairs = vault.read().where(F.col("ns") == vault.ns).select(F.col("value").alias(column), F.col("token").alias("__t"))

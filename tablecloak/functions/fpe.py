@@ -2,7 +2,7 @@
 
 The characters of the charset are permuted among themselves; every other character stays in its place. A body
 is cut in blocks of equal length (one block up to 18 to 34 characters), and every block is a Feistel network on
-two halves with HMAC-SHA256 rounds, tweaked by the body length and block number. This is not certified FF1.
+two halves with keyed SHA-256 rounds, tweaked by the body length and block number. This is not certified FF1.
 """
 
 from __future__ import annotations

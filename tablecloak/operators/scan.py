@@ -77,27 +77,22 @@ def top_values(df: DataFrame, columns: Sequence[str], top: int = 5) -> DataFrame
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, inferred_type): the most specific shape that fits every non-blank text cell."""
     cols = list(columns or scalar_columns(df))
-    aggs = []
-    for c in cols:
-        s = F.when(text_cell(df, c) != "", text_cell(df, c))
-        filled = F.count(s)
-        label = F.when(filled == 0, F.lit("empty"))
-        for name, pattern in TYPE_SHAPES:
-            label = label.when(F.count_if(s.rlike(pattern)) == filled, F.lit(name))
-        aggs.append(F.struct(F.lit(c).alias("column"), label.otherwise(F.lit("string")).alias("inferred_type")))
-    return df.agg(F.array(*aggs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    s = F.when(F.col("value") != "", F.col("value"))
+    filled = F.count(s)
+    label = F.when(filled == 0, F.lit("empty"))
+    for name, pattern in TYPE_SHAPES:
+        label = label.when(F.count_if(s.rlike(pattern)) == filled, F.lit(name))
+    return stack(df, cols, "string").groupBy("column").agg(label.otherwise(F.lit("string")).alias("inferred_type"))
 
 
 def detect(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, detector, hits, filled, match_rate, confidence) for every detector with a hit. One pass, one aggregate."""
+    """(column, detector, hits, filled, match_rate, confidence) for every detector with a hit. One pass: cells are
+    stacked as (column, value), so the plan does not grow with the width of the table."""
     cols = list(columns or scalar_columns(df))
-    aggs = []
-    for c in cols:
-        s = text_cell(df, c)
-        hits = F.array(*[F.struct(F.lit(d.id).alias("detector"), F.count_if(F.coalesce(cell_hit(d, s), F.lit(False))).alias("hits")) for d in DETECTORS])
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(s).alias("filled"), hits.alias("h")))
-    flat = (spread(df.select(*cols)).agg(F.array(*aggs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
-            .select("column", "filled", F.explode("h").alias("h")).select("column", "h.detector", "h.hits", "filled").where("hits > 0"))
+    s = F.col("value")
+    hits = F.array(*[F.struct(F.lit(d.id).alias("detector"), F.count_if(F.coalesce(cell_hit(d, s), F.lit(False))).alias("hits")) for d in DETECTORS])
+    counted = stack(spread(df.select(*cols)), cols, "string").where("value is not null").groupBy("column").agg(F.count("*").alias("filled"), hits.alias("h"))
+    flat = counted.select("column", "filled", F.explode("h").alias("h")).select("column", "h.detector", "h.hits", "filled").where("hits > 0")
     rate = F.col("hits") / F.col("filled")
     return flat.withColumn("match_rate", rate).withColumn(
         "confidence", F.when(rate >= 0.8, "high").when(rate >= CONFIDENT, "medium").otherwise("low"))

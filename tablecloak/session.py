@@ -89,7 +89,7 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     size = plan_bytes(df)
-    if size is None or not 1 << 20 <= size <= 8 * SMALL_BYTES:
+    if size is None or not 1 << 17 <= size <= 8 * SMALL_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

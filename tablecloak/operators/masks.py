@@ -52,6 +52,8 @@ def rule(columns: str | Sequence[str], strategy: str, namespace: str | None = No
         raise InvalidRule(f"{strategy!r} is not a strategy")
     if STRATEGIES[strategy].needs_namespace and not namespace:
         raise NamespaceRequired(f"{strategy} on {cols[0]!r} needs a namespace")
+    if strategy == "faker" and options.get("cardinality_mode") == "unique":
+        strategy = "unique_faker"
     return Rule(cols, strategy, dict(options), namespace, deterministic, when, vault, cast)
 
 

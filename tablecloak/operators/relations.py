@@ -159,17 +159,49 @@ def _edge(link: Link, parent: DataFrame, child: DataFrame, side: str) -> DataFra
 
 
 def mask_linked(tables: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]], links: Sequence[Link], secret: bytes,
-                row_keys: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
-    """Mask several tables, parents first. Value-keyed keys need no join."""
-    from .masks import mask_table
-    done: dict[str, DataFrame] = {}
+                row_keys: Mapping[str, Sequence[str]] | None = None, warnings: list[str] | None = None,
+                unconfigured: str = "error", with_errors: bool = False) -> dict[str, DataFrame]:
+    """Mask several tables, parents first.
+
+    Under remap and fail a child key runs the parent key's own rule and needs no join. Under preserve and warn it
+    must be known which keys have a parent, so the child looks its key up among the parent's distinct keys.
+    """
+    from .masks import keep, mask_table
+    order = table_order(list(tables), links)
     resolved = {t: list(r) for t, r in rules.items()}
-    for name in table_order(list(tables), links):
-        for link in links:
-            if link.child == name:
-                resolved[name] = [r for r in resolved[name] if r.column not in link.child_columns] + child_rules(
-                    link, resolved[link.parent])
-                if link.orphans == "fail" and orphan_count(tables[link.parent], tables[name], link):
-                    raise OrphansFound(f"{name} has keys without a parent in {link.parent}")
-        done[name] = mask_table(tables[name], resolved[name], secret, name, (row_keys or {}).get(name, ()))
+    looked_up: dict[str, list[Link]] = {t: [] for t in tables}
+
+    def key_frame(link: Link) -> DataFrame:
+        """(old key, __new_ key) of the parent's distinct keys, masked as the parent table masks them."""
+        cols = link.parent_columns
+        base = tables[link.parent].select(*cols).distinct()
+        frame = base.select(*cols, *[F.col(c).alias(f"__new_{c}") for c in cols])
+        inner = [k for k in looked_up[link.parent] if set(k.child_columns) & set(cols)]
+        late = {c for k in inner for c in k.child_columns}
+        own = [c for c in cols if c not in late]
+        ruled = child_rules(Link(link.parent, tuple(own), link.child, tuple(f"__new_{c}" for c in own), link.orphans, link.namespace), resolved[link.parent])
+        frame = mask_table(frame, [*ruled, *keep(*cols, *[f"__new_{c}" for c in cols if c in late])], secret, link.parent)
+        for k in inner:
+            if not set(k.child_columns) <= set(cols):
+                raise InvalidRule(f"{link.child} -> {link.parent}: the link takes part of a composite key")
+            frame = propagate(frame, key_frame(k), replace(k, child=link.parent, child_columns=tuple(f"__new_{c}" for c in k.child_columns),
+                                                           orphans="preserve" if k.orphans == "warn" else k.orphans), secret)
+        return frame
+
+    done: dict[str, DataFrame] = {}
+    for name in order:
+        for link in (k for k in links if k.child == name):
+            if link.orphans == "fail" and not orphan_rows(tables[link.parent], tables[name].select(*link.child_columns), link).isEmpty():
+                raise OrphansFound(f"{name} has keys without a parent in {link.parent}")
+            resolved[name] = [r for r in resolved[name] if r.column not in link.child_columns]
+            chained = any(set(k.child_columns) & set(link.parent_columns) for k in looked_up[link.parent])
+            if link.orphans in ("remap", "fail") and not chained:
+                resolved[name] += child_rules(link, resolved[link.parent])
+            else:
+                looked_up[name].append(link)
+                resolved[name] += keep(*link.child_columns)
+        out = mask_table(tables[name], resolved[name], secret, name, (row_keys or {}).get(name, ()), unconfigured, with_errors)
+        for link in looked_up[name]:
+            out = propagate(out, key_frame(link), replace(link, orphans="preserve") if link.orphans == "fail" else link, secret, warnings)
+        done[name] = out
     return done

@@ -13,6 +13,7 @@ from ..errors import DriftRefused, InvalidRule
 from ..functions.detectors import DETECTORS, cell_hit
 from ..keys import hmac_hex, row_message, seed_key, subkey
 from ..session import materialize, spread
+from .evidence import content_hash
 from .fit import stack
 from .ordering import first_rows
 from .text import count_entities, find_entities
@@ -248,8 +249,12 @@ def has_drift(diff: DataFrame, qi_added: Sequence = ()) -> bool:
     return bool(qi_added) or not bad.isEmpty()
 
 
-def drift_gate(baseline: DataFrame, current: DataFrame, on_drift: str = "refuse", qi_added: Sequence = ()) -> list[str]:
-    """Refuse, or warn, when the scan drifted from its baseline."""
+def drift_gate(baseline: DataFrame, current: DataFrame, on_drift: str = "refuse", qi_added: Sequence = (),
+               pinned: str | None = None) -> list[str]:
+    """Refuse, or warn, when the scan drifted from its baseline. ``pinned`` is the content hash the baseline must
+    still have."""
+    if pinned is not None and content_hash(baseline, ["column", "pii_bucket"]).first()["content_hash"] != pinned:
+        raise DriftRefused("the baseline is not the one that was pinned")
     if on_drift not in ("refuse", "warn"):
         raise InvalidRule("on_drift is refuse or warn")
     if not has_drift(scan_diff(baseline, current), qi_added):

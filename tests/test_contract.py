@@ -296,3 +296,36 @@ def test_text_mask_refuses_odd_pairs_and_keeps_separators(spark):
     out = df.select(redact_text(F.col("v")), mask_text(F.col("v"), b"k" * 32, {"email": "redact", "ipv4": "redact"}, "redact", "#")).first()
     assert out[0] == "call [PHONE], mail [EMAIL]; ip [IP]. card [CARD] / 4111 1111 1111 1112"
     assert out[1] == "# (#) #-#, # [EMAIL]; # [IP]. # # # # # / # # # #"
+
+
+def test_preserved_orphans_keep_their_key_through_a_chain(spark):
+    a = spark.range(3).select(F.col("id").alias("a"))
+    b = spark.createDataFrame([(10, 0), (11, 1), (12, 99)], "b long, a long")
+    c = spark.createDataFrame([(1, 10, 0), (2, 12, 99), (3, 12, 1), (4, None, 0)], "c long, b long, a long")
+    links = [Link("a", ("a",), "b", ("a",), "preserve", "a"), Link("b", ("b", "a"), "c", ("b", "a"), "preserve", "b")]
+    out = relations.mask_linked({"a": a, "b": b, "c": c}, {"a": [rule("a", "hash", "a")], "b": [rule("b", "hash", "b"), *keep("a")], "c": keep("c", "b", "a")}, links, SECRET)
+    got = {r.b_src: r.a for r in out["b"].join(b.select(F.col("a").cast("string").alias("x"), F.col("b").alias("b_src")), out["b"].a == F.col("x"), "left").collect()}
+    assert out["b"].where("a = '99'").count() == 1 and out["b"].where("length(a) = 32").count() == 2 and got
+    assert out["c"].join(out["b"], ["b", "a"], "left_semi").select("c").orderBy("c").collect() == [(1,), (2,)]
+    assert out["c"].where("c = 3").first()["b"] == "12" and out["c"].where("c = 4").first()["b"] is None
+
+
+def test_job_runs_end_to_end(spark, t):
+    from tablecloak.plans.job import Job, MaskTable, run, validate
+    target = {n: folder(spark) for n in ("customer", "orders", "extra")}
+    job = Job(
+        secret=SECRET, links=[Link("customer", ("c_custkey",), "orders", ("o_custkey",), "remap", "c")],
+        masks={"customer": MaskTable(t.customer, [rule("c_custkey", "hash", "c"), rule("c_name", "redact"), *keep("c_nationkey", "c_acctbal")],
+                                     [shape.drop_columns("c_mktsegment")]),
+               "orders": MaskTable(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), keep("o_orderkey", "o_orderstatus"))},
+        generates=[GenTable("extra", 25, (gen("id", "sequence", start=1), gen("cust", "reference", reference_table="customer", reference_column="c_custkey")))],
+        subset=subset.SubsetPlan((subset.Seed("customer", "sample", ("c_custkey",), count=10),), (Link("customer", ("c_custkey",), "orders", ("o_custkey",), "preserve"),)),
+        expects={"orders": [checks.check("column_in_set", "o_orderstatus", values=["O", "F"])]}, quarantine_path=folder(spark), targets=target)
+    r = run(spark, job)
+    assert r.published == dict.fromkeys(target, "published") and r.outputs["customer"].count() == 10
+    assert r.outputs["orders"].where("o_orderstatus = 'P'").count() == 0
+    assert r.outputs["orders"].join(r.outputs["customer"], F.col("o_custkey") == F.col("c_custkey"), "left_anti").count() == 0
+    assert r.outputs["extra"].join(r.outputs["customer"], F.col("cust") == F.col("c_custkey"), "left_anti").count() == 0
+    assert "Customer#" not in str(r.evidence.collect())
+    with pytest.raises(E.InvalidRule):
+        validate(Job(masks=job.masks))

@@ -22,7 +22,7 @@ from ..functions.providers import COMPOSITES, get_provider, value_from_digest
 from ..keys import check_secret, hmac_hex, permute, pick, row_message, subkey, unit
 from ..session import spread
 from .joins import lookup_join
-from .ordering import rank_in_group, running_total, with_row_index
+from .ordering import exact_quantiles, rank_in_group, running_total, with_row_index
 
 REDACTED = "REDACTED"
 
@@ -557,6 +557,8 @@ def mask_table(df: DataFrame, rules: Sequence[Rule], secret: bytes, table: str =
     work = df
     if with_errors:
         work = work.withColumn("__row", F.struct(*df.columns))
+    rules = [_with_threshold(df, r) for r in rules]
+    by_col = {c: r for r in rules for c in r.columns}
     for r in rules:
         s = STRATEGIES[r.strategy]
         if s.whole_column and not s.late and r.strategy != "from_parent":
@@ -603,6 +605,14 @@ def mask_table(df: DataFrame, rules: Sequence[Rule], secret: bytes, table: str =
     return masked.select(*ordered, *(["__errors", "__row"] if with_errors else []))
 
 
+def _with_threshold(df: DataFrame, r: Rule) -> Rule:
+    """top_code by quantile: the threshold is the exact quantile of the column."""
+    if r.strategy != "top_code" or "quantile" not in r.options:
+        return r
+    q = exact_quantiles(df, [r.column], [float(r.options["quantile"])]).first()
+    return replace(r, options={**r.options, "threshold": q["q0"] if q else 0})
+
+
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
 

@@ -114,19 +114,29 @@ def vault_write(source: DataFrame, masked: DataFrame, on: Sequence[str], columns
         masked.select(*on, *[F.col(c).cast("string").alias(f"__m_{c}") for c in columns]), list(on))
     pairs = both.select(F.explode(F.array(*[F.struct(F.col(f"__m_{c}").alias("token"), F.col(f"__s_{c}").alias("value"))
                                              for c in columns])).alias("p")).select("p.*").dropna()
-    # min = max tells a one-source token without holding its sources
-    one = pairs.groupBy("token").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo = hi")
-    sealed = one.select(F.lit(ns).alias("ns"), "token", F.base64(F.aes_encrypt("lo", _aes_key(secret), F.lit("GCM"))).alias("sealed"))
+    sealed = seal(pairs.withColumn("ns", F.lit(ns)), secret)
     if path:
-        try:
-            sealed.write.mode("errorifexists").partitionBy("ns").parquet(path)
-        except Exception as e:
-            if "PATH_ALREADY_EXISTS" in str(e):
-                raise VaultExists("a vault is already there") from None
-            raise
+        save_sealed(sealed, path)
     return sealed
 
 
+def seal(pairs: DataFrame, secret: bytes) -> DataFrame:
+    """(ns, token, sealed) of (ns, token, value) pairs; a token of two sources is left out."""
+    # min = max tells a one-source token without holding its sources
+    one = pairs.dropna().groupBy("ns", "token").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo = hi")
+    return one.select("ns", "token", F.base64(F.aes_encrypt("lo", _aes_key(secret), F.lit("GCM"))).alias("sealed"))
+
+
+def save_sealed(sealed: DataFrame, path: str) -> None:
+    """Create-only."""
+    try:
+        sealed.write.mode("errorifexists").partitionBy("ns").parquet(path)
+    except Exception as e:
+        if "PATH_ALREADY_EXISTS" in str(e):
+            raise VaultExists("a vault is already there") from None
+        raise
+
+
 def vault_read(df: DataFrame, columns: Sequence[str], ns: str, secret: bytes, sealed: DataFrame) -> DataFrame:
     """Reverse what the vault can and add ``<column>_status``: vault_reversed, vault_miss or untouched (null)."""
     small = sealed.where(F.col("ns") == ns).select("token", "sealed")

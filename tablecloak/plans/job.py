@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import InvalidRule, PolicyFailed
 from ..operators import evidence
@@ -17,6 +18,7 @@ from ..operators.relations import Link, mask_linked
 from ..operators.scan import drift_gate, scan
 from ..operators.shape import Step, shape
 from ..operators.subset import SubsetPlan, subset
+from ..operators.vault import save_sealed, seal
 from ..session import materialize
 from ..sources.writers import publish_outputs
 
@@ -41,6 +43,7 @@ class Job:
     subset: SubsetPlan | None = None
     expects: Mapping[str, Sequence[Check]] = field(default_factory=dict)
     quarantine_path: str | None = None
+    vault_path: str | None = None
     triggers: Sequence[str] = TRIGGERS
     baseline: Mapping[str, DataFrame] = field(default_factory=dict)
     on_drift: str = "refuse"
@@ -75,6 +78,12 @@ def validate(job: Job) -> list[str]:
     return notes
 
 
+def _pairs(masked: DataFrame, rules: Sequence[Rule], table: str) -> DataFrame:
+    cells = [F.struct(F.lit(r.namespace or f"{table}.{c}").alias("ns"), F.col(c).cast("string").alias("token"),
+                      F.col(f"__row.{c}").cast("string").alias("value")) for r in rules for c in r.columns]
+    return masked.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
+
+
 def run(spark: SparkSession, job: Job) -> JobResult:
     warnings = validate(job)
     shaped = {n: shape(t.source, t.steps) for n, t in job.masks.items()}
@@ -82,14 +91,24 @@ def run(spark: SparkSession, job: Job) -> JobResult:
         warnings += drift_gate(base, scan(shaped[name], name), job.on_drift)
     if job.subset is not None:
         shaped = subset(shaped, job.subset)
-    split = bool(job.quarantine_path)
+    vaulted = {n: [r for r in t.rules if r.vault] for n, t in job.masks.items()}
+    if any(vaulted.values()) and not job.vault_path:
+        raise InvalidRule("vaulted columns need a vault_path")
+    # source rows travel with masked ones where they are needed again
+    split = bool(job.quarantine_path) or any(vaulted.values())
     masked = mask_linked(shaped, {n: t.rules for n, t in job.masks.items()}, job.links, job.secret, {n: t.row_key for n, t in job.masks.items()},
                          warnings, job.unconfigured, with_errors=split) if job.masks else {}
     outputs, bad = {}, {}
     for name, df in masked.items():
         if split:
             # read twice, as clean rows and as failed ones, so masked once
-            outputs[name], bad[name] = quarantine(materialize(df, f"masked-{name}"), job.expects.get(name, ()), job.triggers)
+            both = materialize(df, f"masked-{name}")
+            if vaulted[name]:
+                save_sealed(seal(_pairs(both, vaulted[name], name), job.secret), f"{job.vault_path.rstrip('/')}/{name}")
+            if job.quarantine_path:
+                outputs[name], bad[name] = quarantine(both, job.expects.get(name, ()), job.triggers)
+            else:
+                outputs[name] = both.drop("__errors", "__row")
         else:
             outputs[name] = df
             if job.expects.get(name):

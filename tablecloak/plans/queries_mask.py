@@ -180,13 +180,12 @@ def _(t):
                            *keep("o_orderkey")], SECRET, "orders").withColumn("o_custkey", F.round("o_custkey", 6))
 
 
-@query("mask_top_code", """SELECT c_custkey, least(greatest(c_acctbal, 0.0), 5000.0)::DOUBLE AS c_acctbal, least(bal, (SELECT round(quantile_cont(c_acctbal, 0.95), 6)
- FROM customer))::DOUBLE AS bal FROM (SELECT *, c_acctbal AS bal FROM customer)""")
+@query("mask_top_code", """SELECT c_custkey, least(greatest(c_acctbal, 0.0), 5000.0)::DOUBLE AS c_acctbal, round(least(bal, (SELECT quantile_cont(c_acctbal, 0.95)
+ FROM customer)), 6) AS bal FROM (SELECT *, c_acctbal AS bal FROM customer)""")
 def _(t):
-    from ..operators.ordering import exact_quantiles
     df = t.customer.select("c_custkey", "c_acctbal", F.col("c_acctbal").alias("bal"))
-    cap = exact_quantiles(df, ["bal"], [0.95]).select(F.round("q0", 6)).scalar()
-    return customers(t, rule("c_acctbal", "top_code", threshold=5000.0, floor=0.0), df=df.withColumn("bal", F.least("bal", cap)), also=("bal",))
+    out = customers(t, rule("c_acctbal", "top_code", threshold=5000.0, floor=0.0), rule("bal", "top_code", quantile=0.95), df=df)
+    return out.withColumn("bal", F.round("bal", 6))
 
 
 @query("mask_shuffle", f"""WITH i AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_custkey % 9 <> 0),

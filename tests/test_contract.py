@@ -315,17 +315,19 @@ def test_job_runs_end_to_end(spark, t):
     target = {n: folder(spark) for n in ("customer", "orders", "extra")}
     job = Job(
         secret=SECRET, links=[Link("customer", ("c_custkey",), "orders", ("o_custkey",), "remap", "c")],
-        masks={"customer": MaskTable(t.customer, [rule("c_custkey", "hash", "c"), rule("c_name", "redact"), *keep("c_nationkey", "c_acctbal")],
+        masks={"customer": MaskTable(t.customer, [rule("c_custkey", "hash", "c"), rule("c_name", "faker", "names", vault=True, deterministic=True, provider="person_email"), *keep("c_nationkey", "c_acctbal")],
                                      [shape.drop_columns("c_mktsegment")]),
                "orders": MaskTable(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), keep("o_orderkey", "o_orderstatus"))},
         generates=[GenTable("extra", 25, (gen("id", "sequence", start=1), gen("cust", "reference", reference_table="customer", reference_column="c_custkey")))],
         subset=subset.SubsetPlan((subset.Seed("customer", "sample", ("c_custkey",), count=10),), (Link("customer", ("c_custkey",), "orders", ("o_custkey",), "preserve"),)),
-        expects={"orders": [checks.check("column_in_set", "o_orderstatus", values=["O", "F"])]}, quarantine_path=folder(spark), targets=target)
+        expects={"orders": [checks.check("column_in_set", "o_orderstatus", values=["O", "F"])]}, quarantine_path=folder(spark), vault_path=folder(spark), targets=target)
     r = run(spark, job)
     assert r.published == dict.fromkeys(target, "published") and r.outputs["customer"].count() == 10
     assert r.outputs["orders"].where("o_orderstatus = 'P'").count() == 0
     assert r.outputs["orders"].join(r.outputs["customer"], F.col("o_custkey") == F.col("c_custkey"), "left_anti").count() == 0
     assert r.outputs["extra"].join(r.outputs["customer"], F.col("cust") == F.col("c_custkey"), "left_anti").count() == 0
     assert "Customer#" not in str(r.evidence.collect())
+    back = vault.vault_read(r.outputs["customer"].select("c_custkey", "c_name"), ["c_name"], "names", SECRET, spark.read.parquet(f"{job.vault_path}/customer").withColumn("ns", F.lit("names")))
+    assert back.where("c_name like 'Customer#%' and c_name_status = 'vault_reversed'").count() == 10
     with pytest.raises(E.InvalidRule):
         validate(Job(masks=job.masks))

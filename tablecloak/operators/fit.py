@@ -358,12 +358,18 @@ def fit_dp(df: DataFrame, columns: Sequence[DPColumn], epsilon: float, delta: fl
 def _threshold_release(counts: DataFrame, eps: float, tau: int) -> list[tuple[str, int]]:
     """Noisy counts that clear the threshold. Noise comes from ``secrets`` inside the tasks; a retried task draws
     anew, and only the result of one attempt is used."""
-    import pandas as pd
-
     def noisy(batches):
+        # written out here so that the workers need no copy of this package
+        import math
+        import secrets
+
+        import pandas as pd
+
+        def draw() -> int:
+            return math.floor(math.log((secrets.randbits(53) + 1) / (2**53 + 1)) / -eps)
+
         for b in batches:
-            n = [int(x) + geometric_noise(eps) for x in b["count"]]
-            out = pd.DataFrame({"v": b["v"], "n": n})
+            out = pd.DataFrame({"v": b["v"], "n": [int(x) + draw() - draw() for x in b["count"]]})
             yield out[out["n"] > tau]
 
     released = counts.mapInPandas(noisy, "v string, n long")

@@ -423,7 +423,7 @@ def code_set(df: DataFrame, ctx: Context, r: Rule) -> DataFrame:
     ranked = rank_in_group(base, ["chapter"], ["code"], "__r")
     sizes = base.groupBy("chapter").agg(F.count("*").alias("__n"))
     key = ctx.key(r, "code_set")
-    want = ranked.join(sizes, "chapter").select(
+    want = lookup_join(ranked, sizes, ["chapter"], "inner").select(
         F.col("code").alias("__code"), "chapter",
         # a step of 1 to n-1 along the chapter, so a code never stands for itself unless it is alone
         F.when(F.col("__n") > 1, (F.col("__r") + 1 + pick(hmac_hex(key, F.col("code")), F.col("__n") - 1)) % F.col("__n"))

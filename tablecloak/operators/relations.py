@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,22 +141,21 @@ def _remap_to_existing(joined: DataFrame, keymap: DataFrame, link: Link, secret:
 
 def integrity_report(edges: Sequence[tuple[Link, DataFrame, DataFrame, DataFrame, DataFrame]]) -> DataFrame:
     """One row per edge: children checked and orphans before and after. Edges are few; counting is on Spark."""
-    out = None
+    rows = []
     for link, src_parent, src_child, out_parent, out_child in edges:
-        row = _edge(link, src_parent, src_child, "source").join(
-            _edge(link, out_parent, out_child, "output"), "edge")
-        out = row if out is None else out.unionByName(row)
-    return out
+        row = _edge(link, src_parent, src_child).select(
+            F.lit(f"{link.parent}->{link.child}").alias("edge"), F.col("checked").alias("source_checked"), F.col("orphans").alias("source_orphans"))
+        after = _edge(link, out_parent, out_child)
+        rows.append(row.withColumn("output_checked", after.select("checked").scalar()).withColumn("output_orphans", after.select("orphans").scalar()))
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-def _edge(link: Link, parent: DataFrame, child: DataFrame, side: str) -> DataFrame:
+def _edge(link: Link, parent: DataFrame, child: DataFrame) -> DataFrame:
     keys = parent.select(*[F.col(p).alias(c) for p, c in zip(link.parent_columns, link.child_columns)],
                          F.lit(1).alias("__hit")).distinct()
     checked = child.select(*link.child_columns).where(_complete(link.child_columns))
     hit = lookup_join(checked, keys, link.child_columns)
-    return hit.agg(F.count("*").alias(f"{side}_checked"),
-                   F.count_if(F.col("__hit").isNull()).alias(f"{side}_orphans")).withColumn(
-        "edge", F.lit(f"{link.parent}->{link.child}"))
+    return hit.agg(F.count("*").alias("checked"), F.count_if(F.col("__hit").isNull()).alias("orphans"))
 
 
 def mask_linked(tables: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]], links: Sequence[Link], secret: bytes,

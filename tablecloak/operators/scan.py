@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +14,7 @@ from ..functions.detectors import DETECTORS, cell_hit
 from ..keys import hmac_hex, row_message, seed_key, subkey
 from ..session import materialize, spread
 from .evidence import content_hash
-from .fit import stack
+from .fit import stack, union_all
 from .ordering import first_rows
 from .text import count_entities, find_entities
 
@@ -217,6 +217,21 @@ def scan(df: DataFrame, table: str = "t", columns: Sequence[str] | None = None,
             .join(F.broadcast(matches), "column", "left").withColumn("table", F.lit(table)))
 
 
+def scan_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:
+    """One scan set over several tables."""
+    return union_all([scan(df, name, exact=exact) for name, df in tables.items()])
+
+
+def qi_groups(sets: DataFrame, min_singletons: float = 0.05) -> list[tuple[str, ...]]:
+    """The smallest column sets that single out at least this share of rows (D). ``sets`` has a row per column set."""
+    found: list[tuple[str, ...]] = []
+    for r in sorted(sets.where(F.col("singleton_share") >= min_singletons).collect(), key=lambda r: (r["columns"].count(","), r["columns"])):
+        group = tuple(r["columns"].split(","))
+        if not any(set(g) <= set(group) for g in found):
+            found.append(group)
+    return found
+
+
 def scan_fields(scanned: DataFrame, bucket: str | None = None, groups: Sequence[Sequence[str]] = (), in_group: bool | None = None) -> DataFrame:
     """Rows of a saved profile by score bucket, or by membership of a quasi-identifier group."""
     out = scanned if bucket is None else scanned.where(F.col("pii_bucket") == bucket)

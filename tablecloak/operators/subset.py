@@ -78,7 +78,7 @@ def seed_rows(df: DataFrame, s: Seed, plan_seed: int) -> DataFrame:
         schema = T.StructType([df.schema[c] for c in s.key_columns])
         wanted = df.sparkSession.createDataFrame([tuple(r) for r in rows], T.StructType(
             [T.StructField(f.name, f.dataType) for f in schema])).distinct()
-        return df.join(wanted, list(s.key_columns), "left_semi")
+        return lookup_join(df, wanted, list(s.key_columns), "left_semi")
     if s.mode != "sample":
         raise InvalidRule(f"unknown seed mode {s.mode!r}")
     u = seed_unit(plan_seed, s.table, s.key_columns)
@@ -86,7 +86,7 @@ def seed_rows(df: DataFrame, s: Seed, plan_seed: int) -> DataFrame:
         # decimals as written: 33.3% is 0.333, never a binary neighbour
         return keyed.where(u < F.lit(float(Decimal(str(s.fraction)))))
     chosen = first_rows(keyed.select(*s.key_columns).distinct().withColumn("__u", u), ["__u", *s.key_columns], int(s.count)).drop("__u")
-    return df.join(chosen, list(s.key_columns), "left_semi")
+    return lookup_join(df, chosen, list(s.key_columns), "left_semi")
 
 
 def _key_columns(plan: SubsetPlan, table: str) -> list[str]:

@@ -5,7 +5,6 @@ The vault is authoritative: a stored pair is reused even after a key change. Val
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,9 +20,16 @@ from .joins import lookup_join
 VAULT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("ns", "value", "token")])
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v), na_action="ignore")
+def _make_nfc():
+    # a local function travels to the workers by value, so they need no copy of this package
+    def nfc(s: pd.Series) -> pd.Series:
+        import unicodedata
+        return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v), na_action="ignore")
+
+    return F.pandas_udf(nfc, T.StringType())
+
+
+nfc = _make_nfc()
 
 
 def normalized(df: DataFrame, columns: Sequence[str], name=lambda c: c) -> DataFrame:

@@ -331,3 +331,22 @@ def test_job_runs_end_to_end(spark, t):
     assert back.where("c_name like 'Customer#%' and c_name_status = 'vault_reversed'").count() == 10
     with pytest.raises(E.InvalidRule):
         validate(Job(masks=job.masks))
+
+
+def test_scan_of_several_tables_and_identifying_sets(spark, t):
+    both = scan.scan_tables({"customer": t.customer, "nation": t.nation})
+    assert {(r["table"], r["column"]) for r in both.collect()} >= {("customer", "c_name"), ("nation", "n_name")}
+    sets = scan.quasi_identifiers(t.part, ["p_brand", "p_size", "p_type"])
+    groups = scan.qi_groups(sets, 0.01)
+    assert all(not set(a) < set(b) for a in groups for b in groups)
+
+
+def test_unmask_reverses_only_with_the_right_secret(spark):
+    from tablecloak.operators.masks import unmask_fpe
+    src = people(spark).select("id", "code")
+    rules = [rule("code", "fpe", "codes"), *keep("id")]
+    out = mask_table(src, rules, SECRET, "p")
+    assert unmask_fpe(out, rules, SECRET, "p").exceptAll(src).count() == 0
+    wrong = unmask_fpe(out, rules, bytes(range(1, 33)), "p")
+    assert wrong.where("code is null").count() == src.where("code is null").count()
+    assert wrong.join(src, ["id", "code"], "left_semi").count() < 3

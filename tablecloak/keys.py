@@ -73,6 +73,12 @@ def pick(digest: Column, n: int | Column, draw: int = 0) -> Column:
     return word(digest, draw) % (F.lit(n).cast("bigint") if isinstance(n, int) else n)
 
 
+def never_null(x: Column) -> Column:
+    """For a drawn number used as a join key: a key that cannot be null gets no null filter, which would work the
+    whole draw out a second time."""
+    return F.coalesce(x, F.lit(-1).cast("bigint"))
+
+
 def int_div(x: Column, n: int | Column) -> Column:
     """Exact integer division of non-negative bigints (a double quotient would round past 2^53)."""
     n = F.lit(n).cast("bigint") if isinstance(n, int) else n

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import CycleRefused, InvalidRule, UniquenessImpossible
 from ..functions.fpe import let
 from ..functions.providers import get_provider, value_from_digest
-from ..keys import hmac_hex, permute, pick, row_message, seed_key, subkey, unit
+from ..keys import hmac_hex, never_null, permute, pick, row_message, seed_key, subkey, unit
 from .joins import lookup_join
 from .masks import cumulative, table_scalar, weighted_pick, window_days
 from .ordering import rank_in_group, running_total, with_row_index
@@ -184,7 +184,7 @@ class Generator:
                 pure.append(self._nulls(g, self.value(t, g, i, h), h).alias(g.name))
             elif g.type in ("reference", "lookup") and g.options.get("distribution") != "fitted":
                 row = self._pair_row(t, g, pairs[g.name], i) if g.name in pairs else self.parent_row(t, g, i, h)
-                pure.append(row.alias(f"__p_{g.name}"))
+                pure.append(never_null(row).alias(f"__p_{g.name}"))
                 later.append(g)
             else:
                 later.append(g)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..errors import InvalidRule, NamespaceRequired, UndeclaredColumn, UniquenessImpossible
 from ..functions import dates, fpe
 from ..functions.providers import COMPOSITES, get_provider, value_from_digest
-from ..keys import check_secret, hmac_hex, permute, pick, row_message, subkey, unit
+from ..keys import check_secret, hmac_hex, never_null, permute, pick, row_message, subkey, unit
 from ..session import spread
 from .joins import lookup_join
 from .ordering import exact_quantiles, rank_in_group, running_total, with_row_index
@@ -376,7 +376,7 @@ def shuffle(df: DataFrame, ctx: Context, r: Rule) -> DataFrame:
     n = cells.count()
     if not cells.groupBy(*ctx.row_key).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty():
         raise InvalidRule(f"the row_key of {ctx.table!r} does not tell its rows apart")
-    to = cells.select(*ctx.row_key, permute(ctx.key(r, "shuffle"), F.col("__i"), n).alias("__i"))
+    to = cells.select(*ctx.row_key, never_null(permute(ctx.key(r, "shuffle"), F.col("__i"), n)).alias("__i"))
     moved = to.join(cells.select("__i", F.col(c).alias(_out(c))), "__i").drop("__i")
     return df.join(moved, list(ctx.row_key), "left")
 
@@ -448,12 +448,12 @@ def joint_mask(df: DataFrame, ctx: Context, r: Rule) -> DataFrame:
     if not match:
         indexed = with_row_index(tuples, list(r.columns), "__i")
         total = indexed.count()
-        drawn = staged.withColumn("__i", pick(d, total)).drop(*ctx.staged)
+        drawn = staged.withColumn("__i", never_null(pick(d, total))).drop(*ctx.staged)
         named = indexed.select("__i", *[F.col(c).alias(_out(c)) for c in r.columns])
         return drawn.join(named, "__i", "left").drop("__i")
     ranked = rank_in_group(tuples, match, list(r.columns), "__i")
     sizes = ranked.groupBy(*match).agg(F.count("*").alias("__n"))
-    drawn = lookup_join(staged, sizes, match).withColumn("__i", pick(d, F.col("__n"))).drop("__n", *ctx.staged)
+    drawn = lookup_join(staged, sizes, match).withColumn("__i", never_null(pick(d, F.col("__n")))).drop("__n", *ctx.staged)
     named = ranked.select(*match, "__i", *[F.col(c).alias(_out(c)) for c in r.columns])
     return lookup_join(drawn, named, [*match, "__i"]).drop("__i")
 

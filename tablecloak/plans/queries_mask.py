@@ -346,7 +346,6 @@ def _(t):
                       SECRET, "lineitem", unconfigured="warn")
 
 
-_WALK = O.sql_hmac(subkey(SECRET, "walk", "events", "walk"), "user_id::VARCHAR || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || '|' || event_id::VARCHAR")
 _WALK = O.sql_hmac(subkey(SECRET, "walk", "events", "walk"), "user_id::VARCHAR || '|' || event_id::VARCHAR")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import bounded_batches
+from .frames import bounded_batches, share
 from .words import ALNUM, Words, slices, window_hashes
 
 WINDOW = 10
@@ -131,7 +131,7 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, window: int, block_wor
 def _probe(block, text_at: int):
     """(slice of a batch, its words, matches) for each shard of a task."""
     def run(batches: Iterator[pa.RecordBatch]):
-        test = block.value
+        test = block()
         for batch in batches:
             for part in slices(batch, text_at):
                 w = Words(part.column(text_at), ALNUM, lower=True)
@@ -151,7 +151,7 @@ def matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
     schema = out.schema
     text_at = schema.names.index(text_col)
     for block in _blocks(bench, item_col, bench_text, window, block_words):
-        probe = _probe(spark.sparkContext.broadcast(block), text_at)
+        probe = _probe(share(spark, block), text_at)
 
         def run(batches, probe=probe):
             for part, w, test, (suffix, train, length) in probe(batches):
@@ -202,7 +202,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     bounded_batches(spark)
     out, text_at = docs, docs.columns.index(text_col)
     for block in _blocks(bench, item_col, bench_text, window, block_words):
-        probe = _probe(spark.sparkContext.broadcast(block), text_at)
+        probe = _probe(share(spark, block), text_at)
 
         def run(batches, probe=probe):
             for part, w, _, (_, train, _) in probe(batches):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast an object of bounded size, its class included; the result gives it inside a task, unpacked once there."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get():
+        if not held:
+            held.append(cloudpickle.loads(packed.value))
+        return held[0]
+
+    return get
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: survives lost executors and is computed once."""
     return materialize(df, label)

@@ -28,6 +28,8 @@ def byte_class(inside) -> np.ndarray:
 NOT_SPACE = byte_class(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z
 ALNUM = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
+# runs of letters and digits, and runs of other signs
+TOKENS = np.where(NOT_SPACE, np.where(byte_class(lambda b: chr(b).isalnum() and b < 0x80 or b >= 0x80), 1, 2), 0).astype(np.uint8)
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
 
@@ -56,7 +58,9 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
 
 
 class Words:
-    """The words of the rows of one slice: ``starts``/``ends`` byte positions, ``row`` of each word, ``first`` word of each row."""
+    """The words of the rows of one slice: ``starts``/``ends`` byte positions, ``row`` of each word, ``first`` word of each row.
+
+    ``kind`` has a class for each byte: 0 parts words, and so does a change from one class to another."""
 
     def __init__(self, column: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = False):
         data, offsets = text_bytes(column)
@@ -64,16 +68,12 @@ class Words:
         self.rows = len(offsets) - 1
         inside = kind[self.data]
         n = len(inside)
+        # where a row begins, or the class of the byte changes
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
-        before = np.empty(n, dtype=bool)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        start = inside & (~before | edge[:n])
-        after = np.empty(n, dtype=bool)
-        after[-1:] = False
-        after[:-1] = inside[1:]
-        end = inside & (~after | edge[1:])
+        edge[1:n] |= inside[1:] != inside[:-1]
+        inside = inside != 0
+        start, end = inside & edge[:n], inside & edge[1:]
         self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)

@@ -1,4 +1,4 @@
 """Every query of this folder."""
 
-from . import q_decontaminate, q_lines, q_mixing, q_quality  # noqa: F401
+from . import q_decontaminate, q_lines, q_minhash, q_mixing, q_quality  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -1,4 +1,10 @@
 """Every query of this folder."""
 
-from . import q_decontaminate, q_lines, q_minhash, q_mixing, q_quality  # noqa: F401
-from .registry import ORACLES, QUERIES  # noqa: F401
+import corpus_pipeline
+
+from . import q_decontaminate, q_lines, q_minhash, q_mixing, q_quality, q_substrings  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

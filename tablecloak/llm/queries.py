@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import q_decontaminate, q_lines, q_minhash, q_mixing, q_quality, q_substrings, q_toxicity  # noqa: F401
+from . import q_decontaminate, q_lines, q_minhash, q_mixing, q_pii, q_quality, q_substrings, q_toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run

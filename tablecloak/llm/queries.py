@@ -2,7 +2,9 @@
 
 import corpus_pipeline
 
-from . import q_decontaminate, q_lines, q_minhash, q_mixing, q_pii, q_quality, q_substrings, q_toxicity  # noqa: F401
+from . import (  # noqa: F401
+    q_decontaminate, q_lines, q_minhash, q_mixing, q_pii, q_quality, q_substrings, q_topk, q_toxicity,
+)
 from .registry import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -124,7 +124,8 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, window: int, block_wor
     n = max(1, -(-int(total) // block_words))
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
-        if rows:
+        # without any item the words are still counted
+        if rows or n == 1:
             yield TestBlock([r.i for r in rows], pa.array([r.t for r in rows], pa.large_string()), window)
 
 

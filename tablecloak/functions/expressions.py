@@ -103,7 +103,13 @@ def div(a: Column, b: object) -> Column:
 
 
 def floor_div(a: Column, b: object) -> Column:
-    return F.floor(a / _c(b)).cast("bigint")
+    """Rounds down, exactly: the double quotient is off by little, and the remainder, taken in the operands' own type, says by
+    how much. A zero divisor gives null."""
+    b = F.nullif(_c(b), F.lit(0))
+    near = F.floor(F.try_divide(a, b)).cast("bigint")
+    near = near + F.floor((a - near * b) / b).cast("bigint")
+    rest = a - near * b
+    return near + F.when((rest != 0) & ((rest < 0) != (b < 0)), -1).when(F.abs(rest) >= F.abs(b), 1).otherwise(0)
 
 
 def concat(*parts: object) -> Column:

@@ -54,8 +54,10 @@ def hmac_hex(key: bytes, msg: Column) -> Column:
 
 
 def row_message(*parts: Column) -> Column:
-    """Text that identifies a row; a null part stays distinct from an empty one."""
-    return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts])
+    """Text that identifies a row. Every part has its length before it and a null part is a sign of its own, so different
+    rows have different texts whatever their cells hold."""
+    text = [p.cast("string") for p in parts]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
 
 
 def word(digest: Column, draw: int = 0) -> Column:
@@ -158,6 +160,10 @@ def sql_hmac(key: bytes, msg: str) -> str:
     return f"sha256(from_hex('{opad.hex()}') || from_hex(sha256(from_hex('{ipad.hex()}') || encode({msg}))))"
 
 
+def sql_row_message(*parts: str) -> str:
+    return "(" + " || ".join(f"coalesce(length(({p})::VARCHAR)::VARCHAR || ':' || ({p})::VARCHAR, '-')" for p in parts) + ")"
+
+
 def sql_word(digest: str, draw: int = 0) -> str:
     return f"('0x' || substr({digest}, {1 + 16 * draw}, 15))::BIGINT"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -9,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRule
-from ..functions import checksums
+from ..functions import checksums, dates
 from ..functions.detectors import BY_ID
 from ..keys import check_secret, subkey
 from .fit import union_all
 from .joins import lookup_join
-from .masks import Rule
+from .masks import STRATEGIES, Context, Rule, shift_bounds
 from .relations import Link, orphan_rows
 
 TRIGGERS = ("validation_fail", "format_error", "mask_error")
@@ -48,15 +49,33 @@ def failures(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return df.agg(cells.alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
+def _paired(source: DataFrame, output: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Every row of either side beside its partner, as structs ``s`` and ``o``; a null in the key is a key like any other, and
+    a side without the row is null. A key that repeats would pair rows at random, so it is refused."""
+    for side, frame in (("source", source), ("output", output)):
+        if not frame.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            raise InvalidRule(f"the key does not tell the rows of the {side} apart")
+    s, o = (f.select(F.struct(*f.columns).alias(n)) for f, n in ((source, "s"), (output, "o")))
+    same = F.lit(True)
+    for k in on:
+        same = same & F.col("s")[k].eqNullSafe(F.col("o")[k])
+    return s.join(o, same, "full_outer")
+
+
+def _unpaired() -> Column:
+    return F.count_if(F.col("s").isNull() | F.col("o").isNull())
+
+
 def leak_check(source: DataFrame, output: DataFrame, on: Sequence[str], columns: Sequence[str], max_identical_ratio: float = 0.0,
                min_rows: int = 1) -> DataFrame:
-    """(column, rows, identical, ratio, ok): the share of non-null cells that come out as they went in."""
-    both = source.select(*on, *[F.col(c).alias(f"__s_{c}") for c in columns]).join(output.select(*on, *columns), list(on))
-    same = lambda c: F.col(f"__s_{c}").cast("string") == F.col(c).cast("string")
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.count(F.col(f"__s_{c}")).alias("rows"), F.count_if(same(c)).alias("identical")) for c in columns])
+    """(column, rows, identical, lost, ratio, ok): the share of non-null cells that come out as they went in. ``lost`` rows, in
+    one side only, are never ok."""
+    both = _paired(source.select(*dict.fromkeys([*on, *columns])), output.select(*dict.fromkeys([*on, *columns])), on)
+    same = lambda c: F.col("s")[c].cast("string") == F.col("o")[c].cast("string")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.count(F.col("s")[c]).alias("rows"), F.count_if(same(c)).alias("identical"), _unpaired().alias("lost")) for c in columns])
     r = both.agg(cells.alias("r")).select(F.explode("r").alias("r")).select("r.*")
     ratio = F.when(F.col("rows") > 0, F.col("identical") / F.col("rows")).otherwise(0.0)
-    return r.withColumn("ratio", ratio).withColumn("ok", (F.col("ratio") <= max_identical_ratio) | (F.col("rows") < min_rows))
+    return r.withColumn("ratio", ratio).withColumn("ok", (F.col("lost") == 0) & ((F.col("ratio") <= max_identical_ratio) | (F.col("rows") < min_rows)))
 
 
 def value_leaks(source: DataFrame, output: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,8 +96,9 @@ def fk_intact(parent: DataFrame, child: DataFrame, link: Link) -> DataFrame:
 
 def fk_preserved(link: Link, src_parent: DataFrame, src_child: DataFrame, out_parent: DataFrame, out_child: DataFrame,
                  on: Sequence[str]) -> DataFrame:
-    """(edge, lost, gained, ok): children that joined in the source and no longer do, and the other way round, row by
-    row over the child key ``on``. Under remap and fail no output child may be an orphan."""
+    """(edge, lost, gained, missing, ok): children that joined in the source and no longer do, and the other way round, row by
+    row over the child key ``on``; ``missing`` children are in one side only. Under remap and fail no output child may be an
+    orphan."""
     def joins(parent: DataFrame, child: DataFrame, name: str) -> DataFrame:
         complete = F.lit(True)
         for c in link.child_columns:
@@ -88,46 +108,55 @@ def fk_preserved(link: Link, src_parent: DataFrame, src_child: DataFrame, out_pa
         return hit.select(*on, F.when(complete, F.coalesce("__hit", F.lit(False))).alias(name))
     a = joins(src_parent, src_child, "a")
     b = joins(out_parent, out_child, "b")
-    j = a.join(b, list(on))
+    j = _paired(a, b, on).select("s.a", "o.b", (F.col("s").isNull() | F.col("o").isNull()).alias("missing"))
     lost, gained = F.count_if(F.col("a") & ~F.col("b")), F.count_if(~F.col("a") & F.col("b"))
     orphans = F.count_if(~F.col("b"))
     ok = (F.col("lost") + F.col("gained") == 0) if link.orphans in ("preserve", "warn") else F.col("orphans") == 0
-    return j.agg(lost.alias("lost"), gained.alias("gained"), orphans.alias("orphans")).select(
-        F.lit(f"{link.parent}->{link.child}").alias("edge"), "lost", "gained", ok.alias("ok"))
+    return j.agg(lost.alias("lost"), gained.alias("gained"), orphans.alias("orphans"), F.count_if("missing").alias("missing")).select(
+        F.lit(f"{link.parent}->{link.child}").alias("edge"), "lost", "gained", "missing", (ok & (F.col("missing") == 0)).alias("ok"))
 
 
 def check_policy(source: DataFrame, output: DataFrame, rules: Sequence[Rule], on: Sequence[str]) -> DataFrame:
     """(column, strategy, broken): does each column's output obey what its strategy promises?
 
-    hash, redact and tokenize: null stays null, nothing equals its own input, and no output is an input cell of the
-    column. date_shift: moved by 1 to the bound. fpe: not its own input on more than a tenth of rows. truncate: the
-    exact prefix. categorical and bucketize: inside the closed set. passthrough: equal.
+    hash, redact, tokenize, faker: null stays null, nothing equals its own input; for the first three no output is an input
+    cell of the column. fpe: the same, but its own input may come back on up to a tenth of the rows. date_shift: moved by 1
+    to the rule's bound in the rule's format, kept days kept, what is no date gone. truncate, bucketize, passthrough: exactly
+    what the rule gives. categorical: inside the closed set. Others: null stays null. The row ``*`` counts rows that are in
+    one side only.
     """
     cols = [(r, c) for r in rules for c in r.columns if c not in on and c in source.columns and c in output.columns]
-    both = source.select(*on, *[F.col(c).alias(f"__s_{c}") for _, c in cols]).join(output.select(*on, *[c for _, c in cols]), list(on))
-    cells = []
+    names = list(dict.fromkeys([*on, *[c for _, c in cols]]))
+    both = _paired(source.select(*names), output.select(*names), on)
+    cells = [F.struct(F.lit("*").alias("column"), F.lit("rows").alias("strategy"), _unpaired().alias("broken"))]
+    paired = F.col("s").isNotNull() & F.col("o").isNotNull()
+    ctx = Context(source.schema, b"\0" * 32, "check", stage=False)
     for r, c in cols:
-        s, o = F.col(f"__s_{c}"), F.col(c)
+        s, o = F.col("s")[c], F.col("o")[c]
         null_bad = s.isNull() != o.isNull()
         same = s.cast("string") == o.cast("string")
-        if r.strategy in ("hash", "redact", "tokenize", "fpe", "faker"):
+        if r.strategy in ("hash", "redact", "tokenize", "faker"):
             bad = null_bad | same
+        elif r.strategy == "fpe":
+            bad = null_bad
         elif r.strategy == "date_shift":
-            lo, hi = r.options.get("min_days", -365), r.options.get("max_days", 365)
-            fmt = "yyyy-MM-dd"
-            day = lambda x: F.to_date(F.try_to_timestamp(x.cast("string"), F.lit(fmt)))
-            gap = F.datediff(day(o), day(s))
-            bad = (s.isNull() & o.isNotNull()) | same | (gap < lo) | (gap > hi)
-        elif r.strategy == "truncate":
-            bad = ~o.eqNullSafe(F.substring(s.cast("string"), 1, int(r.options["length"])))
+            lo, hi = shift_bounds(r.options)
+            day = lambda x, f: dates.parse(x, r.options.get("date_format"), f.schema[c].dataType.typeName()).cast("date")  # noqa: B023, E731
+            was, now = day(s, source), day(o, output)
+            gap = F.datediff(now, was)
+            kept = was.isin([dt.date.fromisoformat(str(v)) for v in r.options.get("preserve_values") or ()] or [None])
+            bad = F.when(was.isNull(), o.isNotNull()).when(kept, ~same).otherwise(now.isNull() | (gap == 0) | (gap < lo) | (gap > hi))
+        elif r.strategy in ("truncate", "bucketize", "passthrough"):
+            bad = ~o.cast("string").eqNullSafe(STRATEGIES[r.strategy].apply(ctx, r, s).cast("string"))
         elif r.strategy == "categorical":
-            cats = list(r.options["categories"])
-            bad = ~o.isin(cats)
-        elif r.strategy == "passthrough":
-            bad = ~o.eqNullSafe(s)
+            bad = ~F.coalesce(o.isin(list(r.options["categories"])), s.isNull())
         else:
             bad = s.isNull() & o.isNotNull()
-        cells.append(F.struct(F.lit(c).alias("column"), F.lit(r.strategy).alias("strategy"), F.count_if(F.coalesce(bad, F.lit(False))).alias("broken")))
+        broken = F.count_if(paired & F.coalesce(bad, F.lit(False)))
+        if r.strategy == "fpe":
+            again = F.count_if(paired & F.coalesce(same, F.lit(False)))
+            broken = broken + F.when(again * 10 > F.count_if(paired & s.isNotNull()), again).otherwise(0)
+        cells.append(F.struct(F.lit(c).alias("column"), F.lit(r.strategy).alias("strategy"), broken.alias("broken")))
     rows = both.agg(F.array(*cells).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     exact = [c for r, c in cols if r.strategy in ("hash", "redact", "tokenize")]
     if exact:

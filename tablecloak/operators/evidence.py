@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..keys import row_message
 from .fidelity import marginal
 from .fit import stack, union_all
 from .masks import Rule
@@ -15,7 +16,7 @@ from .masks import Rule
 def content_hash(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(rows, content_hash): the sum of the rows' digests, so order and partitioning do not matter and a repeated
     row counts twice. One aggregate, exact in decimal."""
-    cells = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (columns or df.columns)])
+    cells = row_message(*[F.col(c) for c in (columns or df.columns)])
     word = F.conv(F.substring(F.sha2(cells, 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(word), F.lit(0)).cast("decimal(38,0)").cast("string").alias("content_hash"))
 

@@ -7,32 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import plan_bytes
-
 HOT_ROWS = 1_000_000      # a key with fewer rows than this is ordinary work for one task
-HOT_KEYS = 1_000          # at most this many keys take the broadcast side; the others join the normal way
-SMALL_PLAN = 64 << 20     # below this estimate no key can be hot enough to matter
+BROADCAST_KEYS = 100_000  # bound of the broadcast: where more keys are hot, hot means more rows
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The keys, null included, with at least ``hot_rows`` rows, as a frame of at most ``HOT_KEYS`` rows.
+    """The keys, null included, with at least ``hot_rows`` rows. None when there are none.
 
-    Counted with map-side combine over the key columns only. None when there are none.
+    Counted with map-side combine over the key columns only. A table has at most rows / hot_rows such keys; the limit is
+    doubled until there are ``BROADCAST_KEYS`` or fewer, so on a huge table hot is what exceeds its hundred-thousandth part.
     """
-    if hot_rows == HOT_ROWS:
-        size = plan_bytes(df)
-        if size is not None and size < SMALL_PLAN:
-            return None
-    counts = df.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") >= hot_rows)
-    rows = counts.orderBy(F.desc("__n"), *on).limit(HOT_KEYS).drop("__n").collect()
-    return df.sparkSession.createDataFrame(rows, df.select(*on).schema) if rows else None
+    counts = df.groupBy(*on).agg(F.count("*").alias("__n"))
+    while True:
+        rows = counts.where(F.col("__n") >= hot_rows).drop("__n").limit(BROADCAST_KEYS + 1).collect()
+        if len(rows) <= BROADCAST_KEYS:
+            return df.sparkSession.createDataFrame(rows, df.select(*on).schema) if rows else None
+        hot_rows *= 2
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``big`` to ``small``, which holds each key at most once; how is left, inner, left_semi or left_anti.
 
-    Rows of hot keys meet a broadcast of just those keys (at most ``HOT_KEYS`` rows of ``small``), the rest take
+    Rows of hot keys meet a broadcast of just those keys (at most ``BROADCAST_KEYS`` rows of ``small``), the rest take
     Spark's own choice of join. Exact in both parts. Columns of ``big`` come first, then the others of ``small``.
     """
     on = list(on)

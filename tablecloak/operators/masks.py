@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,6 @@ from ..errors import InvalidRule, NamespaceRequired, UndeclaredColumn, Uniquenes
 from ..functions import dates, fpe
 from ..functions.providers import COMPOSITES, get_provider, value_from_digest
 from ..keys import check_secret, hmac_hex, never_null, permute, pick, row_message, subkey, unit
-from ..session import spread
 from .joins import lookup_join
 from .ordering import exact_quantiles, rank_in_group, running_total, with_row_index
 
@@ -159,7 +159,7 @@ def _shift_days(digest: Column, lo: int, hi: int) -> Column:
     return F.when(k >= 0, k + 1).otherwise(k).cast("int")
 
 
-def _bounds(o: dict) -> tuple[int, int]:
+def shift_bounds(o: dict) -> tuple[int, int]:
     if "jitter_days" in o:
         n = int(o["jitter_days"])
         return -n, n
@@ -175,7 +175,7 @@ def date_shift(ctx: Context, r: Rule, c: Column) -> Column:
     ctx.format_error(r, c.isNotNull() & ts.isNull())
     # keyed by the day itself, so one day written in two formats moves alike; or by the entity
     msg = F.col(o["group_by"]).cast("string") if "group_by" in o else F.date_format(ts, "yyyy-MM-dd")
-    days = _shift_days(ctx.digest(ctx.key(r, "date_shift"), msg), *_bounds(o))
+    days = _shift_days(ctx.digest(ctx.key(r, "date_shift"), msg), *shift_bounds(o))
     # whole days in microseconds: keeps the time of day
     out = dates.render(F.timestamp_micros(F.unix_micros(ts) + days.cast("bigint") * F.lit(86_400_000_000)), fmt, kind)
     return _preserving(ctx, r, c, ts, out)
@@ -376,9 +376,12 @@ def shuffle(df: DataFrame, ctx: Context, r: Rule) -> DataFrame:
     n = cells.count()
     if not cells.groupBy(*ctx.row_key).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty():
         raise InvalidRule(f"the row_key of {ctx.table!r} does not tell its rows apart")
-    to = cells.select(*ctx.row_key, never_null(permute(ctx.key(r, "shuffle"), F.col("__i"), n)).alias("__i"))
+    marks = [f"__k{i}" for i in range(len(ctx.row_key))]
+    to = cells.select(*[F.col(k).alias(m) for k, m in zip(ctx.row_key, marks)], never_null(permute(ctx.key(r, "shuffle"), F.col("__i"), n)).alias("__i"))
     moved = to.join(cells.select("__i", F.col(c).alias(_out(c))), "__i").drop("__i")
-    return df.join(moved, list(ctx.row_key), "left")
+    # a null in the key is a key like any other
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(ctx.row_key, marks)])
+    return df.join(moved, on, "left").withColumn(_out(c), F.when(F.col(c).isNotNull(), F.col(_out(c)))).drop(*marks)
 
 
 def geo_generalize(df: DataFrame, ctx: Context, r: Rule) -> DataFrame:
@@ -524,7 +527,6 @@ STREAMABLE = frozenset({"passthrough", "hash", "fpe", "redact", "truncate", "tex
 
 
 # strategies too cheap to move a row for
-LIGHT = frozenset({"passthrough", "redact", "truncate", "bucketize", "top_code", "formula", "derived", "from_parent"})
 
 
 def check_declared(df: DataFrame, rules: Sequence[Rule], table: str, unconfigured: str = "error") -> list[str]:
@@ -551,8 +553,6 @@ def mask_table(df: DataFrame, rules: Sequence[Rule], secret: bytes, table: str =
     check_declared(df, rules, table, unconfigured)
     ctx = Context(df.schema, secret, table, row_key)
     by_col = {c: r for r in rules for c in r.columns}
-    if any(r.strategy not in LIGHT for r in rules):
-        df = spread(df)
     ordered = [c for c in df.columns if c in by_col] + [c for c in by_col if c not in df.columns]
     work = df
     if with_errors:

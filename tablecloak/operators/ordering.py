@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import is_small, materialize, shuffle_partitions
+from ..session import materialize, shuffle_partitions
 
 SHIFT = 33  # monotonically_increasing_id keeps the partition above bit 33
 
@@ -18,8 +18,6 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], out: str = "
 
     One range shuffle. A hot order key only matters if it fills a partition, so pass a tie break.
     """
-    if is_small(df):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order_by)).cast("bigint") + F.lit(start - 1))
     n = shuffle_partitions(df.sparkSession)
     cut = materialize(
         df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
@@ -40,14 +38,12 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column], out: str = "
     )
 
 
-TOP_K = 1_000_000  # a sorted head this long is still one task's work
-
-
 def first_rows(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
-    """The first n rows in order. A short head is a top-k; a long one is a range sort and a cut by row number."""
-    if n <= TOP_K:
-        return df.orderBy(*order_by).limit(n)
-    return with_row_index(df, order_by, "__head").where(F.col("__head") < n).drop("__head")
+    """The first n rows in order. Every partition keeps its own first n, without a shuffle; what is left is sorted by
+    ranges and cut by row number, so no task holds more than its range."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << SHIFT) - 1))
+    own = df.sortWithinPartitions(*order_by).withColumn("__place", place).where(F.col("__place") < n).drop("__place")
+    return with_row_index(own, order_by, "__head").where(F.col("__head") < n).drop("__head")
 
 
 def running_total(
@@ -62,9 +58,6 @@ def running_total(
     """
     keys = list(group_by)
     w = F.lit(1).cast("bigint") if weight is None else weight
-    if is_small(df):
-        rows = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(w).over(rows))
     n = shuffle_partitions(df.sparkSession)
     cut = materialize(
         df.withColumn("__yw", w).repartitionByRange(n, *keys, *order_by).withColumn("__yp", F.spark_partition_id()),

@@ -102,19 +102,24 @@ def _facts(table: str, name: str, dtype: T.DataType, classes: Mapping[str, str],
             "logical_type": {dtype.typeName()}, "role": {roles.get(name, "")}, "table": {table}}
 
 
+def _matches(pattern: str, facts: set[str]) -> bool:
+    """``*`` stands for any characters; everything else for itself."""
+    return any(re.fullmatch(".*".join(map(re.escape, pattern.split("*"))), x) for x in facts if x)
+
+
 def resolve_policy(policy: Policy, table: str, schema: T.StructType, classifications: Mapping[str, str] = {},
                    tags: Mapping[str, Sequence[str]] = {}, roles: Mapping[str, str] = {}) -> list[Rule]:
     out = []
     for f in schema.fields:
         facts = _facts(table, f.name, f.dataType, classifications, tags, roles)
         hit = next((r for lvl in LEVELS for (lv, v, r) in policy.rules
-                    if lv == lvl and any(re.fullmatch(v.replace("*", ".*"), x) for x in facts[lvl] if x)), None)
+                    if lv == lvl and _matches(v, facts[lvl])), None)
         chosen = replace(hit, columns=(f.name,)) if hit else rule(f.name, policy.default)
         for strategy, lvl, v in policy.forbidden:
-            if chosen.strategy == strategy and v in facts[lvl]:
+            if chosen.strategy == strategy and _matches(v, facts[lvl]):
                 raise PolicyFailed(f"{table}.{f.name}: {strategy} is forbidden on {lvl} {v}")
         for strategy, lvl, v in policy.required:
-            if v in facts[lvl] and chosen.strategy != strategy:
+            if _matches(v, facts[lvl]) and chosen.strategy != strategy:
                 raise PolicyFailed(f"{table}.{f.name}: {strategy} is required on {lvl} {v}")
         out.append(chosen)
     return out

@@ -89,8 +89,10 @@ def orphan_count(parent: DataFrame, child: DataFrame, link: Link) -> int:
 
 
 def propagate(child: DataFrame, keymap: DataFrame, link: Link, secret: bytes, warnings: list[str] | None = None,
-              parent: DataFrame | None = None) -> DataFrame:
-    """Replace the child key through a key map (old parent columns, ``__new_`` columns) and the orphan policy."""
+              parent: DataFrame | None = None, parent_rules: Mapping[str, Rule] | None = None) -> DataFrame:
+    """Replace the child key through a key map (old parent columns, ``__new_`` columns) and the orphan policy.
+
+    ``parent_rules`` (parent column -> its rule) says how ``remap`` masks an orphan; without it the parent is hashed."""
     old = dict(zip(link.parent_columns, link.child_columns))
     small = keymap.select(*[F.col(p).alias(c) for p, c in old.items()],
                           *[F.col(f"__new_{p}").alias(f"__new_{c}") for p, c in old.items()], F.lit(True).alias("__hit"))
@@ -111,7 +113,8 @@ def propagate(child: DataFrame, keymap: DataFrame, link: Link, secret: bytes, wa
         new = F.col(f"__new_{c}")
         if link.orphans == "remap":
             # masked the way the parent key is, in the link's namespace
-            alt = STRATEGIES["hash"].apply(ctx, Rule((c,), "hash", {}, link.namespace or f"{link.parent}.{p}"), F.col(c))
+            same = (parent_rules or {}).get(p) or Rule((p,), "hash", {}, link.namespace or f"{link.parent}.{p}")
+            alt = STRATEGIES[same.strategy].apply(ctx, replace(same, columns=(c,)), F.col(c))
             exprs[c] = F.when(F.col("__hit"), new).otherwise(alt.cast(keymap.schema[f"__new_{p}"].dataType))
         elif link.orphans == "remap_to_existing":
             exprs[c] = F.coalesce(new, F.col(f"__alt_{c}"))
@@ -202,6 +205,8 @@ def mask_linked(tables: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Ru
                 resolved[name] += keep(*link.child_columns)
         out = mask_table(tables[name], resolved[name], secret, name, (row_keys or {}).get(name, ()), unconfigured, with_errors)
         for link in looked_up[name]:
-            out = propagate(out, key_frame(link), replace(link, orphans="preserve") if link.orphans == "fail" else link, secret, warnings)
+            # a key that is itself looked up stays in its table; its orphans are hashed
+            own = {r.column: r for r in resolved[link.parent] if len(r.columns) == 1 and r.strategy != "passthrough"}
+            out = propagate(out, key_frame(link), replace(link, orphans="preserve") if link.orphans == "fail" else link, secret, warnings, parent_rules=own)
         done[name] = out
     return done

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..errors import DriftRefused, InvalidRule
 from ..functions.detectors import DETECTORS, cell_hit
 from ..keys import hmac_hex, row_message, seed_key, subkey
-from ..session import materialize, spread
+from ..session import materialize
 from .evidence import content_hash
 from .fit import stack, union_all
 from .ordering import first_rows
@@ -92,7 +92,7 @@ def detect(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     cols = list(columns or scalar_columns(df))
     s = F.col("value")
     hits = F.array(*[F.struct(F.lit(d.id).alias("detector"), F.count_if(F.coalesce(cell_hit(d, s), F.lit(False))).alias("hits")) for d in DETECTORS])
-    counted = stack(spread(df.select(*cols)), cols, "string").where("value is not null").groupBy("column").agg(F.count("*").alias("filled"), hits.alias("h"))
+    counted = stack(df.select(*cols), cols, "string").where("value is not null").groupBy("column").agg(F.count("*").alias("filled"), hits.alias("h"))
     flat = counted.select("column", "filled", F.explode("h").alias("h")).select("column", "h.detector", "h.hits", "filled").where("hits > 0")
     rate = F.col("hits") / F.col("filled")
     return flat.withColumn("match_rate", rate).withColumn(
@@ -199,12 +199,12 @@ def sample_random(df: DataFrame, row_key: Sequence[str], rows: int = SAMPLE, see
 def freetext_entities(df: DataFrame, column: str) -> DataFrame:
     """(detector, rows, hits) over a whole text column."""
     counts = count_entities(F.col(column))
-    long = spread(df.select(column)).select(F.explode(F.array(*[F.struct(F.lit(d).alias("detector"), n.cast("bigint").alias("n")) for d, n in counts.items()])).alias("s")).select("s.*")
+    long = df.select(column).select(F.explode(F.array(*[F.struct(F.lit(d).alias("detector"), n.cast("bigint").alias("n")) for d, n in counts.items()])).alias("s")).select("s.*")
     return long.where("n > 0").groupBy("detector").agg(F.count("*").alias("rows"), F.sum("n").alias("hits"))
 
 
 def entity_spans(df: DataFrame, key: str, column: str) -> DataFrame:
-    return spread(df.select(key, column)).select(key, F.explode(find_entities(F.col(column))).alias("e")).select(key, "e.detector", "e.span")
+    return df.select(key, column).select(key, F.explode(find_entities(F.col(column))).alias("e")).select(key, "e.detector", "e.span")
 
 
 def scan(df: DataFrame, table: str = "t", columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:

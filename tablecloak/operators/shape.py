@@ -66,6 +66,10 @@ def drop_columns(*columns: str) -> Step:
 def shape(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     if len(steps) > MAX_STEPS:
         raise InvalidRule(f"a table takes at most {MAX_STEPS} steps")
+    order = None
     for s in steps:
         df = s(df)
+        order = getattr(df, "_sorted_by", None) or order
+        if order:
+            df._sorted_by = order
     return df

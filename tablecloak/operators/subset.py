@@ -47,7 +47,8 @@ class Seed:
 class SubsetPlan:
     seeds: tuple[Seed, ...]
     links: tuple[Link, ...]
-    directions: Mapping[tuple[str, str], str] = field(default_factory=dict)
+    # (parent, child) or (parent, parent columns, child, child columns) -> both, downward or upward
+    directions: Mapping[tuple, str] = field(default_factory=dict)
     primary_keys: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     seed: int = 42
     max_total_rows: int | None = None
@@ -157,7 +158,9 @@ def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
             both = reduce(lambda a, b: a.unionByName(b), picked)
             frontier[t] = materialize(_semi(key_frame(t), both.distinct()).withColumn(EDGE, F.lit(-1)), f"seed-{t}"), {-1}
     surviving = {t: f.drop(EDGE) for t, (f, _) in frontier.items()}
-    way_of = lambda k: plan.directions.get((k.parent, k.child), "both")
+    # two links may join the same tables: their columns tell them apart
+    way_of = lambda k: plan.directions.get((k.parent, tuple(k.parent_columns), k.child, tuple(k.child_columns)),
+                                           plan.directions.get((k.parent, k.child), "both"))
     stats = [{"edge": f"{k.parent}->{k.child}", "direction": way_of(k), "rows_added_downward": 0, "rows_added_upward": 0} for k in plan.links]
     rounds = 0
     while frontier:

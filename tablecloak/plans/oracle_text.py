@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from ..functions import providers as P
 from ..functions.checksums import VIN_VALUES, VIN_WEIGHTS
-from ..keys import seed_key, sql_hmac, sql_unit, sql_word, subkey
+from ..keys import seed_key, sql_hmac, sql_row_message, sql_unit, sql_word, subkey
 from .registry import SECRET, SEED
 
 
@@ -27,7 +27,7 @@ def mask_hmac(msg: str, purpose: str, space: str) -> str:
 
 
 def row_hmac(msg: str, purpose: str, table: str, column: str) -> str:
-    return sql_hmac(subkey(SECRET, purpose, table, column, "by-row"), msg)
+    return sql_hmac(subkey(SECRET, purpose, table, column, "by-row"), sql_row_message(msg))
 
 
 def cell_hmac(table: str, column: str, i: str) -> str:

@@ -11,6 +11,7 @@ from ..operators import evidence as EV
 from ..operators import privacy as PR
 from ..operators.masks import keep, mask_table, rule
 from ..operators.relations import Link
+from ..keys import sql_row_message
 from ..session import scratch_dir
 from . import oracle_text as O
 from .oracle_text import mask_hmac
@@ -62,8 +63,8 @@ def _(t):
     return C.failures(t.orders, [C.check("column_in_set", "o_orderstatus", values=["O", "F"])])
 
 
-@query("val_leak_check", """SELECT 'c_name' AS "column", count(*) AS rows, count(*) FILTER (c_mktsegment <> 'BUILDING') AS identical, (count(*) FILTER (c_mktsegment <> 'BUILDING'))::DOUBLE / count(*) AS ratio,
- false AS ok FROM customer UNION ALL SELECT 'c_mktsegment', count(*), 0, 0.0, true FROM customer""")
+@query("val_leak_check", """SELECT 'c_name' AS "column", count(*) AS rows, count(*) FILTER (c_mktsegment <> 'BUILDING') AS identical, 0 AS lost, (count(*) FILTER (c_mktsegment <> 'BUILDING'))::DOUBLE / count(*) AS ratio,
+ false AS ok FROM customer UNION ALL SELECT 'c_mktsegment', count(*), 0, 0, 0.0, true FROM customer""")
 def _(t):
     src = t.customer.select("c_custkey", "c_name", "c_mktsegment")
     out = mask_table(src, [rule("c_name", "redact", when=F.col("c_mktsegment") == "BUILDING"), rule("c_mktsegment", "hash", "seg"), *keep("c_custkey")], SECRET, "customer")
@@ -80,14 +81,14 @@ def _(t):
     return C.fk_intact(thin(t), t.orders, ORDER_LINK)
 
 
-@query("check_fk_preservation", "SELECT 'customer->orders' AS edge, 0 AS lost, 0 AS gained, true AS ok, (SELECT count(*) FROM orders) AS n")
+@query("check_fk_preservation", "SELECT 'customer->orders' AS edge, 0 AS lost, 0 AS gained, 0 AS missing, true AS ok, (SELECT count(*) FROM orders) AS n")
 def _(t):
     parent = mask_table(thin(t).select("c_custkey"), [rule("c_custkey", "hash", "customer_identity")], SECRET, "customer")
     r = C.fk_preserved(ORDER_LINK, thin(t), t.orders, parent, _propagated(t, "preserve"), ["o_orderkey"])
     return r.withColumn("n", t.orders.agg(F.count("*")).scalar())
 
 
-@query("check_policy", """SELECT * FROM (VALUES ('o_custkey', 'hash', 0), ('o_orderdate', 'date_shift', 0), ('o_orderstatus', 'redact', 0), ('o_orderpriority', 'truncate', 0)) v("column", strategy, broken)
+@query("check_policy", """SELECT * FROM (VALUES ('*', 'rows', 0), ('o_custkey', 'hash', 0), ('o_orderdate', 'date_shift', 0), ('o_orderstatus', 'redact', 0), ('o_orderpriority', 'truncate', 0)) v("column", strategy, broken)
  UNION ALL SELECT 'o_comment', 'redact', count(*) FROM orders WHERE o_orderkey % 100 = 0""")
 def _(t):
     src = orders_text(t).join(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_orderpriority").alias("o_comment")), "o_orderkey")
@@ -99,6 +100,31 @@ def _(t):
     return C.check_policy(src, out, rules, ["o_orderkey"])
 
 
+@query("check_policy_faults", """WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 11 <> 0)
+ SELECT '*' AS "column", 'rows' AS strategy, count(*) AS broken FROM orders WHERE o_orderkey % 11 = 0
+ UNION ALL SELECT 'moved', 'date_shift', count(*) FROM o WHERE k % 7 = 0 UNION ALL SELECT 'banded', 'bucketize', count(*) FROM o WHERE k % 5 = 0
+ UNION ALL SELECT 'pan', 'fpe', count(*) FROM o WHERE k % 2 = 0 UNION ALL SELECT 'cut', 'truncate', count(*) FROM o WHERE k % 3 = 0
+ UNION ALL SELECT 'kind', 'categorical', count(*) FROM o WHERE k % 9 = 0 UNION ALL SELECT 'same', 'passthrough', count(*) FROM o WHERE k % 13 = 0
+ UNION ALL SELECT 'name', 'faker', count(*) FROM o WHERE k % 4 = 0""")
+def _(t):
+    """One planted fault per strategy, and rows that vanish."""
+    k = F.col("o_orderkey")
+    src = t.orders.select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("moved"), F.col("o_totalprice").alias("banded"),
+                          F.lpad((k + 4_000_000_000).cast("string"), 16, "4").alias("pan"), F.concat(F.lit("p"), k.cast("string")).alias("cut"),
+                          F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("same"), F.concat(F.lit("n-"), k.cast("string")).alias("name"))
+    rules = [rule("moved", "date_shift", "d", min_days=-30, max_days=30, date_format="%m/%d/%Y"), rule("banded", "bucketize", width=1000), rule("pan", "fpe", "pan"),
+             rule("cut", "truncate", length=2), rule("kind", "categorical", categories=["a", "b"]), rule("name", "faker", "people", deterministic=True, provider="person_email"),
+             *keep("same", "o_orderkey")]
+    out = mask_table(src, rules, SECRET, "orders", ["o_orderkey"]).where("o_orderkey % 11 <> 0")
+    real = src.select("o_orderkey", *[F.col(c).alias(f"was_{c}") for c in ("moved", "pan", "cut", "name")])
+    fault = lambda c, every, bad: F.when(k % every == 0, bad).otherwise(F.col(c)).alias(c)
+    far = F.date_format(F.date_add(F.to_date("was_moved", "MM/dd/yyyy"), 900), "MM/dd/yyyy")
+    out = out.join(real, "o_orderkey").select(
+        "o_orderkey", fault("moved", 7, far), fault("banded", 5, F.lit("nonsense")), fault("pan", 2, F.col("was_pan")), fault("cut", 3, F.lit("zz")), fault("kind", 9, F.lit("c")),
+        fault("same", 13, F.lit("?")), fault("name", 4, F.col("was_name")))
+    return C.check_policy(src, out, rules, ["o_orderkey"])
+
+
 @query("check_residual_pii", """SELECT 'contact' AS "column", 'email' AS detector, 1.0::DOUBLE AS source_rate, (SELECT count(*) FILTER (c_custkey % 2 = 0)::DOUBLE / count(*) FROM customer) AS output_rate,
  CASE WHEN (SELECT count(*) FILTER (c_custkey % 2 = 0)::DOUBLE / count(*) FROM customer) >= 0.5 THEN 'high' ELSE 'medium' END AS severity""")
 def _(t):
@@ -144,12 +170,12 @@ def _(t):
     return EV.data_diff(a, b, exact=True)
 
 
-def _content(cols: str, frm: str) -> str:
-    return f"SELECT count(*) AS rows, sum(('0x' || substr(sha256(concat_ws('|', {cols})), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS content_hash FROM {frm}"
+def _content(cols: list[str], frm: str) -> str:
+    return f"SELECT count(*) AS rows, sum(('0x' || substr(sha256({sql_row_message(*cols)}), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS content_hash FROM {frm}"
 
 
-@query("run_evidence", f"""SELECT 'input' AS side, 'customer' AS "table", rows, content_hash, 'hash=1,passthrough=1,redact=1' AS strategies FROM ({_content('c_custkey::VARCHAR, c_name, c_mktsegment', 'customer')})
- UNION ALL SELECT 'output', 'customer', rows, content_hash, 'hash=1,passthrough=1,redact=1' FROM ({_content(f"{H_CUST}, 'REDACTED', c_mktsegment", 'customer')})""")
+@query("run_evidence", f"""SELECT 'input' AS side, 'customer' AS "table", rows, content_hash, 'hash=1,passthrough=1,redact=1' AS strategies FROM ({_content(['c_custkey', 'c_name', 'c_mktsegment'], 'customer')})
+ UNION ALL SELECT 'output', 'customer', rows, content_hash, 'hash=1,passthrough=1,redact=1' FROM ({_content([H_CUST, "'REDACTED'", 'c_mktsegment'], 'customer')})""")
 def _(t):
     src = t.customer.select("c_custkey", "c_name", "c_mktsegment")
     rules = [rule("c_custkey", "hash", "customer_identity"), rule("c_name", "redact"), *keep("c_mktsegment")]

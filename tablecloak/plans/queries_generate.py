@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.providers import ALIASES, PROVIDERS, get_provider
-from ..keys import seed_key, sql_hmac, sql_permute, subkey
+from ..keys import seed_key, sql_hmac, sql_permute, sql_row_message, subkey
 from ..operators import fit as FIT
 from ..operators.generate import Generator, GenTable, Source, gen, generation_order, preview
 from ..operators.statistical import FILLER
@@ -184,7 +184,7 @@ def _(t):
     return build(t, gen("day", "faker", faker_type="date_this_year"), gen("due", "windowed_date", anchor="day", min_days=1, max_days=30))
 
 
-@query("gen_group_key", f"SELECT i AS id, 1 + {_GRP} AS grp, 'G' || substr({sql_hmac(pkey('key'), f'(1 + {_GRP})::VARCHAR')}, 1, 16) AS key FROM {ROWS}")
+@query("gen_group_key", f"SELECT i AS id, 1 + {_GRP} AS grp, 'G' || substr({sql_hmac(pkey('key'), sql_row_message(f'1 + {_GRP}'))}, 1, 16) AS key FROM {ROWS}")
 def _(t):
     return build(t, gen("grp", "faker", faker_type="random_int", faker_kwargs={"min": 1, "max": 50}), gen("key", "group_key", group_by="grp", prefix="G"))
 

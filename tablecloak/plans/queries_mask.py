@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions.detectors import BY_ID, SPANS
 from ..functions.providers import COMPOSITES, PROVIDERS
-from ..keys import subkey, sql_feistel, sql_permute
+from ..keys import sql_feistel, sql_permute, sql_row_message, subkey
 from ..operators import masks as M
 from ..operators.masks import keep, mask_table, rule
 from . import oracle_text as O
@@ -46,7 +46,7 @@ def _(t):
                            *keep("l_linenumber", "l_quantity")], SECRET, "lineitem")
 
 
-def _fpe_digits_sql(body: str, space: str, n: int) -> str:
+def fpe_digits_sql(body: str, space: str, n: int) -> str:
     """Digits body of fixed length n up to 34: one block, tweak n|0."""
     u, v = n // 2, n - n // 2
     s = sql_feistel(subkey(SECRET, "fpe", space), f"'{n}|0'", f"substr({body}, 1, {u})", f"substr({body}, {u + 1}, {v})",
@@ -55,7 +55,7 @@ def _fpe_digits_sql(body: str, space: str, n: int) -> str:
 
 
 # c_name is Customer#000000001: the nine digits move, the rest stays
-@query("mask_fpe", f"""SELECT c_custkey, 'Customer#' || {_fpe_digits_sql("substr(c_name, 10, 9)", 'cust', 9)} AS c_name FROM customer""")
+@query("mask_fpe", f"""SELECT c_custkey, 'Customer#' || {fpe_digits_sql("substr(c_name, 10, 9)", 'cust', 9)} AS c_name FROM customer""")
 def _(t):
     return customers(t, rule("c_name", "fpe", "cust", charset="digits"))
 
@@ -91,9 +91,9 @@ def _numbers_sql() -> str:
             f"{pad(13)} || {O.gtin_digit(pad(13))} AS gtin FROM customer")
 
 
-_PAN_BODY = _fpe_digits_sql("substr(luhn, 1, 15)", "pan", 15)
-_EAN_BODY = _fpe_digits_sql("substr(ean13, 1, 12)", "ean", 12)
-_NPI_BODY = _fpe_digits_sql("substr(npi, 2, 8)", "npi", 8)
+_PAN_BODY = fpe_digits_sql("substr(luhn, 1, 15)", "pan", 15)
+_EAN_BODY = fpe_digits_sql("substr(ean13, 1, 12)", "ean", 12)
+_NPI_BODY = fpe_digits_sql("substr(npi, 2, 8)", "npi", 8)
 
 
 @query("mask_fpe_checksum", f"""WITH n AS ({_numbers_sql()}), b AS (SELECT c_custkey, {_PAN_BODY} AS p, {_EAN_BODY} AS e,
@@ -196,6 +196,16 @@ def _(t):
     return customers(t, rule("c_acctbal", "shuffle", "bal", deterministic=True), df=df)
 
 
+@query("mask_shuffle_null_key", f"""WITH s AS (SELECT CASE WHEN c_custkey <> 5 THEN c_custkey END AS c_custkey, c_acctbal FROM customer),
+ i AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey NULLS FIRST) - 1 AS i FROM s),
+ p AS (SELECT c_custkey, {sql_permute(subkey(SECRET, 'shuffle', 'bal'), 'i', 'n')} AS i FROM (SELECT *, count(*) OVER () AS n FROM i))
+ SELECT s.c_custkey, i.c_acctbal FROM s LEFT JOIN p ON p.c_custkey IS NOT DISTINCT FROM s.c_custkey LEFT JOIN i ON p.i = i.i""")
+def _(t):
+    """The row without a key takes part like any other: no cell is lost."""
+    df = t.customer.select(F.when(F.col("c_custkey") != 5, F.col("c_custkey")).alias("c_custkey"), "c_acctbal")
+    return mask_table(df, [rule("c_acctbal", "shuffle", "bal", deterministic=True), *keep("c_custkey")], SECRET, "customer", ["c_custkey"])
+
+
 TIERS, TIER_W = ["None", "Silver", "Gold"], [0.6, 0.3, 0.1]
 
 
@@ -303,7 +313,7 @@ def _(t):
         rule(("p_brand", "p_size"), "joint_mask", match_on="p_type"), *keep("p_partkey", "p_type")], SECRET, "part", ["p_partkey"])
 
 
-_CH = mask_hmac("first_name || '|' || last_name || '|' || email", "composite", "people")
+_CH = mask_hmac(sql_row_message("first_name", "last_name", "email"), "composite", "people")
 _CI = pick(_CH, COMPOSITES["composite_name_email"][0])
 
 
@@ -338,7 +348,7 @@ def _(t):
                      also=("c_acctbal",))
 
 
-@query("mask_group_key", f"""SELECT l_orderkey, l_linenumber, 'K' || substr({mask_hmac("l_orderkey::VARCHAR || '|' || l_returnflag", 'group_key', 'lineitem.gk')}, 1, 12) AS gk
+@query("mask_group_key", f"""SELECT l_orderkey, l_linenumber, 'K' || substr({mask_hmac(sql_row_message("l_orderkey", "l_returnflag"), 'group_key', 'lineitem.gk')}, 1, 12) AS gk
  FROM lineitem""")
 def _(t):
     df = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
@@ -346,7 +356,18 @@ def _(t):
                       SECRET, "lineitem", unconfigured="warn")
 
 
-_WALK = O.sql_hmac(subkey(SECRET, "walk", "events", "walk"), "user_id::VARCHAR || '|' || event_id::VARCHAR")
+# cells that hold the signs a joined text would use: "a|b", "c" and "a", "b|c", and nulls beside their written form
+_SEP_A = "CASE o_orderkey % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'a' WHEN 2 THEN NULL ELSE '-' END"
+_SEP_B = "CASE o_orderkey % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'b|c' WHEN 2 THEN '1:a' ELSE NULL END"
+
+
+@query("mask_group_key_separators", f"""SELECT o_orderkey, substr({mask_hmac(sql_row_message(_SEP_A, _SEP_B), 'group_key', 'orders.gk')}, 1, 16) AS gk FROM orders""")
+def _(t):
+    df = t.orders.select("o_orderkey", F.expr(_SEP_A).alias("a"), F.expr(_SEP_B).alias("b"))
+    return mask_table(df, [rule("gk", "group_key", group_by=["a", "b"]), *keep("o_orderkey")], SECRET, "orders", unconfigured="warn")
+
+
+_WALK = O.sql_hmac(subkey(SECRET, "walk", "events", "walk"), sql_row_message("user_id", "event_id"))
 
 
 @query("mask_grouped_series", f"""SELECT event_id, user_id, 100 + 5 * (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS n,
@@ -398,7 +419,7 @@ def patients(t: Tables):
 
 @query("mask_preset", f"""WITH p AS ({PRESET_DF_SQL}) SELECT c_custkey, {O.provider('person_first_name', row_hmac(CUST, 'faker', 'patients', 'first_name'))} AS first_name,
  strftime(dob::DATE + {_shift_sql(mask_hmac('dob', 'date_shift', 'patient_dates'), -30, 30)}, '%Y-%m-%d') AS dob,
- {_fpe_digits_sql('ssn', 'ssn_identity', 9)} AS ssn, 'REDACTED' AS url, NULL::VARCHAR AS zip FROM p""")
+ {fpe_digits_sql('ssn', 'ssn_identity', 9)} AS ssn, 'REDACTED' AS url, NULL::VARCHAR AS zip FROM p""")
 def _(t):
     from ..operators.presets import preset_rules
     df = patients(t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.detectors import DETECTORS, SPANS
-from ..keys import seed_key, sql_hmac, subkey
+from ..keys import seed_key, sql_hmac, sql_row_message, subkey
 from ..operators import fidelity as FID
 from ..operators import fit as FIT
 from ..operators import scan as SCAN
@@ -164,7 +164,7 @@ def _(t):
     return SCAN.sample_head(t.orders, ["o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
-_SH = sql_hmac(subkey(seed_key(SEED), "scan-sample"), "o_orderkey::VARCHAR")
+_SH = sql_hmac(subkey(seed_key(SEED), "scan-sample"), sql_row_message("o_orderkey"))
 
 
 @query("scan_sample_random", f"SELECT o_orderkey, o_custkey FROM (SELECT *, {_SH} AS h FROM orders) ORDER BY h, o_orderkey LIMIT 10000")
@@ -299,7 +299,7 @@ def _(t):
     return t.spark.createDataFrame(rows, "column string, value string, n long")
 
 
-_FH = sql_hmac(subkey(seed_key(SEED), "fit-sample"), "o_orderkey::VARCHAR")
+_FH = sql_hmac(subkey(seed_key(SEED), "fit-sample"), sql_row_message("o_orderkey"))
 
 
 @query("fit_sample", f"SELECT o_orderkey, o_totalprice FROM (SELECT *, {_FH} AS h FROM orders) ORDER BY h, o_orderkey LIMIT 2000")

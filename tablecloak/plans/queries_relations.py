@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..keys import seed_key, sql_hmac, subkey
+from ..keys import seed_key, sql_hmac, sql_row_message, subkey
 from ..operators import relations as REL
 from ..operators import subset as SUB
 from ..operators import vault as V
@@ -14,6 +14,7 @@ from ..operators.masks import keep, mask_table, rule
 from ..operators.relations import Link
 from ..session import scratch_dir
 from .oracle_text import mask_hmac, pick, unit
+from .queries_mask import fpe_digits_sql
 from .registry import SECRET, SEED, Tables, query
 
 H_CUST = f"substr({mask_hmac('c_custkey::VARCHAR', 'hash', 'customer_identity')}, 1, 32)"
@@ -71,7 +72,18 @@ def _(t):
     return _propagated(t, "remap")
 
 
-_REMAP = sql_hmac(subkey(SECRET, "remap", "customer_identity"), "o_custkey::VARCHAR")
+@query("fk_orphans_remap_fpe", f"""SELECT o_orderkey, {fpe_digits_sql("lpad(o_custkey::VARCHAR, 9, '0')", 'cust', 9)} AS o_custkey FROM orders""")
+def _(t):
+    """An orphan is masked the way its parent's key would be, here format preserving."""
+    nine = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
+    key = rule("c_custkey", "fpe", "cust", charset="digits")
+    parent = thin(t).select(nine("c_custkey").alias("c_custkey"), nine("c_custkey").alias("k"))
+    known = REL.key_map(parent, mask_table(parent, [key, *keep("k")], SECRET, "customer"), ["k"], ["c_custkey"])
+    link = Link("customer", ("c_custkey",), "orders", ("o_custkey",), "remap", "cust")
+    return REL.propagate(t.orders.select("o_orderkey", nine("o_custkey").alias("o_custkey")), known, link, SECRET, parent_rules={"c_custkey": key})
+
+
+_REMAP = sql_hmac(subkey(SECRET, "remap", "customer_identity"), sql_row_message("o_custkey"))
 
 
 @query("fk_orphans_remap_to_existing", f"""WITH p AS (SELECT c_custkey, {H_CUST} AS h FROM {PARENT}), i AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS i FROM p)
@@ -185,7 +197,7 @@ LINKS = (Link("region", ("r_regionkey",), "nation", ("n_regionkey",), "preserve"
          Link("supplier", ("s_suppkey",), "lineitem", ("l_suppkey",), "preserve"))
 # dimension tables are only ever reached as parents
 WAYS = {("region", "nation"): "upward", ("nation", "customer"): "upward", ("part", "lineitem"): "upward", ("supplier", "lineitem"): "upward"}
-U_CUST = unit(sql_hmac(subkey(seed_key(SEED), "subset", "customer"), "c_custkey::VARCHAR"))
+U_CUST = unit(sql_hmac(subkey(seed_key(SEED), "subset", "customer"), sql_row_message("c_custkey")))
 
 
 def world(t: Tables, *names):

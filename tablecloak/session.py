@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -35,17 +36,12 @@ def build_session(app: str = "tablecloak", master: str | None = None, **conf: st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. A local session without one gets its own."""
+    """The shared folder named by spark.checkpoint.dir. A session whose executors are threads of the driver gets its own
+    without the setting; any other is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        try:
-            opt = spark.sparkContext._jsc.sc().getCheckpointDir()
-            named = opt.get() if opt.isDefined() else None
-        except Exception:  # a Connect session has no context; it must name the folder
-            named = None
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     own = tempfile.mkdtemp(prefix="tablecloak-")
     spark.conf.set("spark.checkpoint.dir", own)
@@ -64,37 +60,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's own size estimate; None when it cannot be read."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:
-        return None
-
-
-SMALL_BYTES = 16 << 20
-
-
-def is_small(df: DataFrame) -> bool:
-    """Catalyst estimates the frame at under spark.tablecloak.smallBytes (16 MB): one task can sort it, and a plain
-    window beats a range shuffle with a written cut. Set 0 to take the distributed way always."""
-    limit = int(df.sparkSession.conf.get("spark.tablecloak.smallBytes", str(SMALL_BYTES)))
-    size = plan_bytes(df) if limit else None
-    return size is not None and size <= limit
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small input packed in fewer files than there are cores keeps most cores idle: deal its rows out. Large
-    inputs have enough splits and are left alone."""
-    if df.isStreaming:
-        return df
-    size = plan_bytes(df)
-    if size is None or not 1 << 17 <= size <= 8 * SMALL_BYTES:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
-
-
 def together(jobs: Sequence[Callable[[], object]]) -> list:
     """Run independent Spark jobs at the same time; results in order, the first failure is raised."""
     if len(jobs) < 2:

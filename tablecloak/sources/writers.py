@@ -91,18 +91,43 @@ def publish_outputs(spark: SparkSession, tables: Mapping[str, DataFrame], target
                     fs.delete(path(s), True)
                 raise
             status[name] = "failed"
+    # earlier outputs stay beside the new ones until every rename went through
+    done: list[tuple[str, str, bool]] = []
+
+    def undo(target: str, old: str, had: bool, new: bool) -> None:
+        fs, path = _fs(spark, target)
+        if new:
+            fs.delete(path(target), True)
+        if had:
+            fs.rename(path(old), path(target))
+
     for name, stage in staged.items():
         target = targets[name].rstrip("/")
         fs, path = _fs(spark, target)
         old = f"{target}.old-{run}"
         had = fs.exists(path(target))
+        try:
+            if had and not fs.rename(path(target), path(old)):
+                had = False
+                raise OSError(f"could not set the earlier output of table {name!r} aside")
+            if not fs.rename(path(stage), path(target)):
+                raise OSError(f"could not publish table {name!r}")
+        except Exception:
+            undo(target, old, had, False)
+            if delivery == "best_effort":
+                fs.delete(path(stage), True)
+                status[name] = "failed"
+                continue
+            for t, o, h in reversed(done):
+                undo(t, o, h, True)
+            for other in staged.values():
+                fs, path = _fs(spark, other)
+                fs.delete(path(other), True)
+            raise
+        done.append((target, old, had))
+        status[name] = "published"
+    for _, old, had in done:
         if had:
-            fs.rename(path(target), path(old))
-        if not fs.rename(path(stage), path(target)):
-            if had:
-                fs.rename(path(old), path(target))
-            raise OSError(f"could not publish table {name!r}")
-        if had:
+            fs, path = _fs(spark, old)
             fs.delete(path(old), True)
-        status[name] = "published"
     return status

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,14 +47,14 @@ class VaultTable:
 
     def read(self, before: int | None = None) -> DataFrame:
         schema = T.StructType([*VAULT_SCHEMA.fields, T.StructField("batch", T.LongType())])
-        df = self.spark.read.schema(schema).parquet(self.root) if self._exists() else self.spark.createDataFrame([], schema)
+        try:
+            df = self.spark.read.schema(schema).parquet(self.root)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            df = self.spark.createDataFrame([], schema)
         return (df if before is None else df.where(F.col("batch") < before)).select("ns", "value", "token")
 
-    def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.root)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
     def add(self, values: DataFrame, batch: int) -> None:
         from ..operators.vault import new_entries
         new_entries(values, self.read(before=batch), self.ns, self.secret).write.mode("overwrite").parquet(f"{self.root}/batch={batch}")

@@ -14,8 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
-                                               # small tables must take the distributed way too
-                                               "spark.tablecloak.smallBytes": "0"})
+                                               })
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

@@ -46,13 +46,27 @@ def test_row_index_is_dense_for_any_layout(spark):
         assert got.where("x <> i").count() == 0
 
 
-def test_small_plans_take_one_task_and_agree(spark, skewed):
-    far = rows(ordering.running_total(skewed, ["id"], None, ["k"], "r"))
-    spark.conf.set("spark.tablecloak.smallBytes", str(16 << 20))
-    try:
-        assert rows(ordering.running_total(skewed, ["id"], None, ["k"], "r")) == far
-    finally:
-        spark.conf.set("spark.tablecloak.smallBytes", "0")
+def test_many_hot_keys_are_all_split(spark, monkeypatch):
+    """More hot keys than the broadcast may hold: hot then means more rows, and the join stays exact."""
+    big = spark.range(6000).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 1500).alias("k"))
+    assert joins.hot_keys(big, ["k"], 2).count() == 751
+    monkeypatch.setattr(joins, "BROADCAST_KEYS", 10)
+    assert joins.hot_keys(big, ["k"], 2).count() == 1
+    small = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert rows(joins.lookup_join(big, small, ["k"], "left", hot_rows=2)) == rows(big.join(small, ["k"], "left").select("id", "k", "v"))
+
+
+def test_repeated_values_in_a_small_file_are_found_hot(spark, tmp_path):
+    """A file that looks small because its values repeat still has its hot key split."""
+    spark.range(3_000_000).select(F.lit(7).cast("bigint").alias("k")).write.parquet(f"{tmp_path}/t")
+    assert [r.k for r in joins.hot_keys(spark.read.parquet(f"{tmp_path}/t"), ["k"]).collect()] == [7]
+
+
+@pytest.mark.parametrize("n", [0, 1, 17, 5000])
+def test_first_rows_of_any_number(spark, n):
+    df = spark.range(3000).select((F.col("id") * 37 % 3000).alias("x")).repartition(5)
+    assert sorted(r.x for r in ordering.first_rows(df, [F.desc("x")], n).collect()) == sorted(range(3000), reverse=True)[:n][::-1]
+    assert "TakeOrdered" not in ordering.first_rows(df, ["x"], 5)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_quantiles_are_exact_with_repeats(spark, t):

@@ -52,7 +52,7 @@ def _profile(df: DataFrame, columns: Sequence[str], exact: bool) -> DataFrame:
     return base.drop("unique").join(F.broadcast(counts), "column", "left").withColumn("unique", F.coalesce("u", F.lit(0))).drop("u")
 
 
-def data_diff(a: DataFrame, b: DataFrame, exact: bool = False) -> DataFrame:
+def data_diff(a: DataFrame, b: DataFrame, exact: bool = True) -> DataFrame:
     """(column, change, row_delta, null_delta, unique_delta, type_changed) of b against a."""
     p = _profile(a, a.columns, exact).select("column", *[F.col(c).alias(f"{c}_a") for c in ("rows", "nulls", "unique", "type")])
     q = _profile(b, b.columns, exact).select("column", *[F.col(c).alias(f"{c}_b") for c in ("rows", "nulls", "unique", "type")])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import CycleRefused, InvalidRule, UniquenessImpossible
 from ..functions.fpe import let
 from ..functions.providers import get_provider, value_from_digest
-from ..keys import hmac_hex, never_null, permute, pick, row_message, seed_key, subkey, unit
+from ..keys import hmac_hex, int_div, never_null, permute, pick, row_message, seed_key, subkey, unit
 from .joins import lookup_join
 from .masks import cumulative, table_scalar, weighted_pick, window_days
 from .ordering import rank_in_group, running_total, with_row_index
@@ -312,18 +312,23 @@ def preview(tables: Sequence[GenTable], rows: int) -> list[GenTable]:
     return [GenTable(t.name, max(1, round(t.rows * rows / largest)), t.columns, t.unique_together) for t in tables]
 
 
+PIECE = 4096  # children of one parent that one row is exploded to
+
+
 def fitted_parents(g: Generator, t: GenTable, col: Gen) -> DataFrame:
     """(_rid, __p_<col>): children per parent drawn from a fan-out histogram {children: parents}, then cut or
-    extended to the row count (D). Every child has a parent. The rows of one parent are spread by ``explode``; the
-    numbering is a distributed running total."""
+    extended to the row count (D). Every child has a parent; the numbering is a distributed running total."""
     hist: Mapping[int, int] = col.options["fanout"]
     parents = g.rows_of(col.options["reference_table"])
     ks = sorted(hist)
     draw = weighted_pick(unit(g.digest(t.name, col.name, F.col("id"))), ks, [hist[k] for k in ks]).cast("bigint")
     per = running_total(g.spark.range(parents).select("id", draw.alias("k")), ["id"], F.col("k"), (), "upto")
     total = per.agg(F.max("upto")).first()[0] or 0
-    slots = per.where("k > 0").select(F.col("id").alias(f"__p_{col.name}"), F.explode(
-        F.sequence(F.col("upto") - F.col("k"), F.col("upto") - 1)).alias("_rid"))
+    # a parent with very many children is cut into pieces, dealt out before their rows are written out
+    pieces = per.where("k > 0").select("id", "upto", (F.col("upto") - F.col("k")).alias("from"), F.explode(
+        F.sequence(F.lit(0).cast("bigint"), int_div(F.col("k") - 1, PIECE))).alias("piece")).repartition("id", "piece")
+    first = F.col("from") + F.col("piece") * PIECE
+    slots = pieces.select(F.col("id").alias(f"__p_{col.name}"), F.explode(F.sequence(first, F.least(first + PIECE, F.col("upto")) - 1)).alias("_rid"))
     if total > t.rows:
         # which slots stay is a keyed permutation, and it numbers the ones that stay
         slots = slots.withColumn("_rid", permute(subkey(g.cell_key(t.name, col.name), "cut"), F.col("_rid"), total)).where(F.col("_rid") < t.rows)

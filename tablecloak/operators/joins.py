@@ -6,22 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000      # a key with fewer rows than this is ordinary work for one task
 BROADCAST_KEYS = 100_000  # bound of the broadcast: where more keys are hot, hot means more rows
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The keys, null included, with at least ``hot_rows`` rows. None when there are none.
+    """(keys, __splits): the keys, null included, with at least ``hot_rows`` rows, and into how many parts of that size each
+    is cut. None when there are none.
 
     Counted with map-side combine over the key columns only. A table has at most rows / hot_rows such keys; the limit is
     doubled until there are ``BROADCAST_KEYS`` or fewer, so on a huge table hot is what exceeds its hundred-thousandth part.
     """
     counts = df.groupBy(*on).agg(F.count("*").alias("__n"))
     while True:
-        rows = counts.where(F.col("__n") >= hot_rows).drop("__n").limit(BROADCAST_KEYS + 1).collect()
+        hot = counts.where(F.col("__n") >= hot_rows).select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__splits"))
+        rows = hot.limit(BROADCAST_KEYS + 1).collect()
         if len(rows) <= BROADCAST_KEYS:
-            return df.sparkSession.createDataFrame(rows, df.select(*on).schema) if rows else None
+            return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
         hot_rows *= 2
 
 
@@ -29,24 +32,28 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``big`` to ``small``, which holds each key at most once; how is left, inner, left_semi or left_anti.
 
-    Rows of hot keys meet a broadcast of just those keys (at most ``BROADCAST_KEYS`` rows of ``small``), the rest take
-    Spark's own choice of join. Exact in both parts. Columns of ``big`` come first, then the others of ``small``.
+    Rows of a hot key are dealt out over its parts by a hash of the row, and its row of ``small`` is there once for each part.
+    Both inputs are read once more than a plain join reads them only for the count of the keys. Columns of ``big`` come
+    first, then the others of ``small``.
     """
     on = list(on)
     hot = hot_keys(big, on, hot_rows)
     if hot is None:
         return big.join(small, on, how).select(*_columns(big, small, on, how))
-    marks = F.broadcast(hot.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(on)],
-                                   F.lit(True).alias("__hot")))
-    cond = F.lit(True)
-    for i, k in enumerate(on):
-        cond = cond & big[k].eqNullSafe(marks[f"__h{i}"])
-    flagged = big.join(marks, cond, "left").drop(*[f"__h{i}" for i in range(len(on))])
-    few = F.broadcast(small.join(F.broadcast(hot), on, "left_semi"))
-    cold = flagged.where(F.col("__hot").isNull()).drop("__hot").join(small, on, how)
-    warm = flagged.where(F.col("__hot").isNotNull()).drop("__hot").join(few, on, how)
-    names = _columns(big, small, on, how)
-    return cold.select(*names).unionByName(warm.select(*names))
+
+    def marked(df: DataFrame) -> DataFrame:
+        marks = F.broadcast(hot.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(on)], "__splits"))
+        cond = F.lit(True)
+        for i, k in enumerate(on):
+            cond = cond & df[k].eqNullSafe(marks[f"__h{i}"])
+        return df.join(marks, cond, "left").drop(*[f"__h{i}" for i in range(len(on))])
+
+    scalar = [f.name for f in big.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
+    part = F.coalesce(F.pmod(F.xxhash64(*scalar), F.col("__splits")).cast("int"), F.lit(0))
+    dealt = marked(big).withColumn("__part", part).drop("__splits")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__splits"), F.lit(1)) - 1))
+    there = marked(small).withColumn("__part", parts).drop("__splits")
+    return dealt.join(there, [*on, "__part"], how).select(*_columns(big, small, on, how))
 
 
 def _columns(big: DataFrame, small: DataFrame, on: list[str], how: str) -> list[str]:

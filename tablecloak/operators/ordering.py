@@ -98,38 +98,43 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> D
     )
 
 
-def cumulative_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n, upto, total) over the non-null values of number columns.
-
-    Values are counted first, so a hot value is one row; then one distributed running total serves every column.
-    """
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                            for c in columns])).alias("s")
-    ).select("s.*").where(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    run = running_total(counts, ["value"], F.col("n"), ["column"], "upto")
-    # one row per named column
-    totals = long.groupBy("column").agg(F.count("*").alias("total"))
-    return run.join(F.broadcast(totals), "column")
+ACCURACY = 10_000   # the summary that brackets a rank is off by at most a share 1 / ACCURACY of the rows
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column, q0, q1, ...) with linear interpolation between the two nearest ranks, exact at any size."""
-    cum = cumulative_counts(df, columns)
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        covers = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)
-        aggs += [
-            F.max(F.when(covers(lo), F.col("value"))).alias(f"__lo{i}"),
-            F.max(F.when(covers(hi), F.col("value"))).alias(f"__hi{i}"),
-            F.max(pos - lo).alias(f"__f{i}"),
-        ]
-    got = cum.groupBy("column").agg(*aggs)
-    return got.select(
-        "column",
-        *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")).alias(f"q{i}")
-          for i in range(len(probs))],
-    )
+    """(column, q0, q1, ...) with linear interpolation between the two nearest ranks, exact at any size.
+
+    A summary of bounded size brackets every rank between two values; then the rows below each bracket are counted, and only
+    values inside the brackets, a few in ten thousand rows, are counted one by one and summed up in order. A value that fills
+    a bracket is one row. Columns without values are left out.
+    """
+    spark = df.sparkSession
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sizes = numbers.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    # percentile_approx guarantees the rank to within a share 1 / ACCURACY; the room is twice that, and the next rank on either side
+    room = [2 / ACCURACY + 3 / max(1, sizes[f"n{i}"]) for i in range(len(columns))]
+    edge = lambda i: [min(1.0, max(0.0, p + d)) for p in probs for d in (-room[i], room[i])]
+    summary = numbers.agg(*[F.percentile_approx(f"c{i}", edge(i), ACCURACY).alias(f"e{i}") for i in range(len(columns))]).first()
+    brackets = []   # (column, probability, first value, last value, rank, fraction): one for each column and probability
+    for i, _ in enumerate(columns):
+        for j, p in enumerate(probs if sizes[f"n{i}"] else ()):
+            first, last = summary[f"e{i}"][2 * j:2 * j + 2]
+            at = (sizes[f"n{i}"] - 1) * float(p)
+            brackets.append((i, j, first, last, int(at), at - int(at)))
+    schema = "column string, " + ", ".join(f"q{j} double" for j in range(len(probs)))
+    if not brackets:
+        return spark.createDataFrame([], schema)
+    below = numbers.agg(*[F.count_if(F.col(f"c{i}") < F.lit(first)).alias(f"b{k}") for k, (i, _, first, *_) in enumerate(brackets)]).first()
+    inside = F.array(*[F.when(F.col(f"c{i}").between(F.lit(first), F.lit(last)), F.struct(F.lit(k).alias("k"), F.col(f"c{i}").alias("value")))
+                       for k, (i, _, first, last, *_) in enumerate(brackets)])
+    near = numbers.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x")).select("x.k", "x.value")
+    run = running_total(near.groupBy("k", "value").agg(F.count("*").alias("n")), ["value"], F.col("n"), ["k"], "upto")
+    known = spark.createDataFrame([(k, i, j, below[f"b{k}"], r, f) for k, (i, j, _, _, r, f) in enumerate(brackets)],
+                                  "k int, i int, j int, below bigint, r bigint, f double")
+    ranked = run.join(F.broadcast(known), "k").withColumn("end", F.col("below") + F.col("upto")).withColumn("begin", F.col("end") - F.col("n"))
+    covers = lambda r: F.max(F.when((F.col("end") > r) & (F.col("begin") <= r), F.col("value")))
+    each = ranked.groupBy("i", "j").agg(covers(F.col("r")).alias("a"), covers(F.col("r") + 1).alias("b"), F.max("f").alias("f"))
+    value = F.when(F.col("f") > 0, F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).otherwise(F.col("a"))
+    got = each.groupBy("i").agg(*[F.max(F.when(F.col("j") == j, value)).alias(f"q{j}") for j in range(len(probs))])
+    names = spark.createDataFrame(list(enumerate(columns)), "i int, column string")
+    return got.join(F.broadcast(names), "i").select("column", *[f"q{j}" for j in range(len(probs))])

@@ -42,9 +42,9 @@ def scalar_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
-def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
-    """One row per column: rows, nulls, distinct, range of numbers, lengths of text. One pass. ``exact`` counts
-    distinct values exactly, with a shuffle of the distinct values; the default is a sketch."""
+def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """One row per column: rows, nulls, distinct, range of numbers, lengths of text. One pass, and a
+    shuffle of the distinct values for their exact number; without ``exact`` that is a sketch."""
     cols = list(columns or scalar_columns(df))
     out = []
     for c in cols:
@@ -130,10 +130,8 @@ def key_candidates(df: DataFrame, columns: Sequence[str] | None = None, sampled:
     cols = list(columns or scalar_columns(df))
     if sampled:
         return df.sparkSession.createDataFrame([], "column string")
-    rough = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
-                   *[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)]).first()
-    # a sketch within a few percent rules most columns out before anything is counted exactly
-    maybe = [c for i, c in enumerate(cols) if rough[f"z{i}"] == 0 and rough[f"d{i}"] >= 0.8 * rough["n"]]
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)]).first()
+    maybe = [c for i, c in enumerate(cols) if nulls[f"z{i}"] == 0]
     if not maybe:
         return df.sparkSession.createDataFrame([], "column string")
     per = stack(df, maybe, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -207,7 +205,7 @@ def entity_spans(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, column).select(key, F.explode(find_entities(F.col(column))).alias("e")).select(key, "e.detector", "e.span")
 
 
-def scan(df: DataFrame, table: str = "t", columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
+def scan(df: DataFrame, table: str = "t", columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """The scan set of a table: one row per column, no cell values."""
     cols = list(columns or scalar_columns(df))
     found = materialize(detect(df, cols), "detect")
@@ -217,7 +215,7 @@ def scan(df: DataFrame, table: str = "t", columns: Sequence[str] | None = None,
             .join(F.broadcast(matches), "column", "left").withColumn("table", F.lit(table)))
 
 
-def scan_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:
+def scan_tables(tables: Mapping[str, DataFrame], exact: bool = True) -> DataFrame:
     """One scan set over several tables."""
     return union_all([scan(df, name, exact=exact) for name, df in tables.items()])
 
@@ -279,7 +277,7 @@ def drift_gate(baseline: DataFrame, current: DataFrame, on_drift: str = "refuse"
     return ["the scan drifted from its baseline"]
 
 
-def suggest(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
+def suggest(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, detector, strategy, provider, ambiguous). The best confident detector decides; two within 0.1 are
     ambiguous; a unique integer without a hit is hashed as a possible key; everything else is redacted. A date is
     shifted only when every hit is a real date."""

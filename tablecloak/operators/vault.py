@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import VaultExists, VaultMiss
 from ..keys import check_secret, hmac_hex, subkey
+from ..session import materialize
 from .joins import lookup_join
 
 VAULT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("ns", "value", "token")])
@@ -57,15 +58,15 @@ def new_entries(values: DataFrame, vault: DataFrame, ns: str, secret: bytes) ->
 
 
 def tokenize(df: DataFrame, columns: Sequence[str], ns: str, secret: bytes, vault: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Masked frame and grown vault. Each distinct value is looked up once; rows of a hot value meet a broadcast."""
-    norm = normalized(df, columns, lambda c: f"__n_{c}")
-    values = norm.select(F.explode(F.array(*[F.col(f"__n_{c}") for c in columns])).alias("value"))
-    grown = vault.unionByName(new_entries(values, vault, ns, secret))
-    pairs = grown.where(F.col("ns") == ns).select("value", "token")
-    out = norm
+    """Masked frame and grown vault. Only distinct values are normalised, and each is looked up once; the pairs of written form
+    and token are cut, so that neither the vault nor the values are worked out again for every column."""
+    cells = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("raw"))
+    forms = materialize(normalized(cells.where("raw IS NOT NULL").distinct(), ["raw"], lambda _: "value"), "forms")
+    grown = materialize(vault.unionByName(new_entries(forms.select("value"), vault, ns, secret)), "vault")
+    pairs = materialize(forms.join(grown.where(F.col("ns") == ns).select("value", "token"), "value").select("raw", "token"), "tokens")
+    out = df.withColumns({f"__n_{c}": F.col(c).cast("string") for c in columns})
     for c in columns:
-        small = pairs.select(F.col("value").alias(f"__n_{c}"), F.col("token").alias(f"__t_{c}"))
-        out = lookup_join(out, small, [f"__n_{c}"])
+        out = lookup_join(out, pairs.select(F.col("raw").alias(f"__n_{c}"), F.col("token").alias(f"__t_{c}")), [f"__n_{c}"])
     return out.select(*[F.col(f"__t_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]), grown
 
 
@@ -87,7 +88,8 @@ def detokenize(df: DataFrame, columns: Sequence[str], ns: str, vault: DataFrame,
 def save_vault(vault: DataFrame, path: str) -> None:
     """Create-only."""
     try:
-        vault.repartition("ns", F.pmod(F.xxhash64("value"), F.lit(64))).write.mode("errorifexists").partitionBy("ns").parquet(path)
+        # files of an even size, as many as the vault needs
+        vault.hint("rebalance", "ns").write.mode("errorifexists").partitionBy("ns").parquet(path)
     except Exception as e:
         if "PATH_ALREADY_EXISTS" in str(e):
             raise VaultExists("a vault is already there") from None

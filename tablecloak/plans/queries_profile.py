@@ -187,9 +187,11 @@ def _(t):
     return SCAN.freetext_entities(t.documents, "text")
 
 
-@query("scan_freetext_spans", " UNION ALL ".join(f"SELECT doc_id, '{d.id}' AS detector, unnest(regexp_extract_all(text, {O.q(d.span)})) AS span FROM documents" for d in _PLAIN))
+@query("scan_freetext_spans", " UNION ALL ".join(f"SELECT doc_id, '{d.id}' AS detector, unnest(regexp_extract_all(text, {O.q(d.span)})) AS span FROM documents" for d in _PLAIN)
+       + f" UNION ALL SELECT doc_id, 'pan', unnest(list_filter(regexp_extract_all(text, {O.q(next(d for d in SPANS if d.id == 'pan').span)}), lambda s: {_CARD_OK})) FROM documents"
+       + f" UNION ALL SELECT doc_id, 'iban', unnest(list_filter(regexp_extract_all(text, {O.q(next(d for d in SPANS if d.id == 'iban').span)}), lambda s: {O.mod97('(substr(s, 5) || substr(s, 1, 4))')} = 1)) FROM documents")
 def _(t):
-    return SCAN.entity_spans(t.documents, "doc_id", "text").where(~F.col("detector").isin("pan", "iban"))
+    return SCAN.entity_spans(t.documents, "doc_id", "text")
 
 
 @query("scan_fields", f"""{WITH_PEOPLE}, {_SCORES} SELECT "column", pii_score FROM scores WHERE {_BUCKET} = 'high' AND "column" NOT IN ('zip', 'dob')""")

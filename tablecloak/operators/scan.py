@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DriftRefused, InvalidRule
+from ..functions import dates
 from ..functions.detectors import DETECTORS, cell_hit
 from ..keys import hmac_hex, row_message, seed_key, subkey
 from ..session import materialize
@@ -31,7 +33,10 @@ SENTINELS = ("999", "9999", "99999", "-1", "-999", "99/99/9999", "9999-12-31", "
 TYPE_SHAPES = (("bool", r"^(true|false|TRUE|FALSE|True|False)$"), ("integer", r"^[+-]?[0-9]+$"),
                ("number", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"),
                ("date", r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$"))
-MAX_CANDIDATES, MAX_SET = 8, 3
+MAX_SET = 3
+SETS_AT_ONCE = 64   # grouping sets of one job
+# Formats a date column is read in, the first that most cells fit (D).
+DATE_FORMATS = ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y%m%d")
 
 
 def text_cell(df: DataFrame, c: str) -> Column:
@@ -154,11 +159,12 @@ def reid_risk(df: DataFrame, qi: Sequence[str]) -> DataFrame:
 
 
 def qi_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
-    """Up to eight columns with at least two values and at most a tenth as many as rows, most values first."""
+    """All columns with at least two values and at most a tenth as many as rows, most values first, counted exactly."""
     cols = list(columns or scalar_columns(df))
-    r = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    ok = [(r[f"d{i}"], c) for i, c in enumerate(cols) if 2 <= r[f"d{i}"] <= 0.1 * r["n"]]
-    return [c for _, c in sorted(ok, key=lambda x: (-x[0], x[1]))[:MAX_CANDIDATES]]
+    counts = stack(df, cols, "string").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    total = df.count()
+    d = counts.groupBy("column").agg(F.count("*").alias("d")).where((F.col("d") >= 2) & (F.col("d") <= 0.1 * total))
+    return [r["column"] for r in sorted(d.collect(), key=lambda r: (-r["d"], r["column"]))]
 
 
 def quasi_identifiers(df: DataFrame, candidates: Sequence[str] | None = None, max_set: int = MAX_SET) -> DataFrame:
@@ -171,7 +177,24 @@ def quasi_identifiers(df: DataFrame, candidates: Sequence[str] | None = None, ma
     if len(cand) < 2:
         raise InvalidRule("fewer than two quasi-identifier candidates")
     base = df.groupBy(*cand).agg(F.count("*").alias("__n"))
-    sets = [list(s) for size in range(2, max_set + 1) for s in combinations(sorted(cand), size)]
+    return _grouped(base, cand, [list(s) for size in range(2, max_set + 1) for s in combinations(sorted(cand), size)])
+
+
+def identifying_sets(df: DataFrame, candidates: Sequence[str] | None = None, min_singletons: float = 0.05, max_set: int = MAX_SET) -> list[tuple[str, ...]]:
+    """The smallest sets of candidates that single out at least this share of rows (D), level by level: a set that holds one
+    already found is not grouped again, so many candidates do not mean every combination of them."""
+    cand = sorted(candidates or qi_candidates(df))
+    base = materialize(df.groupBy(*cand).agg(F.count("*").alias("__n")), "combinations")
+    found: list[tuple[str, ...]] = []
+    for size in range(1, max_set + 1):
+        level = [s for s in combinations(cand, size) if not any(set(f) <= set(s) for f in found)]
+        for a in range(0, len(level), SETS_AT_ONCE):
+            hit = _grouped(base, cand, [list(s) for s in level[a:a + SETS_AT_ONCE]]).where(F.col("singleton_share") >= min_singletons)
+            found += [tuple(r["columns"].split(",")) for r in hit.select("columns").collect()]
+    return sorted(found, key=lambda s: (len(s), s))
+
+
+def _grouped(base: DataFrame, cand: Sequence[str], sets: list[list[str]]) -> DataFrame:
     names = {c: f"__c{i}" for i, c in enumerate(sorted(cand))}
     flat = base.select(*[F.col(c).alias(n) for c, n in names.items()], "__n")
     grouped = flat.groupingSets([[F.col(names[c]) for c in s] for s in sets], *[F.col(n) for n in names.values()]).agg(
@@ -184,6 +207,30 @@ def quasi_identifiers(df: DataFrame, candidates: Sequence[str] | None = None, ma
         (F.sum(F.when(F.col("size") == 1, 1).otherwise(0)) / F.sum("size")).alias("singleton_share"))
 
 
+def profile_fields(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, casing_pattern, alphabet, date_format, date_min, date_max, invalid_count, mode_freq): how the non-blank cells
+    are written. casing_pattern: upper, lower, title or mixed, null without letters. alphabet: digits, letters, alphanum or
+    mixed. A column is a date in the first format that more than half of its cells fit; the rest of them are invalid. No cell
+    value is given away but the ends of a date range."""
+    cols = list(columns or scalar_columns(df))
+    cells = stack(df, cols, "string").where("value is not null and value <> ''")
+    # a repeated value is looked at once
+    counts = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
+    v, n = F.col("value"), F.col("n")
+    cased = F.upper(v) != F.lower(v)
+    every = lambda cond: F.count_if(cased & ~cond) == 0
+    casing = F.when(F.count_if(cased) == 0, F.lit(None)).when(every(v == F.upper(v)), "upper").when(every(v == F.lower(v)), "lower").when(
+        every(v == F.initcap(F.lower(v))), "title").otherwise("mixed")
+    fits = lambda pattern: F.count_if(~v.rlike(pattern)) == 0
+    alphabet = F.when(fits("^[0-9]+$"), "digits").when(fits("^[A-Za-z]+$"), "letters").when(fits("^[A-Za-z0-9]+$"), "alphanum").otherwise("mixed")
+    days = [dates.parse(v, f).cast("date") for f in DATE_FORMATS]
+    seen = [x for i, day in enumerate(days) for x in (F.sum(F.when(day.isNotNull(), n).otherwise(0)).alias(f"n{i}"), F.min(day).alias(f"lo{i}"), F.max(day).alias(f"hi{i}"))]
+    out = counts.groupBy("column").agg(casing.alias("casing_pattern"), alphabet.alias("alphabet"), F.sum(n).alias("filled"), (F.max(n) / F.sum(n)).alias("mode_freq"), *seen)
+    pick = lambda of: F.coalesce(*[F.when(2 * F.col(f"n{i}") > F.col("filled"), of(i, f)) for i, f in enumerate(DATE_FORMATS)])
+    return out.select("column", "casing_pattern", "alphabet", pick(lambda i, f: F.lit(f)).alias("date_format"), pick(lambda i, f: F.col(f"lo{i}")).alias("date_min"),
+                      pick(lambda i, f: F.col(f"hi{i}")).alias("date_max"), pick(lambda i, f: F.col("filled") - F.col(f"n{i}")).alias("invalid_count"), "mode_freq")
+
+
 def sample_head(df: DataFrame, order_by: Sequence[str], rows: int = SAMPLE) -> DataFrame:
     return first_rows(df, order_by, rows)
 
@@ -215,6 +262,48 @@ def scan(df: DataFrame, table: str = "t", columns: Sequence[str] | None = None,
             .join(F.broadcast(matches), "column", "left").withColumn("table", F.lit(table)))
 
 
+@dataclass(frozen=True)
+class ScanSet:
+    """The whole scan of a table: ``columns`` and ``sentinels`` are frames; the rest is one value, or a few names."""
+
+    columns: DataFrame
+    sentinels: DataFrame
+    keys: tuple[str, ...]
+    groups: tuple[tuple[str, ...], ...]
+    k_anonymity: int | None
+    reid_risk: float | None
+
+
+def scan_set(df: DataFrame, table: str = "t", columns: Sequence[str] | None = None, candidates: Sequence[str] | None = None,
+             min_singletons: float = 0.05) -> ScanSet:
+    """Column profiles with how cells are written, sentinels, key candidates, identifying sets, and k and risk over all of the
+    sets' columns (D)."""
+    cols = list(columns or scalar_columns(df))
+    found = scan(df, table, cols).join(F.broadcast(profile_fields(df, cols)), "column", "left")
+    keys = tuple(sorted(r["column"] for r in key_candidates(df, cols).collect()))
+    near = [c for c in (candidates or qi_candidates(df, cols)) if c not in keys]
+    groups = tuple(identifying_sets(df, near, min_singletons)) if near else ()
+    members = sorted({c for g in groups for c in g})
+    risk = reid_risk(df, members).first() if members else None
+    return ScanSet(found, sentinels(df, cols), keys, groups, risk["k"] if risk else None, risk["reid_risk"] if risk else None)
+
+
+def scan_set_diff(old: ScanSet, new: ScanSet) -> DataFrame:
+    """(change, name, old, new): column changes as in ``scan_diff``, quasi-identifier groups and keys added and removed, and the
+    change of risk and of k, all as text."""
+    rows = [("qi_group_" + what, ",".join(g), None, None) for what, gs in zip(("added", "removed"), qi_diff(old.groups, new.groups)) for g in gs]
+    rows += [("key_" + what, c, None, None) for what, cs in (("added", set(new.keys) - set(old.keys)), ("removed", set(old.keys) - set(new.keys))) for c in sorted(cs)]
+    if old.reid_risk is not None and new.reid_risk is not None:
+        rows.append(("reid_risk_delta", f"{new.reid_risk - old.reid_risk:.6f}", f"{old.reid_risk:.6f}", f"{new.reid_risk:.6f}"))
+    if old.k_anonymity != new.k_anonymity:
+        rows.append(("k_anonymity", "", *[None if k is None else str(k) for k in (old.k_anonymity, new.k_anonymity)]))
+    spark = old.columns.sparkSession
+    fields = scan_diff(old.columns, new.columns)
+    high = fields.where("change = 'added' AND new_bucket = 'high'").withColumn("change", F.lit("new_high_pii"))
+    both = fields.unionByName(high).select("change", F.col("column").alias("name"), F.col("old_bucket").alias("old"), F.col("new_bucket").alias("new"))
+    return both.unionByName(spark.createDataFrame(rows, "change string, name string, old string, new string"))
+
+
 def scan_tables(tables: Mapping[str, DataFrame], exact: bool = True) -> DataFrame:
     """One scan set over several tables."""
     return union_all([scan(df, name, exact=exact) for name, df in tables.items()])
@@ -262,6 +351,13 @@ def has_drift(diff: DataFrame, qi_added: Sequence = ()) -> bool:
     return bool(qi_added) or not bad.isEmpty()
 
 
+def drift_gate_sets(baseline: ScanSet, current: ScanSet, on_drift: str = "refuse", pinned: str | None = None) -> list[str]:
+    """``drift_gate`` over whole scans: quasi-identifier groups that are new, and a higher risk, are drift too."""
+    added = qi_diff(baseline.groups, current.groups)[0]
+    worse = (current.reid_risk or 0) > (baseline.reid_risk or 0) + 1e-9
+    return drift_gate(baseline.columns, current.columns, on_drift, [*added, *(["risk"] if worse else [])], pinned)
+
+
 def drift_gate(baseline: DataFrame, current: DataFrame, on_drift: str = "refuse", qi_added: Sequence = (),
                pinned: str | None = None) -> list[str]:
     """Refuse, or warn, when the scan drifted from its baseline. ``pinned`` is the content hash the baseline must

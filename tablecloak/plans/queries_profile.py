@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.detectors import DETECTORS, SPANS
@@ -214,6 +216,64 @@ def _(t):
     return SCAN.scan_diff(SCAN.scan(people(t), "people"), SCAN.scan(people2(t), "people"))
 
 
+_WRITTEN = {"c_custkey": ("NULL", "'digits'", "NULL"), "c_name": ("'title'", "'mixed'", "NULL"), "c_mktsegment": ("'upper'", "'letters'", "NULL"),
+            "day": ("'lower'", "'mixed'", "'%Y-%m-%d'")}
+
+
+# every tenth day is no date, and every seventh is blank
+_DAYED = """(SELECT c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 10 = 0 THEN 'soon'
+ ELSE (DATE '2020-01-01' + (c_custkey % 900)::INT)::VARCHAR END AS day FROM customer)"""
+
+
+@query("scan_profile_fields", " UNION ALL ".join(f"""SELECT '{c}' AS "column", {casing} AS casing_pattern, {alphabet} AS alphabet, {fmt} AS date_format,
+ {"min(try_cast(v AS DATE))" if c == "day" else "min(NULL::DATE)"} AS date_min, {"max(try_cast(v AS DATE))" if c == "day" else "min(NULL::DATE)"} AS date_max,
+ {"(count(*) FILTER (v = 'soon'))" if c == "day" else "NULL"} AS invalid_count, (SELECT max(n)::DOUBLE / sum(n) FROM (SELECT count(*) AS n FROM {_DAYED} WHERE {c}::VARCHAR <> '' GROUP BY {c})) AS mode_freq
+ FROM (SELECT {c}::VARCHAR AS v FROM {_DAYED} WHERE {c}::VARCHAR <> '')""" for c, (casing, alphabet, fmt) in _WRITTEN.items()))
+def _(t):
+    k = F.col("c_custkey")
+    day = F.when(k % 7 == 0, "").when(k % 10 == 0, "soon").otherwise(F.date_add(F.to_date(F.lit("2020-01-01")), (k % 900).cast("int")).cast("string"))
+    return SCAN.profile_fields(t.customer.select("c_custkey", "c_name", "c_mktsegment", day.alias("day")))
+
+
+# two tables with an identifying pair and triple; the second is coarser
+_QA = "(SELECT c_custkey, c_nationkey % 5 AS a, c_mktsegment AS b, floor(c_acctbal / 500)::BIGINT AS d FROM customer)"
+_QB = "(SELECT c_custkey, c_nationkey % 5 AS a, c_mktsegment AS b, floor(c_acctbal / 5000)::BIGINT AS d FROM customer)"
+
+
+def _singled(frm: str, *sets: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS columns, sum(n) FILTER (n = 1)::DOUBLE / sum(n) AS share FROM (SELECT count(*) AS n FROM {frm} GROUP BY {s})" for s in sets)
+
+
+_SETS = ("a", "b", "d", "a,b", "a,d", "b,d", "a,b,d")
+
+
+@query("scan_identifying_sets", f"""WITH s AS ({_singled(_QA, *_SETS)}), h AS (SELECT columns, string_split(columns, ',') AS c FROM s WHERE share >= 0.05)
+ SELECT columns FROM h WHERE NOT EXISTS (SELECT 1 FROM h x WHERE len(x.c) < len(h.c) AND list_has_all(h.c, x.c))""")
+def _(t):
+    df = t.customer.select("c_custkey", (F.col("c_nationkey") % 5).alias("a"), F.col("c_mktsegment").alias("b"), F.floor(F.col("c_acctbal") / 500).alias("d"))
+    found = SCAN.identifying_sets(df, ["a", "b", "d"])
+    return t.spark.createDataFrame([(",".join(s),) for s in found], "columns string")
+
+
+@query("scan_set_risk", f"""SELECT 'c_custkey' AS keys, min(n) AS k, 100.0 * count(*) / sum(n) AS reid_risk FROM (SELECT count(*) AS n FROM {_QB} GROUP BY a, b, d)""")
+def _(t):
+    df = t.customer.select("c_custkey", (F.col("c_nationkey") % 5).alias("a"), F.col("c_mktsegment").alias("b"), F.floor(F.col("c_acctbal") / 5000).alias("d"))
+    s = SCAN.scan_set(df, "customer", candidates=["a", "b", "d"], min_singletons=0.0)
+    everything = SCAN.reid_risk(df, sorted({c for g in s.groups for c in g})).first()
+    assert everything["reid_risk"] == s.reid_risk
+    return t.spark.createDataFrame([(",".join(s.keys), s.k_anonymity, s.reid_risk)], "keys string, k bigint, reid_risk double")
+
+
+@query("scan_set_diff", f"""{WITH_PEOPLE}, {_SCORES} SELECT 'pii_decreased' AS change, 'ssn' AS name, {_BUCKET} AS old, 'none' AS new FROM scores WHERE "column" = 'ssn'
+ UNION ALL SELECT 'removed', 'grp', {_BUCKET}, NULL FROM scores WHERE "column" = 'grp' UNION ALL SELECT 'added', 'mail', NULL, 'high' UNION ALL SELECT 'new_high_pii', 'mail', NULL, 'high'
+ UNION ALL SELECT 'key_added', 'mail', NULL, NULL UNION ALL SELECT 'qi_group_removed', 'grp', NULL, NULL UNION ALL SELECT 'qi_group_added', 'contact', NULL, NULL
+ UNION ALL SELECT 'key_removed', 'ssn', NULL, NULL FROM (SELECT 1) WHERE (SELECT count(*) = count(DISTINCT ssn) AND count(*) = count(ssn) FROM people)""")
+def _(t):
+    # which sets count as groups is given, so that the rows say what a diff of two whole scans lists
+    old, new = (SCAN.scan_set(p, candidates=["zip"], min_singletons=2.0) for p in (people(t), people2(t)))
+    return SCAN.scan_set_diff(replace(old, groups=(("grp",),)), replace(new, groups=(("contact",),)))
+
+
 @query("drift_gate", "SELECT count(*) AS n, true AS drifted, false AS same FROM customer")
 def _(t):
     from ..errors import DriftRefused

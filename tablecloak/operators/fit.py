@@ -20,7 +20,7 @@ from ..session import together
 from .ordering import exact_quantiles, first_rows
 
 CATEGORICAL_MAX = 30
-TOP_VALUES = 20
+TOP_VALUES = CATEGORICAL_MAX  # all values of a categorical column
 BUCKETS = 10
 JOINT_CELLS = 25
 JOINT_CELLS_MAX = 1000
@@ -199,10 +199,10 @@ def sample_for_fit(df: DataFrame, row_key: Sequence[str], rows: int = SAMPLE_ROW
 
 
 def fit(df: DataFrame, date_columns: Sequence[str] = (), joints: Sequence[tuple[str, str]] = (), joint_cells: int = JOINT_CELLS,
-        flagged: Sequence[str] = (), include_values: bool = False, row_key: Sequence[str] = (), max_rows: int = SAMPLE_ROWS) -> Snapshot:
-    """A snapshot. With a row key, a table over ``max_rows`` rows is fitted on seeded random rows. Flagged columns keep no values; other values, years and bins under ten rows are dropped unless
+        flagged: Sequence[str] = (), include_values: bool = False, row_key: Sequence[str] = (), max_rows: int | None = None) -> Snapshot:
+    """A snapshot of all rows; with a row key and ``max_rows``, a larger table is fitted on seeded random rows. Flagged columns keep no values; other values, years and bins under ten rows are dropped unless
     ``include_values``. Everything collected is bounded by the number of columns and the caps above."""
-    if row_key:
+    if row_key and max_rows is not None:
         df = sample_for_fit(df, row_key, max_rows)
     snap = Snapshot(redacted=tuple(c for c in df.columns if c in flagged and not include_values))
     kinds = column_kinds(df, date_columns)

@@ -321,7 +321,7 @@ def _(t):
 @query("fit_categorical", """WITH a AS (SELECT 'p_brand' AS "column", p_brand AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY p_brand)
  SELECT "column", value, n, false AS is_other FROM a WHERE r <= 20 UNION ALL SELECT "column", NULL, coalesce(sum(n) FILTER (r > 20), 0)::BIGINT, true FROM a GROUP BY 1""")
 def _(t):
-    return FIT.top_values(t.part, ["p_brand"])
+    return FIT.top_values(t.part, ["p_brand"], 20)
 
 
 @query("fit_datetime", """SELECT 'l_shipdate' AS "column", year(l_shipdate) AS year, count(*) AS n, (SELECT min(l_shipdate) FROM lineitem) AS earliest, (SELECT max(l_shipdate) FROM lineitem) AS latest FROM lineitem GROUP BY 2""")

@@ -78,6 +78,8 @@ def detokenize(df: DataFrame, columns: Sequence[str], ns: str, vault: DataFrame,
         small = pairs.select(F.col("token").alias(c), F.col("value").alias(f"__v_{c}"))
         out = lookup_join(out, small, [c])
     if check:
+        # looked up once, for the check and for the result
+        out = materialize(out, "reversed")
         miss = out.agg(*[F.count_if(F.col(c).isNotNull() & F.col(f"__v_{c}").isNull()).alias(c) for c in columns]).first()
         bad = [c for c in columns if miss[c]]
         if bad:

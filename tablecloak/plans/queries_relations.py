@@ -142,6 +142,21 @@ def _(t):
     return V.tokenize(t.documents.select("doc_id", "text"), ["text"], "text", SECRET, V.empty_vault(t.spark))[0]
 
 
+_TOK_KEY = lambda c: _TOK.format(h=mask_hmac(f"{c}::VARCHAR", 'tokenize', 'orders'))
+
+
+@query("tokenize_keys", f"SELECT {_TOK_KEY('o_orderkey')} AS o_orderkey, o_custkey FROM orders")
+def _(t):
+    """As many values as rows."""
+    return V.tokenize(t.orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], "orders", SECRET, V.empty_vault(t.spark))[0]
+
+
+@query("tokenize_two_columns", f"SELECT o_orderkey, {_TOK_KEY('o_orderstatus')} AS o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN {_TOK_KEY('o_orderpriority')} END AS o_orderpriority FROM orders")
+def _(t):
+    df = t.orders.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    return V.tokenize(df, ["o_orderstatus", "o_orderpriority"], "orders", SECRET, V.empty_vault(t.spark))[0]
+
+
 @query("detokenize", "SELECT c_custkey, c_mktsegment FROM customer")
 def _(t):
     out, vault = V.tokenize(t.customer.select("c_custkey", "c_mktsegment"), ["c_mktsegment"], "segment", SECRET, stored(t))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -38,12 +40,14 @@ def build_session(app: str = "tablecloak", master: str | None = None, **conf: st
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. A session whose executors are threads of the driver gets its own
     without the setting; any other is refused."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     own = tempfile.mkdtemp(prefix="tablecloak-")
+    # this process made it and nothing else knows it
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 

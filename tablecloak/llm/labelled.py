@@ -16,7 +16,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, bound
     """(id, text, label) of about ``bound`` labelled documents at most, the same ones in each run.
 
     Ids are drawn by a hash threshold, so nothing is sorted and no task gathers them; ``usable`` is a condition on the id
-    alone. Ids with contradicting labels take the more frequent one (ties: 0); null labels and ids are left out.
+    alone. Ids with contradicting labels take the more frequent one (ties: 0), ids with several texts the first of them in
+    order; null labels and ids are left out.
     """
     one = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
     one = one.where(usable).groupBy("id").agg((F.avg("y") > 0.5).cast("int").alias("y"))
@@ -25,4 +26,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, bound
     kept = one.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(space)) < int(space * min(1.0, bound / max(total, 1))))
     # about ``bound`` ids and labels: a size that is fixed by the parameter
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    return text.join(F.broadcast(kept), "id").dropDuplicates(["id"])
+    return text.join(F.broadcast(kept), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

@@ -6,9 +6,10 @@ been read of a candidate counts as it is; for the rest, the value at a list's re
 list's far end from below. A candidate whose upper bound is under the k-th best lower bound is out. Reading stops when few
 enough are left, and the final scores of those are resolved.
 
-As lists are read to a common depth, the bounds of all candidates for a block of queries are two matrix products each, so the
-steps run at the speed of the linear algebra library. Queries come in blocks of a fixed number of rows, broadcast one after
-another; every task returns its k best per query, and one window keeps the best of those.
+As lists are read to a common depth, the bounds of all candidates for many queries are two matrix products each, so the steps
+run at the speed of the linear algebra library. Queries come in blocks of a fixed number of rows, broadcast one after
+another, each with one read of the candidates; a task returns its k best per query, one window keeps the best of those, and
+the block's result is added to a table in the shared folder, so neither plan nor memory grows with the number of blocks.
 
 Defined cases: vectors that are null, empty, or hold a null or a non-finite component take no part; a query meets candidates of
 its own length; rows with the query's id are its own; a repeated id asks once, with its smallest vector, and each of its rows
@@ -17,6 +18,7 @@ can be found; fewer candidates than k are all returned.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from .frames import bounded_batches, share
 
 K = 20
-QUERY_BLOCK = 2048      # queries in one broadcast
+QUERY_BLOCK = 16_384    # queries in one broadcast
+QUERIES_AT_ONCE = 2048  # of them whose bounds are worked out together
 SHARD_ROWS = 2048       # candidates whose lists are read together
 DEPTHS = (1 / 2, 3 / 4, 7 / 8)
 FEW = 1 / 32            # share of candidates at which reading stops
@@ -112,23 +116,25 @@ def _best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np
 
 def _scan(block, k: int):
     def run(batches: Iterator[pa.RecordBatch]):
-        asked = by_length(*block())
+        asked = {(n, a): (ids[a:a + QUERIES_AT_ONCE], values[a:a + QUERIES_AT_ONCE]) for n, (ids, values) in by_length(*block()).items()
+                 for a in range(0, len(ids), QUERIES_AT_ONCE)}
         found = {n: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for n in asked}
         # rows of small batches are put together, so that lists are worth reading
-        wait: dict[int, list] = {n: [] for n in asked}
+        wait: dict[int, list] = {n: [] for n, _ in asked}
 
         def read(n: int) -> None:
             ids, values = (np.concatenate(x) for x in zip(*wait[n]))
             wait[n] = []
             for a in range(0, len(ids), SHARD_ROWS):
                 shard = Lists(ids[a:a + SHARD_ROWS], values[a:a + SHARD_ROWS])
-                query_ids, queries = asked[n]
-                i, x, s = found[n]
-                floor = np.full(len(queries), -np.inf)
-                full = np.flatnonzero(np.bincount(i, minlength=len(queries)) >= k)
-                floor[full] = s[np.searchsorted(i, full, "right") - 1]
-                i2, j2, s2 = search(query_ids, queries, shard, k, floor)
-                found[n] = _best(np.concatenate([i, i2]), np.concatenate([x, shard.ids[j2]]), np.concatenate([s, s2]), k)
+                for some in (x for x in asked if x[0] == n):
+                    query_ids, queries = asked[some]
+                    i, x, s = found[some]
+                    floor = np.full(len(queries), -np.inf)
+                    full = np.flatnonzero(np.bincount(i, minlength=len(queries)) >= k)
+                    floor[full] = s[np.searchsorted(i, full, "right") - 1]
+                    i2, j2, s2 = search(query_ids, queries, shard, k, floor)
+                    found[some] = _best(np.concatenate([i, i2]), np.concatenate([x, shard.ids[j2]]), np.concatenate([s, s2]), k)
 
         for batch in batches:
             for n, part in by_length(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)).items():
@@ -136,11 +142,11 @@ def _scan(block, k: int):
                     wait[n].append(part)
                     if sum(len(p[0]) for p in wait[n]) >= SHARD_ROWS:
                         read(n)
-        for n in asked:
+        for n in wait:
             if wait[n]:
                 read(n)
-            i, x, s = found[n]
-            yield pa.RecordBatch.from_arrays([pa.array(asked[n][0][i]), pa.array(x), pa.array(s)], names=["query_id", "id", "score"])
+        for some, (i, x, s) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[some][0][i]), pa.array(x), pa.array(s)], names=["query_id", "id", "score"])
     return run
 
 
@@ -152,15 +158,11 @@ def top_k(vectors: DataFrame, asks: Column, id_col: str = "vec_id", vector_col:
     rows = usable(vectors, id_col, vector_col, scale)
     queries = rows.where(asks).groupBy("id").agg(F.min("v").alias("v"))
     n = max(1, -(-queries.count() // query_block))
-    parts = None
+    path, schema = f"{scratch_dir(spark)}/tablecloak/top-{uuid.uuid4().hex}", "query_id bigint, rank int, id bigint, score bigint"
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     for b in range(n):
         got = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).orderBy("id").toArrow()
-        if not got.num_rows:
-            continue
         block = share(spark, (got.column("id").to_numpy(), got.column("v").combine_chunks()))
         part = rows.mapInArrow(_scan(block, k), "query_id bigint, id bigint, score bigint")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = spark.createDataFrame([], "query_id bigint, id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return parts.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+        part.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).withColumnRenamed("id", id_col)

@@ -205,9 +205,10 @@ def brute_top(vectors, k, asks):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,shard,few", [(2048, 2048, 1 / 32), (3, 16, 0.0), (3, 7, 1.0)])
-def test_top_k(spark, monkeypatch, block, shard, few):
+@pytest.mark.parametrize("block,shard,few,once", [(2048, 2048, 1 / 32, 2048), (3, 16, 0.0, 2), (3, 7, 1.0, 1)])
+def test_top_k(spark, monkeypatch, block, shard, few, once):
     import random
+    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", once)
     monkeypatch.setattr(topk, "SHARD_ROWS", shard)
     monkeypatch.setattr(topk, "FEW", few)
     r = random.Random(4)

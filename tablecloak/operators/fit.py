@@ -199,8 +199,8 @@ def sample_for_fit(df: DataFrame, row_key: Sequence[str], rows: int = SAMPLE_ROW
 
 
 def fit(df: DataFrame, date_columns: Sequence[str] = (), joints: Sequence[tuple[str, str]] = (), joint_cells: int = JOINT_CELLS,
-        flagged: Sequence[str] = (), include_values: bool = False, row_key: Sequence[str] = (), max_rows: int | None = None) -> Snapshot:
-    """A snapshot of all rows; with a row key and ``max_rows``, a larger table is fitted on seeded random rows. Flagged columns keep no values; other values, years and bins under ten rows are dropped unless
+        flagged: Sequence[str] = (), include_values: bool = False, row_key: Sequence[str] = (), max_rows: int | None = None, top: int = TOP_VALUES) -> Snapshot:
+    """A snapshot of all rows; with a row key and ``max_rows``, a larger table is fitted on seeded random rows. ``top`` values of a category are kept. Flagged columns keep no values; other values, years and bins under ten rows are dropped unless
     ``include_values``. Everything collected is bounded by the number of columns and the caps above."""
     if row_key and max_rows is not None:
         df = sample_for_fit(df, row_key, max_rows)
@@ -217,7 +217,7 @@ def fit(df: DataFrame, date_columns: Sequence[str] = (), joints: Sequence[tuple[
         lambda: {r["column"]: r.asDict() for r in cell_formats(df).collect()},
         rows_of("numeric", lambda: numeric_stats(df, of("numeric"))),
         rows_of("numeric", lambda: numeric_histogram(df, of("numeric")).orderBy("column", "bucket")),
-        rows_of("categorical", lambda: top_values(df, of("categorical")).orderBy("column", F.desc("n"), "value")),
+        rows_of("categorical", lambda: top_values(df, of("categorical"), top).orderBy("column", F.desc("n"), "value")),
         rows_of("datetime", lambda: datetime_stats(df, of("datetime")).orderBy("column", "year")),
         rows_of("freetext", lambda: freetext_stats(df, of("freetext")).orderBy("column", "bucket"))])
     for i, c in enumerate(df.columns):

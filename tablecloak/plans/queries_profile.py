@@ -355,7 +355,7 @@ def _(t):
 @query("fit_redaction", """SELECT 'p_brand' AS "column", p_brand AS value, count(*) AS n FROM part GROUP BY 2 HAVING count(*) >= 10 QUALIFY row_number() OVER (ORDER BY count(*) DESC, p_brand) <= 20
  UNION ALL SELECT 'p_type', NULL, count(*) FROM part""")
 def _(t):
-    snap = FIT.fit(t.part.select("p_brand", "p_type", "p_retailprice"), flagged=["p_type"])
+    snap = FIT.fit(t.part.select("p_brand", "p_type", "p_retailprice"), flagged=["p_type"], top=20)
     rows = [("p_brand", v, n) for v, n in snap.columns["p_brand"]["stats"]["top_values"]]
     rows.append(("p_type", None, snap.columns["p_type"]["stats"]["other_count"]))
     return t.spark.createDataFrame(rows, "column string, value string, n long")

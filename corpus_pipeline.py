@@ -23,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; a document that loses all of its lines goes with them."""
+    """Later copies of repeated runs of lines and of single long lines go; a document that loses all of its lines goes with them."""
     return lines.dedup_lines(docs)
 
 

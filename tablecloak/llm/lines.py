@@ -6,8 +6,10 @@ pairs (rank of the suffix, rank of the suffix d lines on), which doubles the dep
 longest-common-prefix intervals of that depth, each with its first position in (document, line) order. Doubling goes on
 until every prefix is unique, so an interval's deepest round bounds the length of the repeated run.
 
-A line is deleted where a run of ``min_lines`` lines that covers it also starts at an earlier position. Maximal repeated runs
-are the unions of such windows. Groups are counted and ranked as one row each, so a line may fill any share of the rows.
+A line is deleted where a run of ``min_lines`` lines that covers it also starts at an earlier position, or where it is long
+and stands at an earlier position itself, whatever is around it. Long is a line of ``lone_words`` words or more, or, for scripts
+without spaces, of ``LONE_CHARS`` characters other than spaces for each of them; with None no line is. Shorter lines that repeat
+alone stay: headings, answers and blank lines are no copied passage. Runs to delete are the unions of both. Groups are counted and ranked as one row each, so a line may fill any share of the rows.
 
 Defined cases: a null text has no lines and stays null, an empty one has one empty line; rows with the same id and text are
 one document; a null id sorts after all others; ids that repeat with other texts are ordered by a hash of the text.
@@ -22,6 +24,9 @@ from ..operators.ordering import with_row_index
 from .frames import cut, digest, free_name
 
 MIN_LINES = 2
+LONE_WORDS = 5     # a single line of so many words is a passage of its own
+LONE_CHARS = 10
+SPACES, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
 
 def _positions(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
@@ -53,20 +58,36 @@ def suffix_rounds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         depth *= 2
 
 
-def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def lone_round(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lone_words: int = LONE_WORDS) -> DataFrame:
+    """(last, id, h, i, first): the long lines that stand elsewhere too, with the first position of each."""
+    solid = lambda x: F.length(F.regexp_replace(x, SPACES, ""))
+    long = lambda x: (F.regexp_count(x, F.lit(WORD)) >= lone_words) | (solid(x) >= LONE_CHARS * lone_words)
+    parts = F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.when(long(x), F.xxhash64(x)).alias("r"))),
+                     lambda x: x["r"].isNotNull())
+    base = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.inline(parts))
+    lone = cut(base.distinct(), "lone_lines")
+    groups = lone.groupBy("r").agg(F.count("*").alias("n"), F.min(F.struct("last", "id", "h", "i")).alias("first")).where("n > 1")
+    return lone.join(groups, "r").select("last", "id", "h", "i", "first")
+
+
+def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
+                 lone_words: int | None = LONE_WORDS) -> DataFrame:
     """(id, h, runs): per document the maximal runs of lines to delete, (first line, length, depth) in order; depth is that of
     the deepest interval in the run, so the run repeats at least that many lines at once."""
-    rounds = suffix_rounds(docs, id_col, text_col, min_lines)
+    rounds = [(depth, min_lines, frame) for depth, frame in suffix_rounds(docs, id_col, text_col, min_lines)]
+    if lone_words is not None:
+        rounds.append((1, 1, lone_round(docs, id_col, text_col, lone_words)))
     here = F.struct("last", "id", "h", "i")
     later = None
-    for depth, frame in rounds:
-        part = frame.where(F.col("first") < here).select("last", "id", "h", "i", F.lit(depth).alias("depth"))
+    for depth, size, frame in rounds:
+        part = frame.where(F.col("first") < here).select("last", "id", "h", "i", F.lit(depth).alias("depth"), (F.col("i") + size).alias("end"))
         later = part if later is None else later.unionByName(part)
-    starts = later.groupBy("last", "id", "h", "i").agg(F.max("depth").alias("depth"))
+    starts = later.groupBy("last", "id", "h", "i").agg(F.max("depth").alias("depth"), F.max("end").alias("end"))
     order = Window.partitionBy("last", "id", "h").orderBy("i")
-    gap = F.when(F.col("i") > F.lag("i").over(order) + min_lines, 1).otherwise(0)
+    gap = F.when(F.col("i") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
     islands = starts.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order))
-    runs = islands.groupBy("last", "id", "h", "run").agg(F.min("i").alias("start"), (F.max("i") + min_lines - F.min("i")).alias("length"), F.max("depth").alias("depth"))
+    runs = islands.groupBy("last", "id", "h", "run").agg(F.min("i").alias("start"), (F.max("end") - F.min("i")).alias("length"), F.max("depth").alias("depth"))
     return runs.groupBy("last", "id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "length", "depth"))).alias("runs")).drop("last")
 
 
@@ -78,12 +99,12 @@ def _kept(lines, runs) -> F.Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
-                report: bool = False) -> DataFrame:
-    """The documents without later copies of repeated runs; those that had lines and lost all of them are dropped.
+                report: bool = False, lone_words: int | None = LONE_WORDS) -> DataFrame:
+    """The documents without later copies of repeated runs and of long lines; those that had lines and lost all of them are dropped.
 
     With ``report`` a digest of every document instead: id, n_lines, n_removed, n_runs, longest_run, kept_sha256.
     """
-    runs = removed_runs(docs, id_col, text_col, min_lines).select(F.col("id").alias("_i"), F.col("h").alias("_h"), F.col("runs").alias("_runs"))
+    runs = removed_runs(docs, id_col, text_col, min_lines, lone_words).select(F.col("id").alias("_i"), F.col("h").alias("_h"), F.col("runs").alias("_runs"))
     name = free_name(docs.columns, "runs")
     both = docs.join(runs, docs[id_col].eqNullSafe(runs["_i"]) & (F.xxhash64(docs[text_col]) == runs["_h"]), "left").select(
         *[docs[c] for c in docs.columns], runs["_runs"].alias(name))

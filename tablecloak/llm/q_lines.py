@@ -15,4 +15,5 @@ SQL = """WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_sp
 
 @query("op7_line_suffix_array", SQL)
 def op7(spark, sf_dir):
-    return L.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    # the SQL knows runs of two lines only
+    return L.dedup_lines(table(spark, sf_dir, "documents"), report=True, lone_words=None)

@@ -185,6 +185,40 @@ def test_lines(spark, m):
     assert {x.doc_id for x in kept.select("doc_id").collect()} == {i for i, _ in texts} - lost
 
 
+def lone_digest(texts, words):
+    """What is left when later copies of pairs of lines and of long lines go."""
+    parts = [(i, t.split("\n")) for i, t in texts]
+    first, out = {}, {}
+    for i, ls in parts:
+        gone = set()
+        for a, x in enumerate(ls):
+            w = x.split()
+            if a + 1 < len(ls) and first.setdefault((x, ls[a + 1]), (i, a)) != (i, a):
+                gone |= {a, a + 1}
+            if (len(w) >= words or len("".join(w)) >= lines.LONE_CHARS * words) and first.setdefault(x, (i, a)) != (i, a):
+                gone.add(a)
+        if len(gone) < len(ls):
+            out[i] = "\n".join(x for a, x in enumerate(ls) if a not in gone)
+    return out
+
+
+@pytest.mark.parametrize("words", [None, 1, 3, lines.LONE_WORDS])
+def test_single_long_lines(spark, words):
+    """One planted line among lines that differ: its first copy stays, later ones go; short and blank lines stay."""
+    import random
+    r = random.Random(4)
+    passage, unspaced, short = " ".join(f"word{k}" for k in range(60)), "漢字" * 40, "two words"
+    texts = []
+    for i in range(40):
+        ls = [r.choice([f"own {i} {k}", f"l{r.randrange(5)} a b", passage, unspaced, short, "", " " * 80, "l1"]) for k in range(r.randint(1, 9))]
+        texts.append((i, "\n".join(ls)))
+    texts += [(50, f"x\n{passage}\ny"), (51, passage), (52, f"{passage}\n{unspaced}\n{passage}")]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(documents(spark, texts), lone_words=words).collect()}
+    assert got == lone_digest(texts, 10_000 if words is None else words)
+    if words is not None:
+        assert sum(t.count(passage) for t in got.values()) == 1 and got[50] == "x\ny" and 51 not in got
+
+
 def test_line_rounds_double(spark):
     run = "\n".join(f"x{k}" for k in range(20))
     docs = documents(spark, [(1, "a\n" + run), (2, "b\n" + run + "\nc")])

@@ -2,11 +2,12 @@
 
 A candidate is a run of at least ``SHORTEST`` characters of [A-Za-z0-9_+/=-]. Its features are its length and character shares,
 how its characters follow one another (changes of class, and the mean log probability of its character pairs in this
-corpus), how much of it dictionary words cover (words that the corpus uses ``COMMON`` times or more), its path, and the words
-around it. A forest trained from labelled findings scores every candidate.
+corpus), how much of it dictionary words cover (words that are a share of ``COMMON`` or more of all words of the corpus, and
+stand there twice at least), its path, and the words around it. A forest trained from labelled findings scores every candidate.
 
-The tables of character pairs and of word counts have fixed sizes (256 x 256, and WORD_BUCKETS hash buckets) and cover all
-documents. Labelled findings are a parameter: (id, start, label). Where there are none, ``structural_labels`` labels those
+The table of character pairs has a fixed size (256 x 256); words are counted one by one, by a 64 bit hash, and at most 1 / COMMON
+of them can have that share, so the dictionary is bounded at any size. Only words that stand free count, so that pieces of
+tokens do not make themselves a dictionary. Both cover all documents. Labelled findings are a parameter: (id, start, label). Where there are none, ``structural_labels`` labels those
 whose syntax leaves little doubt and leaves the others to the forest.
 
 Defined cases: a null or empty text has no candidates; a null path has no path features; repeated rows give repeated findings;
@@ -33,8 +34,7 @@ from .words import NOT_SPACE, Words, byte_class, slices, span_hashes
 SHORTEST = 16
 CANDIDATE = byte_class(lambda b: chr(b) in "_+/=-" or (b < 0x80 and chr(b).isalnum()))
 LETTERS = byte_class(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
-WORD_BUCKETS = 1 << 18
-COMMON = 20
+COMMON = 2e-6           # share of all words; at most 500,000 words have it
 TRAIN_ROWS = 20_000     # bound of the labelled findings that the forest is grown from
 TREES, DEPTH = 30, 6
 AROUND = 64             # bytes of text looked at on either side
@@ -55,29 +55,46 @@ def _class_of(data: np.ndarray) -> np.ndarray:
 
 
 def _tables(text_at: int):
-    """Counts of byte pairs (kind 0) and of lower-cased letter runs by bucket (kind 1), summed over the task."""
+    """Counts of byte pairs (kind 0), summed over the task, and of lower-cased free-standing words by hash (kind 1), over a slice."""
+    high = byte_class(lambda b: b >= 0x80)
+
+    def out(kind, at, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["kind", "at", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]):
-        pairs, words = np.zeros(1 << 16, np.int64), np.zeros(WORD_BUCKETS, np.int64)
+        pairs = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for part in slices(batch, text_at):
-                w = Words(part.column(text_at), LETTERS | byte_class(lambda b: b >= 0x80), lower=True)
+                w = Words(part.column(text_at), CANDIDATE | high, lower=True)
                 pairs += np.bincount(w.data[:-1].astype(np.int64) * 256 + w.data[1:], minlength=1 << 16)
-                words += np.bincount(w.hashes() % np.uint64(WORD_BUCKETS), minlength=WORD_BUCKETS)
-        for kind, counts in ((0, pairs), (1, words)):
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some, pa.int32()), pa.array(counts[some])], names=["kind", "at", "n"])
+                other = np.append(0, np.cumsum(~(LETTERS | high)[w.data]))
+                word = other[w.ends] == other[w.starts]
+                yield out(1, *np.unique(span_hashes(w.data, w.starts[word], w.ends[word]).view(np.int64), return_counts=True))
+        some = np.flatnonzero(pairs)
+        yield out(0, some, pairs[some])
     return run
 
 
 def corpus_tables(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(log probability of each byte given the one before it, which word buckets are common)."""
+    """(log probability of each byte given the one before it, the sorted hashes of the dictionary words)."""
     bounded_batches(docs.sparkSession)
-    got = docs.select(text_col).mapInArrow(_tables(0), "kind int, at int, n bigint").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select(text_col).mapInArrow(_tables(0), "kind int, at bigint, n bigint").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "word_counts")
+    total = counts.where("kind = 1").agg(F.sum("n")).first()[0] or 0
+    got = counts.where((F.col("kind") == 0) | (F.col("n") >= max(2.0, COMMON * total))).toArrow()
     kind, at, n = (got.column(i).to_numpy() for i in range(3))
-    pairs, words = np.zeros(1 << 16), np.zeros(WORD_BUCKETS)
-    pairs[at[kind == 0]], words[at[kind == 1]] = n[kind == 0], n[kind == 1]
+    pairs = np.zeros(1 << 16)
+    pairs[at[kind == 0]] = n[kind == 0]
     pairs = pairs.reshape(256, 256) + 0.1
-    return np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32), words >= COMMON
+    return np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32), np.sort(at[kind == 1])
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    h = hashes.view(np.int64)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
 def _findings(tables, id_at: int, text_at: int, path_at: int | None):
@@ -90,7 +107,7 @@ def _findings(tables, id_at: int, text_at: int, path_at: int | None):
                 raw = w.data
                 point = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
                 lower = Words(part.column(text_at), LETTERS, lower=True)
-                covered = common[(span_hashes(lower.data, lower.starts, lower.ends) % np.uint64(WORD_BUCKETS)).astype(np.int64)] & (lower.ends - lower.starts > 2)
+                covered = _among(span_hashes(lower.data, lower.starts, lower.ends), common) & (lower.ends - lower.starts > 2)
                 edge = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(edge, lower.starts[covered], 1)
                 np.add.at(edge, lower.ends[covered], -1)

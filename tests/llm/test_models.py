@@ -246,6 +246,21 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secret_dictionary_does_not_grow_with_the_corpus(spark, monkeypatch):
+    """Forty copies of every document have the same dictionary; pieces of tokens are no words of it."""
+    import random
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(300)]
+    texts = [(i, " ".join(r.choice(vocabulary[:k]) for k in (5, 30, 300) for _ in range(20)) + f" rare{'x' * i} 12abc34") for i in range(80)]
+    docs = documents(spark, texts)
+    monkeypatch.setattr(secrets, "COMMON", 1e-3)
+    once = secrets.corpus_tables(docs)[1]
+    more = secrets.corpus_tables(docs.crossJoin(spark.range(40).select()))[1]
+    assert 0 < len(once) < 300 and np.array_equal(once, more)
+    hashes = secrets.span_hashes(np.frombuffer(b"abc", np.uint8), np.array([0]), np.array([3]))
+    assert "abc" in vocabulary or not secrets._among(hashes, once)[0]
+
+
 def test_pipeline(spark):
     base = spark.read.parquet(f"{SF}/documents.parquet")
     docs = base

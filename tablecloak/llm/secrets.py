@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least ``SHORTEST`` characters of [A-Za-z0-9_+/=-]. Its features are its length and character shares,
+A candidate is a run of at least ``SHORTEST`` characters of [A-Za-z0-9_+/=-]; one with '=' inside is parted at the first into
+name and value. Below ``PLAIN`` characters it needs more than plain letters of one case (a capital first aside), or stands right
+after '=', ':' or a quote: other short words are prose. Its features are its length and character shares,
 how its characters follow one another (changes of class, and the mean log probability of its character pairs in this
 corpus), how much of it dictionary words cover (words that are a share of ``COMMON`` or more of all words of the corpus, and
 stand there twice at least), its path, and the words around it. A forest trained from labelled findings scores every candidate.
@@ -8,10 +10,10 @@ stand there twice at least), its path, and the words around it. A forest trained
 The table of character pairs has a fixed size (256 x 256); words are counted one by one, by a 64 bit hash, and at most 1 / COMMON
 of them can have that share, so the dictionary is bounded at any size. Only words that stand free count, so that pieces of
 tokens do not make themselves a dictionary. Both cover all documents. Labelled findings are a parameter: (id, start, label). Where there are none, ``structural_labels`` labels those
-whose syntax leaves little doubt and leaves the others to the forest.
+whose syntax leaves little doubt and leaves the others to the forest. No label follows from the context alone.
 
 Defined cases: a null or empty text has no candidates; a null path has no path features; repeated rows give repeated findings;
-without labels of both classes every finding scores the share of label 1, or 0.5. Positions are code points, end exclusive.
+without labels of both classes every finding scores the share of label 1, or 0.5, and none is removed. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from .frames import bounded_batches, cut, share
 from .words import NOT_SPACE, Words, byte_class, slices, span_hashes
 
-SHORTEST = 16
+SHORTEST = 8
+PLAIN = 16
 CANDIDATE = byte_class(lambda b: chr(b) in "_+/=-" or (b < 0x80 and chr(b).isalnum()))
 LETTERS = byte_class(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 COMMON = 2e-6           # share of all words; at most 500,000 words have it
@@ -41,9 +44,12 @@ AROUND = 64             # bytes of text looked at on either side
 # Words that speak for and against a secret.
 KEYWORDS = re.compile(rb"token|secret|passw|pwd|api|key|auth|bearer|credential|private", re.I)
 EXAMPLES = re.compile(rb"example|sample|dummy|test|changeme|placeholder|your", re.I)
+REFERENCES = re.compile(rb"commit|revision|checksum|digest|hash|sha-?[0-9]|md5|uuid|blob", re.I)
+FORMATS = re.compile(rb"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|[sr]k_live_[A-Za-z0-9]{16,}"
+                     rb"|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}")
 PATHS = re.compile(r"test|example|sample|doc|spec|fixture", re.I)
 FEATURES = ("length", "digits", "upper", "lower", "signs", "hexadecimal", "distinct", "changes", "pairs", "dictionary", "path_depth", "path_example",
-            "keyword_before", "example_near", "assigned", "quoted", "words_before", "words_after", "sign_after")
+            "keyword_before", "example_near", "assigned", "quoted", "words_before", "words_after", "sign_after", "reference_before", "known_format")
 
 
 def _class_of(data: np.ndarray) -> np.ndarray:
@@ -97,13 +103,44 @@ def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
+def _candidates(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, rows) of the candidates among the runs ``w``, in order."""
+    raw, starts, ends, rows = w.data, w.starts, w.ends, w.row
+    signs = np.flatnonzero(raw == 0x3D)
+    if len(signs):
+        run, first = np.unique(np.searchsorted(starts, signs, "right") - 1, return_index=True)
+        at = signs[first]
+        # the value begins after the signs that follow one another; signs at the end are padding
+        value = np.flatnonzero(raw != 0x3D)
+        value = np.append(value, len(raw))[np.searchsorted(value, at)]
+        inside = value < ends[run]
+        run, at, value = run[inside], at[inside], value[inside]
+        cut_ends = ends.copy()
+        cut_ends[run] = at
+        starts, ends, rows = np.append(starts, value), np.append(cut_ends, ends[run]), np.append(rows, rows[run])
+        order = np.argsort(starts, kind="stable")
+        starts, ends, rows = starts[order], ends[order], rows[order]
+    size = ends - starts
+    total = lambda x: np.append(0, np.cumsum(x))
+    upper = (raw >= 0x41) & (raw <= 0x5A)
+    n_other, n_upper = (c[ends] - c[starts] for c in (total(~LETTERS[raw]), total(upper)))
+    plain = (n_other == 0) & ((n_upper == 0) | (n_upper == size) | ((n_upper == 1) & upper[np.minimum(starts, max(len(raw) - 1, 0))]))
+    named = np.zeros(256, bool)
+    named[list(b"=:\"'`")] = True
+    low = w.offsets[rows]
+    back = lambda k: np.where(starts - k >= low, raw[np.maximum(starts - k, 0)], 0) if len(raw) else np.zeros(0, np.uint8)
+    after = named[back(1)] | ((back(1) == 0x20) & named[back(2)])
+    keep = (size >= PLAIN) | ((size >= SHORTEST) & (~plain | after))
+    return starts[keep], ends[keep], rows[keep]
+
+
 def _findings(tables, id_at: int, text_at: int, path_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]):
         log_pair, common = tables()
         for batch in batches:
             for part in slices(batch, text_at):
                 w = Words(part.column(text_at), CANDIDATE)
-                pick = np.flatnonzero(w.ends - w.starts >= SHORTEST)
+                starts, ends, rows = _candidates(w)
                 raw = w.data
                 point = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
                 lower = Words(part.column(text_at), LETTERS, lower=True)
@@ -112,9 +149,8 @@ def _findings(tables, id_at: int, text_at: int, path_at: int | None):
                 np.add.at(edge, lower.starts[covered], 1)
                 np.add.at(edge, lower.ends[covered], -1)
                 in_word = np.append(0, np.cumsum(np.cumsum(edge[:-1])))
-                rows = w.row[pick]
                 spans, features = [], []
-                for s, e, r in zip(w.starts[pick].tolist(), w.ends[pick].tolist(), rows.tolist()):
+                for s, e, r in zip(starts.tolist(), ends.tolist(), rows.tolist()):
                     body, size = raw[s:e], e - s
                     kind = _class_of(body)
                     low, high = int(w.offsets[r]), int(w.offsets[r + 1])
@@ -127,7 +163,8 @@ def _findings(tables, id_at: int, text_at: int, path_at: int | None):
                         float(log_pair[body[:-1], body[1:]].mean()), (in_word[e] - in_word[s]) / size, float((path or "").count("/")), float(bool(PATHS.search(path or ""))),
                         float(bool(KEYWORDS.search(b" ".join(before.split()[-4:])))), float(bool(EXAMPLES.search(before + b" " + text + b" " + after))),
                         float(bool(re.search(rb"[=:]\s*[\"'`]?$", before))), float(before[-1:] in (b'"', b"'", b"`") and after[:1] == before[-1:]),
-                        float(len(before.split())), float(len(after.split())), float(after[:1] not in (b"", b" ", b"\n"))])
+                        float(len(before.split())), float(len(after.split())), float(after[:1] not in (b"", b" ", b"\n")),
+                        float(bool(REFERENCES.search(b" ".join(before.split()[-2:])))), float(FORMATS.fullmatch(text) is not None)])
                     spans.append((int(point[s] - point[low]), int(point[e] - point[low]), hashlib.sha256(text).hexdigest()))
                 table = np.array(features, np.float64).reshape(len(spans), len(FEATURES))
                 yield pa.RecordBatch.from_arrays(
@@ -146,15 +183,22 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 
 def structural_labels(found: DataFrame) -> DataFrame:
-    """(id, start, label) of findings whose syntax leaves little doubt: a quoted value assigned to a name of the keyword list, with
-    digits, is one; letters alone in running text, mostly covered by common words or without any digit, are none."""
-    yes = (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.col("keyword_before") == 1) & (F.col("digits") > 0.1) & (F.col("example_near") == 0)
-    no = (F.col("assigned") == 0) & (F.col("quoted") == 0) & (F.col("keyword_before") == 0) & ((F.col("digits") == 0) | (F.col("dictionary") > 0.5))
+    """(id, start, label) of findings whose syntax leaves little doubt. A secret has a known format, or looks drawn at random and
+    has two of three: a keyword before it, an assignment, quotes. None is what words cover or plain letters make up, whatever is
+    around it but a keyword, and what looks drawn at random after a word like commit or checksum. So quoted and assigned values
+    have both labels, and so have findings without any context."""
+    context = F.col("assigned") + F.col("quoted") + F.col("keyword_before")
+    mixed = (F.col("upper") > 0.1) & (F.col("lower") > 0.1) & (F.col("changes") > 0.25)
+    drawn = ((F.col("digits") > 0.1) | mixed) & (F.col("dictionary") <= 0.5)
+    plain = (F.col("dictionary") > 0.5) | ((F.col("digits") == 0) & ~mixed)
+    known = (F.col("known_format") == 1) & (F.col("example_near") == 0)
+    yes = known | (drawn & (context >= 2) & (F.col("example_near") == 0) & (F.col("reference_before") == 0))
+    no = ~known & (F.col("keyword_before") == 0) & (plain | (drawn & (F.col("reference_before") == 1)))
     return found.where(yes | no).select("id", "start", yes.cast("double").alias("label")).distinct()
 
 
 def score(found: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 5) -> DataFrame:
-    """``found`` with ``score``: the forest's probability. Grown from about ``train_rows`` labelled findings at most, drawn by hash."""
+    """``found`` with ``score``: the forest's probability, and ``judged``: whether there was a forest, that is labels of both classes. Grown from about ``train_rows`` labelled findings at most, drawn by hash."""
     known = found.join(labels.where("label IS NOT NULL").dropDuplicates(["id", "start"]), ["id", "start"])
     total = known.count()
     space = 1 << 40
@@ -163,12 +207,12 @@ def score(found: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, see
     few = cut(few.select("label", "id", "start", *FEATURES).coalesce(1).sortWithinPartitions("id", "start", "label"), "labelled_findings")
     mean, low, high = few.agg(F.avg("label"), F.min("label"), F.max("label")).first()
     if low is None or low == high:
-        return found.withColumn("score", F.lit(0.5 if mean is None else float(mean)))
+        return found.withColumn("score", F.lit(0.5 if mean is None else float(mean))).withColumn("judged", F.lit(False))
     pack = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, probabilityCol="_p",
                                     rawPredictionCol="_raw", predictionCol="_class").fit(pack.transform(few))
     out = forest.transform(pack.transform(found))
-    return out.withColumn("score", F.round(vector_to_array("_p")[1], 9)).drop("_features", "_raw", "_p", "_class")
+    return out.withColumn("score", F.round(vector_to_array("_p")[1], 9)).withColumn("judged", F.lit(True)).drop("_features", "_raw", "_p", "_class")
 
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None,
@@ -176,4 +220,4 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
     """(id, start, end, fingerprint, score, secret): all findings; ``secret`` says which are left when false positives go."""
     found = cut(findings(docs, id_col, text_col, path_col), "findings")
     out = score(found, structural_labels(found) if labels is None else labels)
-    return out.select(F.col("id").alias(id_col), "start", "end", "fingerprint", "score", (F.col("score") >= threshold).alias("secret"))
+    return out.select(F.col("id").alias(id_col), "start", "end", "fingerprint", "score", (~F.col("judged") | (F.col("score") >= threshold)).alias("secret"))

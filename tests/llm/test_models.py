@@ -17,6 +17,7 @@ from tablecloak.llm import mixing, quality, secrets, topk, toxicity  # noqa: E40
 from tablecloak.llm.labelled import fold, sample  # noqa: E402
 from tablecloak.llm.q_quality import op10  # noqa: E402
 from tablecloak.llm.q_toxicity import op9  # noqa: E402
+from tablecloak.llm.words import Words  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -261,6 +262,42 @@ def test_secret_dictionary_does_not_grow_with_the_corpus(spark, monkeypatch):
     assert "abc" in vocabulary or not secrets._among(hashes, once)[0]
 
 
+def test_secrets_in_other_places_than_quotes(spark):
+    """KEY=value, unquoted and short secrets are found and kept; assigned and quoted words are not; no context feature tells the label."""
+    import random
+    r = random.Random(1)
+    token = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = []
+    for i in range(60):
+        texts += [(10 * i, f"export DB_PASSWORD={token(24)}"), (10 * i + 1, f"api key: {token(32)} is live"), (10 * i + 2, f'password = "{token(10)}"'),
+                  (10 * i + 3, 'title = "internationalisation"'), (10 * i + 4, "the internationalisation of it"), (10 * i + 5, f"commit {token(40)} fixed")]
+    texts += [(9001, "here AKIA" + "Q7Z2" * 4 + " alone")]
+    docs, by_id = documents(spark, texts), dict(texts)
+    got = secrets.scan(docs).collect()
+    left = {(x.doc_id, by_id[x.doc_id][x.start:x.end]) for x in got if x.secret}
+    for i in range(60):
+        assert (10 * i, by_id[10 * i].split("=")[1]) in left and (10 * i + 1, by_id[10 * i + 1].split()[2]) in left
+        assert (10 * i + 2, by_id[10 * i + 2].split('"')[1]) in left
+        assert not any(d in (10 * i + 3, 10 * i + 4, 10 * i + 5) for d, _ in left)
+    found = secrets.findings(docs).cache()
+    known = found.join(secrets.structural_labels(found), ["id", "start"])
+    for name in ("assigned", "quoted", "keyword_before"):
+        assert known.groupBy(name).agg(F.countDistinct("label").alias("n")).where("n > 1").count() > 0
+
+
+def test_secrets_without_labels_of_both_classes_are_all_reported(spark):
+    got = secrets.scan(documents(spark, [(1, "some internationalisation here"), (2, "and straightforwardness there")])).collect()
+    assert len(got) == 2 and all(x.secret for x in got)
+
+
+def test_name_and_value_are_parted():
+    cut_at = lambda t: [t.encode()[a:b].decode() for a, b in zip(*secrets._candidates(Words(pa.array([t]), secrets.CANDIDATE))[:2])]
+    assert cut_at("export DB_PASSWORD=abc123456 x") == ["DB_PASSWORD", "abc123456"]
+    assert cut_at("QUJDREVGR0hJSktM== =abc12345") == ["QUJDREVGR0hJSktM==", "abc12345"]
+    assert cut_at("sentence Sentence SENTENCE: hunterhunter 'hunters2'") == ["hunterhunter", "hunters2"]
+    assert cut_at("a==b1234567=c12345678") == ["b1234567=c12345678"] and cut_at("====") == [] and cut_at("") == []
+
+
 def test_pipeline(spark):
     base = spark.read.parquet(f"{SF}/documents.parquet")
     docs = base

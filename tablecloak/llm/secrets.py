@@ -204,7 +204,8 @@ def score(found: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, see
     space = 1 << 40
     few = known.where(F.pmod(F.xxhash64("id", "start", F.lit(seed)), F.lit(space)) < int(space * min(1.0, train_rows / max(total, 1))))
     # of a size that the parameter fixes, in one order, so that every run grows the same trees
-    few = cut(few.select("label", "id", "start", *FEATURES).coalesce(1).sortWithinPartitions("id", "start", "label"), "labelled_findings")
+    # a shuffle parts the join and its filter, which run in parallel, from the one task that sorts what is left
+    few = cut(few.select("label", "id", "start", *FEATURES).repartition(1).sortWithinPartitions("id", "start", "label"), "labelled_findings")
     mean, low, high = few.agg(F.avg("label"), F.min("label"), F.max("label")).first()
     if low is None or low == high:
         return found.withColumn("score", F.lit(0.5 if mean is None else float(mean))).withColumn("judged", F.lit(False))

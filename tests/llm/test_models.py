@@ -290,6 +290,14 @@ def test_secrets_without_labels_of_both_classes_are_all_reported(spark):
     assert len(got) == 2 and all(x.secret for x in got)
 
 
+def test_one_task_sorts_only_the_sample(spark, monkeypatch):
+    """A shuffle lies between the join of the labels and the one task."""
+    plans, cut = [], secrets.cut
+    monkeypatch.setattr(secrets, "cut", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if label == "labelled_findings" else None, cut(df, label))[1])
+    secrets.scan(documents(spark, [(1, "some internationalisation here")]))
+    assert len(plans) == 1 and "Coalesce 1" not in plans[0] and "REPARTITION_BY_NUM" in plans[0]
+
+
 def test_name_and_value_are_parted():
     cut_at = lambda t: [t.encode()[a:b].decode() for a, b in zip(*secrets._candidates(Words(pa.array([t]), secrets.CANDIDATE))[:2])]
     assert cut_at("export DB_PASSWORD=abc123456 x") == ["DB_PASSWORD", "abc123456"]

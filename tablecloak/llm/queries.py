@@ -3,7 +3,7 @@
 import corpus_pipeline
 
 from . import (  # noqa: F401
-    q_decontaminate, q_lines, q_minhash, q_mixing, q_pii, q_quality, q_secrets, q_substrings, q_topk, q_toxicity,
+    q_bpe, q_decontaminate, q_lines, q_minhash, q_mixing, q_pii, q_quality, q_secrets, q_substrings, q_topk, q_toxicity,
 )
 from .registry import ORACLES, QUERIES
 

@@ -5,6 +5,7 @@ import os
 import random
 import sys
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -13,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cases import AWKWARD, EXTRA, SCHEMA, documents, random_texts, rows  # noqa: E402
 
-from tablecloak.llm import bpe  # noqa: E402
+from tablecloak.llm import alignment, bpe, perfect, vectors  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 STRANGE = "՘a 1₏2 \U00010940x \U00011de03 �\x1c\x1d  　 \U0001f600‍ 'll'LL  \x85"
@@ -117,3 +118,89 @@ def test_unknown_ids_and_empty_tables(spark, ranks):
     assert got[1] is None and got[2] is None and got[3] is None and bytes(got[4]) == b"" and bytes(got[5]) == b""
     none = spark.createDataFrame([], SCHEMA)
     assert bpe.report(none, ranks, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.fixture(scope="module")
+def both():
+    return alignment.Tokenizers.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def plain_alignment(texts, both):
+    """Every document's links and groups by the ends of its tokens, one by one."""
+    of_a, of_b = both.entries()
+    encode_a, encode_b = both.make()
+    found, counts = [], {}
+    for i, t in texts:
+        a, b = (encode_a([" " + t])[0], encode_b([t])[0]) if t else ([], [])
+        whole = b" " + (t or "").encode()
+        if not t or b"".join(of_a[x] for x in a) != whole or b"".join(of_b[x] for x in b) != whole:
+            a, b = [], []
+        ends_b, at = {}, 0
+        for k, x in enumerate(b):
+            at += len(of_b[x])
+            ends_b[at] = k
+        groups, links, at, from_a, from_b = [], [], 0, 0, 0
+        for k, x in enumerate(a):
+            at += len(of_a[x])
+            if at in ends_b:
+                links.append((x, b[ends_b[at]]))
+                groups.append(",".join(map(str, a[from_a:k + 1])) + "|" + ",".join(map(str, b[from_b:ends_b[at] + 1])))
+                from_a, from_b = k + 1, ends_b[at] + 1
+        for pair in links:
+            counts[pair] = counts.get(pair, 0) + 1
+        found.append((i, len(a), len(b), groups, links))
+    best = {}
+    for (_, y), n in counts.items():
+        best[y] = max(best.get(y, 0), n)
+    return [(i, na, nb, len(groups), len(links), sum(counts[p] == best[p[1]] for p in links), sum(counts[p] for p in links),
+             hashlib.sha256(";".join(groups).encode()).hexdigest() if na else "") for i, na, nb, groups, links in found], counts
+
+
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_alignment_is_that_of_every_end(spark, both, texts, monkeypatch):
+    monkeypatch.setattr(alignment, "SHARD_KEYS", 1 << 10)
+    monkeypatch.setattr(alignment, "BUFFERED", 100)
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "FAN", 2)
+    odd = [(2000, "  leading"), (2001, "tab\tand　wide ▁ sign"), (2002, "﻿bom"), (2003, "<0x41> </s> <unk>"), (2004, "é é ﬁ"), (2005, "\x00nul")]
+    docs = documents(spark, texts + odd)
+    want, _ = plain_alignment(texts + odd, both)
+    assert any(w[1] == 0 for w in want) and sum(w[1] > 0 for w in want) > 40
+    assert rows(alignment.report(docs, both), *COLUMNS) == sorted(want, key=repr)
+
+
+def test_pairs_of_the_documents(spark, both):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want, counts = plain_alignment(texts, both)
+    assert rows(alignment.report(docs, both), *COLUMNS) == sorted(want, key=repr)
+    got = {(r["a"], r["b"]): (r["n"], r["best"]) for r in alignment.pair_table(docs, both).collect()}
+    highest = {}
+    for (_, y), n in counts.items():
+        highest[y] = max(highest.get(y, 0), n)
+    assert got == {p: (n, n == highest[p[1]]) for p, n in counts.items()}
+    assert len(got) <= alignment.most_pairs(*both.entries())
+
+
+def test_most_pairs_counts_suffixes():
+    a, b = [b"a", b"ba", b"x", b"a"], [b"a", b"cba", b"y", b"a"]
+    by_hand = sum(x.endswith(y) or y.endswith(x) for x in a for y in b)
+    assert alignment.most_pairs(a, b) == by_hand
+
+
+def test_perfect_hash_is_minimal_and_knows_its_keys():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 20_000).astype(np.uint64))
+    at = perfect.shard_of(keys, 5)
+    hashed = perfect.PerfectHash({s: perfect.Shard(np.repeat(keys[at == s], 2)) for s in range(5)}, 5)
+    index = hashed.index(keys)
+    assert sorted(index.tolist()) == list(range(len(keys))) and np.array_equal(hashed.keys[index], keys)
+    assert (hashed.index(keys + np.uint64(1 << 62)) == -1).all()
+    none = perfect.PerfectHash({}, 3)
+    assert len(none) == 0 and (none.index(keys[:10]) == -1).all() and len(none.keys) == 0
+
+
+def test_alignment_of_empty_tables(spark, both):
+    none = spark.createDataFrame([], SCHEMA)
+    assert alignment.report(none, both).count() == 0 and alignment.pair_table(none, both).count() == 0

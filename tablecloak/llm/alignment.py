@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from .frames import bounded_batches, cut, share
 from .perfect import PerfectHash, Shard, shard_of
-from .vectors import SCHEMA as VECTOR, block_rows, tree_sum
+from .vectors import SCHEMA as VECTOR, block_batch, block_rows, tree_sum
 from .words import slices, text_bytes
 
 SHARD_KEYS = 1 << 15   # keys of one shard of the hash, about
@@ -221,9 +221,9 @@ def total_counts(counted: DataFrame, hashed: PerfectHash) -> np.ndarray:
         for batch in batches:
             for keys, counts in zip(batch.column(0), batch.column(1)):
                 np.add.at(vector, held().index(np.frombuffer(keys.as_buffer(), np.uint64)), np.frombuffer(counts.as_buffer(), "<i8"))
-        yield from block_rows(TaskContext.get().partitionId(), vector)
+        yield block_batch(list(block_rows(TaskContext.get().partitionId(), vector)))
 
-    return tree_sum(counted.mapInArrow(run, VECTOR), size, "pair_vectors")
+    return tree_sum(cut(counted.mapInArrow(run, VECTOR), "pair_vectors"), size)
 
 
 def align(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, PerfectHash, np.ndarray]:

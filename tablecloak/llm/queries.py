@@ -3,7 +3,7 @@
 import corpus_pipeline
 
 from . import (  # noqa: F401
-    q_alignment, q_bpe, q_decontaminate, q_lines, q_minhash, q_mixing, q_pii, q_quality, q_secrets, q_substrings, q_topk, q_toxicity,
+    q_alignment, q_bpe, q_collocations, q_decontaminate, q_lines, q_minhash, q_mixing, q_pii, q_quality, q_secrets, q_substrings, q_topk, q_toxicity,
 )
 from .registry import ORACLES, QUERIES
 

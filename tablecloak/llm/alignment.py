@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .bpe import EVERY, Coder, chunks, split_rules
 from .frames import bounded_batches, cut, share
 from .perfect import PerfectHash, Shard, shard_of
 from .vectors import SCHEMA as VECTOR, block_batch, block_rows, tree_sum
@@ -35,6 +36,7 @@ from .words import slices, text_bytes
 
 SHARD_KEYS = 1 << 15   # keys of one shard of the hash, about
 BUFFERED = 1 << 20     # links a task counts before it adds them to its table of distinct pairs
+CHUNK_BYTES = 8 << 20  # text whose distinct pre-tokens are encoded together
 SHIFT = np.uint64(32)  # a pair of ids as one key: the A id above, the B id below
 
 
@@ -48,15 +50,16 @@ def byte_of_sign() -> dict[str, int]:
 
 @dataclass
 class Tokenizers:
-    """The contents of the two vocabulary files; tasks make tokenizers of them."""
+    """The contents of the two vocabulary files, and the pattern by which byte-level vocabularies cut texts into pre-tokens."""
 
     byte_level: str
     pieces: bytes
+    pattern: str
 
     @classmethod
-    def read(cls, byte_level_path: str, pieces_path: str) -> Tokenizers:
+    def read(cls, byte_level_path: str, pieces_path: str, pattern: str) -> Tokenizers:
         with open(byte_level_path, encoding="utf-8") as a, open(pieces_path, "rb") as b:
-            return cls(a.read(), b.read())
+            return cls(a.read(), b.read(), pattern)
 
     def entries(self) -> tuple[list[bytes], list[bytes]]:
         """The bytes of every id of A and of B."""
@@ -76,7 +79,7 @@ class Tokenizers:
             b.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
         return a, b
 
-    def make(self):
+    def libraries(self):
         """(encode A, encode B): from texts to lists of ids, without special tokens."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
@@ -85,7 +88,31 @@ class Tokenizers:
         first, second = Tokenizer.from_str(self.byte_level), SentencePieceProcessor(model_proto=self.pieces)
         first.encode_special_tokens = True
         return (lambda texts: [e.ids for e in first.encode_batch_fast(texts, add_special_tokens=False)],
-                lambda texts: second.encode(texts, num_threads=1))
+                lambda texts: second.encode(texts, num_threads=1) if isinstance(texts, list) else second.encode(texts))
+
+    def rules(self) -> tuple[str, str, str] | None:
+        """How texts are split for A; None where A splits in another way than by the pattern alone."""
+        described = json.loads(self.byte_level)
+        own = described["pre_tokenizer"] or {}
+        if described["normalizer"] or own.get("type") != "ByteLevel" or own["add_prefix_space"] or not own["use_regex"]:
+            return None
+
+        def library(name: str) -> set[str]:
+            from tokenizers import Regex, pre_tokenizers
+
+            cut_out = pre_tokenizers.Split(Regex(name), "isolated")
+            return {c for piece, _ in cut_out.pre_tokenize_str(" ".join(EVERY) if name != r"\s" else "a".join(EVERY)) for c in piece
+                    if len(piece) == 1 and c not in (" " if name != r"\s" else "a")}
+
+        return split_rules(self.pattern, library)
+
+    def make(self, rules: tuple[str, str, str] | None = None):
+        """(encode A, encode B) for a task: texts to the ids of each, of A as little-endian 32 bit numbers. With ``rules`` A
+        encodes each distinct pre-token of some texts once."""
+        whole, second = self.libraries()
+        packed = lambda texts: [np.array(ids, "<u4").tobytes() for ids in whole(texts)]
+        rules = rules or self.rules()
+        return (Coder(rules, packed).encode if rules else packed), second
 
 
 def most_pairs(a: list[bytes], b: list[bytes]) -> int:
@@ -104,23 +131,23 @@ def most_pairs(a: list[bytes], b: list[bytes]) -> int:
 def tokens(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, a, b): the ids of every document as little-endian 32 bit numbers, both null where it has no tokens."""
     bounded_batches(docs.sparkSession)
-    held = share(docs.sparkSession, tokenizers)
+    held = share(docs.sparkSession, (tokenizers, tokenizers.rules()))
     made: list = []
 
     def run(batches: Iterator[pa.RecordBatch]):
         if not made:
-            made.extend([*held().entries(), *held().make()])
+            both, rules = held()
+            made.extend([*both.entries(), *both.make(rules)])
         of_a, of_b, encode_a, encode_b = made
-        for batch in batches:
-            for part in slices(batch, 1):
-                texts = part.column(1).to_pylist()
-                some = [i for i, t in enumerate(texts) if t]
-                a, b = [None] * len(texts), [None] * len(texts)
-                for i, x, y in zip(some, encode_a([" " + texts[i] for i in some]), encode_b([texts[i] for i in some])):
-                    whole = b" " + texts[i].encode()
-                    if b"".join(map(of_a.__getitem__, x)) == whole and b"".join(map(of_b.__getitem__, y)) == whole:
-                        a[i], b[i] = np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["id", "a", "b"])
+        for part in chunks(batches, 1, CHUNK_BYTES):
+            texts = part.column(1).to_pylist()
+            some = [i for i, t in enumerate(texts) if t]
+            a, b = [None] * len(texts), [None] * len(texts)
+            for i, x in zip(some, encode_a([" " + texts[i] for i in some])):
+                whole, y = b" " + texts[i].encode(), encode_b(texts[i])
+                if b"".join(map(of_b.__getitem__, y)) == whole and b"".join(map(of_a.__getitem__, np.frombuffer(x, "<u4").tolist())) == whole:
+                    a[i], b[i] = x, np.array(y, "<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["id", "a", "b"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, a binary, b binary")

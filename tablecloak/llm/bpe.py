@@ -1,14 +1,17 @@
 """Byte-level BPE: texts to token ids by the ranks of a vocabulary file, and ids back to bytes.
 
-A text is cut by the vocabulary's pattern into pre-tokens. A pre-token that is an entry itself is that id. Any other starts as
-single bytes in a linked list; every pair of neighbours whose joined bytes are an entry waits in the bucket of that entry's rank.
-A bitmap of three or four levels, 64 flags a word, says which buckets hold something: find-first-set from the top gives the
-lowest rank in as many steps as there are levels, whatever the length of the pre-token. The positions of a bucket are merged from
-left to right; an entry whose pair has changed since is stale and skipped. A merge makes two new pairs at most, so a pre-token
-of n bytes takes n merges and 3 n bucket entries, also one of megabytes.
-
-Everything is one pass over the documents without a shuffle. The vocabulary is broadcast: its size is that of its file. Pre-tokens
-of up to ``SHORT`` characters are remembered in a task, ``REMEMBERED`` of them at once; this bounds memory and changes no id.
+A text is cut by the vocabulary's pattern into pre-tokens. A pre-token that is an entry itself is that id. The others, each
+distinct one of a chunk once, lie one after the other as single bytes in a linked list without links between pre-tokens; every pair of
+neighbours whose joined bytes are an entry waits in the bucket of that entry's rank. A bitmap of levels, 64 flags a word, says
+which buckets hold something: find-first-set from the top gives the lowest rank in as many steps as there are levels, whatever
+the length. The positions of a bucket are merged at once, the leftmost of overlapping ones first; an entry whose pair has changed
+since is stale and skipped. A merge makes two new pairs at most, so n bytes take n merges and 3 n bucket entries, also in a
+pre-token of megabytes. Where a merge can bring up a pair of lower rank, only the leftmost position of each pre-token is merged and
+the rest go back to their bucket.
+
+Everything is one pass over the documents without a shuffle. The vocabulary is broadcast: its size is that of its file. A task
+works on ``CHUNK_BYTES`` of text at once, or on one longer text, and remembers pre-tokens until it has ``REMEMBERED`` of them; this
+bounds memory and changes no id.
 
 Defined cases: a null text is an empty one and has no ids; repeated rows are encoded each by itself; an empty table gives an empty
 one; ids of rows, null or repeated, are carried along; a text of any length is encoded whole, its pre-tokens taken one by one from
@@ -20,7 +23,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .frames import bounded_batches, free_name, share
-from .words import slices
+from .words import slices, text_bytes
 
-SHORT = 48            # characters of a pre-token that is remembered
-REMEMBERED = 1 << 18  # pre-tokens remembered by a task at once
-LONG = 1 << 20        # characters of a text whose pre-tokens are not listed at once
-BLOCK = 1 << 16       # pre-tokens handled at once in such a text
-FLAGS = 6             # a bitmap word has 2 ** FLAGS flags
+CHUNK_BYTES = 32 << 20  # text whose pre-tokens are merged together
+REMEMBERED = 1 << 18    # pre-tokens a task keeps from one chunk to the next
+LONG = 1 << 20          # characters of a text whose pre-tokens are not listed at once
+FLAGS = 6               # a bitmap word has 2 ** FLAGS flags
+EVERY = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,12 +62,12 @@ class RankQueue:
             self.levels.append([0] * size)
         self.buckets: dict[int, list[int]] = {}
 
-    def add(self, rank: int, position: int) -> None:
+    def add(self, rank: int, *positions: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            bucket.append(position)
+            bucket.extend(positions)
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = [*positions]
         for level in self.levels:
             word = rank >> FLAGS
             had, level[word] = level[word], level[word] | 1 << (rank & ((1 << FLAGS) - 1))
@@ -94,51 +98,87 @@ class RankQueue:
         return bucket
 
 
-class Merger:
-    """Ids of single pre-tokens."""
+class Merges:
+    """What the ranks allow: the entry of each pair of entries, and the ranks whose merge can bring up a lower one."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values()) + 1)
-
-    def ids(self, piece: bytes) -> list[int]:
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        if piece in ranks:
-            return [ranks[piece]]
-        # a symbol is known by its first byte: where it ends (the start of the next), where the one before starts
-        end, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-
-        def renew(at: int) -> int:
-            """The rank of the pair that starts at ``at``, noted and queued; -1 for none."""
-            second = end[at]
-            rank = ranks.get(piece[at:end[second]], -1) if second < n else -1
-            pair[at] = rank
-            if rank >= 0:
-                queue.add(rank, at)
-            return rank
-
-        for i in range(n - 1):
-            renew(i)
+        self.entries: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for entry, rank in ranks.items():
+            self.entries[rank] = entry
+        self.none = len(self.entries)   # the symbol after the last
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = [(ranks[e[:k]], ranks[e[k:]], rank) for e, rank in ranks.items() for k in range(1, len(e)) if e[:k] in ranks and e[k:] in ranks]
+        left, right, made = np.array(pairs, np.int64).reshape(-1, 3).T
+        keys = left * (self.none + 1) + right
+        order = np.argsort(keys)
+        self.keys, self.made = np.append(keys[order], -1), np.append(made[order], -1)
+        self.lower = np.zeros(self.none, bool)
+        for part in (left, right):
+            self.lower[part[made < part]] = True
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it is no entry."""
+        keys = left * (self.none + 1) + right
+        at = np.searchsorted(self.keys[:-1], keys)
+        return np.where(self.keys[at] == keys, self.made[at], -1)
+
+
+class Merger:
+    """Ids of pre-tokens that are no entries."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.queue = merges, RankQueue(merges.none)
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, four little-endian bytes an id."""
+        if not pieces:
+            return []
+        m, queue = self.merges, self.queue
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n, sizes = len(data), np.array([len(p) for p in pieces])
+        first = np.cumsum(sizes) - sizes
+        # a symbol is known by its first byte; place n is that after the last of every piece
+        symbol = np.append(m.bytes[data], m.none)
+        after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool)
+        after[first[1:] - 1], after[n - 1], before[first] = n, n, -1
+        pair = np.append(m.rank(symbol[:n], symbol[after[:n]]), -1)
+        waiting = np.flatnonzero(pair >= 0)
+        waiting = waiting[np.argsort(pair[waiting], kind="stable")]
+        bounds = np.flatnonzero(np.diff(pair[waiting], prepend=-1, append=-1)).tolist()
+        for x, y in zip(bounds[:-1], bounds[1:]):
+            queue.add(int(pair[waiting[x]]), *waiting[x:y].tolist())
         while (rank := queue.lowest()) >= 0:
-            places = queue.take(rank)
-            for k, i in enumerate(places):
-                if pair[i] != rank:
-                    continue
-                second = end[i]
-                pair[second], end[i] = -1, end[second]
-                if end[i] < n:
-                    before[end[i]] = i
-                new = renew(i), renew(before[i]) if before[i] >= 0 else -1
-                if any(0 <= r < rank for r in new):
-                    # a lower rank has come up: it goes first, the rest of this bucket waits
-                    for place in places[k + 1:]:
-                        queue.add(rank, place)
-                    break
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i:end[i]]])
-            i = end[i]
-        return out
+            at = np.array(queue.take(rank))
+            at = at[pair[at] == rank]
+            if not len(at):
+                continue
+            if m.lower[rank] and len(at) > 1:
+                piece = np.searchsorted(first, at, "right")
+                leftmost = np.append(True, piece[1:] != piece[:-1])
+                if not leftmost.all():
+                    queue.add(rank, *at[~leftmost].tolist())
+                    at = at[leftmost]
+            second = after[at]
+            if len(at) > 1 and (touching := second[:-1] == at[1:]).any():
+                # of positions that overlap one another in a row, every other one
+                place = np.arange(len(at))
+                start = np.maximum.accumulate(np.where(np.append(False, touching), 0, place))
+                at = at[(place - start) % 2 == 0]
+                second = after[at]
+            end = after[second]
+            after[at], before[end], symbol[at], pair[second], alive[second] = end, at, rank, -1, False
+            left = before[at]
+            changed = np.concatenate([at, left[left >= 0]])
+            if len(at) > 1:
+                changed = np.unique(changed)
+            new = m.rank(symbol[changed], symbol[after[changed]])
+            pair[changed] = new
+            for r, i in zip(new.tolist(), changed.tolist()):
+                if r >= 0:
+                    queue.add(r, i)
+        ids = symbol[:n][alive].astype("<u4").tobytes()
+        ends = np.cumsum(np.add.reduceat(alive, first, dtype=np.int64)) * 4
+        return [ids[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def _ranges(chars: set[str]) -> str:
@@ -152,20 +192,23 @@ def _ranges(chars: set[str]) -> str:
     return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in parts)
 
 
-def split_rules(pattern: str) -> tuple[str, str, str]:
+def library_class(name: str) -> set[str]:
+    """The characters that the reference library takes for the class ``name``."""
+    single = tiktoken.Encoding(name, pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return set(single.decode(single.encode_ordinary(EVERY)))
+
+
+def split_rules(pattern: str, theirs: Callable[[str], set[str]] = library_class) -> tuple[str, str, str]:
     """(pattern, strange, exact): texts with a character of the class ``strange`` are split by ``exact``, others by ``pattern``.
 
     The regular expressions here and those of the reference library know different Unicode versions. Characters that only one
     of them takes for a letter, a number or a space are strange; ``exact`` moves them to where the library has them.
     """
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    single = {bytes([b]): b for b in range(256)}
     strange, exact = set(), pattern
     for name in (r"\p{L}", r"\p{N}", r"\s"):
         if name not in pattern:
             continue
-        theirs = tiktoken.Encoding(name, pat_str=name, mergeable_ranks=single, special_tokens={})
-        want, have = set(theirs.decode(theirs.encode_ordinary(every))), set(regex.findall(name, every))
+        want, have = theirs(name), set(regex.findall(name, EVERY))
         if want != have:
             strange |= want ^ have
             moved = f"[{name}--[{_ranges(have - want)}]]" if have - want else name
@@ -174,39 +217,49 @@ def split_rules(pattern: str) -> tuple[str, str, str]:
 
 
 class Coder(dict):
-    """Encodes and decodes inside a task. As a dict it remembers short pre-tokens: the ids of each, four little-endian bytes an id."""
+    """Encodes inside a task. As a dict it numbers the pre-tokens it has seen; ``coded`` has the ids of each."""
 
-    def __init__(self, ranks: dict[bytes, int], rules: tuple[str, str, str]):
+    def __init__(self, rules: tuple[str, str, str], ids_of: Callable[[list[str]], list[bytes]]):
         super().__init__()
-        self.merger = Merger(ranks)
-        self.entries: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for entry, rank in ranks.items():
-            self.entries[rank] = entry
         plain, strange, exact = rules
         self.plain = regex.compile(plain)
         self.strange = regex.compile(strange) if strange else None
         self.exact = regex.compile(exact, regex.V1)
+        self.ids_of = ids_of
+        self.fresh: list[str] = []
+        self.coded: list[bytes] = []
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merger.ids(piece.encode()), "<u4").tobytes()
-        if len(piece) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
+        return number
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, four little-endian bytes each."""
+    def _numbers(self, text: str) -> array:
         pattern = self.exact if self.strange and not text.isascii() and self.strange.search(text) else self.plain
-        if len(text) <= LONG:
-            return b"".join(map(self.__getitem__, pattern.findall(text)))
-        parts, block = [], []
-        for match in pattern.finditer(text):
-            block.append(match.group())
-            if len(block) == BLOCK:
-                parts.append(b"".join(map(self.__getitem__, block)))
-                block = []
-        return b"".join([*parts, *map(self.__getitem__, block)])
+        pieces = pattern.findall(text) if len(text) <= LONG else (match.group() for match in pattern.finditer(text))
+        return array("I", map(self.__getitem__, pieces))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, four little-endian bytes an id."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.coded = []
+        numbers = [self._numbers(t) for t in texts]
+        fresh, self.fresh = self.fresh, []
+        self.coded += self.ids_of(fresh)
+        return [b"".join(map(self.coded.__getitem__, row)) for row in numbers]
+
+
+class Vocabulary:
+    """The ids of pre-tokens, and the bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int], merges: Merges):
+        self.ranks, self.entries, self.merger = ranks, merges.entries, Merger(merges)
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        wanted = [p.encode() for p in pieces]
+        merged = iter(self.merger.ids([p for p in wanted if p not in self.ranks]))
+        return [self.ranks[p].to_bytes(4, "little") if p in self.ranks else next(merged) for p in wanted]
 
     def decode(self, ids: list[int | None]) -> bytes | None:
         try:
@@ -215,30 +268,46 @@ class Coder(dict):
             return None
 
 
-def _coder(docs: DataFrame, ranks: dict[bytes, int], pattern: str):
+def _tools(docs: DataFrame, ranks: dict[bytes, int], pattern: str):
+    """Gives (coder, vocabulary) inside a task."""
     bounded_batches(docs.sparkSession)
-    held = share(docs.sparkSession, (ranks, split_rules(pattern)))
-    made: list[Coder] = []
+    held = share(docs.sparkSession, (ranks, Merges(ranks), split_rules(pattern)))
+    made: list = []
 
-    def get() -> Coder:
+    def get() -> tuple[Coder, Vocabulary]:
         if not made:
-            made.append(Coder(*held()))
-        return made[0]
+            own, merges, rules = held()
+            vocabulary = Vocabulary(own, merges)
+            made.extend([Coder(rules, vocabulary.ids), vocabulary])
+        return made[0], made[1]
 
     return get
 
 
+def chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in chunks of ``limit`` bytes of text, or of one longer text."""
+    waiting, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column):
+            bytes_ = int(text_bytes(part.column(column))[1][-1])
+            if waiting and size + bytes_ > limit:
+                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                waiting, size = [], 0
+            waiting, size = [*waiting, part], size + bytes_
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
     """The documents with ``ids`` array<int>."""
-    coder, at = _coder(docs, ranks, pattern), docs.columns.index(text_col)
+    tools, at = _tools(docs, ranks, pattern), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for part in slices(batch, at):
-                coded = [coder().encode(t or "") for t in part.column(at).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=out.names)
+        for part in chunks(batches, at, CHUNK_BYTES):
+            coded = tools()[0].encode([t or "" for t in part.column(at).to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], names=out.names)
 
     out = T.StructType([*docs.schema.fields, T.StructField(free_name(docs.columns, "ids"), T.ArrayType(T.IntegerType(), True))])
     return docs.mapInArrow(run, out)
@@ -246,11 +315,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: str = "ids") -> DataFrame:
     """The rows with ``decoded`` binary, the bytes of their ids."""
-    coder, at = _coder(coded, ranks, pattern), coded.columns.index(ids_col)
+    tools, at = _tools(coded, ranks, pattern), coded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            found = [coder().decode(ids or []) for ids in batch.column(at).to_pylist()]
+            found = [tools()[1].decode(ids or []) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=out.names)
 
     out = T.StructType([*coded.schema.fields, T.StructField(free_name(coded.columns, "decoded"), T.BinaryType(), True)])
@@ -259,19 +328,15 @@ def decode(coded: DataFrame, ranks: dict[bytes, int], pattern: str, ids_col: str
 
 def report(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids as little-endian 32 bit numbers, and of what they decode to."""
-    coder = _coder(docs, ranks, pattern)
+    tools = _tools(docs, ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for part in slices(batch, 1):
-                n, of_ids, of_bytes = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = coder().encode(text or "")
-                    n.append(len(ids) // 4)
-                    of_ids.append(hashlib.sha256(ids).hexdigest())
-                    of_bytes.append(hashlib.sha256(coder().decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                                                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in chunks(batches, 1, CHUNK_BYTES):
+            coded = tools()[0].encode([t or "" for t in part.column(1).to_pylist()])
+            n, of_ids = [len(c) // 4 for c in coded], [hashlib.sha256(c).hexdigest() for c in coded]
+            of_bytes = [hashlib.sha256(tools()[1].decode(np.frombuffer(c, "<u4").tolist())).hexdigest() for c in coded]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+                                             names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(

@@ -38,6 +38,14 @@ def texts():
     return random_texts(40) + AWKWARD + [(1000 + i, t) for i, t in enumerate([*odd, *runs, STRANGE])]
 
 
+def numbers(ids):
+    return [int.from_bytes(ids[k:k + 4], "little") for k in range(0, len(ids), 4)]
+
+
+def coder(ranks):
+    return bpe.Coder(bpe.split_rules(public_tokenizers.PATTERN), bpe.Vocabulary(ranks, bpe.Merges(ranks)).ids)
+
+
 def test_queue_gives_the_lowest_rank():
     r, q = random.Random(1), bpe.RankQueue(50_000)
     held = {}
@@ -63,10 +71,8 @@ def test_merges_of_any_vocabulary():
         r.shuffle(entries)
         own = {bytes([b]): len(entries) + b for b in range(256)} | {e: i for i, e in enumerate(entries)}
         there = tiktoken.Encoding("t", pat_str=r"(?s).+", mergeable_ranks=own, special_tokens={})
-        merger = bpe.Merger(own)
-        for _ in range(20):
-            piece = bytes(r.choice(b"aab") for _ in range(r.randint(1, 300)))
-            assert merger.ids(piece) == there.encode_ordinary(piece.decode())
+        pieces = [p for p in (bytes(r.choice(b"aab") for _ in range(r.randint(1, 300))) for _ in range(20)) if p not in own]
+        assert [numbers(c) for c in bpe.Merger(bpe.Merges(own)).ids(pieces)] == [there.encode_ordinary(p.decode()) for p in pieces]
 
 
 def test_ids_are_those_of_the_library(spark, ranks, library, texts):
@@ -93,23 +99,23 @@ def test_encode_then_decode_keeps_other_columns(spark, ranks, texts):
         assert bytes(row["_decoded"]).decode() == (row["text"] or "") and row["ids"] == EXTRA["h"]
 
 
-def test_long_texts_and_short_memory(spark, ranks, library, monkeypatch):
+def test_long_texts_and_short_memory(spark, ranks, library, texts, monkeypatch):
     monkeypatch.setattr(bpe, "LONG", 100)
-    monkeypatch.setattr(bpe, "BLOCK", 7)
-    monkeypatch.setattr(bpe, "REMEMBERED", 5)
-    coder = bpe.Coder(ranks, bpe.split_rules(public_tokenizers.PATTERN))
-    for _, t in random_texts(30, 3):
-        ids = coder.encode(t)
-        assert [int.from_bytes(ids[k:k + 4], "little") for k in range(0, len(ids), 4)] == library.encode_ordinary(t)
-    assert len(coder) <= 5
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    own, some = coder(ranks), random_texts(30, 3)
+    for k in range(0, 30, 3):
+        assert [numbers(c) for c in own.encode([t for _, t in some[k:k + 3]])] == [library.encode_ordinary(t) for _, t in some[k:k + 3]]
+        assert len(own) == len(own.coded) < 300
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 500)
+    got = rows(bpe.encode(documents(spark, texts), ranks, public_tokenizers.PATTERN), "doc_id", "ids")
+    assert got == sorted(((i, library.encode_ordinary(t or "")) for i, t in texts), key=repr)
 
 
 def test_a_pre_token_of_a_megabyte(ranks, library):
     """Merges grow with the length, not with its square."""
     r = random.Random(3)
-    text = "".join(r.choice("abcdeilnorst") for _ in range(1 << 19))
-    ids = bpe.Coder(ranks, bpe.split_rules(public_tokenizers.PATTERN)).encode(text)
-    assert len(ids) == 4 * len(library.encode_ordinary(text))
+    text = "".join(r.choice("abcdeilnorst") for _ in range(1 << 20))
+    assert numbers(coder(ranks).encode([text])[0]) == library.encode_ordinary(text)
 
 
 def test_unknown_ids_and_empty_tables(spark, ranks):
@@ -122,13 +128,13 @@ def test_unknown_ids_and_empty_tables(spark, ranks):
 
 @pytest.fixture(scope="module")
 def both():
-    return alignment.Tokenizers.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.Tokenizers.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
 def plain_alignment(texts, both):
     """Every document's links and groups by the ends of its tokens, one by one."""
     of_a, of_b = both.entries()
-    encode_a, encode_b = both.make()
+    encode_a, encode_b = both.libraries()
     found, counts = [], {}
     for i, t in texts:
         a, b = (encode_a([" " + t])[0], encode_b([t])[0]) if t else ([], [])
@@ -171,6 +177,18 @@ def test_alignment_is_that_of_every_end(spark, both, texts, monkeypatch):
     assert rows(alignment.report(docs, both), *COLUMNS) == sorted(want, key=repr)
 
 
+def test_a_ids_are_those_of_the_library(spark, both, texts):
+    """Pre-tokens encoded one by one give the ids of the whole text, also with letters that only one Unicode version has."""
+    whole, _ = both.libraries()
+    by_piece, _ = both.make()
+    some = [" " + t for _, t in texts if t]
+    assert [numbers(c) for c in by_piece(some)] == whole(some)
+    assert both.rules()[1]
+    other = alignment.Tokenizers(both.byte_level.replace('"use_regex":true', '"use_regex":false').replace('"use_regex": true', '"use_regex": false'), both.pieces, both.pattern)
+    assert other.rules() is None
+    assert [numbers(c) for c in other.make()[0](some)] == other.libraries()[0](some)
+
+
 def test_pairs_of_the_documents(spark, both):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]

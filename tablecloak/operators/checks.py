@@ -14,9 +14,9 @@ from ..functions import checksums, dates
 from ..functions.detectors import BY_ID
 from ..keys import check_secret, subkey
 from .fit import union_all
-from .joins import lookup_join
+from .joins import counted_join, lookup_join
 from .masks import STRATEGIES, Context, Rule, shift_bounds
-from .relations import Link, orphan_rows
+from .relations import Link, orphan_keys
 
 TRIGGERS = ("validation_fail", "format_error", "mask_error")
 
@@ -83,14 +83,14 @@ def value_leaks(source: DataFrame, output: DataFrame, columns: Sequence[str]) ->
     parts = []
     for c in columns:
         known = source.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct()
-        parts.append(lookup_join(output.select(F.col(c).cast("string").alias("v")).where("v is not null"), known, ["v"], "left_semi")
-                     .agg(F.count("*").alias("leaked")).select(F.lit(c).alias("column"), "leaked"))
+        cells = output.select(F.col(c).cast("string").alias("v")).where("v is not null")
+        parts.append(counted_join(cells, known, ["v"], "left_semi").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("leaked")).select(F.lit(c).alias("column"), "leaked"))
     return union_all(parts)
 
 
 def fk_intact(parent: DataFrame, child: DataFrame, link: Link) -> DataFrame:
     """(edge, orphans, ok)"""
-    return orphan_rows(parent, child.select(*link.child_columns), link).agg(F.count("*").alias("orphans")).select(
+    return orphan_keys(parent, child, link).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("orphans")).select(
         F.lit(f"{link.parent}->{link.child}").alias("edge"), "orphans", (F.col("orphans") == 0).alias("ok"))
 
 

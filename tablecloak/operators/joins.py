@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import materialize
 
 HOT_ROWS = 1_000_000      # a key with fewer rows than this is ordinary work for one task
 BROADCAST_KEYS = 100_000  # bound of the broadcast: where more keys are hot, hot means more rows
@@ -32,9 +33,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``big`` to ``small``, which holds each key at most once; how is left, inner, left_semi or left_anti.
 
-    Rows of a hot key are dealt out over its parts by a hash of the row, and its row of ``small`` is there once for each part.
-    Both inputs are read once more than a plain join reads them only for the count of the keys. Columns of ``big`` come
-    first, then the others of ``small``.
+    Where keys are hot, ``big`` is written once, which freezes its layout, and a row of a hot key is dealt to one of the key's
+    parts by its place in the written files: rows that are all alike are dealt out as evenly as any. The key's row of
+    ``small`` is there once for each part. Without hot keys this is a plain join; ``big`` is read once more for the count of its
+    keys. Columns of ``big`` come first, then the others of ``small``. Rows that hold only the key need no dealing out, see
+    ``counted_join``.
     """
     on = list(on)
     hot = hot_keys(big, on, hot_rows)
@@ -48,14 +51,22 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
             cond = cond & df[k].eqNullSafe(marks[f"__h{i}"])
         return df.join(marks, cond, "left").drop(*[f"__h{i}" for i in range(len(on))])
 
-    scalar = [f.name for f in big.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
-    part = F.coalesce(F.pmod(F.xxhash64(*scalar), F.col("__splits")).cast("int"), F.lit(0))
-    dealt = marked(big).withColumn("__part", part).drop("__splits")
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    placed = materialize(big, "dealt").select("*", place.alias("__place"))
+    part = F.coalesce(F.pmod("__place", F.col("__splits")).cast("int"), F.lit(0))
+    dealt = marked(placed).withColumn("__part", part).drop("__splits", "__place")
     parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__splits"), F.lit(1)) - 1))
     there = marked(small).withColumn("__part", parts).drop("__splits")
     return dealt.join(there, [*on, "__part"], how).select(*_columns(big, small, on, how))
 
 
+def counted_join(keys: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """(on..., __n, other columns of ``small``): each distinct key of ``keys`` once, with the number of its rows, beside its row of
+    ``small``. Counted with map-side combine before the join, so a key is one row however many rows hold it."""
+    counts = keys.groupBy(*on).agg(F.count("*").alias("__n"))
+    return counts.join(small, list(on), how)
+
+
 def _columns(big: DataFrame, small: DataFrame, on: list[str], how: str) -> list[str]:
     extra = [] if how in ("left_semi", "left_anti") else [c for c in small.columns if c not in on]
     return big.columns + extra

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,37 +50,39 @@ def running_total(
     df: DataFrame, order_by: Sequence[str], weight: Column | None = None, group_by: Sequence[str] = (),
     out: str = "_run",
 ) -> DataFrame:
-    """Add the sum of ``weight`` over the rows up to and including this one, per group, in order.
+    """Add the sum of ``weight`` over the rows up to and including this one, per group, in order."""
+    return running_totals(df, order_by, {out: F.lit(1).cast("bigint") if weight is None else weight}, group_by)
+
+
+def running_totals(df: DataFrame, order_by: Sequence[str], weights: Mapping[str, Column], group_by: Sequence[str] = ()) -> DataFrame:
+    """Add running sums, one for each name and weight, over the rows up to and including this one, per group, in order.
 
     A group may hold any share of the rows: it is cut over many range partitions. Each piece is summed on its
     own and the totals of earlier pieces are added. Only the first group of a partition can continue an earlier
     piece, so the offsets that are not zero number at most one per partition and are safe to broadcast.
     """
-    keys = list(group_by)
-    w = F.lit(1).cast("bigint") if weight is None else weight
+    keys, outs = list(group_by), list(weights)
     n = shuffle_partitions(df.sparkSession)
     cut = materialize(
-        df.withColumn("__yw", w).repartitionByRange(n, *keys, *order_by).withColumn("__yp", F.spark_partition_id()),
+        df.select("*", *[w.alias(f"__yw{i}") for i, w in enumerate(weights.values())])
+        .repartitionByRange(n, *keys, *order_by).withColumn("__yp", F.spark_partition_id()),
         "run",
     )
     inside = Window.partitionBy(*keys, "__yp").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn("__ylocal", F.sum("__yw").over(inside))
-    pieces = cut.groupBy(*keys, "__yp").agg(F.sum("__yw").alias("__ys"))
+    local = cut.select("*", *[F.sum(f"__yw{i}").over(inside).alias(f"__yl{i}") for i in range(len(outs))])
+    pieces = cut.groupBy(*keys, "__yp").agg(*[F.sum(f"__yw{i}").alias(f"__ys{i}") for i in range(len(outs))])
     earlier = (
         Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__yp").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        pieces.withColumn("__yoff", F.sum("__ys").over(earlier)).where(F.col("__yoff").isNotNull())
-        .select(*[F.col(k).alias(f"__yg{i}") for i, k in enumerate(keys)], F.col("__yp").alias("__yq"), "__yoff")
-    )
+    offsets = pieces.select(*keys, "__yp", *[F.sum(f"__ys{i}").over(earlier).alias(f"__yo{i}") for i in range(len(outs))],
+                            F.count("*").over(earlier).alias("__ye")).where("__ye > 0")
+    offsets = offsets.select(*[F.col(k).alias(f"__yg{i}") for i, k in enumerate(keys)], F.col("__yp").alias("__yq"), *[f"__yo{i}" for i in range(len(outs))])
     on = F.col("__yp") == F.col("__yq")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__yg{i}"))
-    return (
-        local.join(F.broadcast(offsets), on, "left")
-        .withColumn(out, F.col("__ylocal") + F.coalesce(F.col("__yoff"), F.lit(0)))
-        .drop("__yw", "__yp", "__ylocal", "__yq", "__yoff", *[f"__yg{i}" for i in range(len(keys))])
-    )
+    found = local.join(F.broadcast(offsets), on, "left")
+    sums = {out: F.col(f"__yl{i}") + F.coalesce(F.col(f"__yo{i}"), F.lit(0)) for i, out in enumerate(outs)}
+    return found.select(*[c for c in df.columns if c not in sums], *[c.alias(out) for out, c in sums.items()])
 
 
 def rank_in_group(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str], out: str = "_rank") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import lookup_join
+from .joins import counted_join, lookup_join
 
 LEVELS = 10
 
@@ -45,5 +45,6 @@ def distance_to_closest(source: DataFrame, output: DataFrame, row_key: Sequence[
 def linkage(source: DataFrame, output: DataFrame, qi: Sequence[str]) -> DataFrame:
     """(rows, linked, share): output rows whose quasi-identifier values point at exactly one source row (D)."""
     single = source.dropna(subset=list(qi)).groupBy(*qi).agg(F.count("*").alias("__n")).where("__n = 1").select(*qi, F.lit(True).alias("__hit"))
-    hit = lookup_join(output.select(*qi), single, list(qi))
-    return hit.agg(F.count("*").alias("rows"), F.count_if(F.coalesce("__hit", F.lit(False))).alias("linked")).withColumn("share", F.col("linked") / F.col("rows"))
+    hit = counted_join(output.select(*qi), single, qi)
+    sums = hit.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("__hit"), F.col("__n"))), F.lit(0)).alias("linked"))
+    return sums.withColumn("share", F.col("linked") / F.when(F.col("rows") > 0, F.col("rows")))

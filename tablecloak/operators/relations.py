@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CycleRefused, InvalidRule, NamespaceRequired, OrphansFound
 from ..keys import hmac_hex, pick, row_message
-from .joins import lookup_join
+from .joins import counted_join, lookup_join
 from .masks import STRATEGIES, Context, Rule
 from .ordering import with_row_index
 
@@ -84,8 +84,14 @@ def orphan_rows(parent: DataFrame, child: DataFrame, link: Link) -> DataFrame:
     return lookup_join(child.where(_complete(link.child_columns)), keys, link.child_columns, "left_anti")
 
 
+def orphan_keys(parent: DataFrame, child: DataFrame, link: Link) -> DataFrame:
+    """(child columns, __n): the complete keys without a parent, each once, and how many children hold it."""
+    keys = parent.select(*[F.col(p).alias(c) for p, c in zip(link.parent_columns, link.child_columns)]).distinct()
+    return counted_join(child.select(*link.child_columns).where(_complete(link.child_columns)), keys, link.child_columns, "left_anti")
+
+
 def orphan_count(parent: DataFrame, child: DataFrame, link: Link) -> int:
-    return orphan_rows(parent, child.select(*link.child_columns), link).count()
+    return orphan_keys(parent, child, link).agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
 
 
 def propagate(child: DataFrame, keymap: DataFrame, link: Link, secret: bytes, warnings: list[str] | None = None,
@@ -97,7 +103,7 @@ def propagate(child: DataFrame, keymap: DataFrame, link: Link, secret: bytes, wa
     small = keymap.select(*[F.col(p).alias(c) for p, c in old.items()],
                           *[F.col(f"__new_{p}").alias(f"__new_{c}") for p, c in old.items()], F.lit(True).alias("__hit"))
     if link.orphans == "fail":
-        if not lookup_join(child.select(*link.child_columns).where(_complete(link.child_columns)), small.select(
+        if not counted_join(child.select(*link.child_columns).where(_complete(link.child_columns)), small.select(
                 *link.child_columns), link.child_columns, "left_anti").isEmpty():
             raise OrphansFound(f"{link.child} has keys without a parent in {link.parent}")
     joined = lookup_join(child, small, link.child_columns)
@@ -157,8 +163,8 @@ def _edge(link: Link, parent: DataFrame, child: DataFrame) -> DataFrame:
     keys = parent.select(*[F.col(p).alias(c) for p, c in zip(link.parent_columns, link.child_columns)],
                          F.lit(1).alias("__hit")).distinct()
     checked = child.select(*link.child_columns).where(_complete(link.child_columns))
-    hit = lookup_join(checked, keys, link.child_columns)
-    return hit.agg(F.count("*").alias("checked"), F.count_if(F.col("__hit").isNull()).alias("orphans"))
+    hit = counted_join(checked, keys, link.child_columns)
+    return hit.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("checked"), F.coalesce(F.sum(F.when(F.col("__hit").isNull(), F.col("__n"))), F.lit(0)).alias("orphans"))
 
 
 def mask_linked(tables: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]], links: Sequence[Link], secret: bytes,
@@ -194,7 +200,7 @@ def mask_linked(tables: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Ru
     done: dict[str, DataFrame] = {}
     for name in order:
         for link in (k for k in links if k.child == name):
-            if link.orphans == "fail" and not orphan_rows(tables[link.parent], tables[name].select(*link.child_columns), link).isEmpty():
+            if link.orphans == "fail" and not orphan_keys(tables[link.parent], tables[name], link).isEmpty():
                 raise OrphansFound(f"{name} has keys without a parent in {link.parent}")
             resolved[name] = [r for r in resolved[name] if r.column not in link.child_columns]
             chained = any(set(k.child_columns) & set(link.parent_columns) for k in looked_up[link.parent])

@@ -130,3 +130,32 @@ def test_quantiles_of_awkward_columns(spark):
     want = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in got]).first()
     for c in got:
         assert [got[c][f"q{i}"] for i in range(len(probs))] == pytest.approx(want[c], rel=1e-9)
+
+
+def test_rows_that_are_all_alike_are_dealt_out_evenly(spark, monkeypatch):
+    """Ten million rows that hold nothing but one key: no part of it, and no task, has more than its share."""
+    big = spark.range(10_000_000).select(F.lit(7).cast("bigint").alias("k"))
+    small = spark.createDataFrame([(7, "seven"), (8, "eight")], "k bigint, v string")
+    sizes = []
+    real = joins.materialize
+    monkeypatch.setattr(joins, "materialize", lambda df, label: sizes.append(label) or real(df, label))
+    out = joins.lookup_join(big, small, ["k"])
+    assert sizes == ["dealt"] and out.columns == ["k", "v"]
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    dealt = real(big, "again").select(F.pmod(place, F.lit(10)).alias("part")).groupBy("part").count().collect()
+    assert len(dealt) == 10 and max(r["count"] for r in dealt) <= 1.2 * 1_000_000
+    assert out.groupBy("v").count().collect()[0]["count"] == 10_000_000
+
+
+def test_keys_are_counted_before_they_are_looked_up(spark, skewed):
+    small = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        got = joins.counted_join(skewed.select("k"), small, ["k"], how)
+        want = skewed.select("k").join(small, ["k"], how)
+        assert rows(got.drop("__n")) == rows(want.distinct()) and got.agg(F.sum("__n")).first()[0] == want.count()
+
+
+def test_running_totals_of_several_weights(spark, skewed):
+    got = ordering.running_totals(skewed, ["id"], {"a": F.col("id"), "b": F.when(F.col("id") % 2 == 0, 1).otherwise(0)}, ["k"])
+    w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    assert rows(got) == rows(skewed.select("*", F.sum("id").over(w).alias("a"), F.sum(F.when(F.col("id") % 2 == 0, 1).otherwise(0)).over(w).alias("b")))

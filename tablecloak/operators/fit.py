@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import math
 import secrets
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
+from fractions import Fraction
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidRule, PrivacyBudget
-from ..functions import dates
+from ..functions import dates, noise
 from ..keys import hmac_hex, row_message, seed_key, subkey
-from ..session import together
+from ..session import materialize, together
 from .ordering import exact_quantiles, first_rows
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(noise)
+
 CATEGORICAL_MAX = 30
 TOP_VALUES = CATEGORICAL_MAX  # all values of a categorical column
 BUCKETS = 10
@@ -32,10 +40,15 @@ FREETEXT_SURE = 90        # an approximate distinct count past this cannot be 30
 
 @dataclass
 class Snapshot:
-    """Column name -> {kind, stats, nulls, rows, format}; plus joints, fan-outs and warnings."""
+    """Column name -> {kind, stats, nulls, rows, format}; plus joints, fan-outs and warnings.
+
+    What may be as large as the data is a frame: ``joint_frames`` (a, b, n) for joints of which every cell is kept, and
+    ``released`` (value, n) for the categories of a private release."""
 
     columns: dict[str, dict] = field(default_factory=dict)
     joints: dict[tuple[str, str], list[tuple]] = field(default_factory=dict)
+    joint_frames: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+    released: dict[str, DataFrame] = field(default_factory=dict)
     redacted: tuple[str, ...] = ()
     warnings: list[str] = field(default_factory=list)
     epsilon: float | None = None
@@ -135,12 +148,12 @@ def freetext_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return numeric_histogram(df.select(*[F.length(c).alias(c) for c in columns]), columns)
 
 
-def joint_counts(df: DataFrame, a: str, b: str, cells: int = JOINT_CELLS) -> DataFrame:
-    """(a, b, n): the most common pairs, ties by value."""
-    if not 1 <= cells <= JOINT_CELLS_MAX:
-        raise InvalidRule(f"a joint table keeps 1 to {JOINT_CELLS_MAX} cells")
+def joint_counts(df: DataFrame, a: str, b: str, cells: int | None = JOINT_CELLS) -> DataFrame:
+    """(a, b, n): the most common pairs, ties by value; with None every pair, in no order."""
+    if cells is not None and not 1 <= cells <= JOINT_CELLS_MAX:
+        raise InvalidRule(f"a joint table keeps 1 to {JOINT_CELLS_MAX} cells, or all of them as a frame with None")
     counts = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "a", "b").limit(cells)
+    return counts if cells is None else counts.orderBy(F.desc("n"), "a", "b").limit(cells)
 
 
 def joint_dropped(df: DataFrame, a: str, b: str, cells: int = JOINT_CELLS) -> int:
@@ -198,10 +211,11 @@ def sample_for_fit(df: DataFrame, row_key: Sequence[str], rows: int = SAMPLE_ROW
     return first_rows(few, ["__h", *row_key], rows).drop("__h")
 
 
-def fit(df: DataFrame, date_columns: Sequence[str] = (), joints: Sequence[tuple[str, str]] = (), joint_cells: int = JOINT_CELLS,
+def fit(df: DataFrame, date_columns: Sequence[str] = (), joints: Sequence[tuple[str, str]] = (), joint_cells: int | None = JOINT_CELLS,
         flagged: Sequence[str] = (), include_values: bool = False, row_key: Sequence[str] = (), max_rows: int | None = None, top: int = TOP_VALUES) -> Snapshot:
     """A snapshot of all rows; with a row key and ``max_rows``, a larger table is fitted on seeded random rows. ``top`` values of a category are kept. Flagged columns keep no values; other values, years and bins under ten rows are dropped unless
-    ``include_values``. Everything collected is bounded by the number of columns and the caps above."""
+    ``include_values``. Everything collected is bounded by the number of columns and the caps above; with ``joint_cells=None``
+    every cell of a joint is kept, in a frame that is written and not collected."""
     if row_key and max_rows is not None:
         df = sample_for_fit(df, row_key, max_rows)
     snap = Snapshot(redacted=tuple(c for c in df.columns if c in flagged and not include_values))
@@ -251,12 +265,16 @@ def fit(df: DataFrame, date_columns: Sequence[str] = (), joints: Sequence[tuple[
         if {a, b} & set(snap.redacted):
             snap.joints[(a, b)] = []
             continue
-        if joint_cells > JOINT_CELLS and not include_values and not {kinds[a], kinds[b]} <= {"categorical"}:
+        if (joint_cells is None or joint_cells > JOINT_CELLS) and not include_values and not {kinds[a], kinds[b]} <= {"categorical"}:
             raise InvalidRule("contingency_top_k_kind_unsupported: more joint cells need plain categories")
+        if joint_cells is None:
+            snap.joint_frames[(a, b)] = materialize(joint_counts(df, a, b, None).where(F.col("n") >= floor), "joint")
+            continue
         snap.joints[(a, b)] = [(r["a"], r["b"], r["n"]) for r in joint_counts(df, a, b, joint_cells).collect() if r["n"] >= floor]
         n = joint_dropped(df, a, b, joint_cells)
         if n:
-            snap.warnings.append(f"joint {a},{b}: {n} pairs dropped; keep them all with joint_cells={n + joint_cells}")
+            all_ = n + joint_cells if n + joint_cells <= JOINT_CELLS_MAX else None
+            snap.warnings.append(f"joint {a},{b}: {n} pairs dropped; keep them all with joint_cells={all_}")
     return snap
 
 
@@ -296,16 +314,19 @@ class DPColumn:
 
 
 def geometric_noise(epsilon: float) -> int:
-    """Two-sided geometric noise for a count of sensitivity 1 (Ghosh, Roughgarden, Sundararajan 2009), from the
-    operating system's randomness: difference of two geometric draws, each by exact Bernoulli trials on 64 bits."""
-    alpha = math.exp(-epsilon)
+    """Two-sided geometric noise for a count of sensitivity 1 (Ghosh, Roughgarden, Sundararajan 2009), from the operating
+    system's randomness, exactly for the binary number that ``epsilon`` is; see ``functions.noise``."""
+    return noise.discrete_laplace(Fraction(epsilon))
 
-    def one() -> int:
-        # inverse CDF on a 53 bit uniform that is never 0
-        u = (secrets.randbits(53) + 1) / (2**53 + 1)
-        return math.floor(math.log(u) / math.log(alpha)) if alpha > 0 else 0
 
-    return one() - one()
+def release_threshold(epsilon: float, delta: float) -> int:
+    """What a noisy count has to exceed: a value of one row clears it with probability ``delta`` at most.
+
+    1 + x > tau has probability alpha ** tau / (1 + alpha), alpha = exp(-epsilon), and 1 + ln(1 / (2 delta)) / epsilon is enough for
+    that. Worked out with 60 digits and rounded up."""
+    with decimal.localcontext() as context:
+        context.prec = 60
+        return 1 + int(((1 / (2 * Decimal(delta))).ln() / Decimal(epsilon)).to_integral_value(decimal.ROUND_CEILING))
 
 
 def parse_flag(c: Column) -> Column:
@@ -346,34 +367,29 @@ def fit_dp(df: DataFrame, columns: Sequence[DPColumn], epsilon: float, delta: fl
             got = {r["v"]: r["count"] for r in df.select(parse_flag(F.col(c.name)).alias("v")).where("v is not null").groupBy("v").count().collect()}
             col.update(kind="categorical", stats={"top_values": [(str(v).lower(), max(0, got.get(v, 0) + geometric_noise(eps))) for v in (True, False)], "other_count": 0})
         else:
-            tau = 1 + math.ceil(math.log(1 / (2 * dlt)) / eps)
-            # noise and threshold per value on the executors' counts: values far under the threshold never leave them
+            # noise and threshold per value in the tasks that counted them: values under the threshold never leave those
             counts = df.select(F.col(c.name).cast("string").alias("v")).where("v is not null").groupBy("v").count()
-            kept = _threshold_release(counts, eps, tau)
-            col.update(kind="categorical", stats={"top_values": kept, "other_count": 0})
+            kept = threshold_release(counts, eps, release_threshold(eps, dlt))
+            all_ = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            top = [(r["value"], r["n"]) for r in kept.orderBy(F.desc("n"), "value").limit(TOP_VALUES).collect()]
+            snap.released[c.name] = kept
+            col.update(kind="categorical", stats={"top_values": top, "other_count": all_ - sum(n for _, n in top)})
         snap.columns[c.name] = col
     return snap
 
 
-def _threshold_release(counts: DataFrame, eps: float, tau: int) -> list[tuple[str, int]]:
-    """Noisy counts that clear the threshold. Noise comes from ``secrets`` inside the tasks; a retried task draws
-    anew, and only the result of one attempt is used."""
-    def noisy(batches):
-        # written out here so that the workers need no copy of this package
-        import math
-        import secrets
-
-        import pandas as pd
-
-        def draw() -> int:
-            return math.floor(math.log((secrets.randbits(53) + 1) / (2**53 + 1)) / -eps)
+def threshold_release(counts: DataFrame, epsilon: float, tau: int) -> DataFrame:
+    """(value, n): noisy counts of (v, count) that clear the threshold, as a written frame: the noise is drawn once, however
+    often the frame is read. A retried task draws anew, and only the rows of one attempt are kept."""
+    rate, draw = Fraction(epsilon), noise.discrete_laplace
 
+    def noisy(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            out = pd.DataFrame({"v": b["v"], "n": [int(x) + draw() - draw() for x in b["count"]]})
-            yield out[out["n"] > tau]
+            pairs = [(v, n + draw(rate)) for v, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            pairs = [(v, n) for v, n in pairs if n > tau]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.int64())], names=["value", "n"])
 
-    released = counts.mapInPandas(noisy, "v string, n long")
-    return sorted(((r["v"], r["n"]) for r in released.collect()), key=lambda x: (-x[1], x[0]))
+    return materialize(counts.select("v", "count").mapInArrow(noisy, "value string, n bigint"), "released")
 
 
 def dp_cost(snapshots: Sequence[Snapshot]) -> tuple[float, float]:

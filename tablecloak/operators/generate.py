@@ -17,6 +17,7 @@ from ..errors import CycleRefused, InvalidRule, UniquenessImpossible
 from ..functions.fpe import let
 from ..functions.providers import get_provider, value_from_digest
 from ..keys import hmac_hex, int_div, never_null, permute, pick, row_message, seed_key, subkey, unit
+from .alias import alias_table, draw as draw_alias, whole_weight
 from .joins import lookup_join
 from .masks import cumulative, table_scalar, weighted_pick, window_days
 from .ordering import rank_in_group, running_total, with_row_index
@@ -143,6 +144,8 @@ class Generator:
         if how == "sequential":
             return i % parents
         if how == "weighted":
+            if len(o["weights"]) > LITERAL_WEIGHTS:
+                raise InvalidRule(f"{t.name}.{g.name}: over {LITERAL_WEIGHTS} weights go in a column of the parent, named by weight_column")
             steps = cumulative(range(parents), o["weights"])
             return let(unit(h), lambda u: F.size(F.filter(F.array(*[F.lit(x) for x in steps[:-1]]), lambda x: x <= u))).cast("bigint")
         if how == "random":
@@ -166,7 +169,7 @@ class Generator:
     def _pure(self, table: str, column: str) -> Gen | None:
         t = self.tables.get(table)
         g = next((c for c in t.columns if c.name == column), None) if t else None
-        return g if g is not None and g.type in PURE and not g.options.get("null_probability") else None
+        return g if g is not None and g.type in PURE and not _joined(g) and not g.options.get("null_probability") else None
 
     # ---- one table
 
@@ -180,9 +183,9 @@ class Generator:
         pure, later = [], []
         for g in t.columns:
             h = F.col(f"__h_{g.name}")
-            if g.type in PURE:
+            if g.type in PURE and not _joined(g):
                 pure.append(self._nulls(g, self.value(t, g, i, h), h).alias(g.name))
-            elif g.type in ("reference", "lookup") and g.options.get("distribution") != "fitted":
+            elif g.type in ("reference", "lookup") and not _joined(g):
                 row = self._pair_row(t, g, pairs[g.name], i) if g.name in pairs else self.parent_row(t, g, i, h)
                 pure.append(never_null(row).alias(f"__p_{g.name}"))
                 later.append(g)
@@ -214,12 +217,14 @@ class Generator:
             p = f"__p_{g.name}"
             if o.get("distribution") == "fitted":
                 df = df.join(fitted_parents(self, t, g), "_rid")
+            elif _joined(g):
+                df = self._weighted(t, g, df, frames)
             parent = self._pure(table, column)
             if parent is not None:
                 at = self.value(self.tables[table], parent, F.col(p), self.digest(table, column, F.col(p)))
                 df = df.withColumn(g.name, at)
             else:
-                source = self.sources[table].df if table in self.sources else frames[table].withColumnRenamed("_rid", "__p")
+                source = self._numbered(table, frames)
                 small = source.select(F.col("__p").alias(p), F.col(column).alias(g.name))
                 df = lookup_join(df, small, [p])
             return df.withColumn(g.name, self._nulls(g, F.col(g.name), h)) if o.get("null_probability") else df
@@ -244,12 +249,30 @@ class Generator:
             u = unit(self.digest(t.name, g.name, F.col("_rid")))
             steps = df.withColumn("__s", F.floor(u * F.lit(int(o.get("max_step", 10)) + 1)).cast("bigint"))
             return running_total(steps, order, F.col("__s"), group, g.name).withColumn(g.name, F.lit(start) + F.col(g.name)).drop("__s")
+        if g.type == "statistical":
+            from .statistical import draw_released
+            return draw_released(df, o["snapshot"], o.get("source_column", g.name), g.name, h).withColumn(g.name, self._nulls(g, F.col(g.name), h))
         if g.type == "statistical_conditional":
             from .statistical import draw_conditional
             df = df.withColumn(f"__h_{g.name}", self.digest(t.name, g.name, F.col("_rid")))
             return draw_conditional(df, o["snapshot"], o["condition_on"], o.get("source_column", g.name), g.name, F.col(f"__h_{g.name}"))
         raise InvalidRule(f"unknown column type {g.type!r}")
 
+    def _numbered(self, table: str, frames: Mapping[str, DataFrame]) -> DataFrame:
+        """A parent's rows with their numbers in ``__p``."""
+        return self.sources[table].df if table in self.sources else frames[table].withColumnRenamed("_rid", "__p")
+
+    def _weighted(self, t: GenTable, g: Gen, df: DataFrame, frames: Mapping[str, DataFrame]) -> DataFrame:
+        """The parent of each row by the weights in a column of the parent: drawn from an alias table, which is a frame, so
+        parents may be as many as rows."""
+        o, p = g.options, f"__p_{g.name}"
+        if o.get("unique") or o.get("min_per_parent") is not None or o.get("max_per_parent") is not None:
+            raise InvalidRule(f"{t.name}.{g.name}: weights and bounds on the children of a parent exclude each other")
+        parents = self._numbered(o["reference_table"], frames)
+        table = alias_table(parents, "__p", whole_weight(parents, o["weight_column"]))
+        drawn = draw_alias(df, table, F.col(f"__h_{g.name}"), p)
+        return drawn.withColumn(p, never_null(F.col(p)))
+
     def run(self) -> dict[str, DataFrame]:
         frames: dict[str, DataFrame] = {}
         for name in self.order:
@@ -257,6 +280,14 @@ class Generator:
         return {n: f.drop("_rid") for n, f in frames.items()}
 
 
+def _joined(g: Gen) -> bool:
+    """Is the cell drawn from a frame, by a join, and not worked out from the row's digest alone?"""
+    o = g.options
+    if g.type == "statistical":
+        return o.get("source_column", g.name) in o["snapshot"].released
+    return g.type in ("reference", "lookup") and (o.get("distribution") == "fitted" or o.get("distribution") == "weighted" and "weight_column" in o)
+
+
 def _bounded_value(o: dict) -> Column:
     e = o["expression"]
     if "bounds" in o:
@@ -267,6 +298,7 @@ def _bounded_value(o: dict) -> Column:
     return e
 
 
+LITERAL_WEIGHTS = 1000  # weights that may stand in the rule itself
 PURE = {"sequence", "faker", "categorical", "constant", "distribution", "statistical"}
 TYPES = PURE | {"reference", "lookup", "formula", "derived", "derived_aggregate", "grouped_series", "windowed_date",
                 "group_key", "statistical_conditional"}

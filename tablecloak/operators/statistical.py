@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..errors import InvalidRule
 from ..functions.providers import LOREM
 from ..keys import pick, unit
+from . import alias
 from .fit import Snapshot
+from .joins import counted_join, lookup_join
 from .masks import cumulative, weighted_pick
 
 OTHER = "__other__"
@@ -78,9 +80,36 @@ def conditional_table(snap: Snapshot, parent: str, child: str) -> list[tuple[str
     return [(p, [c for c, _ in sorted(cs)], cumulative([c for c, _ in cs], [n for _, n in sorted(cs)])) for p, cs in sorted(by.items())]
 
 
+def draw_released(df: DataFrame, snap: Snapshot, column: str, out: str, h: Column) -> DataFrame:
+    """Draw a category of a private release by its noisy count. The release is a frame of any size, so is its alias table."""
+    return alias.draw(df, alias.alias_table(snap.released[column], "value", F.col("n")), h, out)
+
+
+def _draw_all(df: DataFrame, cells: DataFrame, parent: str, out: str, h: Column) -> DataFrame:
+    """Draw the child from every cell (parent, child, n) of the row's parent value, by one alias table with a group for each
+    parent value, and one for the overall counts that unseen and null parents draw from."""
+    every = cells.groupBy("child").agg(F.sum("n").alias("n")).select(F.lit(False).alias("seen"), F.lit("").alias("parent"), "child", "n")
+    table = alias.alias_table(cells.select(F.lit(True).alias("seen"), "parent", "child", "n").unionByName(every), "child", F.col("n"), ["seen", "parent"])
+    known = table.totals.where("seen").select(F.col("parent").alias("__parent"), F.lit(True).alias("__seen"))
+    asked = lookup_join(df.withColumn("__parent", F.col(parent).cast("string")).withColumn("__digest", h), known, ["__parent"])
+    asked = asked.withColumn("__parent", F.when(F.col("__seen"), F.col("__parent")).otherwise(F.lit(""))).withColumn("__seen", F.coalesce("__seen", F.lit(False)))
+    return alias.draw(asked, table, F.col("__digest"), out, {"seen": "__seen", "parent": "__parent"}).drop("__parent", "__seen", "__digest")
+
+
+def joint_cells(snap: Snapshot, parent: str, child: str) -> DataFrame | None:
+    """(parent, child, n) of a pair of which every cell was kept."""
+    for pair, names in (((parent, child), ("parent", "child")), ((child, parent), ("child", "parent"))):
+        if pair in snap.joint_frames:
+            return snap.joint_frames[pair].select(F.col("a").alias(names[0]), F.col("b").alias(names[1]), "n")
+    return None
+
+
 def draw_conditional(df: DataFrame, snap: Snapshot, parent: str, child: str, out: str, h: Column) -> DataFrame:
-    """Draw from the pair row of the parent value; an unseen parent falls back to the overall counts. The pair
-    table has at most 1,000 cells, so it is broadcast."""
+    """Draw from the pair row of the parent value; an unseen parent falls back to the overall counts. A pair table of at most
+    1,000 cells is broadcast; one of which every cell was kept is a frame, see ``_draw_all``."""
+    cells = joint_cells(snap, parent, child)
+    if cells is not None:
+        return _draw_all(df, cells, parent, out, h)
     rows = conditional_table(snap, parent, child)
     table = F.broadcast(df.sparkSession.createDataFrame(rows, "__parent string, __vals array<string>, __cum array<double>"))
     u = unit(h)
@@ -93,5 +122,10 @@ def draw_conditional(df: DataFrame, snap: Snapshot, parent: str, child: str, out
 
 def fallback_rows(df: DataFrame, snap: Snapshot, parent: str, child: str) -> int:
     """Rows whose parent value has no pair, for the run warning."""
+    cells = joint_cells(snap, parent, child)
+    if cells is not None:
+        known = cells.select(F.col("parent").alias("__parent")).distinct()
+        keys = df.select(F.col(parent).cast("string").alias("__parent"))
+        return counted_join(keys, known, ["__parent"], "left_anti").agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     seen = [p for p, _, _ in conditional_table(snap, parent, child)]
     return df.where(F.col(parent).isNull() | ~F.col(parent).cast("string").isin(seen)).count()

@@ -8,6 +8,7 @@ from ..functions import expressions as X
 from ..functions.providers import ALIASES, PROVIDERS, get_provider
 from ..keys import seed_key, sql_hmac, sql_permute, sql_row_message, subkey
 from ..operators import fit as FIT
+from ..operators.alias import sql_alias
 from ..operators.generate import Generator, GenTable, Source, gen, generation_order, preview
 from ..operators.statistical import FILLER
 from . import oracle_text as O
@@ -96,6 +97,15 @@ def _(t):
                         weights=[0.5, 0.3, 0.1, 0.05, 0.05]), sources=src)
 
 
+# every customer is a parent, weighted by a column: the draws meet an alias table
+@query("gen_reference_weighted_column", f"""WITH items AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS item, c_nationkey AS w FROM customer), {sql_alias('items')},
+ g AS (SELECT i, {pick(cell('c'), 'slots')} AS slot, {pick(cell('c'), 'total', 1)} AS v FROM {ROWS}, (SELECT any_value(slots) AS slots, any_value(total) AS total FROM alias_))
+ SELECT i AS id, c.c_custkey AS c FROM g JOIN alias_ a ON a.slot = g.slot JOIN {_CS} c ON c.p = CASE WHEN v < cut THEN item ELSE other END""")
+def _(t):
+    src = {"customer": Source(t.customer.select("c_custkey", "c_nationkey"), ["c_custkey"])}
+    return build(t, gen("c", "reference", reference_table="customer", reference_column="c_custkey", distribution="weighted", weight_column="c_nationkey"), sources=src)
+
+
 @query("gen_reference_bounded", f"""WITH c AS {_CS}, g AS (SELECT CASE WHEN i < n THEN i % n ELSE {sql_permute(pkey('c'), 'greatest(i - n, 0)', '(n * 19)')} % n END AS p
  FROM (SELECT i, {_NC} AS n FROM {ROWS})) SELECT c.c_custkey AS c, count(*) AS children FROM g JOIN c USING (p) GROUP BY 1""")
 def _(t):
@@ -263,6 +273,19 @@ def _(t):
                  gen("o_orderpriority", "statistical_conditional", snapshot=snap, condition_on="o_orderstatus"))
 
 
+# every pair of brand and type, over a thousand cells
+@query("gen_statistical_conditional_all", f"""WITH ph AS (SELECT p_brand AS a, count(*) AS n FROM part GROUP BY 1), pc AS ({_steps('ph', 'n DESC, a')}),
+ items AS (SELECT p_brand AS grp, p_type AS item, count(*) AS w FROM part GROUP BY 1, 2), {sql_alias('items', 'grp')},
+ k AS (SELECT DISTINCT grp, slots, total FROM alias_),
+ g AS (SELECT i, {unit(cell('p_brand'))} AS u, {cell('p_type')} AS h FROM {ROWS}),
+ d AS (SELECT i, pc.a, {pick('h', 'slots')} AS slot, {pick('h', 'total', 1)} AS v FROM g JOIN pc ON u >= pc.lo_u AND u < pc.hi_u JOIN k ON k.grp = pc.a)
+ SELECT i AS id, d.a AS p_brand, CASE WHEN v < cut THEN item ELSE other END AS p_type FROM d JOIN alias_ ON alias_.grp = d.a AND alias_.slot = d.slot""")
+def _(t):
+    snap = FIT.fit(t.part.select("p_brand", "p_type"), joints=[("p_brand", "p_type")], joint_cells=None, include_values=True)
+    return build(t, gen("p_brand", "statistical", snapshot=snap, allow_real_categories=True),
+                 gen("p_type", "statistical_conditional", snapshot=snap, condition_on="p_brand"))
+
+
 # ---- whole sets
 
 def _column_sql(table: str, g, i: str) -> str:

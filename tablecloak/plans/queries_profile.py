@@ -341,6 +341,11 @@ def _(t):
     return FIT.joint_counts(t.part, "p_brand", "p_type")
 
 
+@query("fit_joint_all", "SELECT p_brand AS a, p_type AS b, count(*) AS n FROM part GROUP BY 1, 2")
+def _(t):
+    return FIT.fit(t.part.select("p_brand", "p_type"), joints=[("p_brand", "p_type")], joint_cells=None, include_values=True).joint_frames[("p_brand", "p_type")]
+
+
 @query("fit_fanout", """SELECT children, count(*) AS parents FROM (SELECT c_custkey, count(o_orderkey) AS children FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) GROUP BY 1""")
 def _(t):
     return FIT.fanout(t.orders, ["o_custkey"], t.customer, ["c_custkey"])

@@ -13,10 +13,11 @@ from ..errors import InvalidRule
 from ..functions import checksums, dates
 from ..functions.detectors import BY_ID
 from ..keys import check_secret, subkey
-from .fit import union_all
+from .fit import stack, union_all
 from .joins import counted_join, lookup_join
-from .masks import STRATEGIES, Context, Rule, shift_bounds
+from .masks import STRATEGIES, Context, Rule, _with_threshold, shift_bounds
 from .relations import Link, orphan_keys
+from .text import find_entities
 
 TRIGGERS = ("validation_fail", "format_error", "mask_error")
 
@@ -116,18 +117,65 @@ def fk_preserved(link: Link, src_parent: DataFrame, src_child: DataFrame, out_pa
         F.lit(f"{link.parent}->{link.child}").alias("edge"), "lost", "gained", "missing", (ok & (F.col("missing") == 0)).alias("ok"))
 
 
-def check_policy(source: DataFrame, output: DataFrame, rules: Sequence[Rule], on: Sequence[str]) -> DataFrame:
+SWAP_ROWS = 20  # fixed value: with fewer cells a swap cannot be told from chance
+CHECKED = frozenset({"hash", "redact", "tokenize", "faker", "fpe", "date_shift", "truncate", "bucketize", "passthrough", "categorical", "shuffle", "unique_faker",
+                     "top_code", "text_redact", "bucket_perturb", "windowed_date", "text_mask", "geo_generalize", "code_set", "joint_mask"})
+
+
+def own_values(source: DataFrame, output: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, cells, own): cells of the source that are not null, and how many output cells can be matched with equal ones of
+    the source, each with one: the overlap of the two multisets, counted value by value."""
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        return stack(df, columns, "string").where("value is not null").groupBy("column", "value").agg(F.count("*").alias(name))
+
+    both = counts(source, "a").join(counts(output, "b"), ["column", "value"], "left")
+    return both.groupBy("column").agg(F.sum("a").alias("cells"), F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("own"))
+
+
+def _shared_outputs(source: DataFrame, output: DataFrame, on: Sequence[str], column: str) -> DataFrame:
+    """(column, more): output values that stand for more than one input value."""
+    both = _paired(source.select(*dict.fromkeys([*on, column])), output.select(*dict.fromkeys([*on, column])), on)
+    pairs = both.select(F.col("s")[column].alias("a"), F.col("o")[column].alias("b")).dropna().distinct()
+    return pairs.groupBy("b").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("more")).select(
+        F.lit(column).alias("column"), "more")
+
+
+def _strangers(output: DataFrame, rule: Rule, source: DataFrame) -> DataFrame:
+    """(column, more): outputs of a code set that are no code, or of a joint mask that no donor has."""
+    if rule.strategy == "code_set":
+        known, on = rule.options["codes"].select(F.col("code").cast("string").alias("__0")).distinct(), ["__0"]
+        cells = output.select(F.col(rule.columns[0]).cast("string").alias("__0"))
+    else:
+        donors = rule.options.get("donors")
+        on = [f"__{i}" for i in range(len(rule.columns))]
+        known = (source if donors is None else donors).select(*[F.col(c).alias(n) for c, n in zip(rule.columns, on)]).dropna().distinct()
+        cells = output.select(*[F.col(c).alias(n) for c, n in zip(rule.columns, on)])
+    lost = counted_join(cells.dropna(), known, on, "left_anti").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("more"))
+    return lost.select(F.lit(rule.columns[0]).alias("column"), "more")
+
+
+def check_policy(source: DataFrame, output: DataFrame, rules: Sequence[Rule], on: Sequence[str], unchecked: Sequence[str] = ()) -> DataFrame:
     """(column, strategy, broken): does each column's output obey what its strategy promises?
 
     hash, redact, tokenize, faker: null stays null, nothing equals its own input; for the first three no output is an input
-    cell of the column. fpe: the same, but its own input may come back on up to a tenth of the rows. date_shift: moved by 1
-    to the rule's bound in the rule's format, kept days kept, what is no date gone. truncate, bucketize, passthrough: exactly
-    what the rule gives. categorical: inside the closed set. Others: null stays null. The row ``*`` counts rows that are in
-    one side only.
+    cell of the column. fpe: the same, but its own input may come back on up to a tenth of the rows. fpe and faker: from
+    ``SWAP_ROWS`` cells on, a column of which nine tenths are its own input values, wherever they stand, is broken in those cells.
+    shuffle: exactly the input values. unique_faker: nothing equals its own input, no two inputs share an output. date_shift:
+    moved by 1 to the rule's bound in the rule's format, kept days kept, what is no date gone. truncate, bucketize, top_code,
+    text_redact, passthrough: exactly what the rule gives. bucket_perturb: still in the input's bucket. windowed_date: inside its
+    anchor's window. text_mask: no entity survives that the rule does not let pass. geo_generalize: a part of the input's zip code,
+    a state or nothing. code_set: a code of the set. joint_mask: a combination of the donors. categorical: inside the
+    closed set. Other strategies have no rule that can be checked without their secret or inputs: naming one is refused
+    unless its column is in ``unchecked``. The row ``*`` counts rows that are in one side only.
     """
-    cols = [(r, c) for r in rules for c in r.columns if c not in on and c in source.columns and c in output.columns]
+    cols = [(r, c) for r in rules for c in r.columns if c not in on and c not in unchecked and c in source.columns and c in output.columns]
+    blind = sorted({r.strategy for r, _ in cols} - CHECKED)
+    if blind:
+        raise InvalidRule(f"no policy check for the strategies {', '.join(blind)}; name their columns as unchecked")
+    anchors = [r.options["anchor"] for r, _ in cols if r.strategy == "windowed_date"]
     names = list(dict.fromkeys([*on, *[c for _, c in cols]]))
-    both = _paired(source.select(*names), output.select(*names), on)
+    beside = list(dict.fromkeys([*names, *anchors]))
+    both = _paired(source.select(*beside), output.select(*names), on)
     cells = [F.struct(F.lit("*").alias("column"), F.lit("rows").alias("strategy"), _unpaired().alias("broken"))]
     paired = F.col("s").isNotNull() & F.col("o").isNotNull()
     ctx = Context(source.schema, b"\0" * 32, "check", stage=False)
@@ -135,10 +183,21 @@ def check_policy(source: DataFrame, output: DataFrame, rules: Sequence[Rule], on
         s, o = F.col("s")[c], F.col("o")[c]
         null_bad = s.isNull() != o.isNull()
         same = s.cast("string") == o.cast("string")
-        if r.strategy in ("hash", "redact", "tokenize", "faker"):
+        if r.strategy in ("hash", "redact", "tokenize", "faker", "unique_faker"):
             bad = null_bad | same
-        elif r.strategy == "fpe":
+        elif r.strategy in ("fpe", "shuffle", "code_set", "joint_mask"):
             bad = null_bad
+        elif r.strategy == "bucket_perturb":
+            bad = null_bad | _left_bucket(r, source.schema[c].dataType.typeName(), output.schema[c].dataType.typeName(), s, o)
+        elif r.strategy == "windowed_date":
+            gap = F.datediff(o.cast("date"), F.col("s")[r.options["anchor"]].cast("date"))
+            bad = null_bad | ~gap.between(int(r.options.get("min_days", 0)), int(r.options["max_days"]))
+        elif r.strategy == "text_mask":
+            hidden = [d for d, how in r.options["detectors"].items() if how != "passthrough"]
+            bad = null_bad | F.exists(find_entities(s, hidden), lambda e: F.contains(F.lower(o), F.lower(e["span"])))  # noqa: B023
+        elif r.strategy == "geo_generalize":
+            code = F.regexp_extract(s.cast("string"), r"^\s*([0-9]{5})", 1)
+            bad = (s.isNull() & o.isNotNull()) | (o.rlike("^[0-9]") & ~F.startswith(code, o))
         elif r.strategy == "date_shift":
             lo, hi = shift_bounds(r.options)
             day = lambda x, f: dates.parse(x, r.options.get("date_format"), f.schema[c].dataType.typeName()).cast("date")  # noqa: B023, E731
@@ -146,12 +205,11 @@ def check_policy(source: DataFrame, output: DataFrame, rules: Sequence[Rule], on
             gap = F.datediff(now, was)
             kept = was.isin([dt.date.fromisoformat(str(v)) for v in r.options.get("preserve_values") or ()] or [None])
             bad = F.when(was.isNull(), o.isNotNull()).when(kept, ~same).otherwise(now.isNull() | (gap == 0) | (gap < lo) | (gap > hi))
-        elif r.strategy in ("truncate", "bucketize", "passthrough"):
+        elif r.strategy in ("truncate", "bucketize", "passthrough", "top_code", "text_redact"):
+            r = _with_threshold(source, r)
             bad = ~o.cast("string").eqNullSafe(STRATEGIES[r.strategy].apply(ctx, r, s).cast("string"))
-        elif r.strategy == "categorical":
+        else:  # categorical
             bad = ~F.coalesce(o.isin(list(r.options["categories"])), s.isNull())
-        else:
-            bad = s.isNull() & o.isNotNull()
         broken = F.count_if(paired & F.coalesce(bad, F.lit(False)))
         if r.strategy == "fpe":
             again = F.count_if(paired & F.coalesce(same, F.lit(False)))
@@ -162,9 +220,31 @@ def check_policy(source: DataFrame, output: DataFrame, rules: Sequence[Rule], on
     if exact:
         rows = rows.join(F.broadcast(value_leaks(source, output, exact)), "column", "left").withColumn(
             "broken", F.col("broken") + F.coalesce("leaked", F.lit(0))).drop("leaked")
+    more = [_shared_outputs(source, output, on, c) for r, c in cols if r.strategy == "unique_faker"]
+    more += [_strangers(output, r, source) for r in {id(r): r for r, _ in cols if r.strategy in ("code_set", "joint_mask")}.values()]
+    swapped = {c: r.strategy for r, c in cols if r.strategy in ("fpe", "faker", "shuffle")}
+    if swapped:
+        kept = F.col("column").isin([c for c, k in swapped.items() if k == "shuffle"] or [None])
+        many = (F.col("cells") >= SWAP_ROWS) & (F.col("own") * 10 >= F.col("cells") * 9)
+        found = own_values(source, output, list(swapped))
+        more.append(found.select("column", F.when(kept, F.col("cells") - F.col("own")).when(many, F.col("own")).otherwise(0).alias("more")))
+    if more:
+        # a row for each checked column
+        rows = rows.join(F.broadcast(union_all(more)), "column", "left").withColumn("broken", F.col("broken") + F.coalesce("more", F.lit(0))).drop("more")
     return rows
 
 
+def _left_bucket(r: Rule, was: str, now: str, s: Column, o: Column) -> Column:
+    """Is the output outside the bucket of its input?"""
+    if "bucket_days" in r.options:
+        fmt, size = r.options.get("date_format"), int(r.options["bucket_days"])
+        day = lambda x, kind: F.datediff(dates.parse(x, fmt, kind).cast("date"), F.lit(dt.date(1970, 1, 1)))
+        kept = dates.parse(s, fmt, was).cast("date").isin([dt.date.fromisoformat(str(v)) for v in r.options.get("preserve_values") or ()] or [None])
+        return F.when(kept, s.cast("string") != o.cast("string")).otherwise(F.floor(day(s, was) / size) != F.floor(day(o, now) / size))
+    width = float(r.options["width"])
+    return F.floor(s.try_cast("double") / width) != F.floor(o.try_cast("double") / width)
+
+
 def residual_pii(source: DataFrame, output: DataFrame, shaped: Mapping[str, str] | None = None) -> DataFrame:
     """(column, detector, source_rate, output_rate, severity): what detectors still see. ``shaped`` names the columns
     masked to a shape a detector knows (column -> detector), which is expected and left out."""

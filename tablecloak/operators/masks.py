@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidRule, NamespaceRequired, UndeclaredColumn, UniquenessImpossible
-from ..functions import dates, fpe
+from ..functions import dates, ff1, fpe
 from ..functions.providers import COMPOSITES, get_provider, value_from_digest
 from ..keys import check_secret, hmac_hex, never_null, permute, pick, row_message, subkey, unit
 from .joins import lookup_join
@@ -126,6 +126,14 @@ def hash_(ctx: Context, r: Rule, c: Column) -> Column:
 
 def fpe_(ctx: Context, r: Rule, c: Column, inverse: bool = False) -> Column:
     o, key = r.options, ctx.key(r, "fpe")
+    if o.get("method", "feistel") not in ("feistel", "ff1"):
+        raise InvalidRule("fpe knows the methods feistel and ff1")
+    if o.get("method") == "ff1":
+        if not isinstance(ctx.schema[r.column].dataType, T.StringType) or "checksum" in o:
+            raise InvalidRule("the method ff1 is for text columns, with a charset")
+        charset, luhn = o.get("charset", "digits"), bool(o.get("validate_luhn"))
+        ctx.format_error(r, ff1.unfit(c, charset, int(luhn)))
+        return ff1.ff1_text(c, key, charset, luhn, str(o.get("tweak", "")).encode(), inverse)
     if isinstance(ctx.schema[r.column].dataType, T.IntegralType):
         default = 18 if ctx.kind(r.column) == "long" else 9
         width = int(o.get("width", default))
@@ -526,9 +534,6 @@ STREAMABLE = frozenset({"passthrough", "hash", "fpe", "redact", "truncate", "tex
                         "formula", "derived", "composite"})
 
 
-# strategies too cheap to move a row for
-
-
 def check_declared(df: DataFrame, rules: Sequence[Rule], table: str, unconfigured: str = "error") -> list[str]:
     """Every source column has a rule and every rule a column. Schema only; no job runs. Returns warnings."""
     ruled = [c for r in rules for c in r.columns]

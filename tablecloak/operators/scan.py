@@ -194,6 +194,67 @@ def identifying_sets(df: DataFrame, candidates: Sequence[str] | None = None, min
     return sorted(found, key=lambda s: (len(s), s))
 
 
+def minimal_identifying_sets(df: DataFrame, candidates: Sequence[str] | None = None, min_singletons: float = 1.0) -> list[tuple[str, ...]]:
+    """All minimal sets of candidate columns that single out at least this share of rows; 1 asks for unique sets. Of any size.
+
+    More columns never single out fewer rows, so sets that do lie above a border and those that do not lie below it. Every
+    set above must hold a column outside each largest set below: the smallest ways to do so are tried next. One that fails is
+    widened column by column to a largest set below; when none fails, those tried are all the minimal sets. Sets inside a known
+    set below, or around a known one above, are never counted. The rows are counted once per full combination; a trial groups those
+    counts, many sets in one job, and the sets themselves are all the driver holds.
+    """
+    cand = sorted(candidates or qi_candidates(df))
+    base = materialize(df.groupBy(*cand).agg(F.count("*").alias("__n")), "combinations")
+    known: dict[frozenset[str], bool] = {}
+
+    def above(sets: Sequence[frozenset[str]]) -> list[bool]:
+        todo = [s for s in dict.fromkeys(sets) if s not in known]
+        yes, no = [s for s, v in known.items() if v], [s for s, v in known.items() if not v]
+        for s in todo:
+            if any(y <= s for y in yes) or any(s <= n for n in no):
+                known[s] = any(y <= s for y in yes)
+        todo = [s for s in todo if s not in known]
+        for a in range(0, len(todo), SETS_AT_ONCE):
+            part = todo[a:a + SETS_AT_ONCE]
+            shares = singleton_shares(base, [sorted(s) for s in part])
+            known.update({s: shares.get(i, 1.0) >= min_singletons for i, s in enumerate(part)})
+        return [known[s] for s in sets]
+
+    whole = frozenset(cand)
+    if not above([whole])[0]:
+        return []
+    below: list[frozenset[str]] = []
+    while True:
+        tried = _smallest_hits([whole - b for b in below])
+        failed = [s for s, ok in zip(tried, above(tried)) if not ok]
+        if not failed:
+            return sorted((tuple(sorted(s)) for s in tried), key=lambda s: (len(s), s))
+        # all that failed are widened side by side, one column a step
+        for c in cand:
+            wider = [s | {c} for s in failed]
+            failed = [s if ok else w for s, w, ok in zip(failed, wider, above(wider))]
+        below += [s for s in dict.fromkeys(failed) if s not in below]
+
+
+def _smallest_hits(sets: Sequence[frozenset[str]]) -> list[frozenset[str]]:
+    """The minimal sets that share a member with each of ``sets``."""
+    hits: list[frozenset[str]] = [frozenset()]
+    for s in sets:
+        fine, short = [h for h in hits if h & s], [h for h in hits if not h & s]
+        wider = {h | {c} for h in short for c in s}
+        hits = fine + [w for w in wider if not any(f <= w for f in fine) and not any(o < w for o in wider)]
+    return sorted(hits, key=lambda s: (len(s), sorted(s)))
+
+
+def singleton_shares(base: DataFrame, sets: Sequence[Sequence[str]]) -> dict[int, float]:
+    """By place of the set: the share of rows that are alone in their class. ``base`` has a row count ``__n`` for each
+    combination. Any number of columns, with any names; the empty set has one class."""
+    keys = F.array(*[F.struct(F.lit(i).alias("at"), (row_message(*[F.col(f"`{c}`") for c in s]) if s else F.lit("")).alias("key")) for i, s in enumerate(sets)])
+    sizes = base.select(F.explode(keys).alias("x"), "__n").groupBy("x.at", "x.key").agg(F.sum("__n").alias("size"))
+    shares = sizes.groupBy("at").agg((F.sum(F.when(F.col("size") == 1, 1).otherwise(0)) / F.sum("size")).alias("share"))
+    return {r["at"]: r["share"] for r in shares.collect()}
+
+
 def _grouped(base: DataFrame, cand: Sequence[str], sets: list[list[str]]) -> DataFrame:
     names = {c: f"__c{i}" for i, c in enumerate(sorted(cand))}
     flat = base.select(*[F.col(c).alias(n) for c, n in names.items()], "__n")

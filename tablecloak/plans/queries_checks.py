@@ -125,6 +125,21 @@ def _(t):
     return C.check_policy(src, out, rules, ["o_orderkey"])
 
 
+# every cell of one column moved down by one row and one cell changed; another column rightly shuffled, a third with one stranger
+@query("check_policy_swap", """SELECT '*' AS "column", 'rows' AS strategy, 0 AS broken UNION ALL SELECT 'pan', 'fpe', count(*) - 1 FROM orders
+ UNION ALL SELECT 'price', 'shuffle', 0 UNION ALL SELECT 'clerk', 'shuffle', 1""")
+def _(t):
+    from ..operators.ordering import with_row_index
+    src = with_row_index(t.orders.select("o_orderkey", F.lpad((F.col("o_orderkey") + 4_000_000_000).cast("string"), 16, "4").alias("pan"), F.col("o_totalprice").alias("price"),
+                                         F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("clerk")), ["o_orderkey"], "i")
+    n = src.count()
+    moved = src.select(((F.col("i") + 1) % n).alias("i"), F.when(F.col("i") == 0, "4" + "0" * 15).otherwise(F.col("pan")).alias("pan"), "price",
+                       F.when(F.col("i") == 0, "nobody").otherwise(F.col("clerk")).alias("clerk"))
+    out = src.select("i", "o_orderkey").join(moved, "i").drop("i")
+    rules = [rule("pan", "fpe", "pan"), rule("price", "shuffle"), rule("clerk", "shuffle"), *keep("o_orderkey")]
+    return C.check_policy(src.drop("i"), out, rules, ["o_orderkey"])
+
+
 @query("check_residual_pii", """SELECT 'contact' AS "column", 'email' AS detector, 1.0::DOUBLE AS source_rate, (SELECT count(*) FILTER (c_custkey % 2 = 0)::DOUBLE / count(*) FROM customer) AS output_rate,
  CASE WHEN (SELECT count(*) FILTER (c_custkey % 2 = 0)::DOUBLE / count(*) FROM customer) >= 0.5 THEN 'high' ELSE 'medium' END AS severity""")
 def _(t):
@@ -212,6 +227,19 @@ def _(t):
     return PR.distance_to_closest(*_priv(t), ["c_custkey"], ["c_nationkey", "c_acctbal"])
 
 
+_NEAR = "greatest(abs((o.nation - nl) / (nh - nl) - (s.c_nationkey - nl) / (nh - nl)), abs((o.balance - bl) / (bh - bl) - (s.c_acctbal - bl) / (bh - bl)))"
+
+
+# every supplier against every customer, to the last digit
+@query("privacy_closest_record", f"""WITH e AS (SELECT min(c_nationkey)::DOUBLE AS nl, max(c_nationkey)::DOUBLE AS nh, min(c_acctbal)::DOUBLE AS bl, max(c_acctbal)::DOUBLE AS bh FROM customer),
+ s AS (SELECT DISTINCT c_nationkey::DOUBLE AS c_nationkey, c_acctbal::DOUBLE AS c_acctbal FROM customer),
+ o AS (SELECT s_suppkey, s_nationkey::DOUBLE AS nation, s_acctbal::DOUBLE AS balance FROM supplier)
+ SELECT s_suppkey, min({_NEAR}) AS distance FROM o, s, e GROUP BY 1""")
+def _(t):
+    out = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return PR.closest_record(t.customer, out, ["s_suppkey"], ["c_nationkey", "c_acctbal"])
+
+
 @query("privacy_linkage", """WITH one AS (SELECT p_brand, p_type, p_size FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL HAVING count(*) = 1)
  SELECT count(*) AS rows, count(one.p_brand) AS linked, count(one.p_brand)::DOUBLE / count(*) AS share FROM part LEFT JOIN one USING (p_brand, p_type, p_size)""")
 def _(t):

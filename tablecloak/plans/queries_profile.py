@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..functions.detectors import DETECTORS, SPANS
@@ -143,6 +145,25 @@ _QI_SQL = " UNION ALL ".join(f"""SELECT '{','.join(s)}' AS "columns", min(size)
     ("o_orderpriority", "o_orderstatus"), ("o_orderpriority", "yr"), ("o_orderstatus", "yr"), ("o_orderpriority", "o_orderstatus", "yr")))
 
 
+_MIN_COLUMNS = ["l_discount", "l_linenumber", "l_quantity", "l_shipdate", "l_suppkey", "l_tax"]
+_MIN_SHARE = 0.6
+
+
+def _minimal_sql() -> str:
+    """Every set of the columns, and those that no smaller one with the share is inside of."""
+    sets = [s for size in range(1, len(_MIN_COLUMNS) + 1) for s in combinations(_MIN_COLUMNS, size)]
+    each = " UNION ALL ".join(f"""SELECT {sum(1 << _MIN_COLUMNS.index(c) for c in s)} AS m, '{'|'.join(s)}' AS "columns", sum(CASE WHEN size = 1 THEN 1 ELSE 0 END)::DOUBLE / sum(size) AS share
+ FROM (SELECT count(*) AS size FROM lineitem GROUP BY {', '.join(s)})""" for s in sets)
+    return f"""WITH a AS ({each}), b AS (SELECT * FROM a WHERE share >= {_MIN_SHARE})
+ SELECT "columns", len(string_split("columns", '|')) AS size FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.m <> b.m AND o.m & b.m = o.m)"""
+
+
+@query("scan_minimal_sets", _minimal_sql())
+def _(t):
+    found = SCAN.minimal_identifying_sets(t.lineitem, _MIN_COLUMNS, _MIN_SHARE)
+    return t.spark.createDataFrame([("|".join(s), len(s)) for s in found], "columns string, size long")
+
+
 @query("scan_quasi_identifiers", _QI_SQL)
 def _(t):
     return SCAN.quasi_identifiers(orders_qi(t), QI)

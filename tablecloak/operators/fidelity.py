@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,17 +123,73 @@ def overall(marg: DataFrame, pair: DataFrame | None = None) -> DataFrame:
     return m.withColumn("overall_score", score).withColumn("grade", grade(F.col("overall_score")))
 
 
+BRACKETS = 4096  # of one column, counted at once
+
+
 def ks(source: DataFrame, output: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, ks, similarity): 1 - the largest gap of the two cumulative shares, exact. Values are counted first;
-    the running gap is a distributed running total of whole numbers, so nothing is rounded on the way."""
-    side = lambda df, a, b: stack(df, columns).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n")).select("column", "value", (F.col("n") * a).alias("s"), (F.col("n") * b).alias("o"))
-    both = side(source, 1, 0).unionByName(side(output, 0, 1)).groupBy("column", "value").agg(F.sum("s").alias("s"), F.sum("o").alias("o"))
-    totals = F.broadcast(both.groupBy("column").agg(F.sum("s").alias("ts"), F.sum("o").alias("tos")))
-    d = lambda c: F.col(c).cast("decimal(18,0)")
-    w = both.join(totals, "column").withColumn("__g", (d("s") * d("tos") - d("o") * d("ts")).cast("decimal(38,0)"))
-    run = running_total(w, ["value"], F.col("__g"), ["column"], "run")
-    gap = F.max(F.abs(F.col("run").cast("double") / (F.col("ts").cast("double") * F.col("tos").cast("double"))))
-    return run.groupBy("column").agg(gap.alias("ks")).withColumn("similarity", 1 - F.col("ks"))
+    """(column, ks, similarity): 1 - the largest gap of the two cumulative shares, exact.
+
+    A column's range is cut in brackets of equal width, and the cells of both sides are counted per bracket. At a bracket's end
+    the gap is then known; inside, it cannot rise above what it is at the start and the source's cells, nor fall below that less the
+    output's. Only brackets that could hold a larger gap than the largest known are cut again, and the values of those that are left
+    are counted one by one. Whole numbers throughout: a gap is s * total(o) - o * total(s). Columns that one side has no value of
+    are left out.
+    """
+    spark = source.sparkSession
+    side = lambda df, n: stack(df, columns).where("value is not null").select("column", "value", F.lit(n).alias("s"))
+    both = side(source, 1).unionByName(side(output, 0))
+    number = F.when(~F.isnan("value"), F.col("value"))
+    ends = {r["column"]: r for r in both.groupBy("column").agg(F.min(number).alias("low"), F.max(number).alias("high"), F.sum("s").alias("ts"), F.sum(1 - F.col("s")).alias("tos")).collect()}
+    ends = {c: r for c, r in ends.items() if r["ts"] and r["tos"]}
+    best = dict.fromkeys(ends, 0)
+
+    def cut(cells: DataFrame, brackets: list[tuple], names: list[str]) -> DataFrame:
+        """Cells of the brackets (column, place..., low, high, parts), with the place inside it. At most BRACKETS rows a column."""
+        kinds = ", ".join(f"{n} int" for n in names[:-1])
+        asked = spark.createDataFrame(brackets, f"column string, {kinds + ', ' if kinds else ''}low double, high double, parts int")
+        return cells.join(F.broadcast(asked), ["column", *names[:-1]]).withColumn(names[-1], _place(F.col("value"))).drop("low", "high", "parts")
+
+    def count(cells: DataFrame, names: list[str], before: dict[tuple, int]) -> list[tuple]:
+        """The brackets that may hold a larger gap than any known: (column, place..., gap before, low, high). ``before`` has the gap
+        before the first bracket of each column and outer place."""
+        rows = cells.groupBy("column", *names).agg(F.sum("s").alias("s"), F.sum(1 - F.col("s")).alias("o"), F.min(number).alias("low"), F.max(number).alias("high")).collect()
+        seen, outer, run = [], None, 0
+        for r in sorted(rows, key=lambda r: (r["column"], *[r[n] for n in names])):
+            c, at = r["column"], tuple(r[n] for n in names)
+            if outer != (c, *at[:-1]):
+                outer = (c, *at[:-1])
+                run = before[outer]
+            start, run = run, run + r["s"] * ends[c]["tos"] - r["o"] * ends[c]["ts"]
+            best[c] = max(best[c], abs(run))
+            seen.append(((c, *at, start, r["low"], r["high"]), max(start + r["s"] * ends[c]["tos"], r["o"] * ends[c]["ts"] - start)))
+        return [x for x, most in seen if most > best[x[0]]]
+
+    cells = cut(both, [(c, r["low"], r["high"], BRACKETS) for c, r in ends.items()], ["b1"])
+    left = count(cells, ["b1"], {(c,): 0 for c in ends})
+    share = {c: max(1, BRACKETS // max(1, sum(x[0] == c for x in left))) for c in ends}
+    cells = cut(cells, [(c, b, low, high, share[c]) for c, b, _, low, high in left], ["b1", "b2"])
+    left = count(cells, ["b1", "b2"], {(c, b): start for c, b, start, _, _ in left})
+    known = spark.createDataFrame([(c, b1, b2, Decimal(start), ends[c]["ts"], ends[c]["tos"]) for c, b1, b2, start, _, _ in left],
+                                  "column string, b1 int, b2 int, start decimal(38,0), ts bigint, tos bigint")
+    values = cells.join(F.broadcast(known), ["column", "b1", "b2"]).groupBy("column", "b1", "b2", "start", "ts", "tos", "value").agg(
+        F.sum("s").alias("s"), F.sum(1 - F.col("s")).alias("o"))
+    wide = lambda c: F.col(c).cast("decimal(18,0)")
+    step = (wide("s") * wide("tos") - wide("o") * wide("ts")).cast("decimal(38,0)")
+    run = running_total(values, ["value"], step, ["column", "b1", "b2"], "run")
+    inner = run.groupBy("column").agg(F.max(F.abs(F.col("start") + F.col("run"))).alias("inner"))
+    found = spark.createDataFrame([(c, Decimal(best[c]), r["ts"], r["tos"]) for c, r in ends.items()], "column string, best decimal(38,0), ts bigint, tos bigint")
+    most = F.greatest("best", F.coalesce("inner", F.lit(0).cast("decimal(38,0)"))).cast("double")
+    gap = most / (F.col("ts").cast("double") * F.col("tos").cast("double"))
+    # one row a column
+    return found.join(F.broadcast(inner), "column", "left").select("column", gap.alias("ks")).withColumn("similarity", 1 - F.col("ks"))
+
+
+def _place(value: Column) -> Column:
+    """Which of ``parts`` equal widths from ``low`` to ``high`` a value lies in; what is no number comes last."""
+    width = (F.col("high") - F.col("low")) / F.col("parts")
+    inside = F.floor((value - F.col("low")) / width)
+    even = (width > 0) & (width < float("inf"))
+    return F.when(F.isnan(value), F.col("parts")).when(even, F.greatest(F.lit(0), F.least(inside, F.col("parts") - 1))).otherwise(0).cast("int")
 
 
 def cramers_v(source: DataFrame, output: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -35,7 +35,6 @@ JOINT_CELLS_MAX = 1000
 FLOOR_ROWS = 10           # values, years, joint cells and bins under this are dropped
 SAMPLE_ROWS = 1_000_000
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
-FREETEXT_SURE = 90        # an approximate distinct count past this cannot be 30 or fewer
 
 
 @dataclass
@@ -65,8 +64,8 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def column_kinds(df: DataFrame, date_columns: Sequence[str] = ()) -> dict[str, str]:
-    """numeric, categorical, datetime or freetext. Text is told apart by its distinct count: an approximate count
-    in one pass settles most columns, the rest are counted exactly over at most a few distinct values each."""
+    """numeric, categorical, datetime or freetext. Text is told apart by how many distinct hashes of 64 bits it has, counted and not
+    estimated; only hashes are shuffled, each once a task."""
     kinds, texts = {}, []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) or f.name in date_columns:
@@ -78,11 +77,11 @@ def column_kinds(df: DataFrame, date_columns: Sequence[str] = ()) -> dict[str, s
         else:
             texts.append(f.name)
     if texts:
-        rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in texts]).first()
-        close = [c for c in texts if rough[c] <= FREETEXT_SURE]
-        exact = df.agg(*[F.count_distinct(c).alias(c) for c in close]).first() if close else {}
+        hashes = df.select(*[F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("string"))).alias(c) for c in texts])
+        values = stack(hashes, texts, "bigint").where("value is not null").distinct()
+        counts = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count("*").alias("n")).collect()}
         for c in texts:
-            kinds[c] = "categorical" if c in close and exact[c] <= CATEGORICAL_MAX else "freetext"
+            kinds[c] = "categorical" if counts.get(c, 0) <= CATEGORICAL_MAX else "freetext"
     return {c: kinds[c] for c in df.columns}
 
 

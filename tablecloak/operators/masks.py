@@ -596,6 +596,7 @@ def mask_table(df: DataFrame, rules: Sequence[Rule], secret: bytes, table: str =
     staged = work.select("*", *[e.alias(n) for n, e in ctx.staged.items()]) if ctx.staged else work
     masked = staged.select(*[e.alias(n) for n, e in out.items()], *extra)
     late = [r for r in rules if STRATEGIES[r.strategy].late]
+    once = _aggregates(masked, late)
     for r in late:
         if r.strategy == "derived":
             e = r.options["expression"]
@@ -606,10 +607,25 @@ def mask_table(df: DataFrame, rules: Sequence[Rule], secret: bytes, table: str =
                 e = F.coalesce(e, F.lit(r.options.get("default", 0)))
             masked = masked.withColumn(r.column, e)
         else:
-            masked = masked.withColumn(r.column, table_scalar(masked, r.options["op"], r.options["of"]))
+            masked = masked.withColumn(r.column, once[r.options["op"], r.options["of"]] if (r.options["op"], r.options["of"]) in once
+                                       else table_scalar(masked, r.options["op"], r.options["of"]))
     return masked.select(*ordered, *(["__errors", "__row"] if with_errors else []))
 
 
+def _aggregates(masked: DataFrame, late: Sequence[Rule]) -> dict[tuple[str, str], Column]:
+    """The table-wide aggregates over columns that are masked already, all from one pass: one row with a field for each, as one scalar
+    subquery. An aggregate of a column that is itself worked out late is not among them."""
+    made = {c for r in late for c in r.columns}
+    asked = list(dict.fromkeys((r.options["op"], r.options["of"]) for r in late if r.strategy == "derived_aggregate" and r.options["of"] not in made))
+    if not asked:
+        return {}
+    for op, _ in asked:
+        if op not in AGGREGATES:
+            raise InvalidRule(f"unknown aggregate {op!r}")
+    row = masked.agg(F.struct(*[AGGREGATES[op](of).alias(f"a{i}") for i, (op, of) in enumerate(asked)]).alias("all")).scalar()
+    return {key: row[f"a{i}"] for i, key in enumerate(asked)}
+
+
 def _with_threshold(df: DataFrame, r: Rule) -> Rule:
     """top_code by quantile: the threshold is the exact quantile of the column."""
     if r.strategy != "top_code" or "quantile" not in r.options:

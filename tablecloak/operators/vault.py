@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import VaultExists, VaultMiss
+from ..errors import InvalidRule, VaultExists, VaultMiss
 from ..keys import check_secret, hmac_hex, subkey
 from ..session import materialize
 from .joins import lookup_join
@@ -118,12 +118,25 @@ def _aes_key(secret: bytes) -> Column:
 
 def vault_write(source: DataFrame, masked: DataFrame, on: Sequence[str], columns: Sequence[str], ns: str, secret: bytes,
                 path: str | None = None) -> DataFrame:
-    """(ns, token, sealed) for the masked columns: the masked value in clear, the source value under AES-GCM.
-    Masked values that two sources share are left out."""
-    both = source.select(*on, *[F.col(c).cast("string").alias(f"__s_{c}") for c in columns]).join(
-        masked.select(*on, *[F.col(c).cast("string").alias(f"__m_{c}") for c in columns]), list(on))
-    pairs = both.select(F.explode(F.array(*[F.struct(F.col(f"__m_{c}").alias("token"), F.col(f"__s_{c}").alias("value"))
-                                             for c in columns])).alias("p")).select("p.*").dropna()
+    """(ns, token, sealed) for the masked columns: the masked value in clear, the source value under AES-GCM. Masked values that two
+    sources share are left out.
+
+    Rows meet by the key ``on``, a null being a key like any other. A key that repeats would seal values of other rows, and a
+    row of one side only could not be reversed: both are refused before anything is written.
+    """
+    same = F.lit(True)
+    for side, frame in (("source", source), ("masked", masked)):
+        if not frame.groupBy(*on).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty():
+            raise InvalidRule(f"the key does not tell the rows of the {side} table apart")
+    s = source.select(F.struct(*on).alias("__ks"), *[F.col(c).cast("string").alias(f"__s_{c}") for c in columns])
+    m = masked.select(F.struct(*on).alias("__km"), *[F.col(c).cast("string").alias(f"__m_{c}") for c in columns])
+    for k in on:
+        same = same & F.col("__ks")[k].eqNullSafe(F.col("__km")[k])
+    both = materialize(s.join(m, same, "full_outer"), "vault_pairs")
+    lost = both.where("__ks IS NULL OR __km IS NULL").count()
+    if lost:
+        raise VaultMiss(f"{lost} rows are in one of the two tables only")
+    pairs = both.select(F.explode(F.array(*[F.struct(F.col(f"__m_{c}").alias("token"), F.col(f"__s_{c}").alias("value")) for c in columns])).alias("p")).select("p.*").dropna()
     sealed = seal(pairs.withColumn("ns", F.lit(ns)), secret)
     if path:
         save_sealed(sealed, path)

@@ -104,3 +104,31 @@ def test_tokens_of_forms_that_normalise_alike(spark):
     assert grown.count() == 2
     got = out.collect()
     assert got[0].a == got[1].a == got[1].b and got[2].a is None and got[0].b == got[2].b
+
+
+def test_vault_refuses_rows_it_could_not_reverse(spark):
+    src = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k bigint, v string")
+    masked = src.select("k", F.concat(F.lit("m"), "v").alias("v"))
+    sealed = vault.vault_write(src, masked, ["k"], ["v"], "n", SECRET)
+    back = vault.vault_read(masked, ["v"], "n", SECRET, sealed)
+    assert sorted((r.v, r.v_status) for r in back.collect()) == [("a", "vault_reversed"), ("b", "vault_reversed"), ("c", "vault_reversed")]
+    with pytest.raises(E.VaultMiss):
+        vault.vault_write(src, masked.where("k = 1"), ["k"], ["v"], "n", SECRET)
+    with pytest.raises(E.InvalidRule):
+        vault.vault_write(src.union(src), masked, ["k"], ["v"], "n", SECRET)
+
+
+def test_aggregates_of_a_masked_table_take_one_pass(spark):
+    df = spark.range(50).select("id", (F.col("id") * 2).alias("x"))
+    rules = [rule("top", "derived_aggregate", op="max", of="x"), rule("n", "derived_aggregate", op="count", of="x"), rule("low", "derived_aggregate", op="min", of="id"),
+             rule("most", "derived_aggregate", op="max", of="top"), *keep("id", "x")]
+    out = mask_table(df, rules, SECRET, "t", unconfigured="warn")
+    assert out.select("top", "n", "low", "most").distinct().collect() == [(98, 50, 0, 98)]
+    three = mask_table(df, [*rules[:3], *keep("id", "x")], SECRET, "t", unconfigured="warn")._jdf.queryExecution().optimizedPlan().toString()
+    assert three.count("Aggregate [") <= 3
+
+
+def test_kinds_are_counted(spark):
+    from tablecloak.operators import fit
+    df = spark.range(400).select((F.col("id") % 30).cast("string").alias("few"), (F.col("id") % 31).cast("string").alias("many"), F.lit(None).cast("string").alias("none"))
+    assert fit.column_kinds(df) == {"few": "categorical", "many": "freetext", "none": "categorical"}

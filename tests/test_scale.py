@@ -159,3 +159,36 @@ def test_running_totals_of_several_weights(spark, skewed):
     got = ordering.running_totals(skewed, ["id"], {"a": F.col("id"), "b": F.when(F.col("id") % 2 == 0, 1).otherwise(0)}, ["k"])
     w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     assert rows(got) == rows(skewed.select("*", F.sum("id").over(w).alias("a"), F.sum(F.when(F.col("id") % 2 == 0, 1).otherwise(0)).over(w).alias("b")))
+
+
+def test_ks_by_brackets_is_exact(spark, monkeypatch):
+    """Few brackets, so that cutting goes on: smooth, discrete, far-out, one-valued and not-a-number columns."""
+    import random
+    r = random.Random(6)
+    make = lambda n, shift: [(r.gauss(shift, 1), float(r.choice([1, 2, 2, 3])) + (shift > 0 and r.random() < 0.1), r.choice([1e300, -1e300, 0.0, float("inf"), r.random()]), 5.0,
+                              r.choice([float("nan"), 1.0, None, r.random()]), None if shift else 1.0) for _ in range(n)]
+    kinds = ", ".join(f"c{i} double" for i in range(6))
+    x, y = make(700, 0), make(900, 0.1)
+    a, b = (spark.createDataFrame(rows_, kinds).repartition(4) for rows_ in (x, y))
+
+    def gap(i):
+        key = lambda v: (v != v, v if v == v else 0.0)
+        s, o = sorted(key(r[i]) for r in x if r[i] is not None), sorted(key(r[i]) for r in y if r[i] is not None)
+        return max(abs(sum(v <= p for v in s) * len(o) - sum(v <= p for v in o) * len(s)) for p in set(s + o)) / (len(s) * len(o))
+    for brackets in (4, 64, 4096):
+        monkeypatch.setattr(fidelity, "BRACKETS", brackets)
+        got = {row["column"]: row["ks"] for row in fidelity.ks(a, b, [f"c{i}" for i in range(6)]).collect()}
+        assert got == {f"c{i}": pytest.approx(gap(i), abs=1e-15) for i in range(5)}
+
+
+def test_ks_shuffles_few_values(spark, t):
+    """What is counted one by one is a small part of the distinct values."""
+    a, b = t.lineitem.where("l_orderkey % 2 = 0"), t.lineitem.where("l_orderkey % 2 = 1")
+    seen = []
+    real = fidelity.running_total
+    fidelity.running_total = lambda df, *rest: seen.append(df.count()) or real(df, *rest)
+    try:
+        fidelity.ks(a, b, ["l_extendedprice"]).collect()
+    finally:
+        fidelity.running_total = real
+    assert sum(seen) <= 0.05 * t.lineitem.select("l_extendedprice").distinct().count()

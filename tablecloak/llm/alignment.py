@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +36,12 @@ from .perfect import PerfectHash, Shard, shard_of
 from .vectors import SCHEMA as VECTOR, block_batch, block_rows, tree_sum
 from .words import slices, text_bytes
 
+SPACE = "\u2581"         # how pieces write a space
+SAMPLE = "\ufb01 \uff21  x\u00a0e\u0301\tE"  # what a normaliser would change
 SHARD_KEYS = 1 << 15   # keys of one shard of the hash, about
 BUFFERED = 1 << 20     # links a task counts before it adds them to its table of distinct pairs
-CHUNK_BYTES = 8 << 20  # text whose distinct pre-tokens are encoded together
+PIECES = 4096          # texts or pre-tokens given to the library at once
+CHUNK_BYTES = 2 << 20  # text whose distinct pre-tokens are encoded together
 SHIFT = np.uint64(32)  # a pair of ids as one key: the A id above, the B id below
 
 
@@ -61,6 +66,9 @@ class Tokenizers:
         with open(byte_level_path, encoding="utf-8") as a, open(pieces_path, "rb") as b:
             return cls(a.read(), b.read(), pattern)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tools"}
+
     def entries(self) -> tuple[list[bytes], list[bytes]]:
         """The bytes of every id of A and of B."""
         from sentencepiece import SentencePieceProcessor
@@ -88,7 +96,7 @@ class Tokenizers:
         first, second = Tokenizer.from_str(self.byte_level), SentencePieceProcessor(model_proto=self.pieces)
         first.encode_special_tokens = True
         return (lambda texts: [e.ids for e in first.encode_batch_fast(texts, add_special_tokens=False)],
-                lambda texts: second.encode(texts, num_threads=1) if isinstance(texts, list) else second.encode(texts))
+                lambda texts: second.encode(texts, num_threads=1))
 
     def rules(self) -> tuple[str, str, str] | None:
         """How texts are split for A; None where A splits in another way than by the pattern alone."""
@@ -106,13 +114,52 @@ class Tokenizers:
 
         return split_rules(self.pattern, library)
 
+    def by_word(self) -> bool:
+        """Does B encode a text word by word? No piece goes on after a space inside it, and texts are taken as they are."""
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_proto=self.pieces)
+        apart = not any(SPACE in model.id_to_piece(i).lstrip(SPACE) for i in range(model.get_piece_size()))
+        return apart and model.normalize(SAMPLE) == SPACE + SAMPLE.replace(" ", SPACE)
+
     def make(self, rules: tuple[str, str, str] | None = None):
-        """(encode A, encode B) for a task: texts to the ids of each, of A as little-endian 32 bit numbers. With ``rules`` A
-        encodes each distinct pre-token of some texts once."""
-        whole, second = self.libraries()
-        packed = lambda texts: [np.array(ids, "<u4").tobytes() for ids in whole(texts)]
+        """(encode A, encode B) for a task: texts to the ids of each as little-endian 32 bit numbers. With ``rules`` A encodes each
+        distinct pre-token of some texts once, and so does B with words where that is the same."""
+        first, second = self.libraries()
+        packed = lambda library: lambda texts: [_packed(ids) for a in range(0, len(texts), PIECES) for ids in library(texts[a:a + PIECES])]
         rules = rules or self.rules()
-        return (Coder(rules, packed).encode if rules else packed), second
+        return (Coder(rules, packed(first)).encode if rules else packed(first)), WordCoder(packed(second)).encode if self.by_word() else packed(second)
+
+    def in_worker(self, rules: tuple[str, str, str] | None) -> tuple:
+        """(entries of A, entries of B, encode A, encode B), made once in a worker process: the coder only remembers."""
+        if "tools" not in self.__dict__:
+            self.__dict__["tools"] = (*self.entries(), *self.make(rules))
+        return self.__dict__["tools"]
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class WordCoder(Coder):
+    """Encodes texts by their words, each distinct one once. Texts that begin or end with a space, hold two in a row, or the
+    sign that pieces have for one, are encoded as a whole."""
+
+    def __init__(self, whole: Callable[[list[str]], list[bytes]]):
+        dict.__init__(self)
+        self.ids_of, self.fresh, self.coded = whole, [], []
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        even = [bool(t) and "  " not in t and SPACE not in t and t[0] != " " and t[-1] != " " for t in texts]
+        by_word = iter(super().encode([t for t, e in zip(texts, even) if e]))
+        whole = iter(self.ids_of([t for t, e in zip(texts, even) if not e]))
+        return [next(by_word) if e else next(whole) for e in even]
+
+    def _numbers(self, text: str) -> array:
+        return array("I", map(self.__getitem__, text.split(" ")))
 
 
 def most_pairs(a: list[bytes], b: list[bytes]) -> int:
@@ -129,24 +176,23 @@ def most_pairs(a: list[bytes], b: list[bytes]) -> int:
 
 
 def tokens(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, a, b): the ids of every document as little-endian 32 bit numbers, both null where it has no tokens."""
+    """(id, a, b): the ids of every document as little-endian numbers of 16 bits, or of 32 where a vocabulary has more ids; both
+    null where it has no tokens."""
     bounded_batches(docs.sparkSession)
     held = share(docs.sparkSession, (tokenizers, tokenizers.rules()))
-    made: list = []
+    kinds = [_kind(len(entries)) for entries in tokenizers.entries()]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        if not made:
-            both, rules = held()
-            made.extend([*both.entries(), *both.make(rules)])
-        of_a, of_b, encode_a, encode_b = made
+        both, rules = held()
+        of_a, of_b, encode_a, encode_b = both.in_worker(rules)
         for part in chunks(batches, 1, CHUNK_BYTES):
             texts = part.column(1).to_pylist()
             some = [i for i, t in enumerate(texts) if t]
             a, b = [None] * len(texts), [None] * len(texts)
-            for i, x in zip(some, encode_a([" " + texts[i] for i in some])):
-                whole, y = b" " + texts[i].encode(), encode_b(texts[i])
-                if b"".join(map(of_b.__getitem__, y)) == whole and b"".join(map(of_a.__getitem__, np.frombuffer(x, "<u4").tolist())) == whole:
-                    a[i], b[i] = x, np.array(y, "<u4").tobytes()
+            for i, x, y in zip(some, encode_a([" " + texts[i] for i in some]), encode_b([texts[i] for i in some])):
+                whole, x, y = b" " + texts[i].encode(), np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                if b"".join(map(of_b.__getitem__, y.tolist())) == whole and b"".join(map(of_a.__getitem__, x.tolist())) == whole:
+                    a[i], b[i] = x.astype(kinds[0]).tobytes(), y.astype(kinds[1]).tobytes()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["id", "a", "b"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -158,8 +204,8 @@ class Links:
     end of a row is a common end as well."""
 
     def __init__(self, a: pa.Array, b: pa.Array, size_a: np.ndarray, size_b: np.ndarray):
-        self.a, self.rows_a = _ids(a)
-        self.b, self.rows_b = _ids(b)
+        self.a, self.rows_a = _ids(a, _kind(len(size_a)))
+        self.b, self.rows_b = _ids(b, _kind(len(size_b)))
         ends_a, ends_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
         _, self.at_a, self.at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         self.keys = self.a[self.at_a].astype(np.uint64) << SHIFT | self.b[self.at_b].astype(np.uint64)
@@ -181,10 +227,14 @@ class Links:
         return [b"".join(map(both.__getitem__, code[x:y]))[:-1] for x, y in zip(bounds[:-1], bounds[1:])]
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _kind(ids: int) -> str:
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
+def _ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows and the first of each; null rows have none."""
     data, offsets = text_bytes(column)
-    return np.frombuffer(data.tobytes(), "<u4"), offsets // 4
+    return np.frombuffer(data.tobytes(), kind), offsets // np.dtype(kind).itemsize
 
 
 def _sizes(tokenizers: Tokenizers) -> tuple[np.ndarray, np.ndarray]:

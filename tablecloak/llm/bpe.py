@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -216,6 +217,15 @@ def split_rules(pattern: str, theirs: Callable[[str], set[str]] = library_class)
     return pattern, f"[{_ranges(strange)}]" if strange else "", exact
 
 
+def beginnings(strange: str) -> bytes:
+    """A pattern for the first two bytes of the characters of a class, all of them outside ASCII: looking for those is cheap."""
+    seconds: dict[int, set[int]] = {}
+    for c in regex.findall(strange, EVERY):
+        seconds.setdefault(c.encode()[0], set()).add(c.encode()[1])
+    one = lambda b: b"\\x%02x" % b
+    return b"|".join(one(a) + b"[" + b"".join(map(one, sorted(s))) + b"]" for a, s in sorted(seconds.items()))
+
+
 class Coder(dict):
     """Encodes inside a task. As a dict it numbers the pre-tokens it has seen; ``coded`` has the ids of each."""
 
@@ -223,7 +233,7 @@ class Coder(dict):
         super().__init__()
         plain, strange, exact = rules
         self.plain = regex.compile(plain)
-        self.strange = regex.compile(strange) if strange else None
+        self.strange = (re.compile(beginnings(strange)), regex.compile(strange)) if strange else None
         self.exact = regex.compile(exact, regex.V1)
         self.ids_of = ids_of
         self.fresh: list[str] = []
@@ -235,7 +245,8 @@ class Coder(dict):
         return number
 
     def _numbers(self, text: str) -> array:
-        pattern = self.exact if self.strange and not text.isascii() and self.strange.search(text) else self.plain
+        odd = self.strange and not text.isascii() and self.strange[0].search(text.encode()) and self.strange[1].search(text)
+        pattern = self.exact if odd else self.plain
         pieces = pattern.findall(text) if len(text) <= LONG else (match.group() for match in pattern.finditer(text))
         return array("I", map(self.__getitem__, pieces))
 

@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
-from .frames import BATCH_BYTES, bounded_batches, cut, share
+from .frames import bounded_batches, cut, share
 from .vectors import block_rows, tree_sum
-from .words import ODD, Words, byte_class, mix, slices, span_hashes, text_bytes
+from .words import ODD, SLICE_BYTES, Words, byte_class, mix, slices, span_hashes, text_bytes
 
 DEPTH = 4
 MIN_COUNT = 30
@@ -47,7 +47,7 @@ SCALE = 2_000_000
 TOP = 2000
 WORD_SLOTS = 1 << 18
 PAIR_SLOTS = 1 << 24
-BUDGET = 1 << 20       # occurrences of suffixes in a group, 36 bytes each
+BUDGET = 1 << 19       # occurrences of suffixes in a group, 48 bytes each while its trees are built
 MOST_GROUPS = 1 << 20  # beyond it the budget is doubled
 SALTS = 64             # parts in which the first phrases of a language are found before they meet
 SEEDS = 8
@@ -59,17 +59,17 @@ KEY = ["lang", *W]
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(lang, text) in parts of about ``BATCH_BYTES``; a longer text is cut after a separator where it has one."""
-    for part in slices(batch, 1, BATCH_BYTES):
+    """(lang, text) in parts of about ``SLICE_BYTES``; a longer text is cut after a separator where it has one."""
+    for part in slices(batch, 1, SLICE_BYTES):
         data, offsets = text_bytes(part.column(1))
-        if part.num_rows > 1 or len(data) <= BATCH_BYTES:
+        if part.num_rows > 1 or len(data) <= SLICE_BYTES:
             yield part
             continue
         ends, start = np.flatnonzero(SEPARATOR[data]) + 1, 0
         while start < len(data):
-            k = np.searchsorted(ends, start + BATCH_BYTES, "right") - 1
+            k = np.searchsorted(ends, start + SLICE_BYTES, "right") - 1
             end = int(ends[k]) if k >= 0 and ends[k] > start else int(ends[k + 1]) if k + 1 < len(ends) else len(data)
-            end = len(data) if len(data) - start <= BATCH_BYTES else end
+            end = len(data) if len(data) - start <= SLICE_BYTES else end
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[start:end].tobytes()], pa.large_binary())], names=["lang", "text"])
             start = end
 
@@ -83,7 +83,8 @@ class Sequence:
         self.langs = coded.dictionary.to_pylist()
         self.lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[w.row]
         self.hashes = span_hashes(w.data ^ np.uint8(seed), w.starts, w.ends)
-        piece = np.cumsum(SEPARATOR[w.data])[w.starts] if len(w) else np.zeros(0, np.int64)
+        self.distinct, self.ids = np.unique(self.hashes, return_inverse=True)
+        piece = np.cumsum(SEPARATOR[w.data], dtype=np.int32)[w.starts] if len(w) else np.zeros(0, np.int64)
         self.joined = np.zeros(len(w), bool)
         self.joined[:-1] = (w.row[1:] == w.row[:-1]) & (piece[1:] == piece[:-1])
         names = [t.encode() for t in self.langs]
@@ -158,9 +159,14 @@ class Partition:
         return out
 
 
+COLUMNS = ["group", "lang", "words", "hot", "windows", "counts", "texts"]
+ROWS = "group int, lang string, words binary, hot binary, windows binary, counts binary, texts binary"
+
+
 def _suffixes(seed: int, least: int, tables):
-    """Rows (group, lang, windows, counts, hot, hashes, texts): the distinct suffixes of a part with their counts, and the words
-    they start with."""
+    """Rows of ``ROWS``: for each group and language of a part its distinct suffixes in order, with their counts. ``windows`` has ``DEPTH``
+    numbers for each, 0 for none, else the place from 1 on in ``words``, hashes of the words that occur here; ``hot`` says which of
+    them are extended as prefixes, ``texts`` has the words that suffixes start with, by place."""
     def run(batches: Iterator[pa.RecordBatch]):
         pairs, words, partition = tables()
         for batch in batches:
@@ -173,38 +179,44 @@ def _suffix_rows(s: Sequence, pairs: np.ndarray, words: np.ndarray, partition: P
     may = words[s.word_slot] >= least
     step = s.joined & may & (pairs[s.pair_slot] >= least)
     at, depth = np.flatnonzero(may), np.ones(int(may.sum()), np.int64)
-    windows, going = [s.hashes[at]], np.ones(len(at), bool)
+    table, going = np.zeros((len(at), DEPTH), np.int64), np.ones(len(at), bool)
+    table[:, 0] = s.ids[at] + 1
     for k in range(1, DEPTH):
-        going = going & step[np.minimum(at + k - 1, len(step) - 1)]
+        going &= step[np.minimum(at + k - 1, len(step) - 1)]
         depth += going
-        windows.append(np.where(going, s.hashes[np.minimum(at + k, len(step) - 1)], np.uint64(0)))
-    group, lang = partition.groups(s, at, depth), s.lang[at]
-    key = reduce(lambda h, w: mix(h * np.uint64(ODD) + w), windows, lang.astype(np.uint64))
-    order = np.lexsort((key, lang, group))
-    columns = [w[order] for w in windows]
-    differs = lambda c: c[1:] != c[:-1]
-    same = ~differs(key[order]) & ~differs(lang[order])
-    if any((differs(c) & same).any() for c in columns):  # two suffixes of one key
-        order = np.lexsort((*windows, lang, group))
-        columns = [w[order] for w in windows]
-    group, lang, at = group[order], lang[order], at[order]
-    new = np.ones(len(order), bool)
-    new[1:] = reduce(np.logical_or, [differs(c) for c in (group, lang, *columns)]) if len(order) > 1 else True
-    first = np.flatnonzero(new)
-    counts = np.diff(np.append(first, len(order))).astype("<u4")
-    columns, group, lang, at = [c[first] for c in columns], group[first], lang[first], at[first]
-    table = np.stack(columns, axis=1).astype("<u8") if len(first) else np.zeros((0, DEPTH), "<u8")
-    # whether each word of a suffix belongs to a prefix that is extended
-    hot = np.stack([partition.hot[s.word_slot[np.minimum(at + k, max(len(s.hashes) - 1, 0))]] & (columns[k] > 0) for k in range(DEPTH)], axis=1) if len(first) else np.zeros((0, DEPTH), bool)
-    bounds = np.flatnonzero(np.append(True, differs(group) | differs(lang))).tolist() + [len(first)] if len(first) else [0]
+        table[going, k] = s.ids[at[going] + k] + 1
+    place = partition.groups(s, at, depth) * max(1, len(s.langs)) + s.lang[at]
+    first, second = table[:, 0] << 32 | table[:, 1], table[:, 2] << 32 | table[:, 3]
+    order = np.lexsort((second, first, place))
+    place, first, second = place[order], first[order], second[order]
+    new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1]))) if len(order) else order
+    counts = np.diff(np.append(new, len(order))).astype("<u4")
+    table, at, place = table[order[new]], at[order[new]], place[new]
+    bounds = np.flatnonzero(np.append(True, place[1:] != place[:-1])).tolist() if len(place) else []
     rows = []
-    for x, y in zip(bounds[:-1], bounds[1:]):
-        hashes, where = np.unique(table[x:y, 0], return_index=True)
-        rows.append((int(group[x]), s.langs[lang[x]], table[x:y].tobytes(), counts[x:y].tobytes(), np.packbits(hot[x:y], axis=1).tobytes(),
-                     hashes.tobytes(), b" ".join(s.text(at[x + k]) for k in where.tolist())))
-    columns = zip(*rows) if rows else [()] * 7
+    for x, y in zip(bounds, [*bounds[1:], len(place)]):
+        block = table[x:y]
+        used, where, local = np.unique(block, return_index=True, return_inverse=True)
+        if used[0]:
+            local = local + 1
+        else:
+            used, where = used[1:], where[1:]
+        hot = partition.hot[s.word_slot[at[x + where // DEPTH] + where % DEPTH]]
+        starts, by = np.unique(block[:, 0], return_index=True)
+        rows.append((int(place[x]) // len(s.langs), s.langs[int(place[x]) % len(s.langs)], s.distinct[used - 1].astype("<u8").tobytes(), hot.tobytes(),
+                     local.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(), counts[x:y].tobytes(), b" ".join(s.text(at[x + k]) for k in by.tolist())))
+    columns = zip(*rows) if rows else [()] * len(COLUMNS)
     kinds = [pa.int32(), pa.string(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["group", "lang", "windows", "counts", "hot", "hashes", "texts"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=COLUMNS)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[bytes]]:
+    """(hashes, counts, hot) of the suffixes of one row, and the words they start with: hashes and texts."""
+    counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
+    places = np.frombuffer(row["windows"], "<u2" if len(row["windows"]) == 2 * DEPTH * len(counts) else "<u4").reshape(-1, DEPTH)
+    words = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(row["words"], "<u8")])
+    hot = np.concatenate([np.zeros(1, bool), np.frombuffer(row["hot"], bool)])
+    return words[places], counts, hot[places], words[np.unique(places[:, 0])].tolist(), row["texts"].split(b" ")
 
 
 def _trees(least: int):
@@ -212,20 +224,16 @@ def _trees(least: int):
     the greatest text with that hash. Nodes whose words are all extended are kept whatever their count: other groups have the rest."""
     def build(table: pa.Table) -> pa.Table:
         out = []
-        lang = table.column("lang").to_pylist()
-        for name in sorted(set(lang)):
-            rows = [i for i, x in enumerate(lang) if x == name]
-            joined = lambda c: b"".join(table.column(c)[i].as_py() for i in rows)
-            windows = np.frombuffer(joined("windows"), "<u8").reshape(-1, DEPTH)
-            counts = np.frombuffer(joined("counts"), "<u4").astype(np.int64)
-            hot = np.unpackbits(np.frombuffer(joined("hot"), np.uint8).reshape(-1, 1), axis=1)[:, :DEPTH].astype(bool)
+        rows = table.select(COLUMNS).to_pylist()
+        for name in sorted({r["lang"] for r in rows}):
+            windows, counts, hot, starts, named = zip(*(_unpacked(r) for r in rows if r["lang"] == name))
+            windows, counts, hot = np.concatenate(windows), np.concatenate(counts), np.concatenate(hot)
             order = np.lexsort(tuple(windows[:, k] for k in reversed(range(DEPTH))))
             windows, counts, hot = windows[order], counts[order], hot[order]
             texts: dict[int, tuple[bytes, bytes]] = {}
-            for i in rows:
-                for h, t in zip(np.frombuffer(table.column("hashes")[i].as_py(), "<u8").tolist(), table.column("texts")[i].as_py().split(b" ")):
-                    low, high = texts.get(h, (t, t))
-                    texts[h] = (min(low, t), max(high, t))
+            for h, t in ((h, t) for hs, ts in zip(starts, named) for h, t in zip(hs, ts)):
+                low, high = texts.get(h, (t, t))
+                texts[h] = (min(low, t), max(high, t))
             for d in range(1, DEPTH + 1):
                 deep = np.flatnonzero(windows[:, d - 1] > 0)
                 if not len(deep):
@@ -256,7 +264,7 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "lang"
         pairs = tree_sum(first.where("table = 'pairs'").select("part", "block", "vector"), PAIR_SLOTS, kind, min_count)
         words = tree_sum(first.where("table = 'words'").select("part", "block", "vector"), WORD_SLOTS)
         tables = share(spark, (pairs, words, Partition(words, budget)))
-        rows = source.mapInArrow(_suffixes(seed, min_count, tables), "group int, lang string, windows binary, counts binary, hot binary, hashes binary, texts binary")
+        rows = source.mapInArrow(_suffixes(seed, min_count, tables), ROWS)
         nodes = rows.groupBy("group").applyInArrow(_trees(min_count), "lang string, " + ", ".join(f"{w} bigint" for w in W) + ", a bigint, low string, high string")
         nodes = cut(nodes.groupBy(*KEY).agg(F.sum("a").alias("a"), F.min("low").alias("word"), F.max("high").alias("high")).where(F.col("a") >= min_count), "phrases")
         if nodes.where("word <> high").isEmpty():

@@ -5,8 +5,8 @@ the suffixes that share their first words with some test suffix, sorted by their
 is then binary-searched in it; the interval it narrows to holds every verbatim match of at least a window, and comparing
 on from there gives the longest match of each location. Nothing is shuffled.
 
-The test set is sent to the tasks in blocks of a fixed number of words, one map after another, so a broadcast never
-exceeds the block whatever the size of the benchmark.
+The test set is sent to the tasks in blocks of a fixed number of words, one after another; what a block has found is written
+before the next one is sent and the last is released, so plan and broadcasts are those of one block whatever the size of the benchmark.
 
 Defined cases: a null or empty text has no words; an item without id or without words takes no part; repeated rows give
 repeated result rows; an item with fewer words than a window is one window; an empty benchmark hits nothing.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import bounded_batches, share
+from .frames import bounded_batches, cut, share
 from .words import ALNUM, Words, slices, window_hashes
 
 WINDOW = 10
@@ -151,8 +151,12 @@ def matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
                             "n_hit": F.array().cast("array<int>")})
     schema = out.schema
     text_at = schema.names.index(text_col)
+    held = None
     for block in _blocks(bench, item_col, bench_text, window, block_words):
-        probe = _probe(share(spark, block), text_at)
+        if held is not None:
+            out = _written(out, held)
+        held = share(spark, block)
+        probe = _probe(held, text_at)
 
         def run(batches, probe=probe):
             for part, w, test, (suffix, train, length) in probe(batches):
@@ -168,6 +172,13 @@ def matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
     return out.select(*base.columns, "n_words", "n_hit", "hits")
 
 
+def _written(out: DataFrame, held) -> DataFrame:
+    """What the blocks so far have found, written: the plan holds one block at a time, and so do the executors."""
+    out = cut(out, "block")
+    held.release()
+    return out
+
+
 def _covered(old: pa.Array, w: Words, train: np.ndarray, need: np.ndarray) -> pa.Array:
     """Positions in their row of the words inside a match, with those of earlier blocks."""
     edge = np.zeros(len(w) + 1, np.int64)
@@ -201,9 +212,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     """The documents without a window of any test item, with their own columns."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    out, text_at = docs, docs.columns.index(text_col)
+    out, text_at, held = docs, docs.columns.index(text_col), None
     for block in _blocks(bench, item_col, bench_text, window, block_words):
-        probe = _probe(share(spark, block), text_at)
+        if held is not None:
+            out = _written(out, held)
+        held = share(spark, block)
+        probe = _probe(held, text_at)
 
         def run(batches, probe=probe):
             for part, w, _, (_, train, _) in probe(batches):

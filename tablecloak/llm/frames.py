@@ -21,15 +21,17 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
-    """Broadcast an object of bounded size, its class included; the result gives it inside a task, unpacked once there."""
+    """Broadcast an object of bounded size, its class included; the result gives it inside a task. A worker process unpacks it
+    once and keeps it for its later tasks, on the broadcast itself, so tasks must not change it. ``release`` takes it off the
+    executors when what was made with it is written; a task that needs it again fetches it again."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    held: list = []
 
     def get():
-        if not held:
-            held.append(cloudpickle.loads(packed.value))
-        return held[0]
+        if "unpacked" not in packed.__dict__:
+            packed.__dict__["unpacked"] = cloudpickle.loads(packed.value)
+        return packed.__dict__["unpacked"]
 
+    get.release = packed.unpersist
     return get
 
 

@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from .frames import cut
 
 
+def _mark(edges: DataFrame) -> tuple[int, int]:
+    """Number of links and the sum of their hashes: equal for equal sets, whatever their order."""
+    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``links`` (a, b). Self links are allowed.
 
     Every star round is an aggregate and a join on nodes; the number of rounds is logarithmic in the number of nodes. A
-    node's smallest neighbour is one value however many neighbours it has, so no list of neighbours is built.
+    node's smallest neighbour is one value however many neighbours it has, so no list of neighbours is built. A round that leaves
+    the links as they were is the last; one aggregate over the written links tells.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    while True:
+    seen = _mark(edges)
+    while seen[0]:
         # large star: larger neighbours of u move to the smallest of u and its neighbours
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,9 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct()
-        new = cut(small, "stars")
-        if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
+        edges = cut(small, "stars")
+        last, seen = seen, _mark(edges)
+        if seen == last:
             break
-        edges = new
     roots = edges.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -14,8 +14,11 @@ a bounded number of shingles, and a pair is looked at only in the first band it
 one comparison per member, and no link between different components is lost.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle is
-one shingle; a row with a null id is linked with nothing and is kept, with a null component; rows that repeat an id are
-documents of their own, kept or not by their id.
+one shingle; rows that repeat an id with other texts are documents of their own. In ``classes`` a row with a null id is in no
+class and kept, with a null component, and repeated rows are kept or not by their id; in ``dedup`` a null id is an id like any
+other, the last in order, and of equal rows one stays. Ties, that is equal ids in a class, go by a hash of the text. Long texts are
+taken whole, in slices of a few megabytes or one row; a text's own set is held by one task. An empty table gives an empty one. Only
+the named columns are read, others keep their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, cut
+from .frames import bounded_batches, cut, free_name
 from .graph import components
 from .words import NOT_SPACE, ODD, Words, mix, slices, window_hashes
 
@@ -91,8 +94,8 @@ def _sketch(k: int):
                 node, sig = [None] * len(sets), [None] * len(sets)
                 for i, r in enumerate(some.tolist()):
                     node[r], sig[r] = _digest(sets[r]), signature[i].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())],
-                                                 names=["id", "n", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())],
+                                                 names=["id", "h", "n", "node", "sig"])
     return run
 
 
@@ -211,15 +214,18 @@ def _block_links(band: int, left: list[dict], right: list[dict], fewest: list[in
     return out
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of ``docs``."""
+def rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, null_ids: bool) -> DataFrame:
+    """(id, h, n, node, root) for each row: a hash of its text, the size and digest of its set, and the class of that set; null
+    digest and class without words. With ``null_ids`` rows without an id link sets like any other."""
     bounded_batches(docs.sparkSession)
     fewest = fewest_matches(percent / 100)
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = cut(texts.mapInArrow(_sketch(words), f"id {kind}, n bigint, node binary, sig binary"), "sketches")
-    nodes = cut(base.where("id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    hashed = texts.select("id", "text", F.xxhash64("text").alias("h"))
+    base = cut(hashed.mapInArrow(_sketch(words), f"id {kind}, h bigint, n bigint, node binary, sig binary"), "sketches")
+    rows_ = base.where("node IS NOT NULL") if null_ids else base.where("node IS NOT NULL AND id IS NOT NULL")
+    nodes = cut(rows_.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("first"), F.first("n").alias("n"),
+                                             F.first("sig").alias("sig")), "nodes")
 
     # buckets with two nodes or more; of those with the same members, the one of the first band
     spots = nodes.select("node", F.col("sig").substr(1, 4 * SIGNATURE).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
@@ -231,8 +237,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     # full sets of the nodes that share a bucket
     shared = members.select("node").distinct()
-    ids = nodes.join(shared, "node", "left_semi").select("id").distinct()
-    full = texts.join(ids, "id", "left_semi").select("text").mapInArrow(_full_sets(words), "node binary, full binary")
+    one = nodes.join(shared, "node", "left_semi").select(F.col("first.id").alias("_i"), F.col("first.h").alias("_h"))
+    full = hashed.join(one, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")), "left_semi").select("text").mapInArrow(_full_sets(words), "node binary, full binary")
     sets = cut(full.join(shared, "node", "left_semi").groupBy("node").agg(F.first("full").alias("full")), "sets")
 
     # every member against its leader
@@ -257,14 +263,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     def blocks(frame: DataFrame, total: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("node"), F.ceil(F.col(total) / BLOCK_SHINGLES))
-        return frame.groupBy("band", "key", block.alias(f"{name}_at")).agg(F.collect_list(F.struct("node", "c", "u", "n", "sig", "full")).alias(name))
+        return frame.groupBy("band", "key", block.alias(f"{name}at")).agg(
+            F.collect_list(F.struct("node", "c", "u", "n", "sig", "full")).alias(name), F.first(F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("rights"))
 
-    met = blocks(rest.where("u"), "out", "left_").join(blocks(rest, "all", "right_"), ["band", "key"])
+    # a left block is there once for each right block of its bucket, and the two numbers deal the pairs of blocks over tasks
+    left = blocks(rest.where("u"), "out", "left_").withColumn("right_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rights") - 1))).drop("rights")
+    met = left.join(blocks(rest, "all", "right_").drop("rights"), ["band", "key", "right_at"])
     more = cut(met.select("band", "left_", "right_").mapInArrow(_blocks(fewest, percent), "a binary, b binary"), "more_links")
 
-    final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    known = base.select("id", "n", "node").join(final.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = cut(known, "known")
+    # the links between components join those, few as they are, and not all their nodes again
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = cut(components(between), "merged").withColumnRenamed("node", "was").withColumnRenamed("component", "now")
+    alone = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    final = found.union(alone).join(merged, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("root"))
+    known = base.select("id", "h", "n", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return cut(known, "known")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row of ``docs``."""
+    known = rooted(docs, id_col, text_col, words, percent, False)
     least = known.where("id IS NOT NULL AND root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
     out = known.join(least, "root", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
@@ -272,6 +291,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the first, by id, of their class, with their own columns."""
-    lost = classes(docs, id_col, text_col, words, percent).where("NOT kept").select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    """One document of each class, with its own columns: that with the smallest id, of those with the smallest text hash. A null
+    id comes after all others. Rows without words are in no class. Of rows equal in id and text one stays, whichever it
+    is; rows that share an id alone are documents of their own."""
+    known = rooted(docs, id_col, text_col, words, percent, True)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    first = known.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("x")).select("x.id", "x.h")
+    stay = first.unionByName(known.where("root IS NULL").select("id", "h").distinct())
+    stay = stay.select(F.col("id").alias("_i"), F.col("h").alias("_h"))
+    name = free_name(docs.columns, "text_hash")
+    one = docs.withColumn(name, F.xxhash64(text_col)).dropDuplicates([id_col, name])
+    return one.join(stay, one[id_col].eqNullSafe(stay["_i"]) & (one[name] == stay["_h"]), "left_semi").select(*docs.columns)

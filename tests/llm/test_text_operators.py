@@ -7,6 +7,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -109,7 +110,37 @@ def test_near_classes(docs, texts):
     assert rows(got, *got.columns) == near_classes(texts)
     kept = minhash.dedup(docs, words=4)
     assert kept.columns == docs.columns
-    assert rows(kept, "doc_id") == sorted(((i,) for i, _, _, k in near_classes(texts) if k), key=repr)
+    # of rows equal in id and text one stays
+    assert rows(kept, "doc_id") == sorted({(i, t): (i,) for (i, t), (_, _, _, k) in zip(texts, near_classes_of_rows(texts)) if k}.values(), key=repr)
+
+
+def near_classes_of_rows(texts):
+    found = {(i, n): (i, n, c, k) for i, n, c, k in near_classes(texts)}
+    return [found[i, len(shingle_set(t))] for i, t in texts]
+
+
+def shingle_set(t, words=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UPPER))
+    return {tuple(w[k:k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
+
+
+A = " ".join(f"a{i}" for i in range(30))
+
+
+@pytest.mark.parametrize("given, want", [
+    ([(1, A), (2, A), (2, "b c d e f g")], [(1, A), (2, "b c d e f g")]),
+    ([(1, A), (1, A), (1, A + " x")], [(1, None)]),
+    ([(None, A), (None, A), (5, A)], [(5, A)]),
+    ([(None, A), (None, A), (None, "other words here now")], [(None, A), (None, "other words here now")]),
+    ([(1, ""), (2, ""), (2, ""), (None, None), (None, None), (3, "  ")], [(1, ""), (2, ""), (3, "  "), (None, None)]),
+    ([(2, "x y"), (1, "X Y"), (3, "x  y")], [(1, "X Y")])])
+def test_dedup_keeps_one_of_each_class_and_no_text_less(spark, given, want):
+    """Repeated ids with other texts, equal rows, null ids, rows without words."""
+    got = rows(minhash.dedup(documents(spark, given), words=4), "doc_id", "text")
+    if want == [(1, None)]:
+        assert len(got) == 1 and got[0][0] == 1
+    else:
+        assert got == sorted(want, key=repr)
 
 
 def test_near_classes_of_one_large_group(spark, monkeypatch):
@@ -124,6 +155,34 @@ def test_near_classes_of_one_large_group(spark, monkeypatch):
     assert rows(got, *got.columns) == near_classes(texts)
 
 
+def test_pairs_of_blocks_are_dealt_out(spark, monkeypatch):
+    """A bucket of many blocks: the pairs of blocks are keyed by both numbers, and none is lost."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 120)
+    import random
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    # texts that share a beginning, so bands collide, in several families of near copies
+    texts = []
+    for i in range(120):
+        tail = [f"t{i % 6}x{k}" for k in range(14)]
+        texts.append((i, " ".join([*base, *(x if r.random() > 0.02 else "y" for x in tail)])))
+    got = minhash.classes(documents(spark, texts), words=4)
+    assert rows(got, *got.columns) == near_classes(texts)
+
+
+def test_blocks_of_a_benchmark_are_written_one_by_one(spark, docs, texts, monkeypatch):
+    """Forty items in blocks of few words: the plan holds one Python operator, and the result is that of one block."""
+    bench = items(spark, [(f"i{k}", " ".join((t or "").split()[:15])) for k, (_, t) in enumerate(texts[:40])])
+    one = decontaminate.matches(docs, bench)
+    many = decontaminate.matches(docs, bench, block_words=100)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    flat = lambda f: rows(f.withColumn("hits", F.array_sort("hits")), "doc_id", "n_words", "n_hit", "hits")
+    assert flat(one) == flat(many)
+    left = decontaminate.decontaminate(docs, bench, block_words=100)
+    assert left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert rows(left, "doc_id") == rows(decontaminate.decontaminate(docs, bench), "doc_id")
+
+
 def test_bayesian_bounds():
     """At the threshold a pair outlives every batch with probability 1 - 1e-4 at least; at 0.3 hardly any does."""
     rng, fewest = np.random.default_rng(0), minhash.fewest_matches(0.8)

@@ -184,6 +184,9 @@ def test_a_ids_are_those_of_the_library(spark, both, texts):
     some = [" " + t for _, t in texts if t]
     assert [numbers(c) for c in by_piece(some)] == whole(some)
     assert both.rules()[1]
+    _, by_word = both.make()
+    more = [t for _, t in texts if t] + ["a  b", " a", "a ", "  ", "x y z", "a\t b\n c", "\u2581 \u2581a"]
+    assert both.by_word() and [numbers(c) for c in by_word(more)] == both.libraries()[1](more)
     other = alignment.Tokenizers(both.byte_level.replace('"use_regex":true', '"use_regex":false').replace('"use_regex": true', '"use_regex": false'), both.pieces, both.pattern)
     assert other.rules() is None
     assert [numbers(c) for c in other.make()[0](some)] == other.libraries()[0](some)

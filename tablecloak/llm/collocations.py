@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import lookup_join
 from .frames import bounded_batches, cut, share
 from .vectors import block_rows, tree_sum
-from .words import ODD, SLICE_BYTES, Words, byte_class, mix, slices, span_hashes, text_bytes
+from .words import ODD, Words, byte_class, mix, slices, span_hashes, text_bytes
 
 DEPTH = 4
 MIN_COUNT = 30
@@ -47,7 +47,9 @@ SCALE = 2_000_000
 TOP = 2000
 WORD_SLOTS = 1 << 18
 PAIR_SLOTS = 1 << 24
-BUDGET = 1 << 19       # occurrences of suffixes in a group, 48 bytes each while its trees are built
+PART_BYTES = 4 << 20   # text whose suffixes are counted together
+KNOWN_WORDS = 1 << 20  # words of which a task remembers that it has sent them
+BUDGET = 1 << 20       # occurrences of suffixes in a group, 48 bytes each while its trees are built
 MOST_GROUPS = 1 << 20  # beyond it the budget is doubled
 SALTS = 64             # parts in which the first phrases of a language are found before they meet
 SEEDS = 8
@@ -59,17 +61,17 @@ KEY = ["lang", *W]
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(lang, text) in parts of about ``SLICE_BYTES``; a longer text is cut after a separator where it has one."""
-    for part in slices(batch, 1, SLICE_BYTES):
+    """(lang, text) in parts of about ``PART_BYTES``; a longer text is cut after a separator where it has one."""
+    for part in slices(batch, 1, PART_BYTES):
         data, offsets = text_bytes(part.column(1))
-        if part.num_rows > 1 or len(data) <= SLICE_BYTES:
+        if part.num_rows > 1 or len(data) <= PART_BYTES:
             yield part
             continue
         ends, start = np.flatnonzero(SEPARATOR[data]) + 1, 0
         while start < len(data):
-            k = np.searchsorted(ends, start + SLICE_BYTES, "right") - 1
+            k = np.searchsorted(ends, start + PART_BYTES, "right") - 1
             end = int(ends[k]) if k >= 0 and ends[k] > start else int(ends[k + 1]) if k + 1 < len(ends) else len(data)
-            end = len(data) if len(data) - start <= SLICE_BYTES else end
+            end = len(data) if len(data) - start <= PART_BYTES else end
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[start:end].tobytes()], pa.large_binary())], names=["lang", "text"])
             start = end
 
@@ -159,23 +161,27 @@ class Partition:
         return out
 
 
-COLUMNS = ["group", "lang", "words", "hot", "windows", "counts", "texts"]
-ROWS = "group int, lang string, words binary, hot binary, windows binary, counts binary, texts binary"
+COLUMNS = ["group", "lang", "words", "hot", "windows", "counts", "named", "texts"]
+ROWS = "group int, lang string, " + ", ".join(f"{c} binary" for c in COLUMNS[2:])
 
 
 def _suffixes(seed: int, least: int, tables):
     """Rows of ``ROWS``: for each group and language of a part its distinct suffixes in order, with their counts. ``windows`` has ``DEPTH``
     numbers for each, 0 for none, else the place from 1 on in ``words``, hashes of the words that occur here; ``hot`` says which of
-    them are extended as prefixes, ``texts`` has the words that suffixes start with, by place."""
+    them are extended as prefixes. ``texts`` has the words at the places ``named``: those that suffixes start with, where the task
+    has not sent them before."""
     def run(batches: Iterator[pa.RecordBatch]):
         pairs, words, partition = tables()
+        sent: set[int] = set()
         for batch in batches:
             for part in _parts(batch):
-                yield _suffix_rows(Sequence(part, seed), pairs, words, partition, least)
+                if len(sent) > KNOWN_WORDS:
+                    sent.clear()
+                yield _suffix_rows(Sequence(part, seed), pairs, words, partition, least, sent)
     return run
 
 
-def _suffix_rows(s: Sequence, pairs: np.ndarray, words: np.ndarray, partition: Partition, least: int) -> pa.RecordBatch:
+def _suffix_rows(s: Sequence, pairs: np.ndarray, words: np.ndarray, partition: Partition, least: int, sent: set[int]) -> pa.RecordBatch:
     may = words[s.word_slot] >= least
     step = s.joined & may & (pairs[s.pair_slot] >= least)
     at, depth = np.flatnonzero(may), np.ones(int(may.sum()), np.int64)
@@ -202,21 +208,26 @@ def _suffix_rows(s: Sequence, pairs: np.ndarray, words: np.ndarray, partition: P
         else:
             used, where = used[1:], where[1:]
         hot = partition.hot[s.word_slot[at[x + where // DEPTH] + where % DEPTH]]
-        starts, by = np.unique(block[:, 0], return_index=True)
-        rows.append((int(place[x]) // len(s.langs), s.langs[int(place[x]) % len(s.langs)], s.distinct[used - 1].astype("<u8").tobytes(), hot.tobytes(),
-                     local.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(), counts[x:y].tobytes(), b" ".join(s.text(at[x + k]) for k in by.tolist())))
+        kind = "<u2" if len(used) < 1 << 16 else "<u4"
+        starts, by = np.unique(local.reshape(-1, DEPTH)[:, 0], return_index=True)
+        new = [j for j, own in enumerate(s.own[at[x + by]].tolist()) if own not in sent]
+        sent.update(s.own[at[x + by[new]]].tolist())
+        rows.append((int(place[x]) // len(s.langs), s.langs[int(place[x]) % len(s.langs)], s.distinct[used - 1].astype("<u8").tobytes(), np.packbits(hot).tobytes(),
+                     local.astype(kind).tobytes(), counts[x:y].tobytes(), starts[new].astype(kind).tobytes(), b" ".join(s.text(at[x + by[j]]) for j in new)))
     columns = zip(*rows) if rows else [()] * len(COLUMNS)
-    kinds = [pa.int32(), pa.string(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.string(), *[pa.binary()] * 6]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=COLUMNS)
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[bytes]]:
-    """(hashes, counts, hot) of the suffixes of one row, and the words they start with: hashes and texts."""
+    """(hashes, counts, hot) of the suffixes of one row, and the words it names: hashes and texts."""
     counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-    places = np.frombuffer(row["windows"], "<u2" if len(row["windows"]) == 2 * DEPTH * len(counts) else "<u4").reshape(-1, DEPTH)
+    kind = "<u2" if len(row["windows"]) == 2 * DEPTH * len(counts) else "<u4"
+    places = np.frombuffer(row["windows"], kind).reshape(-1, DEPTH)
     words = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(row["words"], "<u8")])
-    hot = np.concatenate([np.zeros(1, bool), np.frombuffer(row["hot"], bool)])
-    return words[places], counts, hot[places], words[np.unique(places[:, 0])].tolist(), row["texts"].split(b" ")
+    hot = np.concatenate([np.zeros(1, bool), np.unpackbits(np.frombuffer(row["hot"], np.uint8))[:len(words) - 1].astype(bool)])
+    named = np.frombuffer(row["named"], kind)
+    return words[places], counts, hot[places], words[named].tolist(), row["texts"].split(b" ") if len(named) else []
 
 
 def _trees(least: int):
@@ -245,7 +256,8 @@ def _trees(least: int):
                 keep = np.flatnonzero((a >= least) | spread)
                 nodes = np.zeros((len(keep), DEPTH), "<u8")
                 nodes[:, :d] = w[start[keep]]
-                named = [texts[h] for h in nodes[:, 0].tolist()] if d == 1 else [(None, None)] * len(keep)
+                # a word that is extended has its text in one of its groups
+                named = [texts.get(h, (None, None)) for h in nodes[:, 0].tolist()] if d == 1 else [(None, None)] * len(keep)
                 out.append(pa.table({"lang": pa.array([name] * len(keep), pa.string()), **{c: pa.array(nodes[:, k].copy().view("<i8")) for k, c in enumerate(W)}, "a": pa.array(a[keep]),
                                      **{c: pa.array([None if t[j] is None else t[j].decode() for t in named], pa.string()) for j, c in enumerate(("low", "high"))}}))
         return pa.concat_tables(out)

@@ -222,6 +222,52 @@ def test_top_k(spark, monkeypatch, block, shard, few, once):
     assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(brute_top(vectors, 4, lambda i: i % 20 == 0), key=repr)
 
 
+def cells_read(values, asked, k, shard_rows=256):
+    """(cells read, cells there are, results equal to those of all products)."""
+    ids, read, whole = np.arange(len(values)), 0, 0
+    queries, best = values[asked], [(np.zeros(0, np.int64),) * 3]
+    for a in range(0, len(values), shard_rows):
+        shard = topk.Lists(ids[a:a + shard_rows], values[a:a + shard_rows])
+        i, x, s = best[0]
+        floor = np.full(len(asked), -np.inf)
+        for q in range(len(asked)):
+            if (i == q).sum() >= k:
+                floor[q] = s[i == q].min()
+        i2, j2, s2, cells = topk.search(ids[asked], queries, shard, k, floor)
+        best[0] = topk._best(np.concatenate([i, i2]), np.concatenate([x, shard.ids[j2]]), np.concatenate([s, s2]), k)
+        read, whole = read + cells, whole + len(shard.ids) * int(np.count_nonzero(queries))
+    i, x, s = best[0]
+    for q, own in enumerate(asked):
+        all_ = values @ queries[q]
+        want = sorted(((-int(v), c) for c, v in enumerate(all_) if c != own))[:k]
+        assert [(-int(v), int(c)) for v, c in zip(s[i == q], x[i == q])] == want
+    return read, whole
+
+
+def test_lists_of_skewed_vectors_are_not_read_to_their_ends():
+    """Few large components: the threshold falls under the floor early. The first shard, without a floor, stops early as well."""
+    rng = np.random.default_rng(2)
+    skewed = np.floor(64 * rng.standard_normal((4000, 24)) * (rng.random((4000, 24)) < 0.08)).astype(np.float64)
+    read, whole = cells_read(skewed, np.arange(0, 4000, 97), 10)
+    assert read < 0.5 * whole
+    heavy = np.floor(rng.pareto(1.1, (3000, 8)) * 20).astype(np.float64)
+    read, whole = cells_read(heavy, np.arange(0, 3000, 61), 5)
+    assert read < 0.25 * whole
+    first, n = cells_read(heavy[:256], np.arange(0, 256, 17), 5)
+    assert first < n
+
+
+def test_lists_of_even_vectors_give_the_same():
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(-3, 4, (500, 6)), rng.integers(0, 2, (300, 3)), np.zeros((100, 4)), np.floor(64 * rng.standard_normal((600, 32)))):
+        cells_read(values.astype(np.float64), np.arange(0, len(values), 23), 7, 64)
+
+
+def test_top_k_refuses_ids_that_are_no_numbers(spark):
+    with pytest.raises(TypeError):
+        topk.top_k(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<float>"), F.lit(True))
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.lit(True)).count() == 0
 

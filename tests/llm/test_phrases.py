@@ -75,7 +75,8 @@ def test_full_tables_change_nothing(spark, texts, monkeypatch):
 
 
 def test_texts_longer_than_a_batch(spark, texts, monkeypatch):
-    monkeypatch.setattr(collocations, "SLICE_BYTES", 64)
+    monkeypatch.setattr(collocations, "KNOWN_WORDS", 5)
+    monkeypatch.setattr(collocations, "PART_BYTES", 64)
     long = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["ab cd, " * 100 + "x" * 200 + " y. z"])], names=["lang", "text"])
     parts = list(collocations._parts(long))
     assert len(parts) > 10 and b"".join(p.column(1)[0].as_py() for p in parts).decode() == long.column(1)[0].as_py()

@@ -327,6 +327,78 @@ def test_personal_data(spark):
             assert set(w) <= set(r.spans.split(",") if r.spans else [])
 
 
+def personal_corpus(n, seed):
+    """Base spans of each kind with and without words around them, numbers that look like cards and fail the check digit, written-out
+    addresses and national numbers where they are personal, and digits of the same shape where they are not."""
+    import random
+    r = random.Random(seed)
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+
+    def card(good):
+        while True:
+            c = r.choice("45") + digits(15)
+            total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(x) for x in c))
+            if (total % 10 == 0) == good:
+                return c
+    name = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    made, texts = [], []
+    for i in range(n):
+        kind = i % 8
+        written = f"{name()} at {name()} dot com"
+        national = f"{r.randint(200, 999)} {r.randint(200, 999)}-{digits(4)}"
+        texts.append((i, [f"please mail {name()}@{name()}.com soon", f"pay by card {card(True)} today", f"order {card(False)} was sent", f"the host address {r.randint(1, 220)}.{r.randint(0, 255)}.0.{r.randint(1, 255)} is up",
+                          f"call +1 {r.randint(200, 999)} {r.randint(200, 999)} {digits(4)} now", f"write to {written} please", f"phone {national} please", f"section {name()} 12-34 and 999.{r.randint(256, 900)}.1.1"][kind]))
+        made.append((kind, texts[-1][1], card, written, national))
+    return texts, made
+
+
+@pytest.fixture(scope="module")
+def two_sizes(spark):
+    texts, _ = personal_corpus(240, 11)
+    more, _ = personal_corpus(6000, 12)
+    small = {r.doc_id: r.spans for r in pii.report(documents(spark, texts)).collect()}
+    # the same documents within a corpus of another size and mix
+    large = {r.doc_id: r.spans for r in pii.report(documents(spark, texts + [(1000 + i, t) for i, t in more if i % 8 in (0, 2, 3, 6)])).collect()}
+    return texts, small, large
+
+
+def test_numbers_that_fail_the_check_digit_are_no_cards(two_sizes):
+    texts, small, large = two_sizes
+    for i, t in texts:
+        for found in (small[i], large[i]):
+            if i % 8 == 2:
+                assert found == ""
+            if i % 8 == 1:
+                assert found.startswith("card:") and found.count(":") == 2
+
+
+def test_added_spans_are_found_at_both_sizes(two_sizes):
+    texts, small, large = two_sizes
+    for found in (small, large):
+        for i, t in texts:
+            if i % 8 == 5:
+                start, end = t.index("to ") + 3, t.index(" please")
+                assert found[i] == f"email:{start}:{end}", t
+            if i % 8 == 6:
+                assert found[i] == f"phone:6:{t.index(' please')}", t
+
+
+def test_verdicts_do_not_depend_on_the_rest_of_the_corpus(two_sizes):
+    _, small, large = two_sizes
+    assert small == {i: large[i] for i in small}
+
+
+def test_gazetteers_are_counted(spark):
+    texts, _ = personal_corpus(240, 11)
+    lists = pii.gazetteers(pii.candidates(documents(spark, texts), "doc_id", "text"))
+    assert lists["email"] == ["com"] and set(x[0] for x in lists["card"]) <= {"4", "5"} and lists["phone"] == [] and len(lists["ip"]) > 10
+
+
+def test_labelers_that_vote_alike_count_once():
+    rows_ = [{f"v_{x}": 1 for x in pii.LABELERS} | {"n": 50}, {f"v_{x}": 0 for x in pii.LABELERS} | {"n": 40, "v_context": 1}]
+    assert pii.independent(rows_) == ["pattern", "valid", "context"]
+
+
 def test_labelers_learn_reliabilities():
     """Votes that agree with the truth get reliable, one that is drawn at random does not."""
     rng, patterns = np.random.default_rng(1), {}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidRule
 from ..keys import int_div, pick
-from . import checksums
+from . import checksums, locales
 from .fpe import let
 
 FIRST = ("Ada", "Amir", "Bea", "Carl", "Chen", "Dana", "Eli", "Emma", "Finn", "Gita", "Hugo", "Ines", "Ivan", "Jana",
@@ -246,7 +246,9 @@ def get_provider(name: str, **kwargs: object) -> Provider:
             else F.char(F.lit(97) + _part(i, b) % 26) if ch == "?" else F.lit(ch) for ch, b in parts]))
     if name not in PROVIDERS:
         raise InvalidRule(f"unknown provider {name!r}")
-    return PROVIDERS[name]
+    locale = str(kwargs.get("locale") or locales.DEFAULT)
+    own = {} if locale == locales.DEFAULT else locales.localized(locale)
+    return Provider(*own[name]) if name in own else PROVIDERS[name]
 
 
 def value_from_digest(p: Provider, digest: Column, draw: int = 0) -> Column:

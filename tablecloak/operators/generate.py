@@ -54,7 +54,8 @@ class Source:
 
 class Generator:
     def __init__(self, spark: SparkSession, tables: Sequence[GenTable] = (), sources: Mapping[str, Source] | None = None,
-                 seed: int = 42, master: bytes | None = None, label: str = ""):
+                 seed: int = 42, master: bytes | None = None, label: str = "", default_locale: str | None = None):
+        self.locale = default_locale
         self.spark, self.sources = spark, dict(sources or {})
         self.key = seed_key(seed, master, label)
         self.tables = {t.name: t for t in tables}
@@ -84,7 +85,7 @@ class Generator:
         if g.type == "constant":
             return F.lit(o["value"])
         if g.type == "faker":
-            p = get_provider(o.get("faker_type") or o["provider"], **o.get("faker_kwargs", {}))
+            p = get_provider(o.get("faker_type") or o["provider"], **{"locale": o.get("locale", self.locale), **o.get("faker_kwargs", {})})
             if o.get("unique"):
                 self._fits(t, g, p.size)
                 return p.at(permute(self.cell_key(t.name, g.name), i, p.size))

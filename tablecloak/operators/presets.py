@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -53,13 +54,45 @@ PRESETS: dict[str, dict[str, Rule]] = {
         **{c: rule("*", "redact") for c in ("ip_address", "user_agent", "national_id", "passport_number", "ethnicity",
                                             "religion", "health_condition")},
     },
+    "ccpa": {
+        "full_name": rule("*", "faker", provider="person_name"),
+        "email": rule("*", "faker", provider="person_email"),
+        "phone": rule("*", "faker", provider="person_phone"),
+        "street": rule("*", "faker", provider="address_street"),
+        "zip": rule("*", "truncate", length=3),
+        "ssn": rule("*", "fpe", "ssn_identity", charset="digits"),
+        "account_number": rule("*", "fpe", "account_identity", charset="ALPHANUM"),
+        "device_id": rule("*", "hash", "device_identity"),
+        "household_id": rule("*", "hash", "household_identity"),
+        "purchase_date": rule("*", "date_shift", "purchase_dates", min_days=-30, max_days=30, date_format=_ISO),
+        **{c: rule("*", "redact") for c in ("ip_address", "geolocation", "browsing_history", "biometric_id", "license_number", "passport_number")},
+    },
 }
+# The edition of each preset, its date and the digest of its rules. A preset named with a date is that edition or refused.
+EDITION = "2026-06-28"
+
+
+def preset_digest(name: str) -> str:
+    """What a preset's rules are, in 16 hex digits: it changes with any of them."""
+    rules = sorted((c, r.strategy, r.namespace or "", sorted((k, str(v)) for k, v in r.options.items())) for c, r in PRESETS[name].items())
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+def pinned(name: str) -> str:
+    """``name@date``: how to name the preset so that a later edition does not change a run."""
+    if name not in PRESETS:
+        raise InvalidRule(f"unknown preset {name!r}")
+    return f"{name}@{EDITION}"
 
 
 def preset_rules(name: str, columns: Sequence[str], keep: Sequence[str] = (), default: str = "redact") -> list[Rule]:
-    """Rules of a preset for the columns it knows; the others take the default unless kept."""
+    """Rules of a preset for the columns it knows; the others take the default unless kept. ``name`` may be pinned to an edition,
+    ``hipaa@2026-06-28``; one that is not there is refused rather than replaced."""
+    name, _, edition = name.partition("@")
     if name not in PRESETS:
         raise InvalidRule(f"unknown preset {name!r}")
+    if edition and edition != EDITION:
+        raise InvalidRule(f"preset {name!r} has the edition {EDITION}, not {edition}")
     bundle = PRESETS[name]
     out = []
     for c in columns:

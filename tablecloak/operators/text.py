@@ -79,11 +79,13 @@ def mask_text(c: Column, key: bytes, detectors: Mapping[str, str], unmatched: st
         out = F
         for d in used:
             out = out.when(t.rlike(f"^(?:{d.span})$") & verified(d, t), _mask_span(t, d.id, detectors[d.id], key))
-        return out.otherwise(t)
+        # what looks like a span and fails its check is text like any other
+        return out.otherwise(hide(t) if unmatched == "redact" else t)
 
+    hide = lambda g: F.regexp_replace(g, r"[\p{L}\p{N}]+", token or "[TEXT]")
     gaps = F.split(c, pattern, -1)
     if unmatched == "redact":
-        gaps = F.transform(gaps, lambda g: F.regexp_replace(g, r"[\p{L}\p{N}]+", token or "[TEXT]"))
+        gaps = F.transform(gaps, hide)
     woven = _weave(gaps, F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one))
     if unmatched == "redact":
         return woven

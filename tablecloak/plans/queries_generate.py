@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..functions.locales import LOCALES
 from ..functions.providers import ALIASES, PROVIDERS, get_provider
 from ..keys import seed_key, sql_hmac, sql_permute, sql_row_message, subkey
 from ..operators import fit as FIT
@@ -52,6 +53,22 @@ def _(t):
                  gen("city", "faker", faker_type="city", null_probability=0.25), gen("day", "faker", faker_type="date_this_year"))
 
 
+_DE = LOCALES["de_DE"]
+
+
+def _words_sql(words, i: str) -> str:
+    return f"([{', '.join(O.q(w) for w in words)}])[({i}) % {len(words)} + 1]"
+
+
+@query("gen_faker_locale", f"""SELECT i AS id, {_words_sql(_DE.first, 'n')} || ' ' || {_words_sql(_DE.last, f'n // {len(_DE.first)}')} AS name, split_part({_words_sql(_DE.cities, 'c')}, ',', 1) AS city,
+ {_words_sql(_DE.streets, 's')} || ' ' || (s // {len(_DE.streets)} % 199 + 1) AS street, '+49 30 ' || lpad((p // 10000)::VARCHAR, 3, '0') || ' ' || lpad((p % 10000)::VARCHAR, 4, '0') AS phone,
+ {O.provider('email', cell('mail'))} AS mail
+ FROM (SELECT i, {pick(cell('name'), len(_DE.first) * len(_DE.last))} AS n, {pick(cell('city'), len(_DE.cities))} AS c, {pick(cell('street'), len(_DE.streets) * 199)} AS s,
+ {pick(cell('phone'), 10 ** 7)} AS p FROM {ROWS})""")
+def _(t):
+    return build(t, *[gen(n, "faker", faker_type=f, locale="de_DE") for n, f in (("name", "name"), ("city", "city"), ("street", "street_address"), ("phone", "phone_number"), ("mail", "email"))])
+
+
 TIER = {"None": 0.6, "Silver": 0.3, "Gold": 0.1}
 
 

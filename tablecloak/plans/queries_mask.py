@@ -10,6 +10,7 @@ from ..functions.providers import COMPOSITES, PROVIDERS
 from ..keys import sql_feistel, sql_permute, sql_row_message, subkey
 from ..operators import masks as M
 from ..operators.masks import keep, mask_table, rule
+from ..operators.text import find_entities, redact_text
 from . import oracle_text as O
 from .oracle_text import mask_hmac, pick, row_hmac, unit, weighted
 from .registry import SECRET, Tables, query
@@ -296,6 +297,55 @@ def _(t):
         rule("text", "text_mask", detectors={"email": "fake", "us_phone": "fake", "ipv4": "redact"}), *keep("doc_id")], SECRET, "documents")
 
 
+# a note with a span of every kind for each customer; every third account number fails its check digits
+_IBANS = ("GB82WEST12345698765432", "DE89370400440532013000", "GB83WEST12345698765432")
+
+
+def _notes(t: Tables):
+    k = F.col("c_custkey").cast("string")
+    pad = lambda n: F.lpad(k, n, "0")
+    iban = F.element_at(F.array(*[F.lit(x) for x in _IBANS]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return t.customer.select("c_custkey", F.concat(
+        F.lit("c"), k, F.lit(" wrote to https://shop.example.com/a?id="), k, F.lit(" and mail u"), k, F.lit("@example.com id 123e4567-e89b-12d3-a456-"), pad(12), F.lit(" iban "), iban,
+        F.lit(" card 4111 1111 1111 1111 ssn 123-45-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" call (555) 123-"),
+        F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" MRN-"), pad(8), F.lit(" host 10."), (F.col("c_custkey") % 256).cast("string"),
+        F.lit(".0.7 code J45."), (F.col("c_custkey") % 10).cast("string"), F.lit(" end")).alias("note"))
+
+
+@query("mask_text_redact_kinds", f"""SELECT c_custkey, 'c' || c_custkey || ' wrote to [URL] and mail [EMAIL] id [UUID] iban ' || CASE WHEN c_custkey % 3 = 2 THEN '{_IBANS[2]}' ELSE '[IBAN]' END
+ || ' card [CARD] ssn [SSN] call [PHONE] [MRN] host [IP] code [ICD10] end' AS note FROM customer""")
+def _(t):
+    return mask_table(_notes(t), [rule("note", "text_redact"), *keep("c_custkey")], SECRET, "customer")
+
+
+# all four strategies and the unmatched policy; what was faked or encrypted is still of its kind, and not what it was
+@query("mask_text_mask_kinds", """SELECT c_custkey, '[TEXT] [TEXT] [TEXT] [URL] [TEXT] [TEXT] [EMAIL] [TEXT] 123e4567-e89b-12d3-a456-' || lpad(c_custkey::VARCHAR, 12, '0') || ' [TEXT] '
+ || CASE WHEN c_custkey % 3 = 2 THEN '[TEXT]' ELSE '[IBAN]' END || ' [TEXT] [CARD] [TEXT] [SSN] [TEXT] (555) 123-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' [MRN] [TEXT] [IP] [TEXT] J45.'
+ || (c_custkey % 10) || ' [TEXT]' AS note, false AS survived FROM customer""")
+def _(t):
+    src = _notes(t)
+    how = {"url": "redact", "email": "fake", "uuid": "passthrough", "iban": "redact", "pan": "fpe", "ssn": "fpe", "us_phone": "passthrough", "mrn": "fake", "ipv4": "redact", "icd10": "passthrough"}
+    out = mask_table(src, [rule("note", "text_mask", detectors=how, unmatched="redact"), *keep("c_custkey")], SECRET, "customer")
+    kinds = ["email", "pan", "ssn", "mrn"]
+    both = out.join(src.withColumnRenamed("note", "was"), "c_custkey")
+    old = F.transform(find_entities(F.col("was"), kinds), lambda e: e["span"])
+    return both.select("c_custkey", redact_text(F.col("note"), kinds).alias("note"), F.exists(old, lambda x: F.contains(F.col("note"), x)).alias("survived"))
+
+
+# FF1 and back: no SQL here has its cipher, so the query says what came back and whether the mask kept the form
+@query("mask_fpe_ff1", """SELECT c_custkey, '+' || substr(p, 1, 2) || ' ' || substr(p, 3) AS back, true AS same_form, false AS same_text
+ FROM (SELECT c_custkey, lpad((c_custkey * 7 + 1000000000)::VARCHAR, 12, '0') AS p FROM customer)""")
+def _(t):
+    rules = [rule("c_phone", "fpe", "phones", method="ff1", tweak="customer"), *keep("c_custkey")]
+    p = F.lpad((F.col("c_custkey") * 7 + 10**9).cast("string"), 12, "0")
+    src = t.customer.select("c_custkey", F.concat(F.lit("+"), F.substring(p, 1, 2), F.lit(" "), F.substring(p, 3, 10)).alias("c_phone"))
+    out = mask_table(src, rules, SECRET, "customer")
+    form = lambda c: F.regexp_replace(c, "[0-9]", "9")
+    back = M.unmask_fpe(out, rules, SECRET, "customer").select("c_custkey", F.col("c_phone").alias("back"))
+    both = out.join(back, "c_custkey")
+    return both.select("c_custkey", "back", (form("c_phone") == form("back")).alias("same_form"), (F.col("c_phone") == F.col("back")).alias("same_text"))
+
+
 @query("mask_joint", f"""WITH d AS (SELECT DISTINCT p_brand, p_type FROM part), i AS (SELECT *, row_number() OVER (ORDER BY p_brand, p_type) - 1 AS i FROM d)
  SELECT p_partkey, i.p_brand, i.p_type FROM (SELECT p_partkey, {pick(row_hmac('p_partkey::VARCHAR', 'joint', 'part', 'p_brand+p_type'), '(SELECT count(*) FROM d)')} AS i
  FROM part) p JOIN i USING (i)""")

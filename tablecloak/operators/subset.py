@@ -7,7 +7,7 @@ without a primary key is fine.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import reduce
@@ -139,7 +139,9 @@ def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
     """Follow every edge from the last round's new keys until no table grows. A round writes each table's new keys
     once, marked with the edge that found them, so the plan stays flat; rounds are at most the longest path.
 
-    Children found downward over an edge have their parent over that edge already, so they do not ask for it again.
+    Children found downward over an edge have their parent over that edge already, so they do not ask for it again. A table that
+    refers to itself is followed all the way in one round, by pointers that double in length: rounds grow with the logarithm of
+    the depth.
     """
     keys: dict[str, DataFrame] = {}
 
@@ -163,12 +165,25 @@ def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
                                            plan.directions.get((k.parent, k.child), "both"))
     stats = [{"edge": f"{k.parent}->{k.child}", "direction": way_of(k), "rows_added_downward": 0, "rows_added_upward": 0} for k in plan.links]
     rounds = 0
+    single = {i for i, k in enumerate(plan.links) if k.parent == k.child and _one_parent(key_frame, k)}
     while frontier:
         rounds += 1
         moves = []
         for i, k in enumerate(plan.links):
             down, up = 2 * i, 2 * i + 1
             way = way_of(k)
+            if i in single and k.parent in frontier:
+                # rows that came over this edge in this direction have all that lies beyond them
+                rows, origins = frontier[k.parent]
+                if way in ("both", "downward") and origins - {down}:
+                    reach, n = _doubled(key_frame(k.parent), k, rows.where(F.col(EDGE) != down), upward=False)
+                    moves.append((k.child, k.child_columns, reach, k.child_columns, down))
+                    rounds += n
+                if way in ("both", "upward") and not (plan.allow_dangling and way != "upward") and origins - {down, up}:
+                    reach, n = _doubled(key_frame(k.parent), k, rows.where(~F.col(EDGE).isin(down, up)), upward=True)
+                    moves.append((k.parent, k.parent_columns, reach, k.parent_columns, up))
+                    rounds += n
+                continue
             if k.parent in frontier and way in ("both", "downward"):
                 moves.append((k.child, k.child_columns, frontier[k.parent][0], k.parent_columns, down))
             if k.child in frontier and way in ("both", "upward") and not (plan.allow_dangling and way != "upward"):
@@ -198,6 +213,43 @@ def close(tables: Mapping[str, DataFrame], plan: SubsetPlan) -> Closure:
     return Closure({t: keys.get(t) for t in tables}, surviving, stats, rounds)
 
 
+def _one_parent(key_frame: Callable[[str], DataFrame], k: Link) -> bool:
+    """Does every key of a table that refers to itself name one parent key at most?"""
+    pairs = key_frame(k.parent).select(*k.parent_columns, *k.child_columns).where(complete_key(k.parent_columns)).distinct()
+    return pairs.groupBy(*k.parent_columns).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def _doubled(keys: DataFrame, k: Link, rows: DataFrame, upward: bool) -> tuple[DataFrame, int]:
+    """Values whose rows a self reference reaches from ``rows``, and the rounds it took. Upward they are the parent keys of all
+    ancestors; downward the keys of the rows and of all descendants, which are the parents that children name.
+
+    A pointer leads from a key to that of an ancestor, first one step up and twice as far after each round, so a round reaches
+    all that lies less than twice as far as before. A round without a new key is the last: a path has no gaps.
+    """
+    names = [f"__n{i}" for i in range(len(k.parent_columns))]
+    ups = [f"__u{i}" for i in range(len(names))]
+    out = k.parent_columns if upward else k.child_columns
+    whole = lambda cols: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    jump = keys.select(*[F.col(c).alias(n) for c, n in zip(k.parent_columns, names)], *[F.col(c).alias(u) for c, u in zip(k.child_columns, ups)]).distinct()
+    jump = materialize(jump.where(whole(names) & whole(ups)), "jump")
+    start = k.child_columns if upward else k.parent_columns
+    found = materialize(rows.select(*[F.col(c).alias(n) for c, n in zip(start, names)]).where(whole(names)).distinct(), "found")
+    size, rounds = found.count(), 0
+    while True:
+        rounds += 1
+        if upward:
+            more = lookup_join(jump, found, names, "left_semi").select(*[F.col(u).alias(n) for u, n in zip(ups, names)])
+        else:
+            more = lookup_join(jump, found.toDF(*ups), ups, "left_semi").select(*names)
+        found = materialize(found.unionByName(more).distinct(), "found")
+        last, size = size, found.count()
+        if size == last:
+            return found.toDF(*out), rounds
+        far = [f"__f{i}" for i in range(len(names))]
+        step = jump.toDF(*ups, *far)
+        jump = materialize(lookup_join(jump, step, ups, "inner").select(*names, *[F.col(f).alias(u) for f, u in zip(far, ups)]), "jump")
+
+
 def _reached(keys: DataFrame, to: Sequence[str], frontier: DataFrame, frm: Sequence[str], edge: int) -> DataFrame:
     reach = frontier.select(*[F.col(a).alias(b) for a, b in zip(frm, to)]).where(complete_key(to)).distinct()
     return lookup_join(keys, reach, list(to), "left_semi").withColumn(EDGE, F.lit(edge))

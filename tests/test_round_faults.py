@@ -132,3 +132,55 @@ def test_kinds_are_counted(spark):
     from tablecloak.operators import fit
     df = spark.range(400).select((F.col("id") % 30).cast("string").alias("few"), (F.col("id") % 31).cast("string").alias("many"), F.lit(None).cast("string").alias("none"))
     assert fit.column_kinds(df) == {"few": "categorical", "many": "freetext", "none": "categorical"}
+
+
+def _staff(spark, parents):
+    return spark.createDataFrame([(i, p, f"e{i}") for i, p in enumerate(parents)], "id bigint, boss bigint, name string").repartition(3)
+
+
+def _reach(parents, seeds, way):
+    """Step by step."""
+    up, down = way in ("both", "upward"), way in ("both", "downward")
+    alive, todo = set(seeds), [(s, "seed") for s in seeds]
+    while todo:
+        x, how = todo.pop()
+        if up and how != "down" and parents[x] is not None and parents[x] < len(parents) and parents[x] not in alive:
+            alive.add(parents[x])
+            todo.append((parents[x], "up"))
+        if down:
+            for c, p in enumerate(parents):
+                if p == x and c not in alive:
+                    alive.add(c)
+                    todo.append((c, "down"))
+    return alive
+
+
+@pytest.mark.parametrize("way", ["both", "downward", "upward"])
+def test_self_references_are_followed_by_doubling(spark, way):
+    import random
+    r = random.Random(5)
+    forest = [None if i % 17 == 0 else r.choice([i - 1, r.randrange(i), i - 1]) if i else None for i in range(140)]
+    forest[40], forest[41], forest[90] = 41, 40, 999   # a circle, and a parent that is not there
+    link = Link("staff", ("id",), "staff", ("boss",), "preserve")
+    for seeds in ([139], [60, 61], [40]):
+        plan = subset.SubsetPlan((subset.Seed("staff", "keys", ("id",), keys=tuple((s,) for s in seeds)),), (link,), {("staff", "staff"): way}, {"staff": ("id",)})
+        got = subset.subset({"staff": _staff(spark, forest)}, plan)["staff"]
+        assert {x.id for x in got.collect()} == _reach(forest, seeds, way)
+
+
+def test_a_chain_of_a_thousand_takes_few_rounds(spark):
+    chain = [None, *range(999)]
+    link = Link("staff", ("id",), "staff", ("boss",), "preserve")
+    for seed, way in ((999, "upward"), (0, "downward")):
+        plan = subset.SubsetPlan((subset.Seed("staff", "keys", ("id",), keys=((seed,),)),), (link,), {("staff", "staff"): way}, {"staff": ("id",)})
+        closure = subset.close({"staff": _staff(spark, chain)}, plan)
+        assert closure.surviving["staff"].count() == 1000 and closure.rounds <= 14
+        assert closure.edges[0]["rows_added_upward" if way == "upward" else "rows_added_downward"] == 999
+
+
+def test_keys_with_several_parents_go_step_by_step(spark):
+    """Two rows of one key with different parents: no single pointer leads on."""
+    rows_ = [(1, None), (2, 1), (2, 3), (3, None), (4, 2)]
+    df = spark.createDataFrame(rows_, "id bigint, boss bigint")
+    plan = subset.SubsetPlan((subset.Seed("t", "keys", ("id",), keys=((4,),)),), (Link("t", ("id",), "t", ("boss",), "preserve"),), {("t", "t"): "upward"}, {})
+    assert sorted(x.id for x in subset.subset({"t": df}, plan)["t"].collect()) == [1, 2, 2, 3, 4]

@@ -1,6 +1,7 @@
 """Classifiers, mixing, search and the secret scan: gradients, held-out accuracy, brute force, awkward rows."""
 
 import os
+import re
 import sys
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from cases import AWKWARD, SCHEMA, documents, random_texts, rows  # noqa: E402
+from cases import ALNUM, AWKWARD, NOT_SPACE, SCHEMA, UPPER, documents, random_texts, rows  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from tablecloak.llm import mixing, quality, secrets, topk, toxicity  # noqa: E402
@@ -365,3 +366,102 @@ def test_pipeline(spark):
     # documents with a good label that share nothing with others come through
     good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").count()
     assert docs.count() > good
+
+
+def plain_lines(given):
+    """(id, text) of rows after later copies of pairs of lines and of long lines went; rows that lost all lines are gone."""
+    from tablecloak.llm import lines
+    parts = sorted({(i is None, i or 0, t) for i, t in given if t is not None})
+    first, gone = {}, {}
+    for k in parts:
+        ls, lost = k[2].split("\n"), set()
+        for a, x in enumerate(ls):
+            if a + 1 < len(ls) and first.setdefault((x, ls[a + 1]), (k, a)) != (k, a):
+                lost |= {a, a + 1}
+            long = len(re.findall(NOT_SPACE, x)) >= lines.LONE_WORDS or len("".join(re.findall(NOT_SPACE, x))) >= lines.LONE_CHARS * lines.LONE_WORDS
+            if long and first.setdefault(x, (k, a)) != (k, a):
+                lost.add(a)
+        gone[k] = (ls, lost)
+    out = []
+    for i, t in given:
+        if t is None:
+            out.append((i, None))
+            continue
+        ls, lost = gone[(i is None, i or 0, t)]
+        if len(lost) < len(ls):
+            out.append((i, "\n".join(x for a, x in enumerate(ls) if a not in lost)))
+    return out
+
+
+def plain_near(given, words=5):
+    """One row of each class of linked sets, that with the smallest id, a null id last; rows without words stay, equal rows once."""
+    rows_ = list(dict.fromkeys(given))
+    sets = []
+    for _, t in rows_:
+        w = re.findall(NOT_SPACE, (t or "").translate(UPPER))
+        sets.append({tuple(w[k:k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    group = list(range(len(rows_)))
+    for a in range(len(rows_)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for n, (i, t) in enumerate(rows_):
+        key = ("alone", n) if not sets[n] else group[n]
+        best[key] = min(best.get(key, (True, float("inf"), n)), (i is None, i or 0, n))
+    return [rows_[n] for _, _, n in best.values()]
+
+
+def plain_clean(given, bench, window=10):
+    hits = set()
+    for t in bench:
+        w = re.findall(ALNUM, (t or "").translate(UPPER))
+        k = min(window, len(w))
+        hits |= {tuple(w[a:a + k]) for a in range(len(w) - k + 1)} if w else set()
+    out = []
+    for i, t in given:
+        w = re.findall(ALNUM, (t or "").translate(UPPER))
+        if not any(tuple(w[a:a + k]) in hits for k in {len(h) for h in hits} for a in range(len(w) - k + 1)):
+            out.append((i, t))
+    return out
+
+
+def test_pipeline_against_plain_rules(spark):
+    """Real and awkward rows: nulls, empty and long texts, repeated rows and ids, clashing columns. Each stage on what the one before it kept."""
+    sf = "/root/testdata/sf0.001"
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(120).collect()]
+    bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    given = real + AWKWARD + [(950, real[0][1]), (951, real[0][1] + " and more"), (real[1][0], real[2][1] + " of another kind"), (952, "so " + (bench[0] or "") + " it was"),
+                              (953, real[3][1] + "\n" + real[4][1]), (None, real[5][1]), (None, None)]
+    docs = documents(spark, given, {i: ("a", "b", None)[n % 3] for n, (i, _) in enumerate(given)})
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, sf).cache()
+    assert kept.columns == docs.columns
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), fold(F.col("id"), 5) != 0)
+    scored = quality.score(docs, model, out="own score").where("`own score` >= 0.3")
+    assert rows(kept, "doc_id", "text") == rows(scored, "doc_id", "text")
+    docs = docs.where("doc_id IS NULL OR doc_id IS NOT NULL")  # later stages see all rows, also those the first would reject
+    now = given
+    for k, plain in ((1, plain_lines), (2, plain_near), (3, lambda x: plain_clean(x, bench))):
+        docs, now = corpus_pipeline.STAGES[k][1](spark, docs, sf).cache(), plain(now)
+        assert docs.schema.names == kept.columns
+        if k == 2:
+            # of equal ids in one class the text is chosen by hash
+            assert sorted((i is None, i or 0) for i, _ in rows(docs, "doc_id", "text")) == sorted((i is None, i or 0) for i, _ in now)
+            now = rows(docs, "doc_id", "text")
+        else:
+            assert rows(docs, "doc_id", "text") == sorted(now, key=repr), corpus_pipeline.STAGES[k][0]
+    out = corpus_pipeline.STAGES[4][1](spark, docs, sf).collect()
+    size = lambda t: len(re.findall(NOT_SPACE, t or ""))
+    assert sorted((r.size for r in out)) == sorted(size(t) for _, t in now) and all(0 <= r.taken <= 2 * r.size for r in out)
+    assert sum(r.taken for r in out) == pytest.approx(1.5 * sum(size(t) for _, t in now), rel=0.05)
+
+
+def test_pipeline_of_nothing(spark, none):
+    sf = "/root/testdata/sf0.001"
+    docs = none
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == none.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 0

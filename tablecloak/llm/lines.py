@@ -12,7 +12,9 @@ without spaces, of ``LONE_CHARS`` characters other than spaces for each of them;
 alone stay: headings, answers and blank lines are no copied passage. Runs to delete are the unions of both. Groups are counted and ranked as one row each, so a line may fill any share of the rows.
 
 Defined cases: a null text has no lines and stays null, an empty one has one empty line; rows with the same id and text are
-one document; a null id sorts after all others; ids that repeat with other texts are ordered by a hash of the text.
+one document; a null id sorts after all others; ids that repeat with other texts are ordered by a hash of the text; of equal lines the
+first by document and line stays; an empty table gives an empty one; a very long text is one row of line ids. Other columns stay as they
+are, whatever their names.
 """
 
 from __future__ import annotations

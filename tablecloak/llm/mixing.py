@@ -8,7 +8,8 @@ stretch of the mix each source's share to within a few blocks. The k-th slot of
 Sources are numbered, slots ranked and streams added up with distributed running totals, so one source may hold any share.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is one source, the last; repeated rows are
-separate pieces of the stream, each with its own result row; empty input gives no rows.
+separate pieces of the stream, each with its own result row; a null id is hashed as an empty text and keeps its row; empty input gives no
+rows; a long text is cut into blocks like any other; ties in the shuffled order go by id and size. Only the named columns are read.
 """
 
 from __future__ import annotations

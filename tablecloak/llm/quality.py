@@ -7,7 +7,9 @@ normalised vectors of its tokens. The network is fitted on a bounded labelled sa
 part of it that the weights have not seen turns its output into calibrated probabilities.
 
 Defined cases: a null or empty text has no tokens and pools to zeros, which is scored like any other; null labels teach
-nothing; without labels of both classes every score is the share of label 1, or 0.5; equal texts get equal scores.
+nothing; without labels of both classes every score is the share of label 1, or 0.5; equal texts get equal scores, so there are no
+ties to break; a null id is scored like any other and never learnt from; an empty table gives an empty one; very long texts are pooled
+whole, in slices of a few megabytes or one row. ``score`` replaces a column of the name it is given for its own.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ tokens do not make themselves a dictionary. Both cover all documents. Labelled f
 whose syntax leaves little doubt and leaves the others to the forest. No label follows from the context alone.
 
 Defined cases: a null or empty text has no candidates; a null path has no path features; repeated rows give repeated findings;
-without labels of both classes every finding scores the share of label 1, or 0.5, and none is removed. Positions are code points, end exclusive.
+without labels of both classes every finding scores the share of label 1, or 0.5, and none is removed; a null id is an id like any other; an
+empty table gives no findings; very long texts are searched whole, in slices of a few megabytes or one row. Ties cannot occur: a
+finding is known by its place. Only the named columns are read. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations

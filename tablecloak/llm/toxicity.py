@@ -8,7 +8,9 @@ that scores highest at present, so the label of a document teaches the window th
 itself out while training, so a word that only this document has says nothing about it.
 
 Defined cases: a null or empty text is one window without words, whose score is that of the output bias; null labels teach
-nothing; without labels of both classes every score is the share of label 1, or 0.5; equal texts get equal scores.
+nothing; without labels of both classes every score is the share of label 1, or 0.5; equal texts get equal scores, and of equal
+windows the first counts; a null id is scored like any other and never learnt from; an empty table gives an empty one; all windows of
+very long texts are scored, in slices of a few megabytes or one row. ``score`` replaces columns of the names it is given for its own.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ The test set is sent to the tasks in blocks of a fixed number of words, one afte
 before the next one is sent and the last is released, so plan and broadcasts are those of one block whatever the size of the benchmark.
 
 Defined cases: a null or empty text has no words; an item without id or without words takes no part; repeated rows give
-repeated result rows; an item with fewer words than a window is one window; an empty benchmark hits nothing.
+repeated result rows; an item with fewer words than a window is one window; an empty benchmark hits nothing; a null id is carried
+along; an empty table gives an empty one; long texts are searched whole, in shards of a few megabytes or one row; ties cannot occur,
+every match counts. ``matches`` replaces columns of its result's names, see there.
 """
 
 from __future__ import annotations

@@ -2,6 +2,11 @@
 
 Each stage reads what the one before it wrote and returns the columns of ``documents``; the last returns the mix, one row per
 document with the words taken of it.
+
+Defined cases: null and empty texts have no words; they pass or fall by the classifier's score, stay through the other stages, and
+are never taken by the mix. Rows equal in id and text are one document from near dedup on; ids that repeat with other texts, and null
+ids, are documents of their own. Very long texts are worked on whole. Ties in a group of near copies go to the smaller id, then to the
+smaller hash of the text. An empty table gives an empty one. Further columns are carried along whatever their names.
 """
 
 from __future__ import annotations

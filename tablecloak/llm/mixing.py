@@ -75,7 +75,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("rank", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("rank", "chunk").orderBy("slot")) - 1
-    return placed.withColumn("inside", inside).join(offsets, ["rank", "chunk"]).select("slot", "rank", (F.col("before") + F.col("inside")).alias("block"))
+    return placed.withColumn("inside", inside).join(offsets.hint("merge"), ["rank", "chunk"]).select("slot", "rank", (F.col("before") + F.col("inside")).alias("block"))
 
 
 def streams(sized: DataFrame, sources: DataFrame, seed: int = 0) -> DataFrame:
@@ -94,8 +94,9 @@ def pieces(stream: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS,
     blocks = lap.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}"))))
     lo = F.greatest("at", F.col("block") * block_words)
     hi = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
+    # both sides grow with the words: never broadcast, however small their files look
     return blocks.select("rank", "block", "start", "id", (lo - F.col("at")).alias("first_word"), (hi - lo).alias("words")).join(
-        slots, ["rank", "block"]).select("slot", "rank", "start", "id", "first_word", "words")
+        slots.hint("merge"), ["rank", "block"]).select("slot", "rank", "start", "id", "first_word", "words")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sources = cut(targets(sized, weights), "targets")
     stream = cut(streams(sized, sources, seed), "streams")
     got = pieces(stream, schedule(sources, block_words), block_words).groupBy("rank", "start").agg(F.sum("words").alias("taken"))
-    some = stream.join(got, ["rank", "start"], "left").select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    some = stream.join(got.hint("merge"), ["rank", "start"], "left").select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     none = sized.where("size = 0")
     none = none.join(sources, none["source"].eqNullSafe(sources["source"])).select("id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
     return some.unionByName(none).withColumnRenamed("id", id_col)

@@ -10,7 +10,8 @@ stand there twice at least), its path, and the words around it. A forest trained
 The table of character pairs has a fixed size (256 x 256); words are counted one by one, by a 64 bit hash, and at most 1 / COMMON
 of them can have that share, so the dictionary is bounded at any size. Only words that stand free count, so that pieces of
 tokens do not make themselves a dictionary. Both cover all documents. Labelled findings are a parameter: (id, start, label). Where there are none, ``structural_labels`` labels those
-whose syntax leaves little doubt and leaves the others to the forest. No label follows from the context alone.
+whose syntax leaves little doubt and leaves the others to the forest. No label follows from the context alone, and known formats,
+quotes and assignments, which labels are made of, are not shown to the forest: it has to tell findings apart by the rest.
 
 Defined cases: a null or empty text has no candidates; a null path has no path features; repeated rows give repeated findings;
 without labels of both classes every finding scores the share of label 1, or 0.5, and none is removed; a null id is an id like any other; an
@@ -53,6 +54,10 @@ PATHS = re.compile(r"test|example|sample|doc|spec|fixture", re.I)
 FEATURES = ("length", "digits", "upper", "lower", "signs", "hexadecimal", "distinct", "changes", "pairs", "dictionary", "path_depth", "path_example",
             "keyword_before", "example_near", "assigned", "quoted", "words_before", "words_after", "sign_after", "reference_before", "known_format")
 
+# what labels are made of and the forest does not see: it has to tell findings apart by the others
+CUES = ("known_format", "assigned", "quoted")
+LEARNT = tuple(f for f in FEATURES if f not in CUES)
+
 
 def _class_of(data: np.ndarray) -> np.ndarray:
     table = np.zeros(256, np.int64)
@@ -207,11 +212,11 @@ def score(found: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, see
     few = known.where(F.pmod(F.xxhash64("id", "start", F.lit(seed)), F.lit(space)) < int(space * min(1.0, train_rows / max(total, 1))))
     # of a size that the parameter fixes, in one order, so that every run grows the same trees
     # a shuffle parts the join and its filter, which run in parallel, from the one task that sorts what is left
-    few = cut(few.select("label", "id", "start", *FEATURES).repartition(1).sortWithinPartitions("id", "start", "label"), "labelled_findings")
+    few = cut(few.select("label", "id", "start", *LEARNT).repartition(1).sortWithinPartitions("id", "start", "label"), "labelled_findings")
     mean, low, high = few.agg(F.avg("label"), F.min("label"), F.max("label")).first()
     if low is None or low == high:
         return found.withColumn("score", F.lit(0.5 if mean is None else float(mean))).withColumn("judged", F.lit(False))
-    pack = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
+    pack = VectorAssembler(inputCols=list(LEARNT), outputCol="_features")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, probabilityCol="_p",
                                     rawPredictionCol="_raw", predictionCol="_class").fit(pack.transform(few))
     out = forest.transform(pack.transform(found))

@@ -170,14 +170,21 @@ def qi_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> list[s
 def quasi_identifiers(df: DataFrame, candidates: Sequence[str] | None = None, max_set: int = MAX_SET) -> DataFrame:
     """(columns, k, classes, rows, singleton_share) for every set of 2 to ``max_set`` candidates.
 
-    Rows are counted once per full combination with map-side combine; all sets are then grouping sets over those
-    counts, in one job.
+    Rows are counted once per full combination with map-side combine; all sets are then grouped over those counts, many at once.
     """
     cand = list(candidates or qi_candidates(df))
     if len(cand) < 2:
         raise InvalidRule("fewer than two quasi-identifier candidates")
     base = df.groupBy(*cand).agg(F.count("*").alias("__n"))
-    return _grouped(base, cand, [list(s) for size in range(2, max_set + 1) for s in combinations(sorted(cand), size)])
+    sets = [list(s) for size in range(2, max_set + 1) for s in combinations(sorted(cand), size)]
+    if len(sets) > SETS_AT_ONCE:
+        base = materialize(base, "combinations")
+    parts = []
+    for a in range(0, len(sets), SETS_AT_ONCE):
+        part = sets[a:a + SETS_AT_ONCE]
+        label = F.element_at(F.array(*[F.lit(",".join(s)) for s in part]), F.col("at") + 1)
+        parts.append(set_sizes(base, part).select(label.alias("columns"), "k", "classes", "rows", "singleton_share"))
+    return union_all(parts)
 
 
 def identifying_sets(df: DataFrame, candidates: Sequence[str] | None = None, min_singletons: float = 0.05, max_set: int = MAX_SET) -> list[tuple[str, ...]]:
@@ -189,8 +196,8 @@ def identifying_sets(df: DataFrame, candidates: Sequence[str] | None = None, min
     for size in range(1, max_set + 1):
         level = [s for s in combinations(cand, size) if not any(set(f) <= set(s) for f in found)]
         for a in range(0, len(level), SETS_AT_ONCE):
-            hit = _grouped(base, cand, [list(s) for s in level[a:a + SETS_AT_ONCE]]).where(F.col("singleton_share") >= min_singletons)
-            found += [tuple(r["columns"].split(",")) for r in hit.select("columns").collect()]
+            part = level[a:a + SETS_AT_ONCE]
+            found += [part[i] for i, share in sorted(singleton_shares(base, part).items()) if share >= min_singletons]
     return sorted(found, key=lambda s: (len(s), s))
 
 
@@ -246,26 +253,18 @@ def _smallest_hits(sets: Sequence[frozenset[str]]) -> list[frozenset[str]]:
     return sorted(hits, key=lambda s: (len(s), sorted(s)))
 
 
-def singleton_shares(base: DataFrame, sets: Sequence[Sequence[str]]) -> dict[int, float]:
-    """By place of the set: the share of rows that are alone in their class. ``base`` has a row count ``__n`` for each
+def set_sizes(base: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """(at, k, classes, rows, singleton_share) of each set of columns, by its place. ``base`` has a row count ``__n`` for each
     combination. Any number of columns, with any names; the empty set has one class."""
     keys = F.array(*[F.struct(F.lit(i).alias("at"), (row_message(*[F.col(f"`{c}`") for c in s]) if s else F.lit("")).alias("key")) for i, s in enumerate(sets)])
     sizes = base.select(F.explode(keys).alias("x"), "__n").groupBy("x.at", "x.key").agg(F.sum("__n").alias("size"))
-    shares = sizes.groupBy("at").agg((F.sum(F.when(F.col("size") == 1, 1).otherwise(0)) / F.sum("size")).alias("share"))
-    return {r["at"]: r["share"] for r in shares.collect()}
-
-
-def _grouped(base: DataFrame, cand: Sequence[str], sets: list[list[str]]) -> DataFrame:
-    names = {c: f"__c{i}" for i, c in enumerate(sorted(cand))}
-    flat = base.select(*[F.col(c).alias(n) for c, n in names.items()], "__n")
-    grouped = flat.groupingSets([[F.col(names[c]) for c in s] for s in sets], *[F.col(n) for n in names.values()]).agg(
-        F.sum("__n").alias("size"), F.grouping_id().alias("__g"))
-    width = len(cand)
-    label = F.create_map(*[x for s in sets for x in (
-        F.lit(sum(1 << (width - 1 - i) for i, c in enumerate(sorted(cand)) if c not in s)).cast("bigint"), F.lit(",".join(s)))])
-    return grouped.groupBy(F.element_at(label, F.col("__g").cast("bigint")).alias("columns")).agg(
-        F.min("size").alias("k"), F.count("*").alias("classes"), F.sum("size").alias("rows"),
-        (F.sum(F.when(F.col("size") == 1, 1).otherwise(0)) / F.sum("size")).alias("singleton_share"))
+    return sizes.groupBy("at").agg(F.min("size").alias("k"), F.count("*").alias("classes"), F.sum("size").alias("rows"),
+                                   (F.sum(F.when(F.col("size") == 1, 1).otherwise(0)) / F.sum("size")).alias("singleton_share"))
+
+
+def singleton_shares(base: DataFrame, sets: Sequence[Sequence[str]]) -> dict[int, float]:
+    """By place of the set: the share of rows that are alone in their class."""
+    return {r["at"]: r["singleton_share"] for r in set_sizes(base, sets).select("at", "singleton_share").collect()}
 
 
 def profile_fields(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cases import ALNUM, AWKWARD, SCHEMA, UPPER, documents, near_classes, random_texts, rows, sha, substring_digest  # noqa: E402
 
 from tablecloak.llm import decontaminate, graph, lines, minhash, pii, substrings  # noqa: E402
-from tablecloak.llm.words import NOT_SPACE, Words, slices  # noqa: E402
+from tablecloak.llm.words import NOT_SPACE, ODD, Words, mix, slices  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +97,31 @@ def test_substrings_with_very_frequent_anchors(docs, texts, monkeypatch):
     assert rows(got, *got.columns) == substring_digest(texts)
 
 
+def _words_of_equal_hash() -> tuple[str, str]:
+    """Two words of 16 signs that ``span_hashes`` cannot tell apart: the second half of each undoes the difference of the first."""
+    heads = np.frombuffer("".join(f"{i:08d}" for i in range(4000)).encode(), "<u8")
+    keys = (mix(mix(np.uint64(16) * np.array([ODD], np.uint64)) ^ heads) * np.uint64(ODD)).tolist()
+    for i, a in enumerate(keys):
+        for b, other in zip(keys[i + 1:], heads[i + 1:].tolist()):
+            if not (gap := a ^ b) & 0x8080808080808080:
+                tail = bytes(next((x for x in range(0x21, 0x7F) if 0x21 <= x ^ g < 0x7F), 0) for g in gap.to_bytes(8, "little"))
+                if 0 not in tail:
+                    twin = bytes(x ^ g for x, g in zip(tail, gap.to_bytes(8, "little")))
+                    return (int(heads[i]).to_bytes(8, "little") + tail).decode(), (other.to_bytes(8, "little") + twin).decode()
+    raise AssertionError("no pair")
+
+
+def test_substrings_of_words_whose_hashes_are_equal(spark):
+    one, two = _words_of_equal_hash()
+    w = Words(pa.array([f"{one} {two}"]), NOT_SPACE)
+    assert one != two and len(set(w.hashes().tolist())) == 1
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join([*words[:15], x, *words[15:]])) for i, x in enumerate((one, two, one))]
+    got = substrings.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string"), report=True)
+    assert rows(got, *got.columns) == substring_digest(texts)
+    assert [r.n_removed for r in got.orderBy("doc_id").collect()] == [0, 30, 31]
+
+
 def test_automaton_statistics():
     a = substrings.Automaton()
     a.add(list("abcde"), 1)

@@ -38,18 +38,22 @@ def _hex(x: Column, digits: int | Column) -> Column:
 
 
 def _mac(message: Column, key: bytes) -> Column:
-    """Hex of the CBC-MAC of a message in hex, of whole blocks. The cipher text stands after the 16 bytes of the vector."""
-    data = F.unhex(message)
-    sealed = F.aes_encrypt(data, F.lit(key), F.lit("CBC"), F.lit("PKCS"), F.lit(ZERO_IV))
-    return F.lower(F.hex(F.substring(sealed, F.octet_length(data) + 1, F.lit(16))))
+    """Hex of the CBC-MAC of a message in hex, of whole blocks: the last block but that of the padding."""
+    sealed = F.aes_encrypt(F.unhex(message), F.lit(key), F.lit("CBC"), F.lit("PKCS"), F.lit(ZERO_IV))
+    return F.hex(F.substring(sealed, -32, 16))
 
 
 def _remainder(digits: Column, m: Column) -> Column:
-    """A number of 24 hex digits modulo m <= 10^18, four bytes at a time."""
+    """A number of 24 hex digits modulo m <= 10^18, four bytes at a time; in bigint where m < 2^31, in decimals above."""
     wide = lambda x: x.cast("decimal(38,0)")
-    step = lambda acc, w: wide((acc * F.lit(1 << 32) + w) % m)
-    words = F.array(*[wide(F.conv(F.substring(digits, 1 + 8 * k, 8), 16, 10)) for k in range(3)])
-    return F.aggregate(words, wide(F.lit(0)), lambda acc, w: step(acc.cast("decimal(18,0)"), w.cast("decimal(10,0)"))).cast("bigint")
+    step = lambda acc, w: wide((acc * F.lit(1 << 32) + w) % wide(m))
+
+    def folded(d: Column) -> Column:
+        words = F.array(*[F.conv(F.substring(d, 1 + 8 * k, 8), 16, 10).cast("bigint") for k in range(3)])
+        return F.when(m < F.lit(1 << 31), F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: (acc * F.lit(1 << 32) + w) % m)).otherwise(
+            F.aggregate(words, wide(F.lit(0)), lambda acc, w: step(acc.cast("decimal(18,0)"), w.cast("decimal(10,0)"))).cast("bigint"))
+
+    return let(digits, folded)
 
 
 def ff1_body(body: Column, key: bytes, charset: str = "digits", tweak: bytes = b"", inverse: bool = False) -> Column:
@@ -63,21 +67,25 @@ def ff1_body(body: Column, key: bytes, charset: str = "digits", tweak: bytes = b
     powers = F.array(*[F.lit(radix**i).cast("bigint") for i in range(half + 1)])
     at = lambda values, i: F.element_at(values, (i + 1).cast("int"))
 
-    def run(text: Column) -> Column:
+    def parts(text: Column) -> Column:
+        """What all rounds of a text share."""
         n = F.length(text)
         u = F.floor(n / 2).cast("int")
         v = n - u
         size = at(table(sizes), v)
         head = F.concat(F.lit("010201" + f"{radix:06x}" + "0a"), _hex(u % 256, 2), _hex(n, 8), F.lit(f"{t:08x}" + tweak.hex()),
                         F.repeat(F.lit("00"), F.pmod(-t - size - 1, F.lit(16)).cast("int")))
-        mu, mv = at(powers, u), at(powers, v)
+        return F.struct(text.alias("text"), u.alias("u"), v.alias("v"), size.alias("size"), head.alias("head"), at(powers, u).alias("mu"), at(powers, v).alias("mv"))
+
+    def run(p: Column) -> Column:
+        text, u, v, size, head, mu, mv = (p[x] for x in ("text", "u", "v", "size", "head", "mu", "mv"))
 
         def turn(i: Column, known: Column, moved: Column) -> Column:
             """``moved`` with the round's number added, or taken away."""
             m = F.when(i % 2 == 0, mu).otherwise(mv)
             mac = _mac(F.concat(head, _hex(i, 2), _hex(known, 2 * size)), key)
             taken = F.lpad(mac.substr(F.lit(1), 8 * F.ceil(size / 4).cast("int") + 8), 24, F.lit("0"))
-            y = _remainder(taken, m.cast("decimal(18,0)" if radix**half < 10**18 else "decimal(19,0)"))
+            y = _remainder(taken, m)
             return F.pmod(moved - y, m) if inverse else (moved + y) % m
 
         def step(acc: Column, i: Column) -> Column:
@@ -90,7 +98,7 @@ def ff1_body(body: Column, key: bytes, charset: str = "digits", tweak: bytes = b
         done = F.aggregate(table(order), start, step)
         return let(done, lambda x: F.concat(fpe._to_text(x["a"], u, powers, charset), fpe._to_text(x["b"], v, powers, charset)))
 
-    return let(body, run)
+    return let(let(body, parts), run)
 
 
 def unfit(c: Column, charset: str = "digits", check_digits: int = 0) -> Column:

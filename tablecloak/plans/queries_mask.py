@@ -11,6 +11,7 @@ from ..keys import sql_feistel, sql_permute, sql_row_message, subkey
 from ..operators import masks as M
 from ..operators.masks import keep, mask_table, rule
 from ..operators.text import find_entities, redact_text
+from ..session import spread
 from . import oracle_text as O
 from .oracle_text import mask_hmac, pick, row_hmac, unit, weighted
 from .registry import SECRET, Tables, query
@@ -58,7 +59,7 @@ def fpe_digits_sql(body: str, space: str, n: int) -> str:
 # c_name is Customer#000000001: the nine digits move, the rest stays
 @query("mask_fpe", f"""SELECT c_custkey, 'Customer#' || {fpe_digits_sql("substr(c_name, 10, 9)", 'cust', 9)} AS c_name FROM customer""")
 def _(t):
-    return customers(t, rule("c_name", "fpe", "cust", charset="digits"))
+    return customers(t, rule("c_name", "fpe", "cust", charset="digits"), df=spread(t.customer.select("c_custkey", "c_name")))
 
 
 def with_numbers(t: Tables):
@@ -67,7 +68,7 @@ def with_numbers(t: Tables):
     k = F.col("c_custkey")
     pad = lambda w: F.lpad((k * 7919 + 13).cast("string"), w, "0")
     vin = F.concat(F.lit("1HGCM826"), F.lit("0"), F.lpad(k.cast("string"), 8, "0"))
-    return t.customer.select(
+    return spread(t.customer.select("c_custkey")).select(
         "c_custkey", PROVIDERS["synthetic_pan"].at(k * 7919).alias("luhn"), PROVIDERS["synthetic_npi"].at(k * 7919).alias("npi"),
         PROVIDERS["synthetic_iban"].at(k * 7919).alias("iban"),
         F.concat(F.substring(vin, 1, 8), C.vin_digit(vin), F.substring(vin, 10, 8)).alias("vin"),
@@ -110,7 +111,7 @@ def _(t):
     rules = [rule(c, "fpe", c, checksum=c) for c in CHECKS] + [
         rule("c_name", "fpe", "nm", charset="ALPHANUM"), rule("id", "fpe", "id", width=12), *keep("c_custkey")]
     df = with_numbers(t).join(t.customer.select("c_custkey", "c_name"), "c_custkey").withColumn("id", F.col("c_custkey"))
-    masked = mask_table(df, rules, SECRET, "customer")
+    masked = mask_table(spread(df), rules, SECRET, "customer")
     return M.unmask_fpe(masked, rules, SECRET, "customer")
 
 
@@ -305,7 +306,7 @@ def _notes(t: Tables):
     k = F.col("c_custkey").cast("string")
     pad = lambda n: F.lpad(k, n, "0")
     iban = F.element_at(F.array(*[F.lit(x) for x in _IBANS]), (F.col("c_custkey") % 3 + 1).cast("int"))
-    return t.customer.select("c_custkey", F.concat(
+    return spread(t.customer.select("c_custkey")).select("c_custkey", F.concat(
         F.lit("c"), k, F.lit(" wrote to https://shop.example.com/a?id="), k, F.lit(" and mail u"), k, F.lit("@example.com id 123e4567-e89b-12d3-a456-"), pad(12), F.lit(" iban "), iban,
         F.lit(" card 4111 1111 1111 1111 ssn 123-45-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" call (555) 123-"),
         F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" MRN-"), pad(8), F.lit(" host 10."), (F.col("c_custkey") % 256).cast("string"),
@@ -338,7 +339,7 @@ def _(t):
 def _(t):
     rules = [rule("c_phone", "fpe", "phones", method="ff1", tweak="customer"), *keep("c_custkey")]
     p = F.lpad((F.col("c_custkey") * 7 + 10**9).cast("string"), 12, "0")
-    src = t.customer.select("c_custkey", F.concat(F.lit("+"), F.substring(p, 1, 2), F.lit(" "), F.substring(p, 3, 10)).alias("c_phone"))
+    src = spread(t.customer.select("c_custkey")).select("c_custkey", F.concat(F.lit("+"), F.substring(p, 1, 2), F.lit(" "), F.substring(p, 3, 10)).alias("c_phone"))
     out = mask_table(src, rules, SECRET, "customer")
     form = lambda c: F.regexp_replace(c, "[0-9]", "9")
     back = M.unmask_fpe(out, rules, SECRET, "customer").select("c_custkey", F.col("c_phone").alias("back"))

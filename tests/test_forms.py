@@ -56,3 +56,29 @@ def test_a_span_that_fails_its_check_is_text(spark):
     assert {r["k"]: r["t"] for r in hidden.collect()} == {1: "[TEXT] [TEXT] [TEXT] [TEXT] [TEXT] [TEXT] [TEXT]", 2: "[TEXT] [CARD] [TEXT] [IBAN]"}
     plain = mask_table(df, [rule("t", "text_mask", detectors=how), *keep("k")], SECRET, "t")
     assert {r["k"]: r["t"] for r in plain.collect()} == {1: "pay 4111 1111 1111 1112 to GB83WEST12345698765432", 2: "pay [CARD] to [IBAN]"}
+
+
+@pytest.mark.parametrize("name", ["mask_fpe", "mask_fpe_checksum", "mask_fpe_ff1", "unmask_fpe", "mask_text_redact_kinds", "mask_text_mask_kinds"])
+def test_dear_masks_of_a_small_file_have_many_tasks(spark, tmp_path, name):
+    """One file of few bytes is one task to read; the masks must not run in it."""
+    from tablecloak.plans.catalog import QUERIES
+    spark.range(40).select(F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", "id").alias("c_name")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    out = QUERIES[name](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and out.count() == 40
+
+
+def test_spread_keeps_every_row(spark):
+    from tablecloak.session import shuffle_partitions, spread
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "k long, t string")
+    out = spread(df)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    assert out.rdd.getNumPartitions() == shuffle_partitions(spark)
+
+
+def test_ff1_works_a_round_out_once(spark):
+    """Every round is one call of the cipher, in the plan and so for each row."""
+    from tablecloak.functions import ff1
+    df = spark.createDataFrame([("0123456789",)], "t string")
+    plan = df.select(ff1.ff1_text(F.col("t"), bytes(range(16))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("aesencrypt") == 1

@@ -256,8 +256,12 @@ def _smallest_hits(sets: Sequence[frozenset[str]]) -> list[frozenset[str]]:
 def set_sizes(base: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     """(at, k, classes, rows, singleton_share) of each set of columns, by its place. ``base`` has a row count ``__n`` for each
     combination. Any number of columns, with any names; the empty set has one class."""
-    keys = F.array(*[F.struct(F.lit(i).alias("at"), (row_message(*[F.col(f"`{c}`") for c in s]) if s else F.lit("")).alias("key")) for i, s in enumerate(sets)])
-    sizes = base.select(F.explode(keys).alias("x"), "__n").groupBy("x.at", "x.key").agg(F.sum("__n").alias("size"))
+    # the cells themselves are the key, each in a place of its own: as text they would take most of the time and of the shuffle
+    cols = list(dict.fromkeys(c for s in sets for c in s))
+    kinds = [f.dataType for f in base.select(*[F.col(f"`{c}`") for c in cols]).schema]
+    cell = lambda c, kind, s: F.col(f"`{c}`") if c in s else F.lit(None).cast(kind)
+    keys = F.array(*[F.struct(F.lit(i).alias("at"), *[cell(c, kind, s).alias(f"k{j}") for j, (c, kind) in enumerate(zip(cols, kinds))]) for i, s in enumerate(sets)])
+    sizes = base.select(F.explode(keys).alias("x"), "__n").groupBy("x.at", *[f"x.k{j}" for j in range(len(cols))]).agg(F.sum("__n").alias("size"))
     return sizes.groupBy("at").agg(F.min("size").alias("k"), F.count("*").alias("classes"), F.sum("size").alias("rows"),
                                    (F.sum(F.when(F.col("size") == 1, 1).otherwise(0)) / F.sum("size")).alias("singleton_share"))
 

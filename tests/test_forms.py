@@ -82,3 +82,12 @@ def test_ff1_works_a_round_out_once(spark):
     df = spark.createDataFrame([("0123456789",)], "t string")
     plan = df.select(ff1.ff1_text(F.col("t"), bytes(range(16))))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("aesencrypt") == 1
+
+
+def test_sets_of_columns_are_counted_by_their_cells(spark):
+    """No text is made of the cells: kinds that read alike as text stay apart, and nulls are a class."""
+    from tablecloak.operators import scan
+    df = spark.createDataFrame([(["a, b"], 1.5, None), (["a", "b"], 1.5, None), (["a", "b"], 2.5, "x")], "l array<string>, d double, t string")
+    base = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    got = scan.set_sizes(base, [["l"], ["d", "t"], []])
+    assert {(r["at"], r["k"], r["classes"], r["rows"]) for r in got.collect()} == {(0, 1, 2, 3), (1, 1, 2, 3), (2, 3, 1, 3)}

@@ -13,6 +13,7 @@ from ..errors import InvalidRule
 from ..functions import checksums, dates
 from ..functions.detectors import BY_ID
 from ..keys import check_secret, subkey
+from ..session import materialize, spread
 from .fit import stack, union_all
 from .joins import counted_join, lookup_join
 from .masks import STRATEGIES, Context, Rule, _with_threshold, shift_bounds
@@ -125,16 +126,24 @@ CHECKED = frozenset({"hash", "redact", "tokenize", "faker", "fpe", "date_shift",
 def own_values(source: DataFrame, output: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, cells, own): cells of the source that are not null, and how many output cells can be matched with equal ones of
     the source, each with one: the overlap of the two multisets, counted value by value."""
-    def counts(df: DataFrame, name: str) -> DataFrame:
-        return stack(df, columns, "string").where("value is not null").groupBy("column", "value").agg(F.count("*").alias(name))
+    def side(df: DataFrame, a: int) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+        return df.select(cells.alias("cells"), F.lit(a).alias("a"))
 
-    both = counts(source, "a").join(counts(output, "b"), ["column", "value"], "left")
-    return both.groupBy("column").agg(F.sum("a").alias("cells"), F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("own"))
+    # dealt out first: what a task counts before the shuffle follows from the rows, not from how files are cut; one count for both
+    # sides needs no join of them
+    rows = spread(side(source, 1).unionAll(side(output, 0))).select(F.explode("cells").alias("s"), "a").select("s.*", "a").where("value is not null")
+    both = rows.groupBy("column", "value").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
+    return both.groupBy("column").agg(F.sum("a").alias("cells"), F.sum(F.least("a", "b")).alias("own")).where("cells > 0")
 
 
-def _shared_outputs(source: DataFrame, output: DataFrame, on: Sequence[str], column: str) -> DataFrame:
+def _writable(df: DataFrame) -> DataFrame:
+    """Columns of kinds that no file can hold become text."""
+    return df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType.typeName() in ("void", "interval") else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def _shared_outputs(both: DataFrame, column: str) -> DataFrame:
     """(column, more): output values that stand for more than one input value."""
-    both = _paired(source.select(*dict.fromkeys([*on, column])), output.select(*dict.fromkeys([*on, column])), on)
     pairs = both.select(F.col("s")[column].alias("a"), F.col("o")[column].alias("b")).dropna().distinct()
     return pairs.groupBy("b").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("more")).select(
         F.lit(column).alias("column"), "more")
@@ -175,7 +184,9 @@ def check_policy(source: DataFrame, output: DataFrame, rules: Sequence[Rule], on
     anchors = [r.options["anchor"] for r, _ in cols if r.strategy == "windowed_date"]
     names = list(dict.fromkeys([*on, *[c for _, c in cols]]))
     beside = list(dict.fromkeys([*names, *anchors]))
-    both = _paired(source.select(*beside), output.select(*names), on)
+    # written once: the output is worked out once, whatever it takes, and every check below reads it from there
+    both = materialize(_paired(_writable(source.select(*beside)), _writable(output.select(*names)), on), "paired")
+    sides = [both.where(F.col(x).isNotNull()).select(f"{x}.*") for x in ("s", "o")]
     cells = [F.struct(F.lit("*").alias("column"), F.lit("rows").alias("strategy"), _unpaired().alias("broken"))]
     paired = F.col("s").isNotNull() & F.col("o").isNotNull()
     ctx = Context(source.schema, b"\0" * 32, "check", stage=False)
@@ -218,15 +229,15 @@ def check_policy(source: DataFrame, output: DataFrame, rules: Sequence[Rule], on
     rows = both.agg(F.array(*cells).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     exact = [c for r, c in cols if r.strategy in ("hash", "redact", "tokenize")]
     if exact:
-        rows = rows.join(F.broadcast(value_leaks(source, output, exact)), "column", "left").withColumn(
+        rows = rows.join(F.broadcast(value_leaks(*sides, exact)), "column", "left").withColumn(
             "broken", F.col("broken") + F.coalesce("leaked", F.lit(0))).drop("leaked")
-    more = [_shared_outputs(source, output, on, c) for r, c in cols if r.strategy == "unique_faker"]
+    more = [_shared_outputs(both, c) for r, c in cols if r.strategy == "unique_faker"]
     more += [_strangers(output, r, source) for r in {id(r): r for r, _ in cols if r.strategy in ("code_set", "joint_mask")}.values()]
     swapped = {c: r.strategy for r, c in cols if r.strategy in ("fpe", "faker", "shuffle")}
     if swapped:
         kept = F.col("column").isin([c for c, k in swapped.items() if k == "shuffle"] or [None])
         many = (F.col("cells") >= SWAP_ROWS) & (F.col("own") * 10 >= F.col("cells") * 9)
-        found = own_values(source, output, list(swapped))
+        found = own_values(*sides, list(swapped))
         more.append(found.select("column", F.when(kept, F.col("cells") - F.col("own")).when(many, F.col("own")).otherwise(0).alias("more")))
     if more:
         # a row for each checked column

@@ -91,3 +91,31 @@ def test_sets_of_columns_are_counted_by_their_cells(spark):
     base = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
     got = scan.set_sizes(base, [["l"], ["d", "t"], []])
     assert {(r["at"], r["k"], r["classes"], r["rows"]) for r in got.collect()} == {(0, 1, 2, 3), (1, 1, 2, 3), (2, 3, 1, 3)}
+
+
+def test_policy_check_works_the_output_out_once(spark):
+    """The masked frame may cost much: each of its rows is made once, whatever the number of checks."""
+    from tablecloak.operators import checks
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    src = spark.range(50).select("id", F.concat(F.lit("n"), "id").alias("a"), F.lpad(F.col("id").cast("string"), 8, "7").alias("b"), F.lit(None).alias("c"))
+    rules = [rule("a", "hash", "x"), rule("b", "fpe", "y"), *keep("id", "c")]
+    out = mask_table(src, rules, SECRET, "t").select("id", "a", "b").mapInArrow(count, "id long, a string, b string").withColumn("c", F.lit(None))
+    got = checks.check_policy(src, out, rules, ["id"]).collect()
+    assert {(r["column"], r["broken"]) for r in got} == {("*", 0), ("a", 0), ("b", 0), ("c", 0)}
+    # once for the check of the keys and once for the rest
+    assert made.value <= 100
+
+
+def test_own_values_are_dealt_out(spark, tmp_path):
+    from tablecloak.operators import checks
+    spark.range(1000).select(F.col("id").cast("string").alias("v")).coalesce(1).write.parquet(f"{tmp_path}/one")
+    df = spark.read.parquet(f"{tmp_path}/one")
+    found = checks.own_values(df, df, ["v"])
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("v", 1000, 1000)]

@@ -18,6 +18,7 @@ from ..session import materialize
 from .evidence import content_hash
 from .fit import stack, union_all
 from .ordering import first_rows
+from .singles import Singles
 from .text import count_entities, find_entities
 
 SAMPLE = 10_000
@@ -207,11 +208,13 @@ def minimal_identifying_sets(df: DataFrame, candidates: Sequence[str] | None = N
     More columns never single out fewer rows, so sets that do lie above a border and those that do not lie below it. Every
     set above must hold a column outside each largest set below: the smallest ways to do so are tried next. One that fails is
     widened column by column to a largest set below; when none fails, those tried are all the minimal sets. Sets inside a known
-    set below, or around a known one above, are never counted. The rows are counted once per full combination; a trial groups those
-    counts, many sets in one job, and the sets themselves are all the driver holds.
+    set below, or around a known one above, are never counted, and neither are those whose columns have too few values. The rows are
+    counted once per full combination and dealt out once into blocks (``singles``); a trial counts in the blocks, many sets in one
+    job. Sets that no block holds the classes of are grouped. The sets themselves are all the driver holds.
     """
     cand = sorted(candidates or qi_candidates(df))
     base = materialize(df.groupBy(*cand).agg(F.count("*").alias("__n")), "combinations")
+    counts = Singles(base, cand)
     known: dict[frozenset[str], bool] = {}
 
     def above(sets: Sequence[frozenset[str]]) -> list[bool]:
@@ -220,11 +223,16 @@ def minimal_identifying_sets(df: DataFrame, candidates: Sequence[str] | None = N
         for s in todo:
             if any(y <= s for y in yes) or any(s <= n for n in no):
                 known[s] = any(y <= s for y in yes)
+        known.update({s: False for s in todo if s not in known and counts.at_most(sorted(s)) < min_singletons})
         todo = [s for s in todo if s not in known]
         for a in range(0, len(todo), SETS_AT_ONCE):
-            part = todo[a:a + SETS_AT_ONCE]
-            shares = singleton_shares(base, [sorted(s) for s in part])
-            known.update({s: shares.get(i, 1.0) >= min_singletons for i, s in enumerate(part)})
+            part = [sorted(s) for s in todo[a:a + SETS_AT_ONCE]]
+            shares = dict(enumerate(counts.shares(part)))
+            left = [i for i, share in shares.items() if share is None]
+            if left:
+                grouped = singleton_shares(base, [part[i] for i in left])
+                shares.update({i: grouped.get(j, 1.0) for j, i in enumerate(left)})
+            known.update({frozenset(part[i]): share >= min_singletons for i, share in shares.items()})
         return [known[s] for s in sets]
 
     whole = frozenset(cand)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecloak.errors import InvalidRule
-from tablecloak.operators import checks, joins, privacy, scan
+from tablecloak.operators import checks, joins, privacy, scan, singles
 from tablecloak.operators.masks import keep, mask_table, rule
 from tablecloak.plans.registry import SECRET
 
@@ -86,6 +86,89 @@ def test_a_planted_set_of_five_columns(spark):
     assert found == [("bit0", "bit1", "bit2", "bit3", "bit4"), ("bit1", "bit2", "bit3", "bit4", "odd, or not")]
 
 
+def test_trials_group_no_rows(spark, monkeypatch):
+    """Rows are dealt out once, in many blocks; no trial groups them again."""
+    monkeypatch.setattr(singles, "BLOCK_CELLS", 40)
+    monkeypatch.setattr(scan, "set_sizes", None)
+    r = random.Random(5)
+    names = ["a", "b", "c", "d"]
+    rows = [(r.randrange(200), r.randrange(60), r.choice([None, *range(30)]), r.randrange(25)) for _ in range(150)] * 2
+    rows = rows[:-100]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    for share in (0.2, 0.3, 0.34):
+        assert scan.minimal_identifying_sets(df, names, share) == minimal(rows, names, share)
+
+
+@pytest.mark.parametrize("cells", [9, 100, 10**6])
+def test_minimal_sets_over_blocks_of_any_size(spark, monkeypatch, cells):
+    """Cells of every plain kind, equal ones written differently, rows that come twice, and columns that no block holds a value of."""
+    monkeypatch.setattr(singles, "BLOCK_CELLS", cells)
+    r = random.Random(cells)
+    kinds = ["float", "double", "decimal(9,2)", "string", "binary", "date", "timestamp", "boolean", "bigint"]
+    numbers = [(r.choice([None, *range(9)]), r.randrange(30), r.choice([None, *range(20)]), *[r.randrange(4) for _ in range(6)]) for _ in range(90)]
+    numbers += numbers[:9]
+    raw = spark.createDataFrame(numbers, ", ".join(f"x{i} int" for i in range(9)))
+    made = [F.when(F.col("x0") == 3, float("nan")).when(F.col("x0") == 4, -0.0).when(F.col("x0") == 5, 0.0).otherwise(F.col("x0")), F.when(F.col("x1") == 7, float("nan")).otherwise(F.col("x1")),
+            F.col("x2") / 2, F.concat(F.lit("\u00e9"), "x3"), F.col("x4").cast("string").cast("binary"), F.date_add(F.lit("1960-01-01").cast("date"), F.col("x5")),
+            F.timestamp_seconds(F.col("x6") - 2), F.col("x7") == 0, F.col("x8")]
+    names = [f"k{i}" for i in range(9)]
+    df = raw.select(*[x.cast(k).alias(n) for x, k, n in zip(made, kinds, names)])
+    plain = [(0 if n[0] in (4, 5) else n[0], *n[1:7], n[7] == 0, n[8]) for n in numbers]
+    for share in (0.4, 0.75):
+        assert scan.minimal_identifying_sets(df, names, share) == minimal(plain, names, share)
+
+
+def test_sets_that_no_block_holds_are_grouped(spark, monkeypatch):
+    """Two values a column, so none deals the rows out; and a list, which has no place in a block."""
+    monkeypatch.setattr(singles, "BLOCK_CELLS", 20)
+    bits = spark.range(32).select(*[F.col("id").bitwiseAND(1 << k).alias(f"b{k}") for k in range(5)], (F.col("id") % 2).alias("odd"))
+    assert scan.minimal_identifying_sets(bits, bits.columns) == [("b0", "b1", "b2", "b3", "b4"), ("b1", "b2", "b3", "b4", "odd")]
+    lists = spark.range(40).select(F.array(F.col("id") % 8).alias("l"), F.floor(F.col("id") / 8).alias("n"), (F.col("id") % 4).alias("q"))
+    assert scan.minimal_identifying_sets(lists, lists.columns) == [("l", "n")]
+
+
+def test_shares_of_more_combinations_than_a_number_holds(spark):
+    """Five columns of thousands of values each: their product does not fit 64 bits."""
+    cols = [F.floor(F.col("id") * p % 30011 / 2).alias(f"v{i}") for i, p in enumerate((1, 3, 7, 11, 13))]
+    df = spark.range(30011).select(*cols, F.lit(1).alias("one"))
+    base = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    found = singles.Singles(base, df.columns).shares([["v0"], df.columns[:5], df.columns, ["one"], []])
+    want = [df.groupBy(*s).count().where("count = 1").count() / 30011 for s in (["v0"], df.columns[:5], df.columns)]
+    assert found == [*want, 0.0, 0.0]
+
+
+def test_blocks_of_long_texts_are_smaller(spark, monkeypatch):
+    monkeypatch.setattr(singles, "BLOCK_BYTES", 1000)
+    df = spark.range(50).select(F.repeat(F.lit("x"), F.col("id").cast("int")).alias("t"), (F.col("id") % 5).alias("n"))
+    found = singles.Singles(df.withColumn("__n", F.lit(1).cast("bigint")), df.columns)
+    assert (found.blocks, found.most) == (2, 25) and found.shares([["t"], ["n"]]) == [1.0, 0.0]
+
+
+def test_the_bound_of_batches_is_put_back(spark):
+    was = spark.conf.get(singles.BATCH_BYTES)
+    scan.minimal_identifying_sets(spark.range(9).select("id", (F.col("id") % 3).alias("m")), ["id", "m"])
+    assert spark.conf.get(singles.BATCH_BYTES) == was
+
+
+def test_cells_of_many_batches_share_their_codes():
+    """Equal cells have one code in a block, whichever batch they come with; null and not-a-number are cells of their own."""
+    import numpy as np
+    import pyarrow as pa
+    r = random.Random(2)
+    cells = {"c0": [r.choice([None, 1.5, 2.5, float("nan")]) for _ in range(50)], "c1": [r.choice([None, "", "a", "b"]) for _ in range(50)],
+             "c2": [r.choice([None, True, False]) for _ in range(50)], "c3": [None] * 50, "c4": list(range(49)) + [None]}
+    kinds = {"c0": pa.float64(), "c1": pa.string(), "c2": pa.bool_(), "c3": pa.int32(), "c4": pa.int64()}
+    t = pa.table({c: pa.array(v, kinds[c]) for c, v in cells.items()} | {"again": pa.array([False] * 50)})
+    (block,) = singles._encoder(list(cells))(iter(t.to_batches(max_chunksize=7)))
+    assert block.column("rows").to_pylist() == [50] and block.column("again").to_pylist() == [bytes(50)]
+    for c, v in cells.items():
+        codes = np.frombuffer(block.column(c)[0].as_py(), np.uint8).tolist()
+        assert len(set(zip(codes, map(repr, v)))) == len(set(codes)) == len(set(map(repr, v)))
+    counted = list(singles._counter([["c4"], ["c0", "c1"], []])(iter([block, block])))
+    pairs_ = list(zip(map(repr, cells["c0"]), cells["c1"]))
+    assert counted[0].column("alone").to_pylist() == [100, 2 * sum(pairs_.count(x) == 1 for x in pairs_), 0]
+
+
 def test_rows_that_nothing_tells_apart(spark):
     df = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "a int, b int")
     assert scan.minimal_identifying_sets(df, ["a", "b"]) == []
